@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import secrets
+from daygrain.llm import mixing, secrets
 from daygrain.llm.common import table
 
 
@@ -14,7 +14,31 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allot(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_source_mix": op6_source_mix,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_source_mix": r"""
+WITH d AS (SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM s0),
+s2 AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s1),
+s3 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS capped,
+  sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM s2),
+s4 AS (SELECT *, (budget - capped) * w / open_w > cap AS is_full FROM s3),
+s5 AS (SELECT *, coalesce(sum(cap) FILTER (is_full) OVER (), 0.0) AS full_sum, sum(w) FILTER (NOT is_full) OVER () AS rest_w FROM s4),
+s AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE (budget - full_sum) * w / rest_w END AS target FROM s5),
+c AS (SELECT d.doc_id, d.size, s.source_size, s.target, s.source,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+e AS (SELECT *, (cum + epoch * source_size)::DOUBLE / target AS finish FROM c, (VALUES (0), (1)) v(epoch)),
+r AS (SELECT *, sum(size) OVER (ORDER BY finish, doc_id, size, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run,
+  (SELECT floor(sum(target) + 0.25) FROM s) AS budget FROM e)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, budget - (run - size))))::BIGINT AS taken
+FROM r GROUP BY doc_id, size, source_size, target""",
+}
