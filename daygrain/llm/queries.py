@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import mixing, packing, secrets
+from daygrain.llm import mixing, packing, records, secrets
 from daygrain.llm.common import table
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_source_mix": op6_source_mix,
+    "op7_token_records": op7_token_records,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES: dict[str, str] = {
