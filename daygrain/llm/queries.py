@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import langid, mixing, packing, quality, records, secrets
+from daygrain.llm import langid, lm, mixing, packing, quality, records, secrets
 from daygrain.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.predictions(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_log_bilinear": op5_log_bilinear,
     "op6_source_mix": op6_source_mix,
     "op7_token_records": op7_token_records,
     "op9_secret_scan": op9_secret_scan,
