@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import langid, lm, mixing, packing, quality, records, secrets, simhash
+from daygrain.llm import langid, lattice, lm, mixing, packing, quality, records, secrets, simhash
 from daygrain.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents"))
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mix": op6_source_mix,
     "op7_token_records": op7_token_records,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lattice": op10_lattice,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mix": r"""
