@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import langid, lattice, lm, mixing, packing, quality, records, secrets, simhash
+from daygrain.llm import langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash
 from daygrain.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_log_bilinear": op5_log_bilinear,
     "op6_source_mix": op6_source_mix,
     "op7_token_records": op7_token_records,
+    "op8_minhash": op8_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_lattice": op10_lattice,
 }
