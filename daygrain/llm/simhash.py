@@ -241,6 +241,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8) -> DataFrame:
+    """One row of each component of linked fingerprints: that with the smallest id (nulls last), of repeated rows any one. Columns stay as they are."""
+    ship(docs.sparkSession)
+    extra = []
+    for name in ("__row", "__fp", "__root", "__best"):
+        while name in docs.columns:
+            name += "_"
+        extra.append(name)
+    row, fp, root, best = extra
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, fingerprints(F.col(text_col), words)), "rows")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(row).alias("r"))).alias(best)
+    each = staged(rows.groupBy(F.col(fp).alias("fp")).agg(first), "distinct")
+    roots = classes(each.select("fp"), distance)
+    named = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias(root)).agg(F.min(best).alias(best))
+    kept = named.select(F.col(f"{best}.r").alias("kept"))
+    return rows.join(kept, rows[row] == kept["kept"], "left_semi").select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id."""
     return linked(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
