@@ -14,7 +14,10 @@ from functools import lru_cache
 import numpy as np
 
 #: Runs whose ids a Python worker keeps, twice, besides those of one text.
-MOST_KEPT = 400_000
+MOST_KEPT = 700_000
+#: White space other than space, tab, line feed and carriage return, by Python or by Unicode.
+ODD = tuple("\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+ODD_WITH_SPACES = (*ODD, "\t", "\r", "  ", "\n\n", " \n", "\n ")
 #: Stands between runs that are encoded in one text.
 MARK = "\x01"
 ID = np.dtype("<u4")
@@ -80,37 +83,31 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.special in text:
+        if self.special in text or any(c in text for c in (ODD_WITH_SPACES if self.spaces else ODD)):
             return self.whole(text)
-        runs = text.split()
-        white = len(text) - sum(map(len, runs))
         if self.spaces:
-            if white != len(runs) - 1 or text.count(" ") + text.count("\n") != white:
-                return self.whole(text)  # not just one space or line feed between two runs
-            # Each run keeps the space before it; a line feed comes out as an empty run.
+            if text[0] in " \n" or text[-1] in " \n":
+                return self.whole(text)
+            # One space or line feed stands between two runs. A run keeps the space before it; a line feed comes out as an empty run.
             runs = text.replace("\n", "\n\n").replace(" ", "\n ").split("\n") if "\n" in text else text.replace(" ", "\n ").split("\n")
-        elif sum(map(text.count, " \n\t\r")) != white:
-            return self.whole(text)
-        kept = self.kept
-        try:
-            return b"".join([kept[r] for r in runs])
-        except KeyError:
-            pass
-        if len(kept) > MOST_KEPT:
-            self.older, self.kept = kept, {}
-            kept = self.kept
-        older, new = self.older, []
-        for r in set(runs):
-            if r not in kept:
-                if r in older:
-                    kept[r] = older[r]
-                elif r:
-                    new.append(r)
-                else:
-                    kept[r] = self.whole("\n")
+        else:
+            runs = text.split()
+        found = list(map(self.kept.get, runs))
+        if None not in found:
+            return b"".join(found)
+        if len(self.kept) > MOST_KEPT:
+            self.older, self.kept = self.kept, {}
+        kept, older, new = self.kept, self.older, []
+        for r in {r for r, ids in zip(runs, found, strict=True) if ids is None}:
+            if r in older:
+                kept[r] = older[r]
+            elif r:
+                new.append(r)
+            else:
+                kept[r] = self.whole("\n")
         if new:
             self._fill(new)
-        return b"".join([kept[r] for r in runs])
+        return b"".join([kept[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)])
 
 
 @lru_cache(maxsize=4)
