@@ -163,7 +163,9 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows (doc_id, text) in ascending order of ids, nulls first, ties by the text's hash, then the text: partition `part` holds a range, and
     behind its own rows (halo 0) the first row of the next range (halo 1), after the last range the very first row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranges = rows.select("doc_id", "tie").repartitionByRange("doc_id", "tie").groupBy(F.spark_partition_id().alias("p"))
+    spark = docs.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # as many as the texts need; ids alone would be put together
+    ranges = rows.select("doc_id", "tie").repartitionByRange(wanted, "doc_id", "tie").groupBy(F.spark_partition_id().alias("p"))
     firsts = [r["first"] for r in ranges.agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first")).collect()]  # one a range
     key = lambda doc_id, tie: (doc_id is not None, 0 if doc_id is None else doc_id, tie)
     bounds = sorted(key(r["doc_id"], r["tie"]) for r in firsts)
