@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from daygrain.llm.common import staged
 
 #: Pairs that numpy holds at a time.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -68,10 +68,10 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def cross(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cross(unit: np.ndarray, side: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of the same unit with i on side 0 and j on side 1, some at a time.
 
-    Rows are sorted by unit, then side. Each step gives whole units, or a run of one unit's left rows."""
+    Rows are sorted by unit, then side. Each step gives about `most` pairs at most, or those of one left row."""
     if not len(unit):
         return
     starts = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]).any(1)))
@@ -85,7 +85,7 @@ def cross(unit: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     at = 0
     while at < len(rows):
         base = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, base + PAIRS, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
         k = n[at:to]
         i = np.repeat(rows[at:to], k)
         j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(middle[owner[at:to]], k)

@@ -21,6 +21,8 @@ from daygrain.llm.graph import components, cross, forest, per_unit
 
 #: Vectors of a cell that are compared with each other in one block.
 BLOCK = 1024
+#: Pairs of vectors that are held at a time.
+SOME = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -164,13 +166,13 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         for i, j in cross(unit, side):
             on = (ids[i] != ids[j]) & (dim[i] == dim[j]) & (~home[j] | (ids[i] < ids[j]))
             i, j = i[on], j[on]
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            for at in range(0, len(i), SOME):
+                a, b = i[at : at + SOME], j[at : at + SOME]
                 on = np.einsum("nd,nd->n", x[a], x[b]) >= s.cosine
                 us.append(a[on])
                 vs.append(b[on])
         u, v = np.concatenate(us) if us else np.zeros(0, int), np.concatenate(vs) if vs else np.zeros(0, int)
-        first = np.concatenate([_first(keys[u[k : k + 65536]], keys[v[k : k + 65536]], ids[u[k : k + 65536]], ids[v[k : k + 65536]]) for k in range(0, len(u), 65536)]) if len(u) else np.zeros(0, np.int64)
+        first = np.concatenate([_first(keys[u[k : k + SOME]], keys[v[k : k + SOME]], ids[u[k : k + SOME]], ids[v[k : k + SOME]]) for k in range(0, len(u), SOME)]) if len(u) else np.zeros(0, np.int64)
         on = first == cell[u]
         u, v = u[on], v[on]
         if not len(u):
