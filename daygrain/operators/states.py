@@ -98,7 +98,7 @@ def grammar_faults(states: DataFrame, on: list[str]) -> DataFrame:
             F.when(vehicle & (F.col("board") == F.col("alight")), "round_ride"),
         )
     )
-    return states.withColumn("fault", F.explode(faults)).select(*on, "start_ts", "fault")
+    return states.withColumn("__faults", faults).select(*on, "start_ts", F.explode("__faults").alias("fault"))
 
 
 def infeasible(states: DataFrame, on: list[str], most_kmh: dict[str, float]) -> DataFrame:
@@ -109,4 +109,4 @@ def infeasible(states: DataFrame, on: list[str], most_kmh: dict[str, float]) ->
     jump = geo.haversine(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
     rest = F.col("mode") == "stationary"
     faults = F.array_compact(F.array(F.when(F.col("avg_speed") > limit, "too_fast"), F.when(rest & (F.lead("mode").over(w) == "stationary") & (gap <= 60) & (jump > 500), "teleport")))
-    return states.withColumn("fault", F.explode(faults)).select(*on, "start_ts", "fault")
+    return states.withColumn("__faults", faults).select(*on, "start_ts", F.explode("__faults").alias("fault"))

@@ -77,10 +77,10 @@ def greedy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The semi-Markov decoding of each user's month, by hours."""
+    """The semi-Markov decoding of each user's days, by hours."""
     f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
-    o = hsmm.observations(f, KEYS, 3600)
-    return hsmm.decode(o.select("user_id", "t", "speed_kmh", "hr", "cadence"), KEYS)
+    o = hsmm.observations(f, ["user_id", "day_start"], 3600)
+    return hsmm.decode(o.select("user_id", "day_start", "t", "speed_kmh", "hr", "cadence"), ["user_id", "day_start"])
 
 
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:

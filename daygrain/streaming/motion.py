@@ -81,12 +81,9 @@ def motion_batch(messages: DataFrame) -> DataFrame:
 
 
 def motion_stream(messages: DataFrame) -> DataFrame:
-    """The same over a stream, in order of arrival between micro-batches and of time within one. State is kept until a device is silent for a day."""
+    """The same over a stream, in order of arrival between micro-batches and of time within one. A device's state is ten minutes of fixes and three values."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         old = START
         if state.exists:
             ts, lat, lon, profile, hold = state.get
@@ -94,10 +91,9 @@ def motion_stream(messages: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames))
         new, out = _run(key[0], rows, old)
         state.update((new[0], new[1], new[2], new[3], new[4]))
-        state.setTimeoutDuration(86_400_000)
         yield out
 
-    return messages.groupBy("device").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("device").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def with_long_stay(messages: DataFrame, places: DataFrame) -> DataFrame:
