@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Bytes of text that a Python step turns into arrays at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +41,8 @@ def held_out(column: Column, mod: int, rest: int) -> Column:
 
 def ship(spark: SparkSession) -> None:
     """Gives executors this package, once per application, and bounds the bytes of an Arrow batch unless the session does."""
+    if spark.conf.get(BATCH_BYTES[0]) in ("64m", "64MB", "67108864", "67108864b"):  # the default, which a worker with little memory can't hold
+        spark.conf.set(*BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_daygrain_shipped", False):
         return
@@ -47,6 +55,19 @@ def ship(spark: SparkSession) -> None:
     sc._daygrain_shipped = True
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """What a worker keeps from task to task under this name, made where it isn't there. A worker keeps one thing: what other operators left goes,
+    so that a session which runs one after the other needs no more memory than the largest."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
 _made: list[tuple[object, str]] = []
 
 

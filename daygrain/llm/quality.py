@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import held_out, ship, slices, text_column
+from daygrain.llm.common import held, held_out, ship, slices, text_column
 
 #: Buckets of hashed words, bins of each statistic.
 WORDS, BINS = 1 << 14, 12
@@ -41,15 +41,12 @@ class _Buckets(dict):
     """word -> bucket, up to a bound of remembered words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         b = self[word] = zlib.crc32(word) & (WORDS - 1)
         return b
 
 
-_buckets = _Buckets()
-
-
 def _binned(x: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip((x - low) / (high - low) * BINS, 0, BINS - 1).astype(np.int64)
 
@@ -69,7 +66,8 @@ def features(texts: list[bytes], declared: list[int | None]) -> tuple[np.ndarray
     count = np.asarray([len(w) for w in low], np.int64)
     total = np.maximum(1, size - 1)
     words = np.maximum(1, count)
-    ids = np.fromiter((_buckets[w] for ws in low for w in ws), np.int64, int(count.sum()))
+    buckets = held("quality", _Buckets)
+    ids = np.fromiter((buckets[w] for ws in low for w in ws), np.int64, int(count.sum()))
     row = np.repeat(np.arange(n), count)
     again = np.zeros(n, np.int64)
     if len(ids) > 1:

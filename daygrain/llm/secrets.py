@@ -12,7 +12,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from re import _constants as rc
 from re import _parser as rp
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import ship, slices
+from daygrain.llm.common import held, ship, slices
 
 #: A set of exact strings larger than this is no longer multiplied out.
 MOST_STRINGS = 64
@@ -173,8 +172,11 @@ def _eval(query, postings: dict[str, np.ndarray]) -> np.ndarray:
     return np.logical_and.reduce(parts) if query[0] == "and" else np.logical_or.reduce(parts)
 
 
-@lru_cache(maxsize=8)
 def _plan(rules: tuple[Rule, ...]):
+    return held(f"secrets {hash(rules)}", lambda: _made(rules))
+
+
+def _made(rules: tuple[Rule, ...]):
     """Per rule its query, and a table from the 24 bits of a trigram to its place among those that any query names (0: none)."""
     queries = [trigram_query(r.pattern) for r in rules]
     # A trigram with a character beyond ASCII isn't indexed: such a rule scans fully.
