@@ -58,20 +58,20 @@ def cuts(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, most_kept: int) -> DataFrame:
     """Per piece of each row: doc_id, where it starts, its length, checksum and class, and its number among those of its class and partition."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = tokens.encode_with(tokenizer, False), TaskContext.get().partitionId()
+        encode, part = tokens.encode_with(tokenizer, False, most_kept), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         count = dict.fromkeys(classes(capacity), 0)
         for batch in batches:
             for some in slices(batch):
                 rows = []
-                for i, text in enumerate(some.column("text").to_pylist()):
-                    ids = encode(text.decode()) + end
+                for i, ids in enumerate(encode([t.decode() for t in some.column("text").to_pylist()])):
+                    ids += end
                     at, total = 0, len(ids) // 4
                     for n in cuts(total, capacity):
                         k = class_of(n, capacity)
@@ -101,14 +101,14 @@ def first_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, most_kept: int = 700_000) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (from 0, gapless), offset.
 
     A null or empty text is its end id alone. Rows with the same id, or a null id, are packed one by one. Columns besides the two
-    are not read. An empty table gives an empty table."""
+    are not read. An empty table gives an empty table. most_kept: words whose ids a worker remembers, twice, at about 200 bytes each."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = staged(_pieces(docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text")), tokenizer, end_id, capacity), "pieces")
+    pieces = staged(_pieces(docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text")), tokenizer, end_id, capacity, most_kept), "pieces")
     counts = pieces.groupBy("k", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row an input partition
     counts = counts.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))

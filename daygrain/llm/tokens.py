@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
+from daygrain.llm.common import held
+
 #: Runs whose ids a Python worker keeps, twice, besides those of one text.
-MOST_KEPT = 700_000
+MOST_KEPT = 150_000
 #: White space other than space, tab, line feed and carriage return, by Python or by Unicode.
 ODD = tuple("\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 ODD_WITH_SPACES = (*ODD, "\t", "\r", "  ", "\n\n", " \n", "\n ")
@@ -23,7 +24,6 @@ MARK = "\x01"
 ID = np.dtype("<u4")
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -41,10 +41,11 @@ class Encoder:
     spaces_matter: white space takes part in the ids (byte-level vocabularies, whose tokens show a leading space); a run then
     keeps the single space before it. What was asked for is kept in two generations: a full one becomes the older one."""
 
-    def __init__(self, path: str, spaces_matter: bool):
+    def __init__(self, path: str, spaces_matter: bool, most_kept: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         self.t = tokenizer(path)
         self.spaces = spaces_matter
+        self.most_kept = most_kept
         self.special = _special(self.t)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -80,6 +81,9 @@ class Encoder:
             rest = [r for r in runs if r not in self.kept]
             self.kept.update((r, p.tobytes()) for r, p in zip(rest, self._ids(rest), strict=True))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -95,7 +99,7 @@ class Encoder:
         found = list(map(self.kept.get, runs))
         if None not in found:
             return b"".join(found)
-        if len(self.kept) > MOST_KEPT:
+        if len(self.kept) > self.most_kept:
             self.older, self.kept = self.kept, {}
         kept, older, new = self.kept, self.older, []
         for r in {r for r, ids in zip(runs, found, strict=True) if ids is None}:
@@ -110,9 +114,8 @@ class Encoder:
         return b"".join([kept[r] if ids is None else ids for r, ids in zip(runs, found, strict=True)])
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, spaces_matter: bool) -> Encoder:
-    return Encoder(path, spaces_matter)
+def encoder(path: str, spaces_matter: bool, most_kept: int = MOST_KEPT) -> Encoder:
+    return held(f"tokens {path} {spaces_matter} {most_kept}", lambda: Encoder(path, spaces_matter, most_kept))
 
 
 def public(name: str) -> str:
@@ -122,5 +125,5 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_with(name: str, spaces_matter: bool) -> Callable[[str], bytes]:
-    return encoder(public(name), spaces_matter).encode
+def encode_with(name: str, spaces_matter: bool, most_kept: int = MOST_KEPT) -> Callable[[list[str]], list[bytes]]:
+    return encoder(public(name), spaces_matter, most_kept).encode_all
