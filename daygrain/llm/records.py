@@ -84,7 +84,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         out, index, offset = None, [], 0
         for batch in batches:
             for some in slices(batch):
-                ids = [encoder.encode(t.decode()) + end for t in some.column("text").to_pylist()]
+                ids = [x + end for x in encoder.encode_all([t.decode() for t in some.column("text").to_pylist()])]
                 parts = [payload(d, x, width) for d, x in zip(some.column("doc_id").to_pylist(), ids, strict=True)]
                 if out is None:
                     store.create_dir(at, recursive=True)
