@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables; the others run and have rows."""
 
 import glob
+import numbers
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ QUERIES, ORACLES = slate.QUERIES | days.QUERIES, slate.ORACLES | days.ORACLES
 
 
 def plain(df: pd.DataFrame) -> list:
-    tell = lambda v: "∅" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA else f"{v:.9g}" if isinstance(v, float) else str(v)
+    tell = lambda v: "∅" if v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA else str(v) if isinstance(v, bool) else f"{float(v):.12g}" if isinstance(v, numbers.Number) else str(v)
     return sorted(tuple(map(tell, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
