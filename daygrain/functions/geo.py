@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +37,13 @@ def to_segment_deg(px: Column, py: Column, ax: Column, ay: Column, bx: Column, b
 def to_segment(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance of a point from a line segment on the plane that touches at the point."""
     k = F.cos(F.radians(lat)) * M_PER_DEGREE
-    return to_segment_deg(F.lit(0.0), F.lit(0.0), (lon1 - lon) * k, (lat1 - lat) * M_PER_DEGREE, (lon2 - lon) * k, (lat2 - lat) * M_PER_DEGREE)
+    first = around(lon1 - lon)
+    return to_segment_deg(F.lit(0.0), F.lit(0.0), (lon1 - lon + first) * k, (lat1 - lat) * M_PER_DEGREE, (lon2 - lon + first + around(lon2 - lon1)) * k, (lat2 - lat) * M_PER_DEGREE)
+
+
+def around(d: Column) -> Column:
+    """What a difference of longitudes lacks to the shorter way around: 0, or 360 with its sign turned."""
+    return F.when(F.abs(d) <= 180, 0.0).otherwise(-360.0 * F.signum(d))
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -56,6 +64,36 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
+def band_size(radius_m: float) -> float:
+    """Degrees of latitude that a great circle of that length spans at most."""
+    return math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
+
+
+def band_cells(band: Column, size: float, radius_m: float) -> Column:
+    """Cells around the earth in a band (cell of latitude), so wide that a point of the band and one of its neighbours', at most `radius_m` apart, lie in
+    the same cell or in adjacent ones. The first and the last are adjacent; about a pole there is one."""
+    top = F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(size)
+    chord = math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2)
+    wide = F.degrees(2 * F.asin(F.least(F.lit(1.0), chord / F.cos(F.radians(F.least(top, F.lit(90.0)))))))
+    return F.when(top >= 90, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / (wide * (1 + 1e-9))))).cast("long")
+
+
+def band_cell(lon: Column, cells: Column) -> Column:
+    """The cell of a longitude among a band's."""
+    return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360.0 * cells), cells - 1).cast("long")
+
+
+def cells_near(lat: Column, lon: Column, size: float, radius_m: float) -> Column:
+    """array<struct<__cy, __cx>>: the cells in which points at most `radius_m` away lie, each once; `size` is band_size() or more."""
+
+    def of(d: int) -> Column:
+        cy = cell(lat, size) + d
+        n = band_cells(cy, size, radius_m)
+        return F.transform(F.array_distinct(F.array(*[F.pmod(band_cell(lon, n) + k, n) for k in (-1, 0, 1)])), lambda x: F.struct(cy.alias("__cy"), x.alias("__cx")))
+
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(*[of(d) for d in (-1, 0, 1)]))
+
+
 def box_around(lat: Column, lon: Column, radius_m: Column | float) -> Column:
     """struct<south, north, west, east> that holds the disc."""
     r = F.lit(radius_m) if isinstance(radius_m, int | float) else radius_m

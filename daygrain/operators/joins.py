@@ -69,18 +69,14 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], t: str, va
     return both.select(*left.columns, *told)
 
 
-def within_radius(points: DataFrame, places: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", p_lat: str = "p_lat", p_lon: str = "p_lon", most_lat: float = 70.0) -> DataFrame:
+def within_radius(points: DataFrame, places: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", p_lat: str = "p_lat", p_lon: str = "p_lon") -> DataFrame:
     """Each point with each place at most `radius_m` away, with distance_m; `places` has other column names than `points`.
 
-    Cells are as wide as the radius at latitude `most_lat`; a point looks into the nine around it."""
-    import math
-
-    size = radius_m / geo.M_PER_DEGREE
-    wide = size / math.cos(math.radians(most_lat))
-    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    p = points.withColumn("__cy", geo.cell(F.col(lat), size)).withColumn("__cx", geo.cell(F.col(lon), wide))
-    q = places.withColumn("__dy", near).withColumn("__dx", near)
-    q = q.withColumn("__cy", geo.cell(F.col(p_lat), size) + F.col("__dy")).withColumn("__cx", geo.cell(F.col(p_lon), wide) + F.col("__dx")).drop("__dy", "__dx")
+    Cells are as wide as the radius in their own band of latitude; a place looks into those around it, over the 180th meridian and the poles too."""
+    size = geo.band_size(radius_m)
+    cy = geo.cell(F.col(lat), size)
+    p = points.withColumn("__cy", cy).withColumn("__cx", geo.band_cell(F.col(lon), geo.band_cells(cy, size, radius_m)))
+    q = places.withColumn("__c", F.explode(geo.cells_near(F.col(p_lat), F.col(p_lon), size, radius_m))).select(*places.columns, "__c.*")
     d = geo.haversine(F.col(lat), F.col(lon), F.col(p_lat), F.col(p_lon))
     return p.join(q, ["__cy", "__cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("__cy", "__cx")
 
@@ -109,13 +105,14 @@ def snap(points: DataFrame, places: DataFrame, key: list[str], place_id: str = "
 
 def near_lines(points: DataFrame, edges: DataFrame, radius_m: float, key: list[str], line_id: str = "way_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Each point with each line at most `radius_m` away, with the least distance_m. `edges`: way_id, lat1, lon1, lat2, lon2 and columns of the line."""
-    import math
-
-    size = max(radius_m / geo.M_PER_DEGREE, 0.002)
-    wide = size / math.cos(math.radians(70.0))
-    span = lambda a, b, s: F.explode(F.sequence(geo.cell(F.least(a, b), s) - 1, geo.cell(F.greatest(a, b), s) + 1))
-    e = edges.withColumn("__cy", span(F.col("lat1"), F.col("lat2"), size)).withColumn("__cx", span(F.col("lon1"), F.col("lon2"), wide))
-    p = points.withColumn("__cy", geo.cell(F.col(lat), size)).withColumn("__cx", geo.cell(F.col(lon), wide))
+    size = max(geo.band_size(radius_m), 0.002)
+    cells = geo.band_cells(F.col("__cy"), size, radius_m)
+    e = edges.withColumn("__cy", F.explode(F.sequence(geo.cell(F.least("lat1", "lat2"), size) - 1, geo.cell(F.greatest("lat1", "lat2"), size) + 1)))
+    other = F.col("lon2") + geo.around(F.col("lon2") - F.col("lon1"))
+    at = lambda x: F.floor(x / 360.0 * cells)
+    west, east = at(F.least("lon1", other)) - 1, at(F.greatest("lon1", other)) + 1
+    e = e.withColumn("__cx", F.explode(F.array_distinct(F.transform(F.sequence(west, east), lambda x: F.pmod(x, cells)))))
+    p = points.withColumn("__cy", geo.cell(F.col(lat), size)).withColumn("__cx", geo.band_cell(F.col(lon), cells))
     d = geo.to_segment(F.col(lat), F.col(lon), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     near = p.join(e, ["__cy", "__cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
     rest = [c for c in edges.columns if c not in (line_id, "lat1", "lon1", "lat2", "lon2", "edge_ix")]

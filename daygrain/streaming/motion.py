@@ -102,13 +102,12 @@ def with_long_stay(messages: DataFrame, places: DataFrame) -> DataFrame:
     The join is by cells, with a row a message: its nearest cells' places are gathered in one lookup row per cell."""
     from daygrain.functions import geo
 
-    size = 0.002
-    near = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-    p = places.select("p_lat", "p_lon").withColumn("__dy", near).withColumn("__dx", near)
-    p = p.withColumn("__cy", geo.cell(F.col("p_lat"), size) + F.col("__dy")).withColumn("__cx", geo.cell(F.col("p_lon"), size) + F.col("__dx"))
+    size, near_m = 0.002, 100.0
+    p = places.select("p_lat", "p_lon", F.explode(geo.cells_near(F.col("p_lat"), F.col("p_lon"), size, near_m)).alias("__c")).select("p_lat", "p_lon", "__c.*")
     p = p.groupBy("__cy", "__cx").agg(F.collect_list(F.struct("p_lat", "p_lon")).alias("__near"))
-    m = messages.withColumn("__cy", geo.cell(F.col("lat"), size)).withColumn("__cx", geo.cell(F.col("lon"), size)).join(p, ["__cy", "__cx"], "left")
-    on = F.exists("__near", lambda x: geo.haversine(x["p_lat"], x["p_lon"], F.col("lat"), F.col("lon")) <= 100)
+    cy = geo.cell(F.col("lat"), size)
+    m = messages.withColumn("__cy", cy).withColumn("__cx", geo.band_cell(F.col("lon"), geo.band_cells(cy, size, near_m))).join(p, ["__cy", "__cx"], "left")
+    on = F.exists("__near", lambda x: geo.haversine(x["p_lat"], x["p_lon"], F.col("lat"), F.col("lon")) <= near_m)
     return m.withColumn("long_stay", F.coalesce(on, F.lit(False))).drop("__cy", "__cx", "__near")
 
 
