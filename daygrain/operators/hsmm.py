@@ -1,20 +1,21 @@
 """The hidden semi-Markov decoder of a day: observations, states, transitions, emissions, durations, decoding.
 
-Observations and emissions are DataFrame expressions; decoding is a numpy recursion, one group a user's day.
+Observations and emissions are DataFrame expressions; decoding is a numpy recursion over many days of equal length at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions import chance
-from daygrain.operators import series
+from daygrain.operators import groups, series
 
 #: Fixed values. Per mode: prior; speed, heart rate and steps as mean and deviation, with the probability of no steps; the chance of being in bed;
 #: shape and rate of the duration in minutes.
@@ -107,9 +108,10 @@ def log_duration(mode: str, minutes: np.ndarray) -> np.ndarray:
     return np.where(minutes < LEAST_MINUTES.get(mode, 2), -10.0, out)
 
 
-def durations(space: list[State], most: int = MOST_MINUTES) -> np.ndarray:
-    """[state, d - 1]: the log-density of d minutes."""
-    return np.stack([log_duration(s.mode, np.arange(1, most + 1, dtype=float)) for s in space])
+def durations(space: list[State], most: int = MOST_MINUTES, step_s: int = 60) -> np.ndarray:
+    """[state, d - 1]: the log-probability of d steps, up to `most` minutes: the density of their minutes by a step's width."""
+    minutes = step_s / 60
+    return np.stack([log_duration(s.mode, minutes * np.arange(1, max(1, int(most / minutes)) + 1)) for s in space]) + math.log(minutes)
 
 
 def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> np.ndarray:
@@ -130,41 +132,46 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -
 
 
 def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray) -> np.ndarray:
-    """The best segmentation: each segment of state s and length d adds its emissions, its duration, and the way in from another state.
+    """The best segmentation of each day of [days, steps, states], or of one day of [steps, states]: each segment of state s and length d
+    adds its emissions, its duration, and the way in from another state.
 
     Longer stays than the table tells are chained from the same state without a cost of entry. Ties keep the first."""
-    n, s = emission.shape
+    if emission.ndim == 2:
+        return semi_viterbi(emission[None], transition, duration, initial)[0]
+    b, n, s = emission.shape
     most = min(duration.shape[1], n)
-    if not n:
-        return np.zeros(0, int)
-    way = transition.copy()
+    path = np.zeros((b, n), int)
+    if not n or not b:
+        return path
+    way, diagonal = transition.copy(), np.arange(s)
     np.fill_diagonal(way, -np.inf)
-    cum = np.vstack([np.zeros(s), np.cumsum(np.where(np.isneginf(emission), -1e18, emission), 0)])
-    best = np.full((n + 1, s), -np.inf)  # of segmentations that end before t, in s
-    entry = np.full((n + 1, s), -np.inf)
-    entry[0] = initial
-    came = np.zeros((n + 1, s), int)
-    length = np.zeros((n + 1, s), int)
+    cum = np.zeros((b, n + 1, s))
+    np.cumsum(np.where(np.isneginf(emission), -1e18, emission), 1, out=cum[:, 1:])
+    best = np.full((b, n + 1, s), -np.inf)  # of segmentations that end before t, in s
+    entry = np.full((b, n + 1, s), -np.inf)
+    entry[:, 0] = initial
+    came, length = np.zeros((b, n + 1, s), int), np.zeros((b, n + 1, s), int)
     for t in range(1, n + 1):
         d = np.arange(1, min(most, t) + 1)
-        c = entry[t - d] + duration[:, d - 1].T + cum[t] - cum[t - d]
-        k = c.argmax(0)
-        best[t] = c[k, np.arange(s)]
-        length[t] = d[k]
+        c = entry[:, t - d] - cum[:, t - d] + duration[:, d - 1].T
+        k = c.argmax(1)
+        best[:, t] = np.take_along_axis(c, k[:, None], 1)[:, 0] + cum[:, t]
+        length[:, t] = d[k]
         if t < n:
-            x = best[t][:, None] + way
-            x[np.arange(s), np.arange(s)] = np.where(length[t] == duration.shape[1], best[t], -np.inf)
-            came[t] = x.argmax(0)
-            entry[t] = x.max(0)
-    path = np.zeros(n, int)
-    t, state = n, int(best[n].argmax())
-    if np.isneginf(best[n]).all() or best[n].max() < -1e17:
-        return path
-    while t > 0:
-        d = max(1, int(length[t, state]))
-        path[t - d : t] = state
-        t -= d
-        state = int(came[t, state])
+            x = best[:, t, :, None] + way
+            x[:, diagonal, diagonal] = np.where(length[:, t] == duration.shape[1], best[:, t], -np.inf)
+            came[:, t] = x.argmax(1)
+            entry[:, t] = x.max(1)
+    last = best[:, n].max(1)
+    state, at, days = best[:, n].argmax(1), np.full(b, n), np.arange(b)
+    lost = np.isneginf(last) | (last < -1e17)  # no segmentation has any probability: the first state
+    steps = np.arange(n)
+    at[lost] = 0
+    while (at > 0).any():
+        d = np.where(at > 0, np.maximum(1, length[days, at, state]), 0)
+        path = np.where((steps >= (at - d)[:, None]) & (steps < at[:, None]), state[:, None], path)
+        at = at - d
+        state = np.where(at > 0, came[days, at, state], state)
     return path
 
 
@@ -176,64 +183,124 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def marginals(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray) -> np.ndarray:
-    """The probability of each state at each step, over all segmentations."""
-    n, s = emission.shape
+    """The probability of each state at each step, over all segmentations of each day of [days, steps, states], or of one."""
+    if emission.ndim == 2:
+        return marginals(emission[None], transition, duration, initial)[0]
+    b, n, s = emission.shape
     way = transition.copy()
     np.fill_diagonal(way, -np.inf)
-    cum = np.vstack([np.zeros(s), np.cumsum(emission, 0)])
+    cum = np.zeros((b, n + 1, s))
+    np.cumsum(emission, 1, out=cum[:, 1:])
     most = min(duration.shape[1], n)
-    begin, end = np.full((n + 1, s), -np.inf), np.full((n + 1, s), -np.inf)  # mass of segments that begin, end at t
-    begin[0] = initial
+    begin, end = np.full((b, n + 1, s), -np.inf), np.full((b, n + 1, s), -np.inf)  # mass of segments that begin, end at t
+    begin[:, 0] = initial
     for t in range(1, n + 1):
         d = np.arange(1, min(most, t) + 1)
-        end[t] = _lse(begin[t - d] + duration[:, d - 1].T + cum[t] - cum[t - d], 0)
+        end[:, t] = _lse(begin[:, t - d] - cum[:, t - d] + duration[:, d - 1].T, 1) + cum[:, t]
         if t < n:
-            begin[t] = _lse(end[t][:, None] + way, 0)
-    rest, after = np.full((n + 1, s), -np.inf), np.full((n + 1, s), -np.inf)  # of what follows an end, a beginning
-    rest[n] = 0
+            begin[:, t] = _lse(end[:, t, :, None] + way, 1)
+    rest, after = np.full((b, n + 1, s), -np.inf), np.full((b, n + 1, s), -np.inf)  # of what follows an end, a beginning
+    rest[:, n] = 0
     for t in range(n - 1, -1, -1):
         d = np.arange(1, min(most, n - t) + 1)
-        after[t] = _lse(rest[t + d] + duration[:, d - 1].T + cum[t + d] - cum[t], 0)
-        rest[t] = _lse(way + after[t][None], 1)
-    total = _lse(end[n], 0)
-    mass = np.zeros((n + 1, s))
+        after[:, t] = _lse(rest[:, t + d] + cum[:, t + d] + duration[:, d - 1].T, 1) - cum[:, t]
+        rest[:, t] = _lse(way + after[:, t, None, :], 2)
+    total = _lse(end[:, n], 1)
+    mass = np.zeros((b, n + 1, s))
     for t in range(n):
         d = np.arange(1, min(most, n - t) + 1)
-        p = np.exp(begin[t] + duration[:, d - 1].T + cum[t + d] - cum[t] + rest[t + d] - total)
-        mass[t] += p.sum(0)
-        np.subtract.at(mass, t + d, p)
-    return np.cumsum(mass, 0)[:n]
+        p = np.exp((begin[:, t] - cum[:, t])[:, None] + duration[:, d - 1].T + cum[:, t + d] + rest[:, t + d] - total[:, None, None])
+        mass[:, t] += p.sum(1)
+        mass[:, t + d] -= p
+    return np.cumsum(mass, 1)[:, :n]
+
 
+#: Numbers that a batch of days holds in one of the recursion's arrays.
+CELLS = 1 << 21
 
-def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t") -> DataFrame:
-    """Segments of each group's observations (t, speed_kmh, hr, cadence, and for each place a column d_<place> of metres): start_ts, end_ts, mode, place.
 
-    One group is a day of 1440 steps or fewer."""
+def over_days(rows: DataFrame, keys: list[str], step: str, out: str, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
+    """Rows (keys, step, emission: an array of nats a state) by days of equal length, many at a time: `work` gets the rows of some days, the rows
+    where they begin, and their emissions as [days, steps, states]. Days are dealt over all cores and their rows sorted by step."""
+    sorted_ = groups.dealt(rows, keys).sortWithinPartitions(*keys, step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups.whole(batches, keys):
+            flat = table.column("emission").combine_chunks()
+            n_states = len(flat[0])
+            nats = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, n_states)
+            lengths = np.diff(bounds)
+            for n in np.unique(lengths).tolist():
+                of = bounds[:-1][lengths == n]
+                some = max(1, CELLS // (n_states * n * max(1, min(n, MOST_MINUTES) // 8)))
+                for i in range(0, len(of), some):
+                    begins = of[i : i + some]
+                    at = begins[:, None] + np.arange(n)
+                    yield from work(table, begins, nats[at.ravel()].reshape(len(begins), n, n_states)).to_batches()
+
+    return sorted_.mapInArrow(run, out)
+
+
+def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60) -> DataFrame:
+    """Segments of each group's observations: start_ts, end_ts, mode, place.
+
+    observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
+    before and after ask for to be there) and entry_<place> (nats of entering it, which the day's first step is weighed by). A null
+    says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
     space = states(list(places), [])
-    way, long, first = transitions(space), durations(space), np.full(len(space), -math.log(len(space)))
-    cost = {m: mode_emission(m, F.col("speed_kmh"), F.col("hr"), F.col("cadence")) for m in MODES}
+    way, long = transitions(space), durations(space, step_s=step_s)
+    has = set(observed.columns)
     told = []
     for s in space:
-        e = cost[s.mode]
+        e = mode_emission(s.mode, F.col("speed_kmh"), F.col("hr"), F.col("cadence"))
+        if "in_bed" in has:
+            e = e + bed_emission(s.mode, F.col("in_bed"))
         if s.place is not None:
             e = e + F.coalesce(place_emission(F.col(f"d_{s.place}")), F.lit(0.0))
+            if f"implied_kmh_{s.place}" in has:
+                e = e + F.coalesce(feasibility(F.col(f"implied_kmh_{s.place}")), F.lit(0.0))
+            if f"entry_{s.place}" in has:
+                first = F.row_number().over(Window.partitionBy(*keys).orderBy(step)) == 1
+                e = e + F.when(first, F.coalesce(F.col(f"entry_{s.place}"), F.lit(0.0))).otherwise(0.0)
         elif s.mode == "stationary":
             e = e - 2.0
         told.append(e)
-    rows = observed.select(*keys, step, F.array(*told).alias("emission"))
-    modes = [(s.mode, s.place) for s in space]
+    rows = observed.select(*keys, F.col(step).cast("long").alias(step), F.array(*told).alias("emission"))
+    begin = np.full(len(space), -math.log(len(space)))
+    modes, spots = np.asarray([s.mode for s in space]), [s.place for s in space]
+    kinds = {f.name: f.dataType.simpleString() for f in observed.schema}
+
+    def work(table: pa.Table, begins: np.ndarray, emission: np.ndarray) -> pa.Table:
+        path = semi_viterbi(emission, way, long, begin)
+        new = np.ones(path.shape, bool)
+        new[:, 1:] = path[:, 1:] != path[:, :-1]
+        last = np.ones(path.shape, bool)
+        last[:, :-1] = new[:, 1:]
+        day, i = np.nonzero(new)
+        _, j = np.nonzero(last)
+        t = table.column(step).to_numpy()
+        told = [table.column(k).take(pa.array(begins[day])) for k in keys]
+        at = path[day, i]
+        return pa.table(
+            [*told, pa.array(t[begins[day] + i]), pa.array(t[begins[day] + j] + step_s), pa.array(modes[at].tolist(), pa.string()), pa.array([spots[k] for k in at.tolist()], pa.int64())],
+            names=[*keys, "start_ts", "end_ts", "mode", "place"],
+        )
+
+    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_ts long, end_ts long, mode string, place long", work)
+
+
+def likeliest(observed: DataFrame, keys: list[str], step: str = "t", step_s: int = 60) -> DataFrame:
+    """keys, t, mode, p: at each step the mode that is likeliest over all segmentations, and its probability."""
+    space = [State(m) for m in MODES]
+    way, long, begin = transitions(space), durations(space, step_s=step_s), np.full(len(space), -math.log(len(space)))
+    rows = observed.select(*keys, F.col(step).cast("long").alias(step), F.array(*[mode_emission(m, F.col("speed_kmh"), F.col("hr"), F.col("cadence")) for m in MODES]).alias("emission"))
     kinds = {f.name: f.dataType.simpleString() for f in observed.schema}
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(step)
-        t = g[step].to_numpy()
-        path = semi_viterbi(np.stack(g.emission.to_numpy()), way, long, first)
-        cut = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-        ends = np.append(cut[1:], len(path))
-        width = int(np.median(np.diff(t))) if len(t) > 1 else 60
-        out = pd.DataFrame({"start_ts": t[cut], "end_ts": t[ends - 1] + width, "mode": [modes[k][0] for k in path[cut]], "place": pd.array([modes[k][1] for k in path[cut]], dtype="Int64")})
-        for i, k in enumerate(keys):
-            out.insert(i, k, g[k].iloc[0])
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_ts long, end_ts long, mode string, place long")
+    def work(table: pa.Table, begins: np.ndarray, emission: np.ndarray) -> pa.Table:
+        p = marginals(emission, way, long, begin)
+        at = pa.array((begins[:, None] + np.arange(p.shape[1])).ravel())
+        told = [table.column(k).take(at) for k in [*keys, step]]
+        modes = np.asarray(MODES)[p.argmax(2).ravel()].tolist()
+        return pa.table([*told, pa.array(modes, pa.string()), pa.array(p.max(2).ravel())], names=[*keys, step, "mode", "p"])
+
+    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {step} long, mode string, p double", work)

@@ -45,12 +45,12 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], size: int = 21_600) -
 def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, values: list[str], tie: str | None = None, ahead: bool = False, within_s: int | None = None, prefix: str = "asof_") -> DataFrame:
     """`left` with the last row of `right` at or before its time (the first at or after, if `ahead`), as <prefix><value> and <prefix>t.
 
-    One sort of both sides together; ties of `right` go by `tie`. Beyond `within_s` the values are null."""
+    One sort of both sides together; ties of `right` go by `tie`, in its own type's order. Beyond `within_s` the values are null."""
     pick = F.struct(F.col(t).alias("t"), *[F.col(v) for v in values])
-    tie_col = F.col(tie).cast("string") if tie else F.lit("")
+    tie_col = F.col(tie) if tie else F.lit("")
     r = right.select(*on, F.col(t).alias("__t"), F.lit(-1 if not ahead else 1).alias("__side"), tie_col.alias("__tie"), pick.alias("__pick"))
     names = left.columns
-    l_ = left.select(*on, F.col(t).alias("__t"), F.lit(0).alias("__side"), F.lit("").alias("__tie"), F.struct(*names).alias("__row"))
+    l_ = left.select(*on, F.col(t).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__tie"), F.struct(*names).alias("__row"))
     both = r.unionByName(l_, allowMissingColumns=True)
     w = Window.partitionBy(*on).orderBy("__t", "__side", "__tie")
     w = w.rowsBetween(0, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, 0)

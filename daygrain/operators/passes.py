@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from daygrain.operators import groups
 from daygrain.operators.track import core_displacement, haversine, incoherent_stay
 
 Segment = dict
@@ -643,4 +644,4 @@ def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[
         out["kinds"] = [k if isinstance(k, list) else [] for k in out["kinds"]]
         return out[names]
 
-    return segments.groupBy(*keys).cogroup(both.groupBy(*keys)).applyInPandas(work, schema)
+    return groups.dealt(segments, keys).groupBy(*keys).cogroup(groups.dealt(both, keys).groupBy(*keys)).applyInPandas(work, schema)

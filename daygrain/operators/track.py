@@ -6,12 +6,16 @@ user's history, not all of a table's rows.
 
 from __future__ import annotations
 
+import math
+from bisect import insort
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from daygrain.operators import groups
+
 R_M = 6_371_000.0
 M_PER_DEGREE = 111_320.0
 
@@ -35,6 +39,11 @@ def flat(lat1, lon1, lat2, lon2):
     return np.hypot(dx, (lat2 - lat1) * M_PER_DEGREE)
 
 
+def _flat(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """flat() of two points."""
+    return math.hypot((lon2 - lon1) * M_PER_DEGREE * math.cos(math.radians((lat1 + lat2) / 2)), (lat2 - lat1) * M_PER_DEGREE)
+
+
 def bearing(lat1, lon1, lat2, lon2):
     p1, p2, d = np.radians(lat1), np.radians(lat2), np.radians(lon2 - lon1)
     return np.degrees(np.arctan2(np.sin(d) * np.cos(p2), np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(d))) % 360
@@ -45,10 +54,10 @@ def quality(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) ->
     index = np.flatnonzero(~(acc > WORST_ACCURACY_M))
     if len(index) <= 2:
         return index
-    t, lat, lon, acc = t[index], lat[index], lon[index], acc[index]
+    t, lat, lon, acc = (x[index].tolist() for x in (t, lat, lon, acc))
 
     def kmh(i: int, j: int) -> float:
-        d = flat(lat[i], lon[i], lat[j], lon[j])
+        d = _flat(lat[i], lon[i], lat[j], lon[j])
         return float("inf") if t[j] <= t[i] and d > 0 else 0.0 if t[j] <= t[i] else d / (t[j] - t[i]) * 3.6
 
     def garbage(anchor: int, i: int) -> bool:
@@ -70,7 +79,7 @@ def quality(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) ->
                 bridge = j
                 break
         teleport = kmh(anchor, i) > TELEPORT_KMH
-        if bridge >= 0 and (teleport or flat(lat[anchor], lon[anchor], lat[bridge], lon[bridge]) > BRIDGE_FAR_M):
+        if bridge >= 0 and (teleport or _flat(lat[anchor], lon[anchor], lat[bridge], lon[bridge]) > BRIDGE_FAR_M):
             kept.append(bridge)
             i = bridge + 1
         else:
@@ -84,72 +93,70 @@ def kalman(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) ->
 
     Fixes with no time since the last are skipped. A gap, a jump or three refused fixes in a row begin anew; a fix far outside what was
     expected is refused and gives no row."""
+    names = ["t", "lat", "lon", "speed_kmh", "bearing"]
     out: list[tuple] = []
     if not len(t):
-        return pd.DataFrame(out, columns=["t", "lat", "lon", "speed_kmh", "bearing"])
-    acc = np.where(np.isnan(acc), ACCURACY_M, np.maximum(acc, 1.0))
-    z = np.stack([lat, lon], 1)
-    state = cov = None
-    last = seen = None  # the last accepted fix, and the last one accepted elsewhere
-    bound = refused = 0
-    k_deg = np.array([M_PER_DEGREE, M_PER_DEGREE * max(0.01, np.cos(np.radians(lat[0])))])
+        return pd.DataFrame(out, columns=names)
+    times, z = t.tolist(), list(zip(lat.tolist(), lon.tolist(), strict=True))
+    metres = np.where(np.isnan(acc), ACCURACY_M, np.maximum(acc, 1.0)).tolist()
+    k_deg = (M_PER_DEGREE, M_PER_DEGREE * max(0.01, math.cos(math.radians(z[0][0]))))
+    axes = (0, 1)
+    where, pace = [0.0, 0.0], [0.0, 0.0]  # by axis: the state, and the covariance's three numbers
+    c00, c01, c11 = [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]
+    last, bound, refused = -1, 0.0, 0
 
     def begin(i: int, wide: float) -> None:
-        nonlocal state, cov
-        v = np.zeros(2)
-        if i + 1 < len(t) and 0 < t[i + 1] - t[i] < 600 and wide > 1:
-            v = (z[i + 1] - z[i]) / (t[i + 1] - t[i])
-        r = (acc[i] / k_deg) ** 2
-        state = np.stack([z[i], v])
-        cov = np.array([[[r[a], 0.0], [0.0, (1.0 / k_deg[a]) ** 2 * wide]] for a in (0, 1)])
-
-    for i in range(len(t)):
-        if state is None:
+        ahead = wide > 1 and i + 1 < len(times) and 0 < times[i + 1] - times[i] < 600
+        for a in axes:
+            where[a] = z[i][a]
+            pace[a] = (z[i + 1][a] - z[i][a]) / (times[i + 1] - times[i]) if ahead else 0.0
+            c00[a], c01[a], c11[a] = (metres[i] / k_deg[a]) ** 2, 0.0, (1.0 / k_deg[a]) ** 2 * wide
+
+    for i, now in enumerate(times):
+        if last < 0:
             begin(i, 1.0)
-            out.append((t[i], lat[i], lon[i], 0.0, 0))
-            last = seen = i
+            out.append((now, *z[i], 0.0, 0))
+            last = i
             continue
-        dt = t[i] - t[last]
+        dt = now - times[last]
         if dt <= 0:
             continue
-        d = float(flat(lat[last], lon[last], lat[i], lon[i]))
+        d = _flat(*z[last], *z[i])
         kmh = d / dt * 3.6
-        fresh = dt > RESET_S or (dt > 300 and kmh > JUMP_KMH) or (dt >= 600 and d >= 500) or refused >= 3
-        if not fresh:
-            speed = float(np.hypot(*(state[1] * k_deg))) * 3.6
+        if dt > RESET_S or (dt > 300 and kmh > JUMP_KMH) or (dt >= 600 and d >= 500) or refused >= 3:
+            begin(i, 100.0)
+        else:
+            speed = math.hypot(pace[0] * k_deg[0], pace[1] * k_deg[1]) * 3.6
             noise = 0.1 if speed > 80 else 0.5 if speed > 30 else 1.0 if speed > 7 else 2.0
-            innovation, s = np.zeros(2), np.zeros(2)
-            pred, pcov = state.copy(), cov.copy()
-            for a in (0, 1):
+            told, far = [], 0.0
+            for a in axes:
                 q = (noise / k_deg[a]) ** 2
-                pred[0, a] = state[0, a] + state[1, a] * dt
-                f = np.array([[1.0, dt], [0.0, 1.0]])
-                pcov[a] = f @ cov[a] @ f.T + q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-                innovation[a] = z[i, a] - pred[0, a]
-                s[a] = pcov[a][0, 0] + (acc[i] / k_deg[a]) ** 2
-            if float((innovation**2 / s).sum()) > GATE:
+                p01 = c01[a] + dt * c11[a] + q * dt**2 / 2
+                p00 = c00[a] + 2 * dt * c01[a] + dt * dt * c11[a] + q * dt**3 / 3
+                off = z[i][a] - (where[a] + pace[a] * dt)
+                s = p00 + (metres[i] / k_deg[a]) ** 2
+                far += off * off / s
+                told.append((off, p00, p01, c11[a] + q * dt, p00 / s, p01 / s))
+            if far > GATE:
                 refused += 1
                 continue
-            for a in (0, 1):
-                gain = pcov[a][:, 0] / s[a]
-                state[:, a] = pred[:, a] + gain * innovation[a]
-                cov[a] = pcov[a] - np.outer(gain, pcov[a][0])
-        else:
-            begin(i, 100.0)
+            for a, (off, p00, p01, p11, g0, g1) in zip(axes, told, strict=True):
+                where[a] += pace[a] * dt + g0 * off
+                pace[a] += g1 * off
+                c00[a], c01[a], c11[a] = p00 - g0 * p00, p01 - g0 * p01, p11 - g1 * p01
         refused = 0
-        if not np.array_equal(z[i], z[last]):
+        if z[i] != z[last]:
             bound = max(2 * kmh, 5.0)
-            seen = i
-        v = state[1] * k_deg * 3.6
-        speed = float(np.hypot(*v))
+        vy, vx = pace[0] * k_deg[0] * 3.6, pace[1] * k_deg[1] * 3.6
+        speed = math.hypot(vy, vx)
         if speed > max(bound, 5.0):
-            state[1] *= max(bound, 5.0) / speed
+            for a in axes:
+                pace[a] *= max(bound, 5.0) / speed
             speed = max(bound, 5.0)
-        head = int(round(float(np.degrees(np.arctan2(v[1], v[0])) % 360))) % 360 if speed > 0 else 0
-        out.append((t[i], state[0, 0], state[0, 1], round(speed, 1), head))
+        head = round(math.degrees(math.atan2(vx, vy)) % 360) % 360 if speed > 0 else 0
+        out.append((now, *where, round(speed, 1), head))
         last = i
-    del seen
-    return pd.DataFrame(out, columns=["t", "lat", "lon", "speed_kmh", "bearing"])
+    return pd.DataFrame(out, columns=names)
 
 
 def windows(t: np.ndarray, span_s: int = WINDOW_S) -> np.ndarray:
@@ -163,14 +170,20 @@ def windows(t: np.ndarray, span_s: int = WINDOW_S) -> np.ndarray:
 
 
 def mine_stays(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, radius_m: float = STAY_M, least_s: int = STAY_S) -> list[tuple[int, int]]:
-    """Ranges [i, j) of fixes that keep within `radius_m` of their upper median, for `least_s` or longer; extended greedily."""
-    out, i = [], 0
+    """Ranges [i, j) of fixes that keep within `radius_m` of their upper median, for `least_s` or longer; extended greedily.
+
+    The fixes so far stay sorted, and only where their box doesn't tell are all distances taken."""
+    out, i, ys, xs = [], 0, lat.tolist(), lon.tolist()
     while i < len(t):
-        j = i + 1
+        j, sorted_y, sorted_x = i + 1, [ys[i]], [xs[i]]
         while j < len(t):
-            m = slice(i, j + 1)
-            y, x = (np.sort(c[m])[(j + 1 - i) // 2] for c in (lat, lon))
-            if haversine(y, x, lat[m], lon[m]).max() > radius_m:
+            insort(sorted_y, ys[j])
+            insort(sorted_x, xs[j])
+            y, x = sorted_y[(j + 1 - i) // 2], sorted_x[(j + 1 - i) // 2]
+            north, east = max(sorted_y[-1] - y, y - sorted_y[0]), max(sorted_x[-1] - x, x - sorted_x[0])
+            if north * M_PER_DEGREE > 1.01 * radius_m:
+                break
+            if math.hypot(north, east * math.cos(math.radians(min(abs(sorted_y[0]), abs(sorted_y[-1]))))) * M_PER_DEGREE > 0.98 * radius_m and haversine(y, x, lat[i : j + 1], lon[i : j + 1]).max() > radius_m:
                 break
             j += 1
         if j - i >= 2 and t[j - 1] - t[i] >= least_s:
@@ -208,18 +221,23 @@ def cluster(lat: np.ndarray, lon: np.ndarray, dwell: np.ndarray, radius_m: float
             w = max(float(dwell[i]), 1.0)
             ys[k], xs[k], ws[k] = (ys[k] * ws[k] + lat[i] * w) / (ws[k] + w), (xs[k] * ws[k] + lon[i] * w) / (ws[k] + w), ws[k] + w
         of[i] = k
-    while len(ys) > 1:
-        d = haversine(np.asarray(ys)[:, None], np.asarray(xs)[:, None], np.asarray(ys)[None], np.asarray(xs)[None])
-        d[np.tril_indices(len(ys))] = np.inf
+    y, x, w = (np.asarray(v, float) for v in (ys, xs, ws))
+    d = haversine(y[:, None], x[:, None], y[None], x[None]) if len(y) else np.zeros((0, 0))
+    d[np.tril_indices(len(y))] = np.inf
+    into = np.arange(len(y))
+    while len(y) > 1:
         a, b = np.unravel_index(d.argmin(), d.shape)
         if d[a, b] > radius_m:
             break
-        w = ws[a] + ws[b]
-        ys[a], xs[a], ws[a] = (ys[a] * ws[a] + ys[b] * ws[b]) / w, (xs[a] * ws[a] + xs[b] * ws[b]) / w, w
-        del ys[b], xs[b], ws[b]
-        of[of == b] = a
-        of[of > b] -= 1
-    return of
+        both = w[a] + w[b]
+        y[a], x[a], w[a] = (y[a] * w[a] + y[b] * w[b]) / both, (x[a] * w[a] + x[b] * w[b]) / both, both
+        d[b], d[:, b] = np.inf, np.inf  # it is part of the other now
+        into[into == b] = a
+        new = haversine(y, x, y[a], x[a])
+        left = np.isin(np.arange(len(y)), into)
+        d[a, a + 1 :] = np.where(left[a + 1 :], new[a + 1 :], np.inf)
+        d[:a, a] = np.where(left[:a], new[:a], np.inf)
+    return np.unique(into, return_inverse=True)[1][of] if len(y) else of
 
 
 def circle_kmeans(hours: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -248,7 +266,9 @@ def split_cluster(hours: np.ndarray, day: np.ndarray, lat: np.ndarray, lon: np.n
     of = circle_kmeans(hours)
     if of.min() == of.max() or any(len(np.unique(day[of == k])) < 2 for k in (0, 1)):
         return none
-    gap = min(min(abs(a - b), 24 - abs(a - b)) for a in hours[of == 0] for b in hours[of == 1])
+    order = np.argsort(hours, kind="stable")
+    h, side = np.append(hours[order], hours[order[0]] + 24), np.append(of[order], of[order[0]])
+    gap = np.diff(h)[side[1:] != side[:-1]].min()  # the nearest two of both sides are neighbours on the circle
     centre = [(lat[of == k].mean(), lon[of == k].mean()) for k in (0, 1)]
     return of if gap >= 1.5 and haversine(*centre[0], *centre[1]) >= 30 else none
 
@@ -289,7 +309,20 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[p
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    return groups.dealt(df, keys).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+
+
+def smoothed(fixes: DataFrame, keys: list[str], tie: str = "event_id", span_s: int = WINDOW_S) -> DataFrame:
+    """The quality filter, the Kalman filter and the windows in one kernel, so that fixes (t, lat, lon, accuracy) are shuffled once: t, lat, lon,
+    speed_kmh, bearing, win."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        t, lat, lon, acc = g.t.to_numpy(np.int64), g.lat.to_numpy(float), g.lon.to_numpy(float), g.accuracy.to_numpy(float)
+        keep = quality(t, lat, lon, acc)
+        out = kalman(t[keep], lat[keep], lon[keep], acc[keep])
+        return out.assign(win=windows(out.t.to_numpy(), span_s))
+
+    return by_group(fixes, keys, ["t", tie], work, "t long, lat double, lon double, speed_kmh double, bearing int, win long")
 
 
 def filter_quality(fixes: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:

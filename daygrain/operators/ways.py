@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrain.functions import geo
+from daygrain.operators import groups
 from daygrain.operators.joins import within_radius
 from daygrain.operators.track import M_PER_DEGREE, flat, haversine
 
@@ -292,14 +293,17 @@ PATH = "array<struct<lat:double,lon:double,t:double>>"
 def match_legs(fixes: DataFrame, keys: list[str], legs: np.ndarray, way: list, profile: Profile = ROAD) -> DataFrame:
     """Per leg (keys; fixes t, lat, lon) its matched path, null where there is none. legs: the region's network, which the caller bounds."""
     kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
+    built: list[Graph] = []  # by the first group of a task, for all of them
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
+        if not built:
+            built.append(Graph(legs, way))
         g = g.sort_values("t")
-        p = match(Graph(legs, way), g.t.to_numpy(float), g.lat.to_numpy(float), g.lon.to_numpy(float), profile)
+        p = match(built[0], g.t.to_numpy(float), g.lat.to_numpy(float), g.lon.to_numpy(float), profile)
         row = {k: [g[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "path": [None if p is None else [{"lat": a, "lon": b, "t": c} for a, b, c in p]]})
 
-    return fixes.groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", path {PATH}")
+    return groups.dealt(fixes, keys).groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", path {PATH}")
 
 
 def stations_on_line(stations: DataFrame, edges: DataFrame, near_m: float = 300.0) -> DataFrame:

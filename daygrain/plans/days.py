@@ -26,12 +26,12 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kalman_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.filter_kalman(track.filter_quality(_track(spark, sf_dir), KEYS), KEYS)
+    return track.smoothed(_track(spark, sf_dir), KEYS).drop("win")
 
 
 def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality filter, place snap, Kalman filter, windows, mode scores, runs."""
-    k = track.number_windows(kalman_filter(spark, sf_dir), KEYS, span_s=WINDOW_S)
+    """Place snap, quality filter, Kalman filter, windows, mode scores, runs."""
+    k = track.smoothed(_track(spark, sf_dir), KEYS, span_s=WINDOW_S)
     w = segments.score_windows(segments.window_features(k, KEYS, "t"))
     return segments.merge_windows(w, KEYS)
 
@@ -76,30 +76,20 @@ def greedy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.match_identity(pairs.select("user_id", F.col("old_id"), F.col("new_id"), "distance_m"), KEYS)
 
 
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations of each user's days, by hours."""
+    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
+    return hsmm.observations(f, ["user_id", "day_start"], 3600).select("user_id", "day_start", "t", "speed_kmh", "hr", "cadence")
+
+
 def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The semi-Markov decoding of each user's days, by hours."""
-    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
-    o = hsmm.observations(f, ["user_id", "day_start"], 3600)
-    return hsmm.decode(o.select("user_id", "day_start", "t", "speed_kmh", "hr", "cadence"), ["user_id", "day_start"])
+    return hsmm.decode(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
 
 
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How probable each mode is at each hour of each user's days."""
-    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
-    o = hsmm.observations(f, ["user_id", "day_start"], 3600)
-    space = [hsmm.State(m) for m in hsmm.MODES]
-    way, long, first = hsmm.transitions(space), hsmm.durations(space, 24), np.full(len(space), -np.log(len(space)))
-    rows = o.select("user_id", "day_start", "t", F.array(*[hsmm.mode_emission(m, F.col("speed_kmh"), F.col("hr"), F.col("cadence")) for m in hsmm.MODES]).alias("e"))
-
-    def run(g):
-        g = g.sort_values("t")
-        p = hsmm.marginals(np.stack(g.e.to_numpy()), way, long, first)
-        out = g[["user_id", "day_start", "t"]].reset_index(drop=True)
-        out["mode"] = [hsmm.MODES[k] for k in p.argmax(1)]
-        out["p"] = p.max(1)
-        return out
-
-    return rows.groupBy("user_id", "day_start").applyInPandas(run, "user_id long, day_start long, t long, mode string, p double")
+    return hsmm.likeliest(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
 
 
 def road_match(spark: SparkSession, sf_dir: str) -> DataFrame:

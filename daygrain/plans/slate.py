@@ -322,14 +322,14 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FX}, o AS (SELECT o_custkey % 150 AS user_id, (floor(epoch(o_orderdate))::BIGINT % 2592000) + 1704067200 AS t, o_orderkey FROM orders), u AS (SELECT user_id, t, arg_min(o_orderkey, o_orderkey) AS lo, max(o_orderkey) AS hi FROM o GROUP BY 1, 2)
 SELECT f.event_id, a.t AS asof_t, a.hi AS asof_o_orderkey FROM fx f ASOF LEFT JOIN u a ON f.user_id = a.user_id AND f.t >= a.t""")
 def asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fix with the last order at or before it; of orders of one instant the one with the largest key (as text, padded)."""
-    return joins.as_of(fixes(spark, sf_dir).select("event_id", "user_id", "t"), _orders(spark, sf_dir), ["user_id"], "t", ["o_orderkey"], "tie").select("event_id", "asof_t", "asof_o_orderkey")
+    """Each fix with the last order at or before it; of orders of one instant the one with the largest key."""
+    return joins.as_of(fixes(spark, sf_dir).select("event_id", "user_id", "t"), _orders(spark, sf_dir), ["user_id"], "t", ["o_orderkey"], "o_orderkey").select("event_id", "asof_t", "asof_o_orderkey")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     t = F.pmod(times.epoch(F.col("o_orderdate")), F.lit(2_592_000)) + 1_704_067_200
-    return o.select((F.col("o_custkey") % 150).alias("user_id"), t.alias("t"), "o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("tie"))
+    return o.select((F.col("o_custkey") % 150).alias("user_id"), t.alias("t"), "o_orderkey")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), o AS (SELECT o_custkey % 150 AS user_id, (floor(epoch(o_orderdate))::BIGINT % 2592000) + 1704067200 AS t FROM orders), u AS (SELECT DISTINCT user_id, t FROM o),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from daygrain.operators import groups
 from daygrain.operators.track import haversine
 
 SPAN_S, HOLD_S = 600, 600
@@ -77,23 +78,45 @@ def _run(device: str, rows: pd.DataFrame, state: tuple) -> tuple[tuple, pd.DataF
 
 def motion_batch(messages: DataFrame) -> DataFrame:
     """The profile after each message of each device (device, t, seq, lat, lon, vel, trigger, long_stay), over a whole table."""
-    return messages.groupBy("device").applyInPandas(lambda g: _run(g.device.iloc[0], g, START)[1], OUT)
+    return groups.dealt(messages, ["device"]).groupBy("device").applyInPandas(lambda g: _run(g.device.iloc[0], g, START)[1], OUT)
 
 
-def motion_stream(messages: DataFrame) -> DataFrame:
-    """The same over a stream, in order of arrival between micro-batches and of time within one. A device's state is ten minutes of fixes and three values."""
+def seeded(messages: DataFrame, history: DataFrame) -> DataFrame:
+    """Messages with what a device did before the stream began: seed_t, seed_lat, seed_lon, its stored fixes of the last ten minutes it was seen.
+
+    history: device, t, lat, lon, a table. A device without any has nulls."""
+    last = history.groupBy("device").agg(F.max("t").alias("__last"))
+    recent = history.join(last, "device").where(F.col("t") >= F.col("__last") - SPAN_S)
+    fixes = F.sort_array(F.collect_list(F.struct("t", "lat", "lon"))).alias("f")  # ten minutes of one device
+    s = recent.groupBy("device").agg(fixes).select("device", F.col("f.t").alias("seed_t"), F.col("f.lat").alias("seed_lat"), F.col("f.lon").alias("seed_lon"))
+    return messages.join(s, "device", "left")
+
+
+def motion_stream(messages: DataFrame, idle: str | None = "1 day") -> DataFrame:
+    """The same over a stream, in order of arrival between micro-batches and of time within one. A device's state is ten minutes of fixes and three
+    values; it goes when no message came for `idle` (None: it stays, and a bounded run can end), and begins with the fixes of seeded(), where
+    the messages have them."""
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    begins = "seed_t" in messages.columns
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
         old = START
         if state.exists:
             ts, lat, lon, profile, hold = state.get
             old = list(ts), list(lat), list(lon), profile, hold
-        rows = pd.concat(list(frames))
+        elif begins and rows.seed_t.iloc[0] is not None:
+            old = *([*rows[c].iloc[0]] for c in ("seed_t", "seed_lat", "seed_lon")), *START[3:]
         new, out = _run(key[0], rows, old)
         state.update((new[0], new[1], new[2], new[3], new[4]))
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
         yield out
 
-    return messages.groupBy("device").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("device").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
 
 
 def with_long_stay(messages: DataFrame, places: DataFrame) -> DataFrame:

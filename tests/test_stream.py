@@ -14,7 +14,7 @@ from daygrain.streaming import motion
 def test_motion_stream_is_its_batch(spark, sf, tmp_path):
     m = _messages(fixes(spark, sf))
     m.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = motion.motion_stream(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("motion").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = motion.motion_stream(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")), idle=None).writeStream.format("memory").queryName("motion").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     key = ["device", "t", "profile", "speed_kmh"]
     got, want = spark.table("motion").select(*key), motion.motion_batch(m).select(*key)
@@ -27,7 +27,33 @@ def test_watermarked_counts(spark, sf, tmp_path):
     s = motion.insert_ignore(motion.event_time(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))), ["user_id", "ts"])
     q = motion.tumbling(s, ["event_type"], "value").writeStream.format("memory").queryName("tumbling").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(90)
-    assert 0 < spark.table("tumbling").agg(F.sum("n")).first()[0] <= e.count()
+    once = e.withColumn("ts", F.col("ts").cast("timestamp")).dropDuplicates(["user_id", "ts"])
+    closed = motion.tumbling(once, ["event_type"], "value").where(F.col("end") <= F.lit(once.agg(F.max("ts")).first()[0]) - F.expr("interval 10 minutes"))
+    key = ["event_type", "start", "end", "n"]
+    got, want = (sorted(map(tuple, x.select(*key).collect())) for x in (spark.table("tumbling"), closed))
+    assert len(want) > 100 and got == want
+
+
+def test_stream_begins_where_the_store_ends(spark, sf, tmp_path):
+    """A stream of the later messages, begun with stored fixes, tells what a stream of all would, but for profiles, which aren't stored."""
+    m = _messages(fixes(spark, sf)).where("device in ('3', '7', '11')")
+    mid = m.agg(F.expr("percentile_disc(0.5) within group (order by t)")).first()[0]
+    later, seed = m.where(F.col("t") > mid), m.where(F.col("t") <= mid).select("device", "t", "lat", "lon")
+    later.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = motion.seeded(spark.readStream.schema(later.schema).parquet(str(tmp_path / "in")), seed)
+    q = motion.motion_stream(stream, idle=None).writeStream.format("memory").queryName("seeded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    key = ["device", "t", "speed_kmh"]
+    got = spark.table("seeded").select(*key)
+    want = motion.motion_batch(m).where(F.col("t") > mid).select(*key)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_as_of_ties_keep_their_type(spark):
+    at = spark.createDataFrame([(1, 10)], "u long, t long")
+    r = spark.createDataFrame([(1, 10, 9), (1, 10, 10), (1, 3, 99)], "u long, t long, id long")
+    assert joins.as_of(at, r, ["u"], "t", ["id"], "id").first()["asof_id"] == 10
+    assert joins.as_of(at, r, ["u"], "t", ["id"], "id", ahead=True).first()["asof_id"] == 9
 
 
 def test_sinks(spark, tmp_path):
