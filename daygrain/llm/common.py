@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,6 +23,9 @@ T = TypeVar("T")
 #: Bytes of text that a Python step turns into arrays at a time.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of a row group that a task collects while it writes a table of texts.
+ROW_GROUP_BYTES = 16 << 20
+
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
@@ -47,7 +51,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_daygrain_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="daygrain-")) / "daygrain_pkg.zip"
+    at = Path(tempfile.mkdtemp(prefix="daygrain-")) / "daygrain_pkg.zip"  # the driver's own; Spark hands it on
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
@@ -55,6 +60,24 @@ def ship(spark: SparkSession) -> None:
     sc._daygrain_shipped = True
 
 
+def give_back() -> None:
+    """Gives memory that a worker no longer uses back to the system, for the next task may be another worker's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow(work, schema), after which each task gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
 _held: dict[str, object] = {}
 
 
@@ -63,7 +86,7 @@ def held(name: str, make: Callable[[], T]) -> T:
     so that a session which runs one after the other needs no more memory than the largest."""
     if name not in _held:
         _held.clear()
-        gc.collect()
+        give_back()
         _held[name] = make()
     return _held[name]
 
@@ -78,15 +101,16 @@ def _remove_all() -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset.
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode, an error on a cluster.
 
     The paths are removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="daygrain-shared-")
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/daygrain/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -99,15 +123,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Removes the files of a table made by staged() that nothing will read any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(os.path.dirname(f))
+def drop_staged(*tables: DataFrame) -> None:
+    """Removes the files of tables made by staged() that nothing will read any more."""
+    for df in tables:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -119,6 +144,16 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
             yield batch.slice(i, step)
 
 
+def strings(texts: pa.Array) -> pa.Array:
+    """UTF-8 bytes as strings. Bytes that aren't UTF-8 become U+FFFD, so that a damaged text is read like any other."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode(errors="replace") for x in texts.to_pylist()], pa.string())
+
+
 def int_bits(value: int) -> int:
     """An unsigned 64-bit number as Spark's signed long."""
     return value - (1 << 64) if value >> 63 else value

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import ship, slices, staged
+from daygrain.llm.common import give_back, mapped, ship, slices, staged, strings
 from daygrain.llm.graph import components, cross, forest, per_unit
 
 #: Shingles that are permuted at a time.
 CHUNK = 4096
 #: Distinct texts of a band's bucket that are compared with each other in one block.
 BLOCK = 256
+#: Bytes of text that a range of ids holds about.
+RANGE_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,7 @@ def fingerprints(text: Column, settings: Settings = Settings()) -> Column:
         for chunk in chunks:
             parts = slices(pa.record_batch([chunk], ["text"]))
             yield pa.array([hexed(signature(shingles(t, settings.words), settings)) for some in parts for t in some.column(0).to_pylist()], pa.string())
+        give_back()
 
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -121,7 +124,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = staged(texts.mapInArrow(local, f"doc_id {kind}, node long, bands array<long>, shingles binary"), "minhash")
+    rows = staged(texts.transform(mapped, local, f"doc_id {kind}, node long, bands array<long>, shingles binary"), "minhash")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     nodes = staged(nodes, "nodes")
     met = nodes.select("node", F.explode("bands").alias("band"))
@@ -153,7 +156,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         on = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_pydict({"a": pa.array(node[on]), "b": pa.array(node[root[on]])})
 
-    roots = components(dealt.mapInArrow(per_unit(["band", "i", "j"], verify), "a long, b long"))
+    roots = components(dealt.transform(mapped, per_unit(["band", "i", "j"], verify), "a long, b long"))
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "node").join(named.join(lowest, "root").select("node", "class_id"), "node").select("doc_id", "class_id")
@@ -162,9 +165,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows (doc_id, text) in ascending order of ids, nulls first, ties by the text's hash, then the text: partition `part` holds a range, and
     behind its own rows (halo 0) the first row of the next range (halo 1), after the last range the very first row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     spark = docs.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # as many as the texts need; ids alone would be put together
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))  # as many as the texts need; ids alone would be put together
     ranges = rows.select("doc_id", "tie").repartitionByRange(wanted, "doc_id", "tie").groupBy(F.spark_partition_id().alias("p"))
     firsts = [r["first"] for r in ranges.agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first")).collect()]  # one a range
     key = lambda doc_id, tie: (doc_id is not None, 0 if doc_id is None else doc_id, tie)
@@ -187,7 +191,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     replaced by the next one's beginning, and the next text.
 
     Null texts count as empty; the fingerprints of texts without words are equal. A single row is its own next. Rows with one id are ordered by
-    their text. An empty table gives an empty table."""
+    their text. Bytes that aren't UTF-8 count as U+FFFD. An empty table gives an empty table."""
     spark, s = docs.sparkSession, settings
     ship(spark)
 
@@ -197,7 +201,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
         for batch in batches:
             for some in slices(batch):
                 rows, of = [], []
-                for k, (p, halo, text) in enumerate(zip(some.column("part").to_pylist(), some.column("halo").to_pylist(), some.column("text").to_pylist(), strict=True)):
+                for k, (p, halo, text) in enumerate(zip(some.column("part").to_pylist(), some.column("halo").to_pylist(), strings(some.column("text")).to_pylist(), strict=True)):
                     if before is not None and before[3] and halo and part == p:
                         continue  # further rows equal to the one behind the range
                     sig = signature(shingles(text.encode(), s.words), s)
@@ -213,7 +217,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
                     yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in of], some.column("doc_id").type), *columns], ["doc_id", *TOLD])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_order(docs, id_col, text_col).mapInArrow(local, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs, id_col, text_col).transform(mapped, local, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 TOLD = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from daygrain.llm import tokens
-from daygrain.llm.common import ship, slices, staged, text_column
+from daygrain.llm.common import mapped, ship, slices, staged, text_column
 
 CAPACITY = 4096
 #: Up to this many pieces a bin every reciprocal is a class, beyond it steps of an eighth are.
@@ -64,13 +64,13 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, most_ke
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = tokens.encode_with(tokenizer, False, most_kept), TaskContext.get().partitionId()
+        encoder, part = tokens.encoder(tokens.public(tokenizer), False, most_kept), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         count = dict.fromkeys(classes(capacity), 0)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, tokens.BATCH_BYTES):
                 rows = []
-                for i, ids in enumerate(encode([t.decode() for t in some.column("text").to_pylist()])):
+                for i, ids in enumerate(encoder.encode_all(some.column("text"))):
                     ids += end
                     at, total = 0, len(ids) // 4
                     for n in cuts(total, capacity):
@@ -82,7 +82,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, most_ke
                 yield pa.record_batch([some.column("doc_id").take(of), *columns], ["doc_id", *NUMBERS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NUMBERS))
+    return mapped(docs, cut, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in NUMBERS))
 
 
 NUMBERS = ("start", "length", "ids_crc32", "doc_tokens", "k", "part", "nth")
@@ -101,11 +101,11 @@ def first_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, most_kept: int = 700_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, most_kept: int = tokens.MOST_KEPT) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (from 0, gapless), offset.
 
     A null or empty text is its end id alone. Rows with the same id, or a null id, are packed one by one. Columns besides the two
-    are not read. An empty table gives an empty table. most_kept: words whose ids a worker remembers, twice, at about 200 bytes each."""
+    are not read. An empty table gives an empty table. Bytes that aren't UTF-8 count as U+FFFD. most_kept: runs whose ids a worker remembers, at about 40 bytes each."""
     spark = docs.sparkSession
     ship(spark)
     pieces = staged(_pieces(docs.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text")), tokenizer, end_id, capacity, most_kept), "pieces")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import held, held_out, ship, slices, text_column
+from daygrain.llm.common import give_back, held, held_out, mapped, ship, slices, text_column
 
 #: Buckets of hashed words, bins of each statistic.
 WORDS, BINS = 1 << 14, 12
@@ -149,7 +149,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], fit: Fit = Fit()) -> M
 def fit(docs: DataFrame, labels: DataFrame, settings: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", length_col: str | None = "n_chars", leave: Column | None = None) -> Model:
     """A model from the labelled rows for which `leave` (over the labels' id) isn't true: at most `most_rows` of them, by the hash of the id.
 
-    Labels other than 0 and 1 and null ids teach nothing; a document with two labels teaches both."""
+    Labels other than 0 and 1 and null ids teach nothing; a document with two labels teaches both, one whose id has several texts by one of them."""
     spark = docs.sparkSession
     ship(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
@@ -166,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Fit = Fit(), id_col: str =
                 packed = [(c.tobytes(), v.tobytes()) for c, v in parts]
                 yield pa.RecordBatch.from_pydict({"label": some.column("label"), "cols": pa.array([p[0] for p in packed], pa.binary()), "x": pa.array([p[1] for p in packed], pa.binary())})
 
-    rows = texts.join(F.broadcast(known), "doc_id").mapInArrow(sparse, "label int, cols binary, x binary").collect()  # most_rows bounds the broadcast
+    # most_rows bounds the broadcast; one text an id and label bounds what is collected, however often a labelled id occurs.
+    one = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by(F.struct("text", "declared"), F.struct(F.xxhash64("text"), "declared")).alias("x"))
+    rows = one.select("label", "x.*").transform(mapped, sparse, "label int, cols binary, x binary").collect()
     rows.sort(key=lambda r: (bytes(r["cols"]), bytes(r["x"]), r["label"]))  # the order of tasks mustn't matter
     return train([(np.frombuffer(r["cols"], "<i4"), np.frombuffer(r["x"], "<f4"), r["label"]) for r in rows], settings)
 
@@ -183,6 +185,7 @@ def score(model: Model, text: Column, declared: Column) -> Column:
         for texts, lengths in chunks:
             out = [model.scores(some.column(0).to_pylist(), some.column(1).to_pylist()) for some in slices(pa.record_batch([texts, lengths], ["text", "declared"]))]
             yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        give_back()
 
     return scored(F.coalesce(text, F.lit("")).cast("binary"), declared)
 

@@ -10,16 +10,15 @@ so that a task that runs again, or twice, leaves the same files.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.llm import tokens
-from daygrain.llm.common import scratch, ship, slices, staged, text_column
+from daygrain.llm.common import mapped, scratch, ship, slices, staged, text_column
 from daygrain.llm.crc32c import crc32c, masked
 
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
@@ -27,11 +26,18 @@ INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
 READ_BYTES = 4 << 20
 
 
+#: Hadoop's names of stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs"}
+
+
 def _fs(path: str):
     """The file system of a URI and the path in it; any that pyarrow opens and that all executors share."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    scheme, told, rest = path.partition("://")
+    if told:
+        path = f"{SCHEMES.get(scheme, scheme)}://{rest}"
+    return fs.FileSystem.from_uri(path if told or path.startswith("file:") else f"file://{path}")
 
 
 def frame(payloads: list[bytes]) -> list[bytes]:
@@ -67,7 +73,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Writes the shards to `path` and returns a table of them, ascending: shard, file, docs, tokens.
 
     Rows are ordered by id, nulls first; rows with the same id by a hash of the text, then the text. A null text counts as empty. An
-    empty table gives no shard. Columns besides the two are not read."""
+    empty table gives no shard. Bytes that aren't UTF-8 count as U+FFFD. Columns besides the two are not read."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).alias("key"), F.col(id_col).cast("string").alias("doc_id"), text_column(text_col).alias("text"))
@@ -83,8 +89,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         name, own = f"{at}/part-{shard:06d}", f"{at}/.part-{shard:06d}-{context.taskAttemptId()}"
         out, index, offset = None, [], 0
         for batch in batches:
-            for some in slices(batch):
-                ids = [x + end for x in encoder.encode_all([t.decode() for t in some.column("text").to_pylist()])]
+            for some in slices(batch, tokens.BATCH_BYTES):
+                ids = [x + end for x in encoder.encode_all(some.column("text"))]
                 parts = [payload(d, x, width) for d, x in zip(some.column("doc_id").to_pylist(), ids, strict=True)]
                 if out is None:
                     store.create_dir(at, recursive=True)
@@ -102,7 +108,19 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             store.move(f"{own}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{path}/part-{shard:06d}"], "docs": [len(index)], "tokens": [sum(i[2] for i in index)]})
 
-    return staged(rows.mapInArrow(put, "shard long, file string, docs long, tokens long"), "shards")
+    shards = staged(mapped(rows, put, "shard long, file string, docs long, tokens long"), "shards")
+    _clear_attempts(path)
+    return shards
+
+
+def _clear_attempts(path: str) -> None:
+    """Removes what attempts that didn't end have left: files under names of their own."""
+    from pyarrow import fs
+
+    store, at = _fs(path)
+    for found in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if found.base_name.startswith(".part-"):
+            store.delete_file(found.path)
 
 
 def _index(file: str) -> np.ndarray:
@@ -137,7 +155,7 @@ def read(shards: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in docs], pa.string()), "start": starts[:-1], "n_tokens": pa.array(n, pa.int64()), "ids": pa.array([x for _, x in docs], pa.binary())})
                         start, i = int(starts[-1]), j
 
-    return based.mapInArrow(get, "doc_id string, start long, n_tokens long, ids binary")
+    return mapped(based, get, "doc_id string, start long, n_tokens long, ids binary")
 
 
 def read_shuffled(shards: DataFrame, seed: int = 0) -> DataFrame:
@@ -163,18 +181,12 @@ def read_shuffled(shards: DataFrame, seed: int = 0) -> DataFrame:
         for f in opened.values():
             f.close()
 
-    index = shards.select("file").mapInArrow(entries, "file string, offset long, length long")
+    index = mapped(shards.select("file"), entries, "file string, offset long, length long")
     order = F.xxhash64(F.lit(seed), "file", "offset")
-    return index.orderBy(order, "file", "offset").mapInArrow(get, "doc_id string, ids binary")
+    return mapped(index.orderBy(order, "file", "offset"), get, "doc_id string, ids binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Writes all documents to the shared folder, reads the files back and tells per document: doc_id, start, n_tokens, ids_crc32."""
-    spark: SparkSession = docs.sparkSession
-
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(x) for x in ids.to_pylist()], pa.int64())
-
-    back = read(write(docs, scratch(spark, "records")))
-    return back.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    back = read(write(docs, scratch(docs.sparkSession, "records")))
+    return back.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

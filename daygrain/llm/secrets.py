@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import held, ship, slices
+from daygrain.llm.common import give_back, held, ship, slices
 
 #: A set of exact strings larger than this is no longer multiplied out.
 MOST_STRINGS = 64
@@ -215,7 +215,7 @@ def find(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tuple
     for k, (rule, pattern, hits) in enumerate(zip(rules, patterns, candidates(texts, rules), strict=True)):
         for i in np.flatnonzero(hits).tolist():
             if i not in decoded:
-                decoded[i] = texts[i].decode()
+                decoded[i] = texts[i].decode(errors="replace")
             for m in pattern.finditer(decoded[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
                     out[i].append((m.start(), m.end(), k))
@@ -238,32 +238,39 @@ def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
                 for one in find([t or b"" for t in part.column(0).to_pylist()], rules):
                     rows.append([{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in one])
             yield pa.array(rows, pa.list_(SPAN))
+        give_back()
 
     return scan(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def redacted(text: Column, spans_col: Column, mark: str = "[secret]") -> Column:
-    """The text with each maximal run of overlapping spans replaced by `mark`; null stays null."""
+def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
+    """A text that has secrets with each maximal run of overlapping spans replaced by `mark`; null for any other. Bytes that aren't UTF-8 become
+    U+FFFD in texts that are changed."""
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, ss in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if t is not None and ss:
-                parts, at, i = [], 0, 0
-                while i < len(ss):
-                    start, end = ss[i]["start"], ss[i]["end"]
-                    i += 1
-                    while i < len(ss) and ss[i]["start"] < end:
-                        end = max(end, ss[i]["end"])
-                        i += 1
-                    parts += [t[at:start], mark]
-                    at = end
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return cut(text, spans_col)
+    def cut(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for chunk in chunks:
+            out: list[str | None] = []
+            for part in slices(pa.record_batch([chunk], ["text"])):
+                texts = part.column(0).to_pylist()
+                for t, spans_ in zip(texts, find(texts, rules), strict=True):
+                    out.append(_without(t.decode(errors="replace"), spans_, mark) if spans_ else None)
+            yield pa.array(out, pa.string())
+        give_back()
+
+    return cut(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _without(text: str, spans_: list[tuple[int, int, int]], mark: str) -> str:
+    parts, at, i = [], 0, 0
+    while i < len(spans_):
+        start, end, _ = spans_[i]
+        while i < len(spans_) and (spans_[i][0] < end or spans_[i][0] == start):
+            end = max(end, spans_[i][1])
+            i += 1
+        parts += [text[at:start], mark]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -277,15 +284,14 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans",
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", length_col: str | None = None) -> DataFrame:
     """`docs` with secrets in the text replaced by `mark`; clean texts, nulls included, stay as they are. `length_col`, if any, is set to the new length."""
     ship(docs.sparkSession)
-    found = "__spans"
-    while found in docs.columns:
-        found += "_"
-    out = docs.withColumn(found, spans(F.col(text_col), rules))
-    changed = F.size(found) > 0
-    out = out.withColumn(text_col, F.when(changed, redacted(F.col(text_col), F.col(found), mark)).otherwise(F.col(text_col)))
+    new = "__new"
+    while new in docs.columns:
+        new += "_"
+    out = docs.withColumn(new, redacted(F.col(text_col), rules, mark))
+    changed = F.col(new).isNotNull()
     if length_col:
-        out = out.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.drop(found)
+        out = out.withColumn(length_col, F.when(changed, F.length(new).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.withColumn(text_col, F.coalesce(new, text_col)).drop(new)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
