@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import ship, staged
+from daygrain.llm.common import mapped, ship, staged
 from daygrain.llm.graph import components, cross, forest, per_unit
 
 #: Vectors of a cell that are compared with each other in one block.
@@ -109,7 +109,8 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 
     Vectors are compared within a label; a null label or id, or a vector that is null, empty, zero, or has a null or non-finite
     component, links with nothing (component_id is the row's own id). Vectors of different lengths don't link. Equal vectors with one
-    label are one node with a weight, so copies aren't paired. Cosines below `cosine` never link; pairs at or above it are found where
+    label are one node with a weight, so copies aren't paired. An id that stands at several vectors is one row for each, with the links of its
+    own vector; repeated rows count as vectors of their own. Cosines below `cosine` never link; pairs at or above it are found where
     they meet in a cell. kept: the row's id is its component's smallest. An empty table gives an empty table."""
     s, spark = settings, vectors.sparkSession
     ship(spark)
@@ -117,7 +118,9 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", number) & F.exists("v", lambda x: x != 0)
     rows = staged(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda x: x + 0.0))), "vectors")
-    classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    # A class has a number of its own: one vec_id may stand at several vectors.
+    classes = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +141,7 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * s.tables * s.keys, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("weight"), pa.array(unit, pa.binary()), lists], ["id", "weight", "unit", "cells"])
 
-    nodes = staged(classes.mapInArrow(hashed, "id long, weight long, unit binary, cells array<long>"), "nodes")
+    nodes = staged(classes.drop("least").transform(mapped, hashed, "id long, weight long, unit binary, cells array<long>"), "nodes")
     met = nodes.select("id", F.posexplode("cells").alias("k", "cell")).select("id", "cell", (F.col("k") % s.keys == 0).alias("home"))
     # A vector that probes a cell it is stored in, or one cell twice, is there once.
     met = met.groupBy("cell", "id").agg(F.max("home").alias("home"))
@@ -183,13 +186,13 @@ def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
         on = np.flatnonzero(links > 0)
         yield pa.RecordBatch.from_pydict({"id": pa.array(node[on]), "links": pa.array(links[on].astype(np.int64)), "to": pa.array(node[root[on]])})
 
-    found = staged(dealt.mapInArrow(per_unit(["cell", "i", "j"], verify), "id long, links long, to long"), "found")
+    found = staged(dealt.transform(mapped, per_unit(["cell", "i", "j"], verify), "id long, links long, to long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    told = nodes.select("id", "weight").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    told = told.select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    of_class = classes.select("label", "v", "id").join(told, "id").select("label", "v", "n_links", "component_id")
-    out = rows.where("sound").join(of_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "id")
+    told = classes.join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = told.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1).join(lowest, "root")
+    out = rows.where("sound").join(told.select("label", "v", "n_links", "component_id"), ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
