@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import held_out, ship, slices, text_column
+from daygrain.llm.common import give_back, held_out, mapped, ship, slices, text_column
 
 BUCKETS = 1 << 12
 UNKNOWN = "und"
@@ -109,8 +109,7 @@ def cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 def fit(docs: DataFrame, settings: Fit = Fit(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", leave: Column | None = None) -> Model:
     """A model from rows with a language and a letter in the text for which `leave` isn't true. Languages come to the driver with their numbers of rows."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     known = docs if leave is None else docs.where(~leave)
     known = known.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
 
@@ -118,14 +117,14 @@ def fit(docs: DataFrame, settings: Fit = Fit(), text_col: str = "text", lang_col
         df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for some in slices(batch):
-                for c in counts([t.decode() for t in some.column("text").to_pylist()]):
+                for c in counts([t.decode(errors="replace") for t in some.column("text").to_pylist()]):
                     df += c > 0
                     n += 1
         at = np.append(np.flatnonzero(df), BUCKETS)
         yield pa.RecordBatch.from_pydict({"bucket": at, "n": np.append(df[at[:-1]], n)})
 
     df, total = np.zeros(BUCKETS), 0
-    for r in known.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in known.select("text").transform(mapped, frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] == BUCKETS:
             total = r["n"]
         else:
@@ -134,17 +133,18 @@ def fit(docs: DataFrame, settings: Fit = Fit(), text_col: str = "text", lang_col
     sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not sizes:
         return Model((), np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(0))
-    part = spark.createDataFrame([(lang, min(1.0, settings.most_rows / n)) for lang, n in sizes], "lang string, part double")
-    place = (F.xxhash64(F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND((1 << 53) - 1) / float(1 << 53))
-    sample = known.join(part, "lang").where(place < F.col("part"))
+    # A language's rows are sampled where they are read, so that no text is shuffled.
+    part = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, settings.most_rows / n))])
+    place = F.xxhash64(F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.col("text"))).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    sample = known.where(place < F.element_at(part, F.col("lang")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
-                texts = [t.decode() for t in some.column("text").to_pylist()]
+                texts = [t.decode(errors="replace") for t in some.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"lang": some.column("lang"), "x": pa.array([x.astype("<f2").tobytes() if has_letter(t) else None for t, x in zip(texts, _vectors(texts, idf), strict=True)], pa.binary())})
 
-    rows = sample.select("lang", "text").mapInArrow(vectors, "lang string, x binary").where("x is not null").collect()  # most_rows a language, of 8 kB
+    rows = sample.select("lang", "text").transform(mapped, vectors, "lang string, x binary").where("x is not null").collect()  # most_rows a language, of 8 kB
     rng, langs, of, centres, bound = np.random.default_rng(settings.seed), [], [], [], []
     for lang, _ in sizes:
         mine = sorted(bytes(r["x"]) for r in rows if r["lang"] == lang)
@@ -160,14 +160,15 @@ def fit(docs: DataFrame, settings: Fit = Fit(), text_col: str = "text", lang_col
 
 
 def identify(model: Model, text: Column) -> Column:
-    """struct<lang, cosine, rejected>: the nearest language, `und` for a text that is null or without a letter (cosine 0, rejected)."""
+    """struct<lang, cosine, rejected>: the nearest language, `und` for a text that is null or without a letter (cosine 0, rejected). Bytes that
+    aren't UTF-8 count as U+FFFD."""
 
     @F.arrow_udf("struct<lang:string,cosine:double,rejected:boolean>")
     def told(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for chunk in chunks:
             langs, cosines, far = [], [], []
             for some in slices(pa.record_batch([chunk], ["text"])):
-                texts = [t.decode() for t in some.column(0).to_pylist()]
+                texts = [t.decode(errors="replace") for t in some.column(0).to_pylist()]
                 best, cosine, rejected = model.nearest(texts)
                 letter = np.asarray([has_letter(t) for t in texts], bool) & (len(model.langs) > 0)
                 langs += [model.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letter.tolist(), strict=True)]
@@ -176,6 +177,7 @@ def identify(model: Model, text: Column) -> Column:
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(np.concatenate(cosines) if cosines else [], pa.float64()), pa.array(np.concatenate(far) if far else [], pa.bool_())], ["lang", "cosine", "rejected"]
             )
+        give_back()
 
     return told(F.coalesce(text, F.lit("")).cast("binary"))
 
