@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -81,10 +82,20 @@ def test_language_model(spark, sf, texts):
     assert np.mean(better) > 0.9
 
 
-def test_log_bilinear_is_normalised():
-    s = lm.Settings(own=6, shared=2, width=4, steps=50)
-    p = lm.train(np.random.default_rng(0).integers(0, 50, (8, 8)), s)
-    assert np.allclose((10.0 ** p.astype(float)).sum(1), 1, atol=1e-5)
+def test_log_bilinear_is_normalised_and_reads_all_positions():
+    """After every context the probabilities sum to 1, and a model of tokens that only one of the three positions tells predicts them by it."""
+    s = lm.Settings(own=6, shared=2, groups=8, width=6, steps=60, epochs=30, batch=256, fine_rate=0.02)
+    rng = np.random.default_rng(0)
+    every = np.stack(np.meshgrid(*[np.arange(8)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    for place in range(3):
+        drawn = rng.integers(0, 8, (6000, 4))
+        drawn[:, 3] = (drawn[:, place] * 3 + 1) % 8
+        pairs = np.zeros((8, 8), int)
+        np.add.at(pairs, (drawn[:, 0], drawn[:, 3]), 1)
+        t = lm.train(pairs, drawn, s)
+        p = 10.0 ** t.log_p(*every.T).astype(float)
+        assert np.allclose(p.reshape(-1, 8).sum(1), 1, atol=1e-4)
+        assert p[every[:, 3] == (every[:, place] * 3 + 1) % 8].mean() > 0.5
 
 
 def test_packing_and_records_round_trip(spark, sf, texts):
@@ -119,7 +130,7 @@ def test_encoder_is_the_tokenizer():
     odd = ["", " ", "a  b", "\n", "a\nb", " lead", "trail ", "x<|endoftext|>y", "don't I'll", "a\tb", "é́ x", "12 345a!?", "a\x01b c", "word, word. word!", " x"]
     for name, spaces in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
         e = tokens.Encoder(tokens.public(name), spaces, 10)
-        assert e.encode_all(odd * 2) == [e.whole(x) for x in odd * 2]
+        assert e.encode_all(pa.array(odd * 2)) == [e.whole(x) for x in odd * 2]
 
 
 def test_minhash_estimates(texts):
