@@ -9,21 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import staged
+from daygrain.llm.common import drop_staged, staged
 
 #: Pairs that numpy holds at a time.
 PAIRS = 1 << 18
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: long): root is the smallest node of its component.
 
     Large-star and small-star rounds, each written to the shared folder, until nothing changes. Each round keeps at most as many
     edges as there were; minima are taken with partial aggregation, so a node with very many neighbours is no hot spot."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    e = staged(e, "edges")
-    mark = _mark(e)
-    for _ in range(most_rounds):
+    e, mark, now = staged(e, "edges"), None, None
+    while mark is None or now != mark:
+        mark = now if now is not None else _mark(e)
         if not mark[0]:
             break
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -33,13 +33,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
-        e = staged(small, "small")
+        before, e = e, staged(small, "small")
+        drop_staged(before, large)
         now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import held, ship, slices, staged
+from daygrain.llm import jaccard
+from daygrain.llm.common import give_back, held, mapped, ship, slices, staged
 from daygrain.llm.graph import components, cross, forest, per_unit
 
 BITS = 64
@@ -68,6 +69,7 @@ def fingerprints(text: Column, words: int = 4) -> Column:
         for chunk in chunks:
             out = [fingerprint(t, words) for some in slices(pa.record_batch([chunk], ["text"])) for t in some.column(0).to_pylist()]
             yield pa.array(np.asarray(out, np.uint64).view(np.int64), pa.int64())
+        give_back()
 
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
@@ -101,7 +103,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(x)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(BITS * BITS + 1)), "n": pa.array(np.append(both.ravel(), n).astype(np.int64))})
 
-    rows = fps.select("fp").mapInArrow(local, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = fps.select("fp").transform(mapped, local, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     got = {r["cell"]: r["n"] for r in rows}
     return got.get(BITS * BITS, 0), np.asarray([got.get(i, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS)
 
@@ -175,9 +177,9 @@ def choose(fps: DataFrame, distance: int) -> list[Part]:
     return plan(n, both, same, groups, distance)
 
 
-def edges(fps: DataFrame, distance: int, parts: list[Part] | None = None) -> DataFrame:
+def edges(fps: DataFrame, distance: int, parts: list[Part] | None = None, direct: bool = False) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of `fps` (distinct, column fp) at `distance` or fewer bits; an edge may stand for
-    a path of such pairs."""
+    a path of such pairs. direct: only pairs at that distance, of each block those of every fingerprint with its smallest neighbour."""
     parts = [p for p in (parts or choose(fps, distance)) if p.threshold >= 0]
     placed = F.array(*[F.struct(F.lit(i).alias("part"), p.key(F.col("fp")).alias("key")) for i, p in enumerate(parts)])
     rows = fps.select("fp", F.explode(placed).alias("x")).select("fp", "x.*")
@@ -214,12 +216,17 @@ def edges(fps: DataFrame, distance: int, parts: list[Part] | None = None) -> Dat
         # A fingerprint may stand on both sides of its unit: rows with the same unit and fingerprint are one node.
         _, first, node = np.unique(np.stack([where, fp], 1), axis=0, return_index=True, return_inverse=True)
         node = node.ravel()
-        root = forest(node[np.concatenate(u)], node[np.concatenate(v)], len(first))
+        u, v = node[np.concatenate(u)], node[np.concatenate(v)]
+        root = np.arange(len(first))
+        if direct:
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        else:
+            root = forest(u, v, len(first))
         on = np.flatnonzero(root != np.arange(len(root)))
         if len(on):
             yield pa.RecordBatch.from_pydict({"a": pa.array(fp[first[on]]), "b": pa.array(fp[first[root[on]]])})
 
-    return dealt.mapInArrow(per_unit(names, verify), "a long, b long")
+    return dealt.transform(mapped, per_unit(names, verify), "a long, b long")
 
 
 def classes(fps: DataFrame, distance: int) -> DataFrame:
@@ -242,21 +249,50 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8) -> DataFrame:
-    """One row of each component of linked fingerprints: that with the smallest id (nulls last), of repeated rows any one. Columns stay as they are."""
+def marks(text: Column, words: int) -> Column:
+    """struct<key, fp>: 128 bits that tell texts with different words apart, and the fingerprint. A-Z count as a-z; a null text has no words."""
+
+    @F.arrow_udf("struct<key:binary,fp:bigint>")
+    def of(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("simhash", dict)  # nothing; what others left goes
+        for chunk in chunks:
+            texts = [t for some in slices(pa.record_batch([chunk], ["text"])) for t in some.column(0).to_pylist()]
+            keys = pa.array([xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], pa.binary())
+            fps = np.asarray([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([keys, pa.array(fps, pa.int64())], ["key", "fp"])
+        give_back()
+
+    return of(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 8, exact: jaccard.Settings = jaccard.Settings()) -> DataFrame:
+    """One row of each component of linked texts: that with the smallest id (nulls last), of repeated rows any one. Columns stay as they are.
+
+    Texts are linked at the Jaccard similarity of `exact`, 0.8 of five words or more. Fingerprints of `words` words within `distance` bits, by
+    the generalised pigeonhole, give the candidates, which are verified; links of fingerprints farther apart come from the exact
+    join behind (see jaccard.py), so that `distance` sets what the join is left with and never the result. Texts with the same words are
+    one node, so copies aren't paired; null texts and texts without words are one. An empty table gives an empty table."""
     ship(docs.sparkSession)
     extra = []
-    for name in ("__row", "__fp", "__root", "__best"):
+    for name in ("__row", "__marks", "__root", "__best"):
         while name in docs.columns:
             name += "_"
         extra.append(name)
-    row, fp, root, best = extra
-    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, fingerprints(F.col(text_col), words)), "rows")
+    row, mark, root, best = extra
+    text = F.col(text_col)
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(mark, marks(text, words)), "rows")
     first = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col(row).alias("r"))).alias(best)
-    each = staged(rows.groupBy(F.col(fp).alias("fp")).agg(first), "distinct")
-    roots = classes(each.select("fp"), distance)
-    named = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias(root)).agg(F.min(best).alias(best))
-    kept = named.select(F.col(f"{best}.r").alias("kept"))
+    each = rows.groupBy(F.col(mark)["key"].alias("key")).agg(first, F.first(F.col(mark)["fp"]).alias("fp"))
+    each = staged(each.withColumn("node", F.xxhash64(f"{best}.r")), "distinct")  # one to one for a single long
+    texts = rows.select(F.col(row).alias("row"), F.xxhash64(row).alias("node"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+    # Of texts with one fingerprint each is a candidate with the first, and so are the first ones of near fingerprints.
+    named = staged(each.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    equal = each.join(named, "fp").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    at = lambda c: named.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_"))
+    near = edges(named.select("fp"), distance, direct=True).distinct().join(at("a"), "a").join(at("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    links = jaccard.links(texts, each.select(F.col(f"{best}.r").alias("row"), "node"), staged(equal.unionByName(near), "candidates"), exact)
+    kept = each.join(components(links), "node", "left").groupBy(F.coalesce("root", "node").alias(root)).agg(F.min(best).alias(best))
+    kept = kept.select(F.col(f"{best}.r").alias("kept"))
     return rows.join(kept, rows[row] == kept["kept"], "left_semi").select(*docs.columns)
 
 

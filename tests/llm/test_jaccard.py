@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity against plain Python, with planted copies about the similarity that counts."""
+"""SimHash near-dedup by exact Jaccard similarity against plain Python, with planted copies about the similarity that counts."""
 
 import random
 
@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from daygrain.llm import jaccard
+from daygrain.llm import jaccard, simhash
 
 
 def plain(text):
@@ -61,10 +61,10 @@ def test_no_near_copy_is_lost(spark, planted, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     want, some = kept(planted)
     docs = spark.createDataFrame(planted, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(3)
-    out = jaccard.distinct(docs)
+    out = simhash.distinct(docs)
     assert some > 50 and out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == want
-    assert jaccard.distinct(docs.limit(0)).count() == 0
+    assert simhash.distinct(docs.limit(0)).count() == 0
 
 
 def test_pipeline_stage(spark, planted):
@@ -76,4 +76,4 @@ def test_pipeline_stage(spark, planted):
 def test_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(r["doc_id"] for r in jaccard.distinct(docs).collect()) == kept(rows)[0]
+    assert sorted(r["doc_id"] for r in simhash.distinct(docs).collect()) == kept(rows)[0]
