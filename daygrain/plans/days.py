@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daygrain.functions import geo
 from daygrain.operators import aggregates, evaluation, hsmm, joins, passes, places, segments, series, states, track, ways
-from daygrain.plans.derived import events, fixes, spans, spots
+from daygrain.plans.derived import FX, SP, SPAN, events, fixes, hav, spans, spots
 from daygrain.streaming import motion
 
 #: The driver's tracks are sparse, so windows are of a day here and of five minutes in production.
@@ -151,7 +151,7 @@ def dwell_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trailing_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = series.trailing(fixes(spark, sf_dir), KEYS, ["t", "event_id"])
-    return t.select("event_id", "path_m", "net_m", "effective_kmh", "straightness")
+    return t.select("event_id", *[F.round(c, n).alias(c) for c, n in (("path_m", 3), ("net_m", 3), ("effective_kmh", 3), ("straightness", 6))])
 
 
 QUERIES = {
@@ -161,7 +161,26 @@ QUERIES = {
         dwell_continuation, trailing_600s,
     )
 }
+MODED = f"""m AS (SELECT user_id, start_ts, end_ts, event_id, event_type, p_lat AS lat, p_lon AS lon FROM span JOIN sp ON spot = place_id)"""
 ORACLES = {
+    "trailing_600s": f"""WITH {FX}, h AS (SELECT *, lag(t) OVER w AS pt, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS hop_m FROM fx WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+p AS (SELECT a.event_id, any_value(a.t) AS t, any_value(a.lat) AS lat, any_value(a.lon) AS lon, arg_min(b.lat, (b.t, b.event_id)) AS flat, arg_min(b.lon, (b.t, b.event_id)) AS flon, min(b.t) AS ft, coalesce(sum(b.hop_m) FILTER (b.pt >= a.t - 600), 0) AS path_m
+  FROM h a JOIN h b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 600 AND a.t GROUP BY a.event_id),
+q AS (SELECT event_id, t, ft, path_m, {hav('flat', 'flon', 'lat', 'lon')} AS net_m FROM p)
+SELECT event_id, round(path_m, 3) AS path_m, round(net_m, 3) AS net_m, round(CASE WHEN t > ft THEN net_m / (t - ft) * 3.6 END, 3) AS effective_kmh, round(CASE WHEN path_m > 0 THEN least(1.0, net_m / path_m) END, 6) AS straightness FROM q""",
+    "state_diff": f"""WITH {FX}, {SPAN}, a AS (SELECT user_id, start_ts, end_ts, event_type AS mode, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, end_ts) AS ix FROM span),
+b AS (SELECT * REPLACE (CASE WHEN start_ts % 7 = 0 THEN 'other' ELSE mode END AS mode) FROM a)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.ix, b.ix) AS ix, CASE WHEN b.ix IS NULL THEN 'only_a' WHEN a.ix IS NULL THEN 'only_b' ELSE 'changed' END AS kind
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.ix = b.ix WHERE a.ix IS NULL OR b.ix IS NULL OR a.mode <> b.mode""",
+    "dwell_continuation": f"""WITH {FX}, {SP}, {SPAN}, s AS (SELECT * FROM span JOIN sp ON spot = place_id),
+l AS (SELECT user_id, arg_max(p_lat, (start_ts, event_id)) AS lat, arg_max(p_lon, (start_ts, event_id)) AS lon, arg_max(end_ts, (start_ts, event_id)) AS end_ts FROM s GROUP BY user_id),
+k AS (SELECT user_id, place_id, any_value(p_lat) AS p_lat, any_value(p_lon) AS p_lon, count(DISTINCT start_ts // 86400) AS days, sum(end_ts - start_ts) AS dwell_s, count(*) AS visits FROM s GROUP BY user_id, place_id),
+d AS (SELECT l.user_id, k.place_id, l.end_ts, dwell_s / visits AS tau, {hav('lat', 'lon', 'p_lat', 'p_lon')} AS m FROM l JOIN k ON l.user_id = k.user_id WHERE days >= 5)
+SELECT user_id, place_id, end_ts::BIGINT AS end_ts, round(end_ts + tau * ln(2))::BIGINT AS until_ts FROM d WHERE m <= 120 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m, place_id) = 1""",
+    "feasibility": f"""WITH {FX}, {SP}, {SPAN}, {MODED}, n AS (SELECT user_id, start_ts, end_ts, CASE WHEN event_type = 'view' THEN 'walking' ELSE 'stationary' END AS mode, lat, lon, event_id % 40 AS avg_speed FROM m),
+w AS (SELECT *, lead(start_ts) OVER o - end_ts AS gap, lead(mode) OVER o AS next_mode, {hav('lat', 'lon', 'lead(lat) OVER o', 'lead(lon) OVER o')} AS jump FROM n WINDOW o AS (PARTITION BY user_id ORDER BY start_ts, end_ts))
+SELECT user_id, start_ts, 'too_fast' AS fault FROM w WHERE mode = 'walking' AND avg_speed > 15
+UNION ALL SELECT user_id, start_ts, 'teleport' FROM w WHERE mode = 'stationary' AND next_mode = 'stationary' AND gap <= 60 AND jump > 500""",
     "stream_tumbling": "SELECT event_type, floor(epoch(ts))::BIGINT // 3600 * 3600 AS start_ts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_session": """WITH m AS (SELECT user_id, ts, epoch(ts) AS e, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 14400 THEN 0 ELSE 1 END AS new FROM events),
 i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT user_id, floor(min(e))::BIGINT AS start_ts, floor(max(e) + 14400)::BIGINT AS end_ts, count(*) AS n FROM i GROUP BY user_id, s""",
