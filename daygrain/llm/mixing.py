@@ -2,21 +2,22 @@
 
 Each source's documents are shuffled by a hash; a document's virtual finish time is the cumulative size of its source up
 to its own end, divided by the source's target. All documents are range-sorted by finish time and taken until the total
-budget is spent. Running sums are made in two levels (sums of hashed cells, then within a cell), so that no source is
-gathered in one task, and neither is the global order: it is cut into ranges whose sums give each range its offset.
+budget is spent. Running sums are made in two levels: an order, of a source or of all, is cut into ranges, whose sums give each
+range its offset, so that neither a source nor the whole is gathered in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.llm.common import ship, staged
 
-#: Rows that a cell of a source, or a range of the global order, holds about.
-CELL_ROWS = 20_000
+#: Rows that a range of an order holds about, in small tables; in large ones the square root of all, so that neither a range nor the number of ranges is.
+RANGE_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -74,18 +75,18 @@ def mixed(sizes: DataFrame, mix: Mix = Mix(), seed: str = "mix") -> DataFrame:
     part. Sources or documents without words take 0. An empty table gives an empty table."""
     spark = sizes.sparkSession
     goals = source_targets(sizes, mix)
-    n = goals.agg(F.sum("n_rows"), F.max("n_rows")).first()
-    cells = max(1, -(-(n[1] or 0) // CELL_ROWS))
-    ranges = max(1, -(-(n[0] or 0) * mix.most // CELL_ROWS))
+    n = goals.agg(F.sum("n_rows")).first()
+    spread = lambda rows: max(1, -(-rows // max(RANGE_ROWS, isqrt(rows))))
     order = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    docs = sizes.withColumn("order", order).withColumn("cell", F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") * cells / F.lit(1 << 32))
-    docs = docs.withColumn("cell", F.floor("cell").cast("int"))
+    by = ["order", "doc_id", "size", "row_id"]  # rows with one id are spread like any others
+    docs = sizes.withColumn("order", order).repartitionByRange(spread(n[0] or 0), "source", *by)
+    docs = staged(docs.withColumn("cell", F.spark_partition_id()), "orders")
     by_cell = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    above = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     offsets = by_cell.withColumn("before", F.coalesce(F.sum("cell_size").over(above), F.lit(0))).drop("cell_size")
     same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
     placed = docs.join(offsets, same(docs, offsets, "source", "cell")).select(docs["*"], "before")
-    within = Window.partitionBy("source", "cell").orderBy("order", "doc_id", "size", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("cell", "source").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("cum", F.col("before") + F.sum("size").over(within))
     placed = placed.join(goals, placed["source"].eqNullSafe(goals["source"])).select(placed["*"], "source_size", "target")
     copies = placed.withColumn("epoch", F.explode(F.array(*[F.lit(i) for i in range(mix.most)])))
@@ -93,7 +94,7 @@ def mixed(sizes: DataFrame, mix: Mix = Mix(), seed: str = "mix") -> DataFrame:
     copies = copies.withColumn("finish", F.when(F.col("target") > 0, done / F.col("target")).otherwise(F.lit(float("inf"))))
     copies = copies.select("row_id", "doc_id", "source", "size", "epoch", "finish", "source_size", "target")
     key = ["finish", "doc_id", "size", "row_id", "epoch"]
-    ranged = staged(copies.repartitionByRange(ranges, *key).withColumn("range", F.spark_partition_id()), "mix")
+    ranged = staged(copies.repartitionByRange(spread((n[0] or 0) * mix.most), *key).withColumn("range", F.spark_partition_id()), "mix")
     per_range = ranged.groupBy("range").agg(F.sum("size").alias("range_size"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = per_range.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size")
