@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from daygrain.llm import langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash
+from daygrain.llm import langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash, tokens
 
 LONG = "word%d and other words that go on " * 400
 DOCS = [
@@ -172,3 +172,53 @@ def test_held_out(spark):
 
     rows = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "doc_id long").select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+def test_texts_that_are_not_utf_8(spark):
+    """A damaged text is read with U+FFFD in place of what isn't UTF-8, by every operator."""
+    bad = b"password = hunter22\xff \xc3( and some more words that go on"
+    rows = spark.createDataFrame([(1, bytearray(bad)), (2, bytearray(b"all is well here, and so it stays"))], "doc_id long, t binary")
+    d = rows.select("doc_id", F.col("t").cast("string").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    text = bad.decode(errors="replace")
+    t = tokens.tokenizer(tokens.public("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in records.digest(d).collect()}
+    assert got[1]["n_tokens"] == len(t.encode(text, add_special_tokens=False).ids) + 1
+    assert langid.predictions(d).count() == packing.pack(d).select("doc_id").distinct().count() == minhash.edited(d).count() == simhash.linked(d).count() == lm.predictions(d).count() == 2
+    assert {r["doc_id"]: r["n_chars"] for r in minhash.edited(d).collect()}[1] == len(text)
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.digest(d).collect()} == {1: 1, 2: 0}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(d).collect()}[1] == "[secret]" + text[19:]
+
+
+def test_lattice_keeps_vectors_of_one_id_apart(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.001, 0.0], 0), (5, [0.0, 0.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near(v).collect())
+    assert out == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (5, 0, 5)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from daygrain.llm import common
+
+    sc = SimpleNamespace(master="spark://somewhere:7077", getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=sc), "x")
+
+
+def test_shuffled_reads(docs, none, spark):
+    from daygrain.llm.common import scratch
+
+    shards = records.write(docs.select("doc_id", "text"), scratch(spark, "edges"))
+    out = records.read_shuffled(shards, 1)
+    assert out.count() == len(DOCS) and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(d[0]) for d in DOCS)
+    assert records.read_shuffled(records.write(none, scratch(spark, "edges"))).count() == 0
+
+
+def test_the_pipeline_on_hard_rows(docs, none, labels, spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("some", docs), ("none", none)):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert {r["doc_id"] for r in out.collect()} <= {d[0] for d in DOCS} and (name == "some" or out.count() == 0)
