@@ -97,3 +97,23 @@ def truth_cell(text: Column) -> Column:
     mode = F.element_at(F.create_map(*[F.lit(x) for kv in {"stay": "stationary", "walk": "walking", "train": "train", "tube": "train", "drive": "driving", "car": "driving", "cycle": "cycling", "bus": "bus", "plane": "plane"}.items() for x in kv]), word)
     place = F.when(F.startswith(rest, F.lit("@")), F.trim(F.substring(rest, 2, 10_000)))
     return F.when(mode.isNotNull(), F.struct(mode.alias("mode"), place.alias("place"), pair["line"].alias("line"), pair["board"].alias("board"), pair["alight"].alias("alight")))
+
+
+def score_stations(truth: DataFrame, decoded: DataFrame, on: list[str]) -> DataFrame:
+    """One row: asserted, matching, missing. Each true leg (start_ts, end_ts, mode, board, alight) that names both its stations is held against the decoded
+    leg of its mode that overlaps it most, by more than half of it; ties go to the earlier one. The rest of asserted is wrong."""
+    legs = truth.where("board is not null and alight is not null").withColumn("__leg", F.monotonically_increasing_id())
+    other = decoded.select(*on, "start_ts", "end_ts", F.col("mode").alias("d_mode"), F.col("board").alias("d_board"), F.col("alight").alias("d_alight"))
+    key = [*on, "start_ts", "end_ts", "mode", "board", "alight"]
+    met = overlapping(legs.select(*key), other, on).where((F.col("mode") == F.col("d_mode")) & (F.col("overlap_s") * 2 > F.col("end_ts") - F.col("start_ts")))
+    best = met.groupBy(*key).agg(F.min_by(F.struct("d_board", "d_alight"), F.struct(-F.col("overlap_s"), F.col("b_start_ts"))).alias("b"))
+    both = legs.join(best, key, "left")
+    missing = F.col("b.d_board").isNull() | F.col("b.d_alight").isNull()
+    hit = (F.lower("b.d_board") == F.lower("board")) & (F.lower("b.d_alight") == F.lower("alight"))
+    return both.agg(F.count("*").alias("asserted"), F.count_if(hit).alias("matching"), F.count_if(missing).alias("missing"))
+
+
+def verdict(status: Column, enforceable: Column, matches: Column) -> Column:
+    """What a true row says of the run: unverified unless it is enforceable, then verified or regressed, of a known error cleared or known-error."""
+    right = F.when(matches, "verified").otherwise("regressed")
+    return F.when(~enforceable, "unverified").when(status == "correct", right).otherwise(F.when(matches, "cleared").otherwise("known-error"))

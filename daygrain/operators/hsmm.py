@@ -304,3 +304,24 @@ def likeliest(observed: DataFrame, keys: list[str], step: str = "t", step_s: int
         return pa.table([*told, pa.array(modes, pa.string()), pa.array(p.max(2).ravel())], names=[*keys, step, "mode", "p"])
 
     return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {step} long, mode string, p double", work)
+
+
+#: Net speed of a vehicle's segments in km/h, as mean and deviation.
+NET_SPEED = {"cycling": (12, 6), "driving": (22, 12), "train": (28, 14), "plane": (400, 250)}
+STRIDE_M, STRIDE_SPREAD, STILL_M, SLOP_M_PER_MIN, LEAST_NATS = 0.75, 0.4, 200.0, 500.0, -6.0
+
+
+def segment_evidence(mode: Column, displacement_m: Column, slop_s: Column, steps: Column, length_s: Column) -> Column:
+    """Nats of a segment's net displacement between the fixes that bracket it, against what its mode predicts: none for a stay, strides for a walk, net
+    speed for a vehicle. slop_s: time between those fixes that isn't the segment's, which widens the spread. Never below -6; a null, or a
+    mode without a prediction, says nothing."""
+
+    def nats(predicted: Column, sigma: Column) -> Column:
+        z = (displacement_m - predicted) / F.sqrt(sigma * sigma + F.pow(SLOP_M_PER_MIN * slop_s / 60, 2))
+        return F.greatest(F.lit(LEAST_NATS), -0.5 * z * z)
+
+    walked = F.coalesce(steps, F.lit(0)) * STRIDE_M
+    out = F.when(mode == "stationary", nats(F.lit(0.0), F.lit(STILL_M))).when(mode == "walking", nats(walked, F.greatest(walked * STRIDE_SPREAD, F.lit(STILL_M))))
+    for m, (mean, spread) in NET_SPEED.items():
+        out = out.when(mode == m, nats(length_s / 3.6 * mean, F.greatest(length_s / 3.6 * spread, F.lit(STILL_M))))
+    return F.when(displacement_m.isNotNull() & slop_s.isNotNull(), out.otherwise(0.0)).otherwise(0.0)

@@ -196,3 +196,34 @@ def prior_factor(mode: Column) -> Column:
 
 def classifier_factor(mode: Column, original: Column, margin: Column) -> Column:
     return F.when((mode == original) & (margin > 2), F.least(F.lit(4.0), 1.5 * F.log(margin / 2))).otherwise(0.0)
+
+
+def station_tier(name: Column, subtype: Column, prefer: str | None = None) -> Column:
+    """0 for a station (of the subtype that is looked for, if any), 1 for another kind of station, 2 for a platform's position, 3 for an entrance: a
+    subway entrance or a name such as A or B2."""
+    gate = (subtype == "subway_entrance") | name.rlike(r"^[A-Z]\d?$")
+    return F.when(F.coalesce(gate, F.lit(False)), 3).when(subtype == "stop_position", 2).otherwise(F.lit(0) if prefer is None else F.when(subtype.eqNullSafe(F.lit(prefer)), 0).otherwise(1))
+
+
+def rank_stations(near: DataFrame, key: list[str], prefer: str | None = None) -> DataFrame:
+    """Stations near something (name, subtype, distance_m) with tier and rank, the best first: by tier, then by distance; ties by name."""
+    w = Window.partitionBy(*key).orderBy("tier", "distance_m", "name")
+    return near.withColumn("tier", station_tier(F.col("name"), F.col("subtype"), prefer)).withColumn("rank", F.row_number().over(w))
+
+
+def station_key(name: Column) -> Column:
+    """A station's name as names are compared: ASCII letters and digits, lower case."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def served(stops: DataFrame, asked: DataFrame, least_stops: int = 5, least_chars: int = 10) -> DataFrame:
+    """Pairs asked for (line, name) with `served`: whether the line stops there, null where fewer than `least_stops` of its stops (line, name) are known.
+
+    Names agree if their keys do, or if one key holds the other and both have `least_chars` or more."""
+    s = stops.where("name is not null").select("line", station_key(F.col("name")).alias("__stop")).distinct()
+    known = s.groupBy("line").agg(F.count("*").alias("__n")).where(F.col("__n") >= least_stops)
+    a = asked.withColumn("__key", station_key(F.col("name")))
+    inside = (F.least(F.length("__key"), F.length("__stop")) >= least_chars) & (F.contains("__key", "__stop") | F.contains("__stop", "__key"))
+    hit = a.join(s, "line").where((F.col("__key") == F.col("__stop")) | inside).select("line", "name").distinct().withColumn("__hit", F.lit(True))
+    out = a.join(known, "line", "left").join(hit, ["line", "name"], "left")
+    return out.withColumn("served", F.when(F.col("__n").isNotNull(), F.coalesce("__hit", F.lit(False)))).drop("__key", "__n", "__hit")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from daygrain.functions import geo
 from daygrain.functions.chance import closeness as near
-from daygrain.operators.joins import as_of
-from daygrain.operators.series import islands
+from daygrain.operators.joins import as_of, in_interval
+from daygrain.operators.series import hops, islands
 
 MODES = ("stationary", "walking", "cycling", "driving", "train", "plane")
 
@@ -118,3 +118,41 @@ def refined_mode(original: Column, speed: Column, kind: Column, subtype: Column,
 def implausible_driving(mode: Column, most: Column, has_motorway: Column, subway_m: Column) -> Column:
     on = (mode == "driving") & (most > 80) & ~has_motorway & (subway_m < 100)
     return F.when(F.coalesce(on, F.lit(False)), "train").otherwise(mode)
+
+
+def effective_mode(mode: Column, refined: Column) -> Column:
+    """A segment's mode as it is shown: the refined one where there is one."""
+    return F.coalesce(refined, mode)
+
+
+def smooth_short(segments: DataFrame, keys: list[str], least_s: int = 120) -> DataFrame:
+    """Segments shorter than `least_s` go into the one before, one after another; a key's first stays whatever its length.
+
+    Of a run the end is the last one's, points are summed, max_speed is the largest, other columns are the first one's."""
+    w = Window.partitionBy(*keys).orderBy("start_ts", "end_ts")
+    keeps = (F.row_number().over(w) == 1) | (F.col("end_ts") - F.col("start_ts") >= least_s)
+    marked = segments.withColumn("__run", F.sum(keeps.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = [c for c in segments.columns if c not in (*keys, "start_ts", "end_ts", "points", "max_speed")]
+    at = F.struct("start_ts", "end_ts")
+    told = {"points": F.sum("points"), "max_speed": F.max("max_speed")}
+    out = marked.groupBy(*keys, "__run").agg(
+        F.min("start_ts").alias("start_ts"), F.max_by("end_ts", at).alias("end_ts"), *[told[c].alias(c) for c in told if c in segments.columns], *[F.min_by(c, at).alias(c) for c in rest]
+    )
+    return out.select(*segments.columns)
+
+
+def window_stats(parts: DataFrame, fixes: DataFrame, keys: list[str], tie: str = "event_id", exclude_start: bool = False) -> DataFrame:
+    """Parts of segments (keys, start_ts, end_ts) with what their own fixes tell: points, avg_speed (the median), max_speed, linearity; zeros without any.
+
+    exclude_start: the fix on start_ts, on which a vehicle arrived, doesn't count. Both ends count else. A null speed is 0."""
+    key = [*keys, "start_ts", "end_ts"]
+    f = in_interval(fixes.select(*keys, "t", tie, "lat", "lon", F.coalesce("speed_kmh", F.lit(0.0)).alias("speed_kmh")), parts.select(*key), keys)
+    if exclude_start:
+        f = f.where("t > start_ts")
+    f = hops(f, key, ["t", tie])
+    first, last = F.min_by(F.struct("lat", "lon"), F.struct("t", tie)), F.max_by(F.struct("lat", "lon"), F.struct("t", tie))
+    a = f.groupBy(*key).agg(F.count("*").alias("points"), F.median("speed_kmh").alias("__med"), F.max("speed_kmh").alias("__most"), F.sum("hop_m").alias("__path"), first.alias("__a"), last.alias("__b"))
+    net = geo.haversine(F.col("__a.lat"), F.col("__a.lon"), F.col("__b.lat"), F.col("__b.lon"))
+    a = a.withColumn("linearity", F.when(F.col("__path") > 0, F.round(F.least(net / F.col("__path"), F.lit(1.0)), 2)))
+    out = parts.join(a.select(*key, "points", F.round("__med", 1).alias("avg_speed"), F.round("__most", 1).alias("max_speed"), "linearity"), key, "left")
+    return out.fillna({"points": 0, "avg_speed": 0.0, "max_speed": 0.0, "linearity": 0.0})

@@ -111,3 +111,11 @@ def drop_outliers(df: DataFrame, keys: list[str], t: str = "t", lat: str = "lat"
         marked = marked.withColumn(f"__{c}", F.when(F.size(at) % 2 == 1, at[half]).otherwise((at[half - 1] + at[half]) / 2))
     far = geo.haversine(F.col(f"__{lat}"), F.col(f"__{lon}"), F.col(lat), F.col(lon)) > far_m
     return marked.where((F.col("__n") < least) | ~far).drop("__n", f"__{lat}", f"__{lon}")
+
+
+def time_labels(df: DataFrame, keys: list[str], count: int, tz: str = "UTC", t: str = "t") -> DataFrame:
+    """Per key first_ts, last_ts, total_s (1 at least) over all of its series, and `count` + 1 even labels HH:MM between."""
+    r = df.groupBy(*keys).agg(F.min(t).alias("first_ts"), F.max(t).alias("last_ts"))
+    r = r.withColumn("total_s", F.greatest(F.col("last_ts") - F.col("first_ts"), F.lit(1)))
+    at = F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: F.floor(F.col("first_ts") + F.col("total_s") * i / count))
+    return r.withColumn("labels", F.transform(at, lambda x: F.date_format(F.from_utc_timestamp(F.timestamp_seconds(x), tz), "HH:mm")))

@@ -29,8 +29,24 @@ def replace_since(old: DataFrame, new: DataFrame, date: str) -> DataFrame:
     return kept.unionByName(new)
 
 
+def replace_children(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """`old` without the rows of any key that `new` has, then `new`: all children of a key are replaced together."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def rebuilt_tiles(old: DataFrame, new: DataFrame, done: DataFrame, tile: str = "tile_key") -> DataFrame:
+    """`old` with the tiles that were fetched replaced by what `new` has of them, nothing included; tiles that failed keep what they had.
+
+    done: a row a tile with `ok`. An error if none was fetched: a store isn't emptied because its source was away."""
+    ok = done.where("ok").select(tile).distinct()
+    if not ok.head(1):
+        raise RuntimeError("no tile was fetched; the old ones stay")
+    return old.join(ok, tile, "left_anti").select(*old.columns).unionByName(new.join(ok, tile, "left_semi").select(*old.columns))
+
+
 def save(df: DataFrame, path: str, parts: list[str] = ()) -> None:
-    """Writes a table beside `path` and swaps it in, so that a job which reads what it replaces never reads half of it."""
+    """Writes a table beside `path` and swaps it in, so that a job which reads what it replaces never reads half of it. The old table is renamed
+    aside first, and goes when the new one is in its place: a crash between leaves it there, at <path>.old."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
@@ -38,8 +54,13 @@ def save(df: DataFrame, path: str, parts: list[str] = ()) -> None:
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*parts) if parts else df.write
     writer.parquet(fresh)
-    fs.delete(of(path), True)
-    fs.rename(of(fresh), of(path))
+    aside = of(f"{path.rstrip('/')}.old")
+    if fs.exists(of(path)):
+        fs.delete(aside, True)
+        fs.rename(of(path), aside)
+    if not fs.rename(of(fresh), of(path)):
+        raise OSError(f"{path} can't be put in its place; the new table is at {fresh}")
+    fs.delete(aside, True)
 
 
 def load_versioned(df: DataFrame, version: str, column: str = "model_version") -> DataFrame:

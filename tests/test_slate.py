@@ -8,9 +8,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from daygrain.plans import days, slate
+from daygrain.plans import days, parts, slate
 
-QUERIES, ORACLES = slate.QUERIES | days.QUERIES, slate.ORACLES | days.ORACLES
+QUERIES, ORACLES = slate.QUERIES | days.QUERIES | parts.QUERIES, slate.ORACLES | days.ORACLES | parts.ORACLES
 
 
 def plain(df: pd.DataFrame) -> list:

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from daygrain.operators import joins, series, states
+from daygrain.operators import evaluation, joins, series, states
 from daygrain.plans.days import _messages
 from daygrain.plans.derived import fixes
 from daygrain.sources import feeds, sinks
@@ -104,3 +106,22 @@ def test_joins_on_small_tables(spark):
     assert sorted(r["fault"] for r in faults.collect()) == ["places_touch", "round_ride", "vehicles_touch"]
     st = spark.createDataFrame([(1, 0, 100, True), (1, 200, 300, True), (1, 50, 400, False)], "u long, start_ts long, end_ts long, inferred boolean")
     assert sorted((r["start_ts"], r["end_ts"]) for r in states.clip_future(st, F.lit(80)).collect()) == [(0, 80), (50, 400)]
+
+
+def test_tiles_and_saved_tables(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "tile_key string, v int")
+    new = spark.createDataFrame([("a", 9), ("c", 8)], "tile_key string, v int")
+    done = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "tile_key string, ok boolean")
+    assert sorted(map(tuple, sinks.rebuilt_tiles(old, new, done).collect())) == [("a", 9), ("c", 3)]
+    with pytest.raises(RuntimeError):
+        sinks.rebuilt_tiles(old, new, done.where("not ok"))
+    path = str(tmp_path / "t")
+    sinks.save(old, path)
+    sinks.save(spark.read.parquet(path).unionByName(new), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_verdicts(spark):
+    rows = spark.createDataFrame([("correct", True, True), ("correct", True, False), ("wrong", True, True), ("wrong", True, False), ("correct", False, True)], "status string, ok boolean, m boolean")
+    got = [r[0] for r in rows.select(evaluation.verdict(F.col("status"), F.col("ok"), F.col("m"))).collect()]
+    assert got == ["verified", "regressed", "cleared", "known-error", "unverified"]
