@@ -101,8 +101,8 @@ def merge_stays(segments: list[Segment], day: Day, gap_s: float = 300) -> list[S
                 out[-1] = joined(last, s)
                 continue
             if len(out) > 1 and still(out[-2]) and out[-2].get("place") == s["place"]:
-                minutes = max(1.0, length(last) / 60)
-                slow = not still(last) and length(last) <= 600 and (last.get("avg_speed") or 0) <= 2 and (last.get("steps") or 0) / minutes < 20
+                cadence = day.step_sum(last["start_ts"], last["end_ts"]) / (length(last) / 60) if length(last) > 0 else 0.0
+                slow = not still(last) and length(last) <= 600 and (last.get("avg_speed") or 0) <= 2 and cadence < 20
                 blind = last["mode"] == "unknown" and not last.get("points")
                 if slow or blind:
                     out.pop()
@@ -608,26 +608,30 @@ def run(segments: list[Segment], day: Day, passes: tuple = CASCADE) -> list[Segm
 TEXT, NUMBER = ("board", "alight", "line", "way_name"), ("avg_speed", "linearity", "confidence", "confidence_margin", "lat", "lon", "steps", "peak_cadence", "walking_minutes", "extent_m")
 
 
-def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple = CASCADE) -> DataFrame:
+def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple = CASCADE, focus: DataFrame | None = None) -> DataFrame:
     """Refined segments of each group (a user's day): start_ts, end_ts, mode, place, figures, labels, kinds. Days without segments give no row.
 
-    Three inputs meet by key in one cogroup each: a day's rows, not a table's. stations: those of the region, a list that the caller bounds."""
+    The inputs meet by key in one cogroup: a day's rows, not a table's. stations: those of the region, a list that the caller bounds. focus: keys, place,
+    lat, lon of the places that a user goes to."""
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
     place = kinds.get("place", "string")
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", start_ts long, end_ts long, mode string, place {place}, points long, " + ", ".join([*(f"{c} double" for c in NUMBER), *(f"{c} string" for c in TEXT)]) + ", kinds array<string>"
     stations = list(stations)
     from pyspark.sql import functions as F
 
-    both = fixes.select(*keys, "t", "lat", "lon", F.col("speed_kmh").cast("double").alias("speed_kmh"), F.lit(None).cast("double").alias("steps")).unionByName(
-        steps.select(*keys, "t", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("speed_kmh"), F.col("steps").cast("double").alias("steps"))
-    )
+    columns = {"t": "long", "lat": "double", "lon": "double", "speed_kmh": "double", "steps": "double", "focus": place}
+    side = lambda d, **told: d.select(*keys, *[told.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
+    both = side(fixes, **{c: F.col(c) for c in ("t", "lat", "lon", "speed_kmh")}).unionByName(side(steps, t=F.col("t"), steps=F.col("steps")))
+    if focus is not None:
+        both = both.unionByName(side(focus, lat=F.col("lat"), lon=F.col("lon"), focus=F.col("place")))
 
     def work(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         names = [n.strip().split(" ")[0] for n in schema.split(", ")]
         if not len(s):
             return pd.DataFrame(columns=names)
-        on = x.steps.notna()
-        day = Day(x[~on].sort_values("t")[["t", "lat", "lon", "speed_kmh"]], x[on].sort_values("t")[["t", "steps"]], stations)
+        at, on = x.focus.notna(), x.steps.notna()
+        known = {p: (y, z) for p, y, z in x[at][["focus", "lat", "lon"]].itertuples(index=False)}
+        day = Day(x[~on & ~at].sort_values("t")[["t", "lat", "lon", "speed_kmh"]], x[on].sort_values("t")[["t", "steps"]], stations, known)
         rows = json.loads(s.sort_values(["start_ts", "end_ts"]).drop(columns=keys).to_json(orient="records", double_precision=15))
         out = pd.DataFrame(run(rows, day))
         for k in keys:

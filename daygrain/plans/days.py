@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from daygrain.functions import geo
 from daygrain.operators import aggregates, evaluation, hsmm, joins, passes, places, segments, series, states, track, ways
-from daygrain.plans.derived import FX, SP, SPAN, events, fixes, hav, spans, spots
+from daygrain.plans.derived import FX, SP, SPAN, SPOTS, events, fixes, hav, spans, spots
 from daygrain.streaming import motion
 
 #: The driver's tracks are sparse, so windows are of a day here and of five minutes in production.
 WINDOW_S = 86_400
 KEYS = ["user_id"]
+#: A station at each spot, in turn of two lines and all of a third.
+STATIONS = [{"name": f"Halt {i}", "lat": 51.5 + i * 0.01, "lon": -0.1 + i * 0.015, "lines": ["Ring", "North" if i % 2 else "South"]} for i in range(SPOTS)]
 
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.drop("place").join(near.select("user_id", "start_ts", F.col("place_id").alias("place")), ["user_id", "start_ts"], "left")
     g = segments.transit_gaps(s, f, KEYS).select("user_id", "start_ts", "end_ts", "mode", "confidence", "avg_speed")
     both = s.unionByName(g, allowMissingColumns=True).fillna({"points": 0})
-    refined = passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh"), f.select("user_id", "t", "steps"), KEYS)
+    refined = passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh"), f.select("user_id", "t", "steps"), KEYS, STATIONS)
     night = F.floor(F.col("start_ts") / 86_400) * 86_400
     z = refined.select("user_id", night.alias("start_ts"), (night + 21_600).alias("end_ts")).distinct().withColumn("place", F.lit(None).cast("long"))
     return states.day_states(refined.select("user_id", "start_ts", "end_ts", "mode", "place"), z, KEYS)
