@@ -88,7 +88,7 @@ def served_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FX}, w AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'stationary' WHEN 'click' THEN 'walking' WHEN 'purchase' THEN 'driving' WHEN 'signup' THEN 'train' ELSE 'unknown' END AS mode, steps * 30 AS steps,
   CASE WHEN lag(t) OVER o IS NOT NULL AND lead(t) OVER o IS NOT NULL THEN {hav('lag(lat) OVER o', 'lag(lon) OVER o', 'lead(lat) OVER o', 'lead(lon) OVER o')} END AS m, greatest(0, lead(t) OVER o - lag(t) OVER o - 1800) / 60.0 AS slop FROM fx WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)),
 p AS (SELECT *, CASE mode WHEN 'stationary' THEN 0.0 WHEN 'walking' THEN steps * 0.75 WHEN 'driving' THEN 11000.0 WHEN 'train' THEN 14000.0 END::DOUBLE AS predicted, CASE mode WHEN 'stationary' THEN 200.0 WHEN 'walking' THEN greatest(steps * 0.3, 200.0) WHEN 'driving' THEN 6000.0 WHEN 'train' THEN 7000.0 END::DOUBLE AS sigma FROM w)
-SELECT event_id, round(CASE WHEN m IS NULL OR predicted IS NULL THEN 0.0 ELSE greatest(-6.0, -0.5 * pow(m - predicted, 2) / (sigma * sigma + pow(500 * slop, 2))) END, 6) AS nats FROM p""")
+SELECT event_id, CASE WHEN nats > -5e-7 THEN 0.0 ELSE round(nats, 6) END::DOUBLE AS nats FROM (SELECT event_id, CASE WHEN m IS NULL OR predicted IS NULL THEN 0.0 ELSE greatest(-6.0, -0.5 * pow(m - predicted, 2) / (sigma * sigma + pow(500 * slop, 2))) END AS nats FROM p)""")
 def segment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half an hour about each event as a segment of a mode, held against the way between the events before and after it."""
     from pyspark.sql import Window
@@ -99,7 +99,8 @@ def segment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = joins.geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.lead("lat").over(w), F.lead("lon").over(w))
     slop = F.greatest(F.lit(0), F.lead("t").over(w) - F.lag("t").over(w) - 1800)
     f = f.select("event_id", mode.alias("mode"), (F.col("steps") * 30).alias("steps"), m.alias("m"), F.when(F.lag("t").over(w).isNotNull() & F.lead("t").over(w).isNotNull(), slop).alias("slop"))
-    return f.select("event_id", F.round(hsmm.segment_evidence(F.col("mode"), F.col("m"), F.col("slop"), F.col("steps"), F.lit(1800.0)), 6).alias("nats"))
+    nats = hsmm.segment_evidence(F.col("mode"), F.col("m"), F.col("slop"), F.col("steps"), F.lit(1800.0))
+    return f.select("event_id", nats.alias("nats")).withColumn("nats", F.when(F.col("nats") > -5e-7, 0.0).otherwise(F.round("nats", 6)))  # no zero has a sign
 
 
 RIDES = """r AS (SELECT user_id, start_ts, end_ts, CASE event_type WHEN 'view' THEN 'train' ELSE 'bus' END AS mode, spot, event_type FROM span WHERE event_type IN ('view', 'click')),
