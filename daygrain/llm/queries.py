@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over whole tables, by name, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over whole tables, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash
+from daygrain.llm import alignment, langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash
 from daygrain.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_lattice": op10_lattice,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op6_source_mix": r"""
