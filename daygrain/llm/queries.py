@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import alignment, langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash
+from daygrain.llm import alignment, langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash, superkmers
 from daygrain.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near(table(spark, sf_dir, "embeddings"))
 
 
+def op11_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_secret_scan": op9_secret_scan,
     "op10_lattice": op10_lattice,
+    "op11_superkmers": op11_superkmers,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
@@ -86,4 +91,14 @@ r AS (SELECT *, sum(size) OVER (ORDER BY finish, doc_id, size, epoch ROWS BETWEE
   (SELECT floor(sum(target) + 0.25) FROM s) AS budget FROM e)
 SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, budget - (run - size))))::BIGINT AS taken
 FROM r GROUP BY doc_id, size, source_size, target""",
+    "op11_superkmers": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, len(ws)::BIGINT AS n_words, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+v AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+hit AS (SELECT v.doc_id, v.i FROM v JOIN (SELECT g, min(doc_id) AS least FROM v GROUP BY g) f USING (g) WHERE v.doc_id > f.least),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, (SELECT unnest(range(13)) AS j)),
+k AS (SELECT w.doc_id, count(gone.i)::BIGINT AS n_removed, string_agg(w.word, ' ' ORDER BY w.i) FILTER (gone.i IS NULL) AS kept
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
 }
