@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daygrain.llm import alignment, langid, lattice, lm, minhash, mixing, packing, quality, records, secrets, simhash, superkmers
+from daygrain.llm import alignment, langid, lattice, lm, minhash, mixing, packing, phrases, quality, records, secrets, simhash, superkmers
 from daygrain.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_lattice": op10_lattice,
     "op11_superkmers": op11_superkmers,
+    "op12_phrases": op12_phrases,
     "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
@@ -101,4 +106,20 @@ k AS (SELECT w.doc_id, count(gone.i)::BIGINT AS n_removed, string_agg(w.word, '
   FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op12_phrases": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.*, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1 : k], ' ') AS y FROM c, (VALUES (1), (2)) v(cut) WHERE cut < k),
+scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, fx.a AS l, fy.a AS r, (1000000::HUGEINT * cuts.a * cuts.a) // (fx.a * fy.a) AS score,
+  row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (1000000::HUGEINT * cuts.a * cuts.a) // (fx.a * fy.a), cut) AS nth
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = cuts.x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = cuts.y),
+held AS (SELECT lang, part, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY lang, part),
+kept AS (SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.part = s.phrase WHERE s.nth = 1 AND (h.longest IS NULL OR 100 * h.longest < 50 * s.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT o.lang, o.rank::BIGINT AS rank, o.phrase, o.a::BIGINT AS a, o.l::BIGINT AS l, o.r::BIGINT AS r, n.n, o.score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000""",
 }
