@@ -32,7 +32,9 @@ from daygrain.llm.common import held, mapped, ship, slices, staged, strings, tex
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose distinct units are aligned at a time, and units that the tokenizers are asked for in one call.
-BATCH_BYTES, ASKED = 6 << 20, 1 << 13
+BATCH_BYTES, ASKED = 6 << 20, 1 << 14
+#: Aligned units that a worker keeps, about 120 bytes each; beyond it the half that was asked for last stays.
+MOST_KEPT = 800_000
 #: Memory of a task's DuckDB; its tables are those of one batch.
 DUCKDB_MEMORY = "400MB"
 #: A unit ends before a space or line feed that stands alone between two characters that aren't white space of any kind.
@@ -55,6 +57,11 @@ READS = {
 }
 
 
+#: Units of which the ids are surely told by the spaces that they begin with: a space and letters or signs, neither more white space nor the sign for it.
+PLAIN = "^ [^\\s\\p{Z}\\p{C}▁]+$"
+UNITS = pa.schema([("unit", pa.string()), ("ok", pa.bool_()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_overlaps")), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+
+
 class Vocabulary:
     """Each id's bytes, by id."""
 
@@ -93,6 +100,8 @@ class Pair:
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.b_words = Vocabulary([bytes([int(p[3:5], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces])
         self.space = self.b.piece_to_id("▁")
+        self.a_bound, self.b_bound = (pc.starts_with(w.entries, b" ").to_numpy(zero_copy_only=False) for w in (self.a_words, self.b_words))
+        self.known, self.asked, self.turn = UNITS.empty_table(), np.zeros(0, np.int32), 0
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
 
     def _a_ids(self, units: list[str]) -> list[list[int]]:
@@ -103,6 +112,28 @@ class Pair:
         found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return [x if u[0] == " " else x[1:] if x[:1] == [self.space] else [] for u, x in zip(units, found, strict=True)]
 
+    def _jointly(self, ids: np.ndarray, bound: np.ndarray, n: int) -> np.ndarray | None:
+        """How many ids each of n units has, which were encoded as one text; None unless as many ids begin with a space as there are units. Each unit has one
+        such id at least, its first, so that none has more then."""
+        begins = np.flatnonzero(bound[ids])
+        return np.diff(np.append(begins, len(ids))) if len(begins) == n else None
+
+    def _ids(self, units: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each side's ids of units, one after the other, and how many each has. Units of a space and a word are asked for in one text."""
+        plain = pc.match_substring_regex(units, PLAIN).to_numpy(zero_copy_only=False)
+        if plain.all() and len(units):
+            text = "".join(units.to_pylist())
+            ids = [np.asarray(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.asarray(self.b.encode(text[1:], num_threads=1), np.int64)]
+            counts = [self._jointly(x, bound, len(units)) for x, bound in zip(ids, (self.a_bound, self.b_bound), strict=True)]
+            if all(n is not None for n in counts):
+                return ids, counts
+        listed, ids, counts = units.to_pylist(), [], []
+        for ask in (self._a_ids, self._b_ids):
+            some = ask(listed)
+            counts.append(np.fromiter(map(len, some), np.int64, len(some)))
+            ids.append(np.fromiter((x for one in some for x in one), np.int64, int(counts[-1].sum())))
+        return ids, counts
+
     def _groups(self, sides: list[np.ndarray]) -> dict[str, pa.Table]:
         """What READS tells of the tokens of both sides, whose bytes are the same."""
         for name, ids, words in zip("ab", sides, (self.a_words, self.b_words), strict=True):
@@ -115,18 +146,33 @@ class Pair:
             self.db.unregister(name)
         return out
 
-    def align(self, units: pa.Array) -> dict[str, np.ndarray | pa.Array]:
+    def align(self, units: pa.Array) -> pa.Table:
         """Per unit, in order: ok (both sides' bytes are the unit's), n_a, n_b, n_groups, n_overlaps, groups, links (A's id << 32 | B's). Nothing where not ok."""
-        listed = units.to_pylist()
-        sides, counts = [], []
-        for ask in (self._a_ids, self._b_ids):
-            found, n = [], []
-            for i in range(0, len(listed), ASKED):
-                some = ask(listed[i : i + ASKED])
-                n.append(np.fromiter(map(len, some), np.int64, len(some)))
-                found.append(np.fromiter((x for ids in some for x in ids), np.int64, int(n[-1].sum())))
-            sides.append(np.concatenate(found))
-            counts.append(np.concatenate(n))
+        self.turn += 1
+        at = pc.index_in(units, value_set=self.known.column("unit").combine_chunks())
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.known) + np.arange(len(new))
+        if len(new):
+            some = units.take(pa.array(new))
+            plain = pc.match_substring_regex(some, PLAIN)
+            first = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")  # plain ones first, so that they are asked for together
+            at[new[first]] = len(self.known) + np.arange(len(new))
+            some = some.take(pa.array(first))
+            cut = int(pc.sum(plain).as_py())
+            bounds = [*range(0, cut, ASKED), *range(cut, len(some), ASKED), len(some)]
+            parts = [self.known, *(self._aligned(some.slice(i, j - i)) for i, j in zip(bounds[:-1], bounds[1:], strict=True))]
+            self.known = pa.concat_tables(parts).combine_chunks()
+            self.asked = np.append(self.asked, np.zeros(len(new), np.int32))
+        self.asked[at] = self.turn
+        out = self.known.take(pa.array(at)).combine_chunks()
+        if len(self.known) > MOST_KEPT:
+            stay = np.sort(np.argsort(self.asked, kind="stable")[-(MOST_KEPT // 2) :])
+            self.known, self.asked = self.known.take(pa.array(stay)).combine_chunks(), self.asked[stay]
+        return out
+
+    def _aligned(self, units: pa.Array) -> pa.Table:
+        sides, counts = self._ids(units)
         ok = self._same(units, sides, counts)
         sides = [ids[np.repeat(ok, n)] for ids, n in zip(sides, counts, strict=True)]
         n_a, n_b = (np.where(ok, n, 0) for n in counts)
@@ -142,7 +188,7 @@ class Pair:
         offsets = pa.array(np.append(0, np.cumsum(n_groups)).astype(np.int32))
         groups = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.binary_join_element_wise(*told, "|")), ";")
         n_overlaps = _sums(got["overlaps"].column("n").to_numpy(), np.cumsum(n_groups))
-        return {"ok": ok, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_overlaps": n_overlaps, "groups": groups, "links": pa.ListArray.from_arrays(offsets, pa.array(links))}
+        return pa.table([units, ok, n_a, n_b, n_groups, n_overlaps, groups, pa.ListArray.from_arrays(offsets, pa.array(links))], UNITS)
 
     def _same(self, units: pa.Array, sides: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
         """Whether the tokens' bytes of both sides are the unit's own."""
@@ -228,14 +274,15 @@ def _rows(pair: Pair, texts: pa.Array, whole: bool) -> dict[str, pa.Array]:
     told = units.flatten().dictionary_encode()
     found, of = pair.align(told.dictionary), told.indices.to_numpy()
     ends = np.cumsum(pc.list_value_length(units).to_numpy())
-    ok = _sums(~found["ok"][of], ends) == 0
-    out = {c: pa.array(np.where(ok, _sums(found[c][of], ends), 0)) for c in NUMBERS}
-    groups = pc.binary_join(pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), found["groups"].take(told.indices)), ";")
+    column = lambda c: found.column(c).to_numpy()
+    ok = _sums(~column("ok")[of], ends) == 0
+    out = {c: pa.array(np.where(ok, _sums(column(c)[of], ends), 0)) for c in NUMBERS}
+    groups = pc.binary_join(pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), found.column("groups").combine_chunks().take(told.indices)), ";")
     if whole:
         out["groups"] = pc.if_else(pa.array(ok), groups, "")
     else:
         out["groups"] = pa.array([hashlib.sha256(g.as_buffer()).hexdigest() if k else "" for g, k in zip(groups, ok, strict=True)])
-    lists = found["links"]
+    lists = found.column("links").combine_chunks()
     codes, local = np.unique(lists.flatten().to_numpy(), return_inverse=True)
     first, n = lists.offsets.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
