@@ -78,10 +78,9 @@ def cluster_stats(stays: DataFrame, keys: list[str], centre: DataFrame) -> DataF
     (22 to 7 local) and weekday day share (9 to 17). stays: start_ts, end_ts, lat, lon, local_shift_s; centre: keys, c_lat, c_lon."""
     d = geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))
     s = stays.join(centre, keys).withColumn("__d", d).withColumn("__s", F.col("start_ts") + F.col("local_shift_s"))
-    ranked = F.array_sort(F.collect_list("__d"))
     base = s.groupBy(*keys).agg(
         F.sum(F.col("end_ts") - F.col("start_ts")).alias("dwell_s"), F.count("*").alias("visits"), F.countDistinct(F.floor(F.col("__s") / 86_400)).alias("days"),
-        F.min("start_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"), F.element_at(ranked, F.greatest(F.lit(1), F.ceil(F.lit(0.9) * F.count("*")).cast("int"))).alias("radius_m"),
+        F.min("start_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY __d)").alias("radius_m"),
     )
     at = s.select(*keys, F.explode(F.sequence("__s", F.col("end_ts") + F.col("local_shift_s"), F.lit(1800).cast("long"))).alias("__at"))
     hour = F.pmod(F.floor(F.col("__at") / 3600), F.lit(24))

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from daygrain.cluster import ship
+
 
 def width(df: DataFrame) -> int:
     """Partitions for a kernel: the session's shuffle partitions, or its cores where those are more."""
@@ -19,7 +21,9 @@ def width(df: DataFrame) -> int:
 
 
 def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a key together, keys over all of the session's partitions. A groupBy on the keys needs no further shuffle."""
+    """Rows of a key together, keys over all of the session's partitions. A groupBy on the keys needs no further shuffle. What follows is a kernel,
+    so executors get this package."""
+    ship(df.sparkSession)
     return df.repartition(width(df), *keys)
 
 

@@ -337,15 +337,15 @@ p AS (SELECT e.event_id, e.t, u.t AS ot, row_number() OVER (PARTITION BY e.event
 SELECT e.event_id, p.ot AS near_t FROM e LEFT JOIN p ON e.event_id = p.event_id AND k = 1""")
 def nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir)
-    return joins.nearest_in_time(fixes(spark, sf_dir).select("event_id", "user_id", "t"), o, ["user_id"], "t", ["o_orderkey"], 21_600, "tie").select("event_id", "near_t")
+    return joins.nearest_in_time(fixes(spark, sf_dir).select("event_id", "user_id", "t"), o, ["user_id"], "t", ["o_orderkey"], 21_600, "o_orderkey").select("event_id", "near_t")
 
 
-@query(f"""WITH {FX}, {SPAN}, hr AS (SELECT user_id, t, bpm FROM fx WHERE event_id % 2 = 0)
+@query(f"""WITH {FX}, {SPAN}, hr AS (SELECT user_id, t, bpm FROM fx)
 SELECT s.event_id, round(avg(bpm), 1) AS hr_mean, min(bpm) AS hr_min, max(bpm) AS hr_max, round(stddev_pop(bpm), 1) AS hr_std FROM span s LEFT JOIN hr ON s.user_id = hr.user_id AND hr.t BETWEEN s.start_ts AND s.end_ts GROUP BY 1""")
 def interval_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heart rates of each span, both ends included."""
     s = spans(spark, sf_dir)
-    hr = fixes(spark, sf_dir).where("event_id % 2 = 0").select("user_id", "t", "bpm")
+    hr = fixes(spark, sf_dir).select("user_id", "t", "bpm")
     p = joins.in_interval(hr, s, ["user_id"], how="left")
     return p.groupBy("event_id").agg(F.round(F.avg("bpm"), 1).alias("hr_mean"), F.min("bpm").alias("hr_min"), F.max("bpm").alias("hr_max"), F.round(F.stddev_pop("bpm"), 1).alias("hr_std"))
 
@@ -360,13 +360,13 @@ def overlap_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlapping(s, z, ["user_id"]).groupBy("user_id", "spot").agg(F.sum("overlap_s").alias("sleep_s"))
 
 
-@query(f"""WITH {FX}, a AS (SELECT user_id, t // 3600 AS h, round(avg(bpm), 6) AS bpm FROM fx WHERE event_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT user_id, t // 3600 AS h, sum(steps)::BIGINT AS steps FROM fx WHERE event_id % 3 = 0 GROUP BY 1, 2)
+@query(f"""WITH {FX}, a AS (SELECT user_id, t // 3600 AS h, round(avg(bpm), 6) AS bpm FROM fx WHERE event_type <> 'purchase' GROUP BY 1, 2), b AS (SELECT user_id, t // 3600 AS h, sum(steps)::BIGINT AS steps FROM fx WHERE event_type <> 'click' GROUP BY 1, 2)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.h, b.h) AS h, bpm, coalesce(steps, 0) AS cadence FROM a FULL JOIN b ON a.user_id = b.user_id AND a.h = b.h""")
 def grid_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of time from two streams; missing cadence counts as 0."""
+    """A grid of time from two streams, told apart by the type of event; missing cadence counts as 0."""
     f = fixes(spark, sf_dir).withColumn("h", F.floor(F.col("t") / 3600))
-    a = f.where("event_id % 2 = 0").groupBy("user_id", "h").agg(F.round(F.avg("bpm"), 6).alias("bpm"))
-    b = f.where("event_id % 3 = 0").groupBy("user_id", "h").agg(F.sum("steps").alias("steps"))
+    a = f.where("event_type <> 'purchase'").groupBy("user_id", "h").agg(F.round(F.avg("bpm"), 6).alias("bpm"))
+    b = f.where("event_type <> 'click'").groupBy("user_id", "h").agg(F.sum("steps").alias("steps"))
     return a.join(b, ["user_id", "h"], "full").select("user_id", "h", "bpm", F.coalesce("steps", F.lit(0)).alias("cadence"))
 
 
@@ -429,21 +429,23 @@ def two_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(last, out["c_custkey"] == last["o_custkey"], "left").select("c_custkey", "first_priority", "last_status")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')")
 def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Customers without an urgent order that is open."""
+    c, o = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
-@query("""WITH old AS (SELECT user_id, event_id % 50 AS k, min(value) AS v, NULL::VARCHAR AS tz FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), new AS (SELECT user_id, event_id % 50 AS k, max(value) AS v, 'UTC' AS tz FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+@query("""WITH old AS (SELECT user_id, event_id % 50 AS k, min(value) AS v, NULL::VARCHAR AS tz FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2), new AS (SELECT user_id, event_id % 50 AS k, max(value) AS v, 'UTC' AS tz FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2)
 SELECT coalesce(old.user_id, new.user_id) AS user_id, coalesce(old.k, new.k) AS k, coalesce(new.v, old.v) AS v, coalesce(old.tz, new.tz) AS tz FROM old FULL JOIN new ON old.user_id = new.user_id AND old.k = new.k""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New values replace old ones; a time zone that is known stays."""
+    """The second half of the month put over the first: new values replace old ones; a time zone that is known stays."""
     from daygrain.sources.sinks import upserted
 
     e = events(spark, sf_dir).withColumn("k", F.col("event_id") % 50)
-    old = e.where("event_id % 2 = 0").groupBy("user_id", "k").agg(F.min("value").alias("v")).withColumn("tz", F.lit(None).cast("string"))
-    new = e.where("event_id % 3 = 0").groupBy("user_id", "k").agg(F.max("value").alias("v")).withColumn("tz", F.lit("UTC"))
+    mid = F.lit("2024-01-15").cast("timestamp_ntz")
+    old = e.where(F.col("ts") < mid).groupBy("user_id", "k").agg(F.min("value").alias("v")).withColumn("tz", F.lit(None).cast("string"))
+    new = e.where(F.col("ts") >= mid).groupBy("user_id", "k").agg(F.max("value").alias("v")).withColumn("tz", F.lit("UTC"))
     return upserted(old, new, ["user_id", "k"], first_writer=["tz"])
 
 
@@ -486,14 +488,14 @@ def mode_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.score_windows(v).select("event_id", "mode", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"""WITH {FX}, {SPAN}, s AS (SELECT user_id, start_ts, end_ts, event_type AS mode, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, end_ts) AS rn FROM span WHERE event_id % 2 = 0),
+@query(f"""WITH {FX}, {SPAN}, s AS (SELECT user_id, start_ts, end_ts, event_type AS mode, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, end_ts) AS rn FROM span WHERE event_type <> 'view'),
 g AS (SELECT user_id, end_ts AS start_ts, lead(start_ts) OVER w AS end_ts FROM s WINDOW w AS (PARTITION BY user_id ORDER BY start_ts, end_ts)), l AS (SELECT * FROM g WHERE end_ts - start_ts >= 180),
 u AS (SELECT user_id, t, arg_max(lat, lpad(event_id::VARCHAR, 20, '0')) AS hi_lat, arg_max(lon, event_id) AS hi_lon, arg_min(lat, event_id) AS lo_lat, arg_min(lon, event_id) AS lo_lon FROM fx GROUP BY 1, 2),
 a AS (SELECT l.*, u.hi_lat AS alat, u.hi_lon AS alon FROM l ASOF LEFT JOIN u ON l.user_id = u.user_id AND l.start_ts >= u.t), b AS (SELECT a.*, u.lo_lat AS blat, u.lo_lon AS blon FROM a ASOF LEFT JOIN u ON a.user_id = u.user_id AND a.end_ts <= u.t),
 d AS (SELECT *, {hav('alat', 'alon', 'blat', 'blon')} AS dm FROM b), v AS (SELECT *, dm / (end_ts - start_ts) * 3.6 AS kmh FROM d WHERE dm >= 200)
 SELECT user_id, start_ts, end_ts, CASE WHEN kmh < 1.5 AND end_ts - start_ts >= 1800 THEN 'unknown' WHEN kmh < 7 THEN 'walking' WHEN kmh >= 120 THEN 'train' ELSE 'driving' END AS mode, round(kmh, 1) AS avg_speed FROM v""")
 def transit_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir).where("event_id % 2 = 0").withColumn("mode", F.col("event_type"))
+    s = spans(spark, sf_dir).where("event_type <> 'view'").withColumn("mode", F.col("event_type"))
     f = fixes(spark, sf_dir).withColumn("tie", F.lpad(F.col("event_id").cast("string"), 20, "0"))
     one = f.groupBy("user_id", "t").agg(F.max_by(F.struct("lat", "lon"), "tie").alias("hi"), F.min_by(F.struct("lat", "lon"), "tie").alias("lo"))
     # At one instant the later fix ends a stay and the earlier begins the next; instants are distinct after this.
@@ -546,14 +548,14 @@ def emission_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", *told)
 
 
-@query(f"""WITH {FX}, s AS (SELECT user_id, t, CASE WHEN event_type IN ('click', 'view') THEN 'stationary' ELSE 'walking' END AS mode, CASE WHEN spot % 2 = 0 THEN 'stationary' ELSE 'walking' END AS true_mode FROM fx WHERE event_id % 5 <> 0)
-SELECT true_mode, mode, count(*) AS minutes FROM (SELECT DISTINCT user_id, t // 60 AS m, arg_max(true_mode, t) OVER (PARTITION BY user_id, t // 60) AS true_mode, arg_max(mode, t) OVER (PARTITION BY user_id, t // 60) AS mode FROM s) GROUP BY 1, 2""")
+@query(f"""WITH {FX}, s AS (SELECT user_id, t, CASE WHEN event_type IN ('click', 'view') THEN 'stationary' ELSE 'walking' END AS mode, CASE WHEN spot % 2 = 0 THEN 'stationary' ELSE 'walking' END AS true_mode, event_id FROM fx)
+SELECT true_mode, mode, count(*) AS minutes FROM (SELECT user_id, t // 60 AS m, arg_max(true_mode, (t, event_id)) AS true_mode, arg_max(mode, (t, event_id)) AS mode FROM s GROUP BY 1, 2) GROUP BY 1, 2""")
 def score_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes by true and decoded mode."""
-    f = fixes(spark, sf_dir).where("event_id % 5 <> 0").withColumn("m", F.floor(F.col("t") / 60))
+    f = fixes(spark, sf_dir).withColumn("m", F.floor(F.col("t") / 60))
     mode = F.when(F.col("event_type").isin("click", "view"), "stationary").otherwise("walking")
     true = F.when(F.col("spot") % 2 == 0, "stationary").otherwise("walking")
-    one = f.groupBy("user_id", "m").agg(F.max_by(F.struct(mode.alias("mode"), true.alias("true_mode")), "t").alias("s"))
+    one = f.groupBy("user_id", "m").agg(F.max_by(F.struct(mode.alias("mode"), true.alias("true_mode")), F.struct("t", "event_id")).alias("s"))
     s = one.select("user_id", (F.col("m") * 60).alias("start_ts"), (F.col("m") * 60 + 60).alias("end_ts"), "s.*")
     grid = s.select("user_id", F.col("start_ts").alias("t"))
     return evaluation.confusion(s.select("user_id", "start_ts", "end_ts", "mode"), s.select("user_id", "start_ts", "end_ts", F.col("true_mode").alias("mode")), ["user_id"], grid)

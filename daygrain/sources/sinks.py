@@ -37,10 +37,10 @@ def replace_children(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 def rebuilt_tiles(old: DataFrame, new: DataFrame, done: DataFrame, tile: str = "tile_key") -> DataFrame:
     """`old` with the tiles that were fetched replaced by what `new` has of them, nothing included; tiles that failed keep what they had.
 
-    done: a row a tile with `ok`. An error if none was fetched: a store isn't emptied because its source was away."""
+    done: a row a tile with `ok`. The table's own job fails if none was fetched: a store isn't emptied because its source was away."""
+    none = F.raise_error(F.lit("no tile was fetched; the old ones stay")).cast("boolean")
+    old = old.where(F.when(done.agg(F.max("ok")).scalar(), F.lit(True)).otherwise(none))
     ok = done.where("ok").select(tile).distinct()
-    if not ok.head(1):
-        raise RuntimeError("no tile was fetched; the old ones stay")
     return old.join(ok, tile, "left_anti").select(*old.columns).unionByName(new.join(ok, tile, "left_semi").select(*old.columns))
 
 
@@ -55,6 +55,7 @@ def save(df: DataFrame, path: str, parts: list[str] = ()) -> None:
     writer = df.write.partitionBy(*parts) if parts else df.write
     writer.parquet(fresh)
     aside = of(f"{path.rstrip('/')}.old")
+    _restore(spark, path)
     if fs.exists(of(path)):
         fs.delete(aside, True)
         fs.rename(of(path), aside)
@@ -63,6 +64,15 @@ def save(df: DataFrame, path: str, parts: list[str] = ()) -> None:
     fs.delete(aside, True)
 
 
+def _restore(spark: SparkSession, path: str) -> None:
+    """Puts the table that a crash in save() left aside back, where none is in its place."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, aside = of(path), of(f"{path.rstrip('/')}.old")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(aside) and not fs.exists(here) and not fs.rename(aside, here):
+        raise OSError(f"{path}.old can't be put back")
+
+
 def load_versioned(df: DataFrame, version: str, column: str = "model_version") -> DataFrame:
     """Results of the current version; stale ones count as missing."""
     return df.where(F.col(column) == version).drop(column)
@@ -70,6 +80,7 @@ def load_versioned(df: DataFrame, version: str, column: str = "model_version") -
 
 def cursor(spark: SparkSession, path: str, key: str) -> str | None:
     """A stored cursor, or None."""
+    _restore(spark, path)
     try:
         row = spark.read.parquet(path).where(F.col("key") == key).select("value").first()
     except Exception as e:  # a table that isn't there yet
@@ -80,6 +91,7 @@ def cursor(spark: SparkSession, path: str, key: str) -> str | None:
 
 
 def put_cursor(spark: SparkSession, path: str, key: str, value: str) -> None:
+    _restore(spark, path)
     new = spark.createDataFrame([(key, value)], "key string, value string")
     try:
         old = spark.read.parquet(path).where(F.col("key") != key)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from daygrain.cluster import ship
 from daygrain.operators import groups
 from daygrain.operators.track import haversine
 
@@ -96,6 +97,7 @@ def motion_stream(messages: DataFrame, idle: str | None = "1 day") -> DataFrame:
     """The same over a stream, in order of arrival between micro-batches and of time within one. A device's state is ten minutes of fixes and three
     values; it goes when no message came for `idle` (None: it stays, and a bounded run can end), and begins with the fixes of seeded(), where
     the messages have them."""
+    ship(messages.sparkSession)
     wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     begins = "seed_t" in messages.columns
 
