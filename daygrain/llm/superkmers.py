@@ -23,16 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from daygrain.llm.common import mapped, ship, slices, staged, text_column
+from daygrain.llm.common import give_back, mapped, ship, slices, staged, text_column
 
 #: Bytes of packed strings that a task gathers before it deals them to buckets, and that a bucket puts together at a time.
-CHUNK_BYTES, FOLD_BYTES = 24 << 20, 48 << 20
+CHUNK_BYTES, FOLD_BYTES = 16 << 20, 12 << 20
 #: Bytes of words that are hashed at a time.
 HASHED = 1 << 20
 #: Cells in which trigrams are counted, and cells that travel as one row.
 CELLS, BLOCK = 1 << 22, 1 << 12
-#: Most partitions of buckets.
-MOST_PARTS = 20_000
+#: Buckets that a task takes one after the other, and most tasks.
+TOGETHER, MOST_PARTS = 4, 20_000
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 TOP = np.uint64(1 << 63)
 
@@ -45,7 +45,7 @@ class Settings:
 
     window: int = 13
     gram: int = 3
-    bucket: int = 1 << 18
+    bucket: int = 1 << 16
     hot: int = 1 << 18
 
 
@@ -364,6 +364,8 @@ def _runs(dealt: DataFrame, settings: Settings, parts: int, textual: bool) -> Da
                     if bucket is not None:
                         yield from rows(bucket.add(held))
                         yield from rows(bucket.end())
+                        bucket = None
+                        give_back()
                     now, bucket, held, size = b, Bucket(settings, textual), [], 0
                 blob = blob.as_py()
                 held.append(blob)
@@ -387,7 +389,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     words, hot = _hot(rows, settings)
     buckets = max(1, -(-2 * words // ((settings.window - settings.gram + 2) * settings.bucket)))
     dealt = _dealt(rows.select("key", "check", "text"), settings, buckets, hot, textual)
-    runs = staged(_runs(dealt, settings, min(buckets, MOST_PARTS), textual), "runs")
+    runs = staged(_runs(dealt, settings, min(-(-buckets // TOGETHER), MOST_PARTS), textual), "runs")
     runs = runs.groupBy("key", "check").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # no more than a document has windows
     return rows.join(runs, ["key", "check"], "left").select("doc_id", "text", "runs")
 
