@@ -41,6 +41,15 @@ def to_segment(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Colum
     return to_segment_deg(F.lit(0.0), F.lit(0.0), (lon1 - lon + first) * k, (lat1 - lat) * M_PER_DEGREE, (lon2 - lon + first + around(lon2 - lon1)) * k, (lat2 - lat) * M_PER_DEGREE)
 
 
+def share_along(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Where on a line segment the nearest point to a point lies, 0 to 1, on the plane that touches at the point."""
+    k = F.cos(F.radians(lat)) * M_PER_DEGREE
+    ax, ay = (lon1 - lon + around(lon1 - lon)) * k, (lat1 - lat) * M_PER_DEGREE
+    dx, dy = (lon2 - lon1 + around(lon2 - lon1)) * k, (lat2 - lat1) * M_PER_DEGREE
+    n = dx * dx + dy * dy
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / n))).otherwise(0.0)
+
+
 def around(d: Column) -> Column:
     """What a difference of longitudes lacks to the shorter way around: 0, or 360 with its sign turned."""
     return F.when(F.abs(d) <= 180, 0.0).otherwise(-360.0 * F.signum(d))

@@ -131,13 +131,17 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -
     return path
 
 
-def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray) -> np.ndarray:
+#: segment(t, d): nats of the segments that end before step t and have the lengths d, as [days or 1, lengths, states].
+Segments = Callable[[int, np.ndarray], np.ndarray]
+
+
+def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray, segment: Segments | None = None) -> np.ndarray:
     """The best segmentation of each day of [days, steps, states], or of one day of [steps, states]: each segment of state s and length d
-    adds its emissions, its duration, and the way in from another state.
+    adds its emissions, its duration, what `segment` tells of it as a whole, and the way in from another state.
 
     Longer stays than the table tells are chained from the same state without a cost of entry. Ties keep the first."""
     if emission.ndim == 2:
-        return semi_viterbi(emission[None], transition, duration, initial)[0]
+        return semi_viterbi(emission[None], transition, duration, initial, segment)[0]
     b, n, s = emission.shape
     most = min(duration.shape[1], n)
     path = np.zeros((b, n), int)
@@ -154,6 +158,8 @@ def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndar
     for t in range(1, n + 1):
         d = np.arange(1, min(most, t) + 1)
         c = entry[:, t - d] - cum[:, t - d] + duration[:, d - 1].T
+        if segment is not None:
+            c = c + segment(t, d)
         k = c.argmax(1)
         best[:, t] = np.take_along_axis(c, k[:, None], 1)[:, 0] + cum[:, t]
         length[:, t] = d[k]
@@ -241,16 +247,9 @@ def over_days(rows: DataFrame, keys: list[str], step: str, out: str, work: Calla
     return sorted_.mapInArrow(run, out)
 
 
-def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60) -> DataFrame:
-    """Segments of each group's observations: start_ts, end_ts, mode, place.
-
-    observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
-    before and after ask for to be there) and entry_<place> (nats of entering it, which the day's first step is weighed by). A null
-    says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
-    space = states(list(places), [])
-    way, long = transitions(space), durations(space, step_s=step_s)
-    has = set(observed.columns)
-    told = []
+def state_emissions(observed: DataFrame, space: list[State], keys: list[str], step: str) -> list[Column]:
+    """The nats of each state at each step, from the columns that the observations have."""
+    has, told = set(observed.columns), []
     for s in space:
         e = mode_emission(s.mode, F.col("speed_kmh"), F.col("hr"), F.col("cadence"))
         if "in_bed" in has:
@@ -265,6 +264,18 @@ def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: s
         elif s.mode == "stationary":
             e = e - 2.0
         told.append(e)
+    return told
+
+
+def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60) -> DataFrame:
+    """Segments of each group's observations: start_ts, end_ts, mode, place.
+
+    observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
+    before and after ask for to be there) and entry_<place> (nats of entering it, which the day's first step is weighed by). A null
+    says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
+    space = states(list(places), [])
+    way, long = transitions(space), durations(space, step_s=step_s)
+    told = state_emissions(observed, space, keys, step)
     rows = observed.select(*keys, F.col(step).cast("long").alias(step), F.array(*told).alias("emission"))
     begin = np.full(len(space), -math.log(len(space)))
     modes, spots = np.asarray([s.mode for s in space]), [s.place for s in space]

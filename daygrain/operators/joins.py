@@ -103,16 +103,20 @@ def snap(points: DataFrame, places: DataFrame, key: list[str], place_id: str = "
     return out.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in names], F.when(ok, F.col("__id")).alias("snapped_place"))
 
 
-def near_lines(points: DataFrame, edges: DataFrame, radius_m: float, key: list[str], line_id: str = "way_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Each point with each line at most `radius_m` away, with the least distance_m. `edges`: way_id, lat1, lon1, lat2, lon2 and columns of the line."""
-    size = max(geo.band_size(radius_m), 0.002)
+def edge_cells(points: DataFrame, edges: DataFrame, radius_m: float, size: float, lat: str = "lat", lon: str = "lon") -> tuple[DataFrame, DataFrame]:
+    """Both with cells __cy, __cx that a point and an edge (lat1, lon1, lat2, lon2) at most `radius_m` away from it share; `size`: degrees of latitude a cell, geo.band_size() or more."""
     cells = geo.band_cells(F.col("__cy"), size, radius_m)
     e = edges.withColumn("__cy", F.explode(F.sequence(geo.cell(F.least("lat1", "lat2"), size) - 1, geo.cell(F.greatest("lat1", "lat2"), size) + 1)))
     other = F.col("lon2") + geo.around(F.col("lon2") - F.col("lon1"))
     at = lambda x: F.floor(x / 360.0 * cells)
     west, east = at(F.least("lon1", other)) - 1, at(F.greatest("lon1", other)) + 1
     e = e.withColumn("__cx", F.explode(F.array_distinct(F.transform(F.sequence(west, east), lambda x: F.pmod(x, cells)))))
-    p = points.withColumn("__cy", geo.cell(F.col(lat), size)).withColumn("__cx", geo.band_cell(F.col(lon), cells))
+    return points.withColumn("__cy", geo.cell(F.col(lat), size)).withColumn("__cx", geo.band_cell(F.col(lon), cells)), e
+
+
+def near_lines(points: DataFrame, edges: DataFrame, radius_m: float, key: list[str], line_id: str = "way_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Each point with each line at most `radius_m` away, with the least distance_m. `edges`: way_id, lat1, lon1, lat2, lon2 and columns of the line."""
+    p, e = edge_cells(points, edges, radius_m, max(geo.band_size(radius_m), 0.002), lat, lon)
     d = geo.to_segment(F.col(lat), F.col(lon), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     near = p.join(e, ["__cy", "__cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
     rest = [c for c in edges.columns if c not in (line_id, "lat1", "lon1", "lat2", "lon2", "edge_ix")]

@@ -8,9 +8,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from daygrain.plans import days, parts, slate
+from daygrain.plans import days, parts, rails, slate
 
-QUERIES, ORACLES = slate.QUERIES | days.QUERIES | parts.QUERIES, slate.ORACLES | days.ORACLES | parts.ORACLES
+PLANS = (slate, days, parts, rails)
+QUERIES, ORACLES = {k: v for p in PLANS for k, v in p.QUERIES.items()}, {k: v for p in PLANS for k, v in p.ORACLES.items()}
 
 
 def plain(df: pd.DataFrame) -> list:
