@@ -3,12 +3,13 @@
 A token is a word or the end of a text. The most frequent words are classes of their own; other words share classes by their
 last two bytes. The model predicts a token's class from the three before it, and a word within its class by its smoothed count:
 
-    s(c1, c2, c3; w) = (r[c1] C1 + r2[g(c2)] C2 + r3[g(c3)] C3) . q[w] + b[w]
+    s(c1, c2, c3; w) = r[c1] C1 . q[w] + (r2[g(c2)] C2 + r3[g(c3)] C3) . q2[w] + b[w]
 
-where g puts classes with similar vectors together. It is trained in numpy by noise-contrastive estimation, in two rounds: r, C1, q
-and b on the whole table of class pairs of all training texts, with the noise's expectation in place of draws; then all of it
-on batches of tokens drawn from all training texts (`Settings.draws` bounds how many), with drawn noise. Scores are normalised
-exactly: the sum over all classes after every context is one product of two matrices of exponentials.
+where g puts classes with similar vectors together. It is trained in numpy by noise-contrastive estimation, with the noise's expectation in place
+of draws, in two rounds, each on a table that counts every token of all training texts: r, C1, q and b on the table of class pairs; then r2, C2, r3,
+C3 and q2 on the table of what follows three groups. One text in eight is held back, by a hash of the text: a round ends where it
+predicts those best, so that a small corpus isn't learnt by heart. Scores are normalised exactly: the sum over all classes after
+every context is one product of two matrices of exponentials.
 
 Counts cover every training text. Words whose counts fit a bound are sent to the executors; the counts of all other words
 are joined to their tokens in Spark.
@@ -35,22 +36,20 @@ ADD = 0.1
 
 @dataclass(frozen=True)
 class Settings:
-    """frequent: words at most whose counts executors hold. own, shared: classes of one word, classes that other words share. groups: of classes,
-    for the second and third token before. draws: tokens about that the second round is trained on, drawn from all training tokens."""
+    """frequent: words at most whose counts executors hold. own, shared: classes of one word, classes that other words share. groups: of classes, one,
+    two and three tokens before, on which the second round is trained; the first of them only there. noise: draws of it for a token seen.
+    steps, rate: of the first round and of the second. patience: looks at the texts held back without a better one that end a round."""
 
     frequent: int = 1 << 18
     own: int = 896
     shared: int = 128
-    groups: int = 32
+    groups: tuple[int, int, int] = (16, 16, 8)
     width: int = 48
     noise: float = 20.0
-    steps: int = 240
-    rate: float = 0.03
-    draws: int = 1 << 20
-    drawn_noise: int = 128
-    epochs: int = 2
-    batch: int = 1024
-    fine_rate: float = 0.0015
+    steps: tuple[int, int] = (240, 120)
+    rate: tuple[float, float] = (0.03, 0.02)
+    look: int = 8
+    patience: int = 3
     seed: int = 5
 
     @property
@@ -173,40 +172,39 @@ def contexts(cls: np.ndarray, n: np.ndarray, end: int) -> list[np.ndarray]:
     return out
 
 
-def gathered(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """How often each class follows each other, over all texts, and drawn tokens as rows (class before, two before, three before, class).
+#: One text in so many is held back while the model is trained on the others.
+HELD_BACK = 8
 
-    A token is drawn by a hash of its text and place, so that reruns draw the same. At most classes**2 + draws rows come to the driver, about."""
-    s = vocabulary.settings
-    k = s.classes
-    below = int(min(1.0, s.draws / max(1, vocabulary.total)) * (1 << 32))
+
+def gathered(docs: DataFrame, vocabulary: Vocabulary, group: tuple[np.ndarray, ...] = ()) -> np.ndarray:
+    """[2, contexts, classes]: how often each class follows each context in all texts, those to train on and those held back. A context is the class before
+    or, with groups of classes, the groups of the three before. At most as many rows come to the driver as the table has cells, 2**22 by default."""
+    k = vocabulary.settings.classes
+    sizes = [int(g.max()) + 1 for g in group]
+    n_contexts = int(np.prod(sizes)) if group else k
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = _Classes(vocabulary), np.zeros(k * k, np.int64)
+        classes, seen = _Classes(vocabulary), np.zeros(2 * n_contexts * k, np.int64)
         end = int(classes([END])[1][0])
         for batch in batches:
             for some in slices(batch):
                 texts = some.column("text").to_pylist()
                 words, n = tokens(texts)
                 cls = classes(words)[1].astype(np.int64)
-                one, two, three = contexts(cls, n, end)
-                seen += np.bincount(one * k + cls, minlength=k * k)
-                h = np.repeat(np.asarray([zlib.crc32(t) for t in texts], np.uint64), n) + np.arange(len(cls), dtype=np.uint64) - np.repeat((np.cumsum(n) - n).astype(np.uint64), n)
-                h *= np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-                on = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < below
-                cells = k * k + ((one[on] * k + two[on]) * k + three[on]) * k + cls[on]
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells), "n": pa.array(np.ones(len(cells), np.int64))})
+                before = contexts(cls, n, end)
+                context = before[0]
+                if group:
+                    context = (group[0][before[0]] * sizes[1] + group[1][before[1]]) * sizes[2] + group[2][before[2]]
+                back = np.repeat(np.asarray([zlib.crc32(t) % HELD_BACK == 0 for t in texts], np.int64), n)
+                at, times = np.unique((back * n_contexts + context) * k + cls, return_counts=True)
+                seen[at] += times
         cells = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(seen[cells], pa.int64())})
 
     got = docs.select("text").transform(mapped, local, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-    pairs = np.zeros(k * k, np.int64)
-    whole = cell < k * k
-    pairs[cell[whole]] = n[whole]
-    drawn = np.sort(np.repeat(cell[~whole], n[~whole])) - k * k
-    return pairs.reshape(k, k), np.stack([drawn // k**3, drawn // k**2 % k, drawn // k % k, drawn % k], 1)
+    out = np.zeros(2 * n_contexts * k, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(2, n_contexts, k)
 
 
 class _Adam:
@@ -226,27 +224,75 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_pairs(pairs: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
-    """r, c, q, b of the token before alone. The noise is the classes' own distribution; for each pair seen, `noise` draws of it are contrasted,
-    in expectation."""
+def _fitted(counts: np.ndarray, p: dict[str, np.ndarray], score, step, noise: np.ndarray, steps: int, rate: float, s: Settings) -> tuple[dict[str, np.ndarray], float]:
+    """Parameters trained on counts[0] by noise-contrastive estimation, as they were when they predicted counts[1] best, and that log-likelihood a token.
+
+    score(p): [contexts, classes]. step(p, g): the gradients of p, from that of the loss by the score. The noise is the classes' own
+    distribution; for each token seen `noise` draws of it are contrasted, in expectation. Without held back tokens all steps are taken."""
+    n, back = counts[0].astype(np.float32), counts[1].astype(np.float64)
+    total, held = max(1.0, float(n.sum())), float(back.sum())
+    data, context = n / total, (n.sum(1) / total).astype(np.float32)
+    contrast = s.noise * context[:, None] * noise[None, :]
+    shift = np.log(s.noise * noise)[None, :].astype(np.float32)
+    move, best, found, tired = _Adam(p, 0.99), {x: v.copy() for x, v in p.items()}, -np.inf, 0
+    for i in range(steps + 1):
+        z = score(p)
+        if held and (i % s.look == 0 or i == steps):
+            top = z.max(1, keepdims=True)
+            told = float((back * (z - top - np.log(np.exp(z - top).sum(1, keepdims=True)))).sum()) / held
+            tired = 0 if told > found else tired + 1
+            if told > found:
+                best, found = {x: v.copy() for x, v in p.items()}, told
+            if tired >= s.patience:
+                break
+        if i < steps:
+            real = _sigmoid(z - shift)
+            move(step(p, (data + contrast) * real - data), rate * min(1.0, 2 * (1 - i / (steps + 1))))
+    return (best, found) if held else (p, found)
+
+
+def train_pairs(counts: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
+    """r, c, q, b of the token before alone."""
     k, d = settings.classes, settings.width
     rng = np.random.default_rng(settings.seed)
-    n = pairs.astype(np.float32)
-    total = max(1.0, float(pairs.sum()))
-    q = _noise(pairs)
-    data, context = n / total, (pairs.sum(1) / total).astype(np.float32)
-    contrast = settings.noise * context[:, None] * q[None, :]
-    shift = np.log(settings.noise * q)[None, :].astype(np.float32)
-    p = {"r": rng.normal(0, 0.1, (k, d)), "c": np.eye(d) + rng.normal(0, 0.01, (d, d)), "q": rng.normal(0, 0.1, (k, d)), "b": np.log(q)}
+    q = _noise(counts[0])
+    p = {"r": rng.normal(0, 0.1, (k, d)), "c": np.eye(d) + rng.normal(0, 0.01, (d, d)), "q": np.zeros((k, d)), "b": np.log(q)}
     p = {x: v.astype(np.float32) for x, v in p.items()}
-    move = _Adam(p, 0.99)
-    for step in range(1, settings.steps + 1):
-        predicted = p["r"] @ p["c"]
-        real = _sigmoid(predicted @ p["q"].T + p["b"] - shift)
-        g = (data + contrast) * real - data  # the gradient of the loss by s(c, w)
-        back = g @ p["q"]
-        move({"r": back @ p["c"].T, "c": p["r"].T @ back, "q": g.T @ predicted, "b": g.sum(0)}, settings.rate * min(1.0, 2 * (1 - step / (settings.steps + 1))))
-    return p
+
+    def step(p: dict, g: np.ndarray) -> dict[str, np.ndarray]:
+        back, predicted = g @ p["q"], p["r"] @ p["c"]
+        return {"r": back @ p["c"].T, "c": p["r"].T @ back, "q": g.T @ predicted, "b": g.sum(0)}
+
+    return _fitted(counts, p, lambda p: p["r"] @ p["c"] @ p["q"].T + p["b"], step, q, settings.steps[0], settings.rate[0], settings)[0]
+
+
+def refine(p: dict[str, np.ndarray], group: tuple[np.ndarray, ...], weight: np.ndarray, counts: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
+    """p and r2, c2, r3, c3, q2, trained on the table of three groups, in which a group of the class before predicts what its classes do by their weight. They
+    begin without a say, so that they have none where the texts held back don't ask for it."""
+    d, sizes = settings.width, [int(g.max()) + 1 for g in group]
+    mean = np.zeros((sizes[0], d))
+    np.add.at(mean, group[0], (p["r"] @ p["c"]) * weight[:, None])
+    mass = np.bincount(group[0], weights=weight, minlength=sizes[0])
+    first = np.repeat((mean / np.maximum(mass, 1e-12)[:, None]).astype(np.float32) @ p["q"].T + p["b"], sizes[1] * sizes[2], 0)
+    g2, g3 = np.tile(np.repeat(np.arange(sizes[1]), sizes[2]), sizes[0]), np.tile(np.arange(sizes[2]), sizes[0] * sizes[1])
+    mine = {"r2": np.zeros((sizes[1], d), np.float32), "c2": np.eye(d, dtype=np.float32), "r3": np.zeros((sizes[2], d), np.float32), "c3": np.eye(d, dtype=np.float32)}
+    mine["q2"] = p["q"] + np.random.default_rng(settings.seed + 9).normal(0, 0.1, p["q"].shape).astype(np.float32)
+
+    def both(m: dict) -> np.ndarray:
+        return (m["r2"] @ m["c2"])[g2] + (m["r3"] @ m["c3"])[g3]
+
+    def score(m: dict) -> np.ndarray:
+        return first + both(m) @ m["q2"].T
+
+    def step(m: dict, g: np.ndarray) -> dict[str, np.ndarray]:
+        back, out = g @ m["q2"], {"q2": g.T @ both(m)}
+        for r, c, of in (("r2", "c2", g2), ("r3", "c3", g3)):
+            sums = np.zeros((len(m[r]), d), np.float32)
+            np.add.at(sums, of, back)
+            out[r], out[c] = sums @ m[c].T, m[r].T @ sums
+        return out
+
+    return p | _fitted(counts, mine, score, step, _noise(counts[0]), settings.steps[1], settings.rate[1], settings)[0]
 
 
 def _noise(pairs: np.ndarray) -> np.ndarray:
@@ -265,44 +311,12 @@ def grouped(x: np.ndarray, groups: int, seed: int) -> np.ndarray:
     return of
 
 
-def refine(p: dict[str, np.ndarray], group: np.ndarray, drawn: np.ndarray, noise: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
-    """All parameters, by noise-contrastive estimation on batches of drawn tokens; each batch draws its noise."""
-    s, d = settings, settings.width
-    rng = np.random.default_rng(s.seed + 1)
-    start = lambda: rng.normal(0, 0.05, (s.groups, d)).astype(np.float32)
-    p = dict(p) | {"r2": start(), "c2": np.eye(d, dtype=np.float32), "r3": start(), "c3": np.eye(d, dtype=np.float32)}
-    parts = (("r", "c"), ("r2", "c2"), ("r3", "c3"))
-    rows = np.stack([drawn[:, 0], group[drawn[:, 1]], group[drawn[:, 2]], drawn[:, 3]], 1)
-    log_n = np.log(s.drawn_noise * noise)
-    move, total, done = _Adam(p, 0.999), s.epochs * max(1, len(rows) // s.batch), 0
-    for _ in range(s.epochs if len(rows) else 0):
-        for some in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // s.batch)):
-            *given, w = rows[some].T
-            against = rng.choice(len(noise), s.drawn_noise, p=noise / noise.sum())
-            x = [p[r][i] for (r, _), i in zip(parts, given, strict=True)]
-            h = sum(v @ p[c] for v, (_, c) in zip(x, parts, strict=True))
-            real = (_sigmoid((h * p["q"][w]).sum(1) + p["b"][w] - log_n[w]) - 1) / len(some)
-            false = _sigmoid(h @ p["q"][against].T + p["b"][against] - log_n[against]) / len(some)
-            back = real[:, None] * p["q"][w] + false @ p["q"][against]
-            grads = {"q": np.zeros_like(p["q"]), "b": np.zeros_like(p["b"])}
-            np.add.at(grads["q"], w, real[:, None] * h)
-            np.add.at(grads["q"], against, false.T @ h)
-            np.add.at(grads["b"], w, real)
-            np.add.at(grads["b"], against, false.sum(0))
-            for v, i, (r, c) in zip(x, given, parts, strict=True):
-                grads[c] = v.T @ back
-                grads[r] = np.zeros_like(p[r])
-                np.add.at(grads[r], i, back @ p[c].T)
-            move(grads, s.fine_rate * (1 - done / total))
-            done += 1
-    return p
-
-
 @dataclass(frozen=True)
 class Tables:
     """Scores by class before and class, by group two and three before and class, and the log of the sum over all classes after each context."""
 
-    group: np.ndarray
+    group2: np.ndarray
+    group3: np.ndarray
     one: np.ndarray
     two: np.ndarray
     three: np.ndarray
@@ -310,22 +324,24 @@ class Tables:
 
     def log_p(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 of the probability of class w after c1, which follows c2, which follows c3."""
-        g2, g3 = self.group[c2], self.group[c3]
-        return (self.one[c1, w] + self.two[g2, w] + self.three[g3, w] - self.log_z[c1, g2 * len(self.two) + g3]) / np.log(10)
+        g2, g3 = self.group2[c2], self.group3[c3]
+        return (self.one[c1, w] + self.two[g2, w] + self.three[g3, w] - self.log_z[c1, g2 * len(self.three) + g3]) / np.log(10)
 
 
-def train(pairs: np.ndarray, drawn: np.ndarray, settings: Settings) -> Tables:
-    """The normalised model of class pairs (a table) and drawn tokens (rows of class before, two before, three before, class)."""
+def train(pairs: np.ndarray, triples, settings: Settings) -> Tables:
+    """The normalised model of class pairs and of triples(groups), the tables of gathered()."""
     p = train_pairs(pairs, settings)
-    group = grouped(p["r"] @ p["c"], settings.groups, settings.seed)
-    p = refine(p, group, drawn, _noise(pairs), settings)
-    one, two, three = (p[r] @ p[c] @ p["q"].T for r, c in (("r", "c"), ("r2", "c2"), ("r3", "c3")))
+    vectors = p["r"] @ p["c"]
+    group = tuple(grouped(vectors, n, settings.seed + i) for i, n in enumerate(settings.groups))
+    weight = pairs[0].sum(1).astype(np.float64)
+    p = refine(p, group, weight, triples(group), settings)
+    one, two, three = (p[r] @ p[c] @ p[q].T for r, c, q in (("r", "c", "q"), ("r2", "c2", "q2"), ("r3", "c3", "q2")))
     one = (one + p["b"]).astype(np.float64)
     both = (two[:, None] + three[None]).reshape(-1, settings.classes).astype(np.float64)
     top, top_both = one.max(1, keepdims=True), both.max(1, keepdims=True)
     with np.errstate(divide="ignore"):
         log_z = np.log(np.exp(one - top) @ np.exp(both - top_both).T) + top + top_both.T
-    return Tables(group, *(x.astype(np.float32) for x in (one, two, three, log_z)))
+    return Tables(group[1], group[2], *(x.astype(np.float32) for x in (one, two, three, log_z)))
 
 
 @dataclass(frozen=True)
@@ -342,7 +358,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     known = (docs if leave is None else docs.where(~leave)).select(text_column(text_col).alias("text"))
     counts = staged(count(known), "counts")
     words, begin = vocabulary(counts, settings)
-    return Model(words, train(*gathered(known, words), settings), counts, begin)
+    return Model(words, train(gathered(known, words), lambda group: gathered(known, words, group), settings), counts, begin)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -370,7 +386,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 within = np.where(common, classes.within[place] if len(classes.within) else 0.0, -v.mass[np.maximum(cls - own, 0)])
                 owner = np.searchsorted(starts, rare, side="right") - 1
                 bounds = np.append(np.searchsorted(owner, np.arange(len(n))), len(rare))
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([words[i] for i in rare.tolist()], pa.binary()))
+                told = [sorted(Counter(words[i] for i in rare[a:b].tolist()).items()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                lists = pa.array([[{"word": w, "times": t} for w, t in x] for x in told], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("row"), some.column("rest"), pa.array(n), pa.array(np.add.reduceat(common.astype(np.int64), starts)), pa.array(np.add.reduceat(log_n, starts)),
@@ -380,11 +397,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 )
 
     kind = numbered.schema["rest"].dataType.simpleString()
-    rows = staged(numbered.transform(mapped, local, f"row long, rest {kind}, n_tokens long, common long, log_n double, model double, rare array<binary>"), "scores")
+    rows = staged(numbered.transform(mapped, local, f"row long, rest {kind}, n_tokens long, common long, log_n double, model double, rare array<struct<word: binary, times: bigint>>"), "scores")
     others = model.counts.where(F.floor(F.log2("n") * 16).cast("int") < model.begin)
-    asked = rows.select("row", F.explode("rare").alias("word"))
+    asked = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     c = F.coalesce(F.col("n"), F.lit(0))
-    found = asked.join(others, "word", "left").groupBy("row").agg(F.sum(F.log10(c + ADD)).alias("log_rare"), F.sum((c > 0).cast("long")).alias("known_rare"))
+    found = asked.join(others, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + ADD)).alias("log_rare"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_rare"))
     out = rows.drop("rare").join(found, "row", "left")
     log_rare = F.coalesce(F.col("log_rare"), F.lit(0.0))
     whole = float(np.log10(v.total + ADD * (v.distinct + 1)))
