@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import give_back, held_out, mapped, ship, slices, text_column
+from daygrain.llm.common import give_back, held_out, mapped, ship, slices, staged, text_column
 
 BUCKETS = 1 << 12
 UNKNOWN = "und"
@@ -108,43 +108,63 @@ def cluster(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def fit(docs: DataFrame, settings: Fit = Fit(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", leave: Column | None = None) -> Model:
-    """A model from rows with a language and a letter in the text for which `leave` isn't true. Languages come to the driver with their numbers of rows."""
+    """A model from rows with a language and a letter in the text for which `leave` isn't true. A language is clustered from the `most_rows` rows of it whose ids
+    and texts have the smallest hashes; rows that are equal in both are one. Languages come to the driver, with as many vectors each."""
     ship(docs.sparkSession)
     known = docs if leave is None else docs.where(~leave)
-    known = known.select(F.col(id_col).alias("doc_id"), text_column(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
+    known = known.select(F.col(id_col).cast("string").alias("doc_id"), text_column(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
+    known = known.select("lang", "text", F.xxhash64(F.lit(settings.seed), "doc_id", "text").alias("place"))
+    most = settings.most_rows
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS, np.int64), 0
+        df, n, first = np.zeros(BUCKETS, np.int64), 0, {}
         for batch in batches:
             for some in slices(batch):
-                for c in counts([t.decode(errors="replace") for t in some.column("text").to_pylist()]):
+                texts = [t.decode(errors="replace") for t in some.column("text").to_pylist()]
+                for c in counts(texts):
                     df += c > 0
                     n += 1
+                lettered = np.asarray([has_letter(t) for t in texts], bool)
+                place, lang = some.column("place").to_numpy(), some.column("lang").dictionary_encode()
+                of = lang.indices.to_numpy()
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    mine = np.unique(np.append(first.get(name, np.zeros(0, np.int64)), place[lettered & (of == i)]))
+                    first[name] = mine[:most]
         at = np.append(np.flatnonzero(df), BUCKETS)
-        yield pa.RecordBatch.from_pydict({"bucket": at, "n": np.append(df[at[:-1]], n)})
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(df[at[:-1]], n)), pa.nulls(len(at), pa.string()), none], ["bucket", "n", "lang", "place"])
+        for name, places in first.items():
+            none = pa.nulls(len(places), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([name] * len(places), pa.string()), pa.array(places)], ["bucket", "n", "lang", "place"])
 
+    told = staged(known.transform(mapped, frequencies, "bucket long, n long, lang string, place long"), "frequencies")
     df, total = np.zeros(BUCKETS), 0
-    for r in known.select("text").transform(mapped, frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in told.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] == BUCKETS:
             total = r["n"]
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 0.05
-    sizes = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    if not sizes:
+    # At most `most_rows` places of a language and task are ranked; the last of the first ones bounds the sample.
+    order = Window.partitionBy("lang").orderBy("place")
+    places = told.where("lang is not null").select("lang", "place").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+    last = {r["lang"]: r["place"] for r in places.groupBy("lang").agg(F.max("place").alias("place")).collect()}
+    if not last:
         return Model((), np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(0))
-    # A language's rows are sampled where they are read, so that no text is shuffled.
-    part = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, settings.most_rows / n))])
-    place = F.xxhash64(F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.col("text"))).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    sample = known.where(place < F.element_at(part, F.col("lang")))
+    sample = known.where(F.col("place") <= F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("lang")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # equal rows of a task are one
         for batch in batches:
             for some in slices(batch):
+                keys = list(zip(some.column("lang").to_pylist(), some.column("place").to_pylist(), strict=True))
+                new = [i for i, k in enumerate(keys) if k not in seen and (seen.add(k) or True)]
+                some = some.take(pa.array(new, pa.int64()))
                 texts = [t.decode(errors="replace") for t in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"lang": some.column("lang"), "x": pa.array([x.astype("<f2").tobytes() if has_letter(t) else None for t, x in zip(texts, _vectors(texts, idf), strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"lang": some.column("lang"), "place": some.column("place"), "x": pa.array([x.astype("<f2").tobytes() if has_letter(t) else None for t, x in zip(texts, _vectors(texts, idf), strict=True)], pa.binary())})
 
-    rows = sample.select("lang", "text").transform(mapped, vectors, "lang string, x binary").where("x is not null").collect()  # most_rows a language, of 8 kB
+    rows = sample.transform(mapped, vectors, "lang string, place long, x binary").where("x is not null").groupBy("lang", "place").agg(F.first("x").alias("x")).collect()  # most_rows a language, of 8 kB
+    sizes = sorted(last.items())
     rng, langs, of, centres, bound = np.random.default_rng(settings.seed), [], [], [], []
     for lang, _ in sizes:
         mine = sorted(bytes(r["x"]) for r in rows if r["lang"] == lang)
