@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from daygrain.llm.common import mapped, ship, staged
 from daygrain.llm.graph import components, cross, forest, per_unit
@@ -107,14 +108,15 @@ def cells(x: np.ndarray, labels: np.ndarray, s: Settings) -> np.ndarray:
 def near(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", settings: Settings = Settings()) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept (see below).
 
-    Vectors are compared within a label; a null label or id, or a vector that is null, empty, zero, or has a null or non-finite
+    Vectors are compared within a label (one that isn't an integer by a 64-bit hash of its string); a null label or id, or a vector that is null, empty, zero, or has a null or non-finite
     component, links with nothing (component_id is the row's own id). Vectors of different lengths don't link. Equal vectors with one
     label are one node with a weight, so copies aren't paired. An id that stands at several vectors is one row for each, with the links of its
     own vector; repeated rows count as vectors of their own. Cosines below `cosine` never link; pairs at or above it are found where
     they meet in a cell. kept: the row's id is its component's smallest. An empty table gives an empty table."""
     s, spark = settings, vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    label = F.col(label_col) if isinstance(vectors.schema[label_col].dataType, IntegralType) else F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", number) & F.exists("v", lambda x: x != 0)
     rows = staged(rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("v", F.when(F.col("sound"), F.transform("v", lambda x: x + 0.0))), "vectors")
