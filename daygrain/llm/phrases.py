@@ -1,29 +1,31 @@
 """Phrase collocations by hierarchical pair naming.
 
 Level one names the frequent words of each language, level two the frequent pairs of adjacent words, level three the frequent pairs of adjacent names of
-level two, that is phrases of three words. A name is joined globally: each chunk of texts sends the distinct things that it holds, with their counts, to one shuffle
-by thing; what is frequent gets the place of its first occurrence (chunk, number in it) as its name, and the name returns to the chunks, whose texts are
-then written in names alone. A name's row keeps the names of its left and right part, so that the counts of both sides of a cut, and
-the phrases that hold another, are found by joins on names. What isn't frequent ends no frequent phrase and has no name.
+level two, that is phrases of three words. A name is joined globally: each chunk of texts sends the distinct things that it holds, with their counts, to the buckets that a hash
+of the thing names, packed; there counts are summed, what is frequent is named (bucket, number in it), and the names return to the chunks, whose
+texts are then written in names alone. A name's row keeps the names of its left and right part, so that the counts of both sides of a cut, and
+the phrases that hold another, are found by joins on names. What isn't frequent is part of no frequent phrase and has no name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import mapped, ship, slices, staged, text_column
+from daygrain.llm.common import give_back, mapped, ship, slices, staged, text_column
+from daygrain.llm.superkmers import STEP, Words, freeze, mix, thaw
 
 #: Bytes of texts whose distinct words are told apart at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 12 << 20
-#: Bits of a name for a thing's number in its chunk, and for a chunk's number in its task.
-LOCAL_BITS, CHUNK_BITS = 29, 13
+#: Bytes of text for each bucket of words, and words of text for each bucket of pairs; most tasks.
+WORD_BYTES, PAIR_WORDS, MOST_PARTS = 32 << 20, 1 << 20, 20_000
+#: Bits of a name for its number in its bucket, and of a chunk's number in its task.
+NAME_BITS, CHUNK_BITS = 36, 13
 #: Bytes of separators between words (these two) and between pieces, where no phrase goes on: . , ; : ! ? and line feed to carriage return.
 BETWEEN, BREAKS = b" \t", b".,;:!?\n\v\f\r"
 
@@ -38,8 +40,6 @@ _BREAK, _APART = _table(BREAKS), _table(BREAKS + BETWEEN)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-CHUNK = "chunk long, codes binary, code int, left_id long, right_id long, n long"
-
 
 def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words of texts, A-Z in lower case; each one's text; and whether a word follows in the same piece."""
@@ -54,17 +54,51 @@ def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return found, np.searchsorted(behind, begins, side="right"), np.append(piece[1:] == piece[:-1], False)[: len(n)]
 
 
-def _frozen(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype(np.int32).tobytes(), 1)
+def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(32)).astype(np.int64) * buckets >> 32
+
+
+def _runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted bucket numbers."""
+    begins = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+    yield from ((int(of[i]), i, j) for i, j in zip(begins, [*begins[1:], len(of)], strict=True))
+
+
+def _binary(lengths: np.ndarray, data: bytes) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths, dtype=np.int64))), pa.py_buffer(data)])
 
 
-def _thawed(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.int32)
+FIRST = "chunk long, text binary, langs array<binary>, totals array<long>, bucket int, packed binary"
 
 
-def _first(docs: DataFrame, text_col: str, lang_col: str, other: str) -> DataFrame:
-    """Per chunk: its texts in codes, -1 where a piece ends; and per code of it: language, word, number of occurrences."""
-    names = ["chunk", "codes", "code", "lang", "word", "n"]
+def _first(docs: DataFrame, text_col: str, lang_col: str, other: str, buckets: int) -> DataFrame:
+    """Per chunk: its texts in codes of words, -1 where a piece ends, and its languages with their numbers of words; and per chunk and bucket, packed: the
+    distinct words there (a word, a space, its language), their counts and codes."""
+    names = [c.split()[0] for c in FIRST.split(", ")]
+
+    def told(chunk: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        found, of, goes_on = words(table.column("text").to_pylist())
+        if not len(found):
+            return
+        lang = table.column("lang").combine_chunks().dictionary_encode()
+        word = found.dictionary_encode()
+        size = len(lang.dictionary)
+        both, codes = np.unique(word.indices.to_numpy().astype(np.int64) * size + lang.indices.to_numpy()[of], return_inverse=True)
+        w, g = np.divmod(both, size)
+        n = np.bincount(codes, minlength=len(both))
+        at = np.arange(len(codes)) + np.cumsum(~goes_on) - ~goes_on
+        text = np.full(len(codes) + int((~goes_on).sum()), -1, np.int32)
+        text[at] = codes
+        totals = np.bincount(g, weights=n, minlength=size).astype(np.int64)
+        yield pa.record_batch([pa.array([chunk]), pa.array([freeze(text)], pa.binary()), pa.array([lang.dictionary.to_pylist()], pa.list_(pa.binary())), pa.array([totals.tolist()], pa.list_(pa.int64())), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+        bucket = _buckets(Words(word.dictionary.cast(pa.binary())).hashes(), buckets)[w]
+        order = np.argsort(bucket, kind="stable")
+        keys = pc.binary_join_element_wise(word.dictionary.take(pa.array(w[order])).cast(pa.binary()), lang.dictionary.take(pa.array(g[order])), b" ")
+        for b, i, j in _runs(bucket[order]):
+            some = keys.slice(i, j - i)
+            packed = freeze(pc.binary_length(some).to_numpy().astype(np.int32), b"".join(some.to_pylist()), n[order[i:j]].astype(np.int32), order[i:j].astype(np.int32))
+            yield pa.record_batch([pa.array([chunk]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([packed], pa.binary())], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -80,112 +114,176 @@ def _first(docs: DataFrame, text_col: str, lang_col: str, other: str) -> DataFra
         if held:
             yield from told(chunk, held)
 
-    def told(chunk: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        found, of, goes_on = words(table.column("text").to_pylist())
-        if not len(found):
-            return
-        lang = table.column("lang").combine_chunks().dictionary_encode()
-        word = found.dictionary_encode()
-        both, codes = np.unique(word.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()[of], return_inverse=True)
-        w, g = np.divmod(both, len(lang.dictionary))
-        k = len(both)
-        yield pa.record_batch([pa.array([chunk]), pa.array([_with_breaks(codes, goes_on)], pa.binary()), *(pa.nulls(1, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names)
-        columns = [np.full(k, chunk), None, np.arange(k, dtype=np.int32), lang.dictionary.take(pa.array(g)), word.dictionary.take(pa.array(w)).cast(pa.binary()), np.bincount(codes, minlength=k)]
-        for i in range(0, k, 1 << 16):
-            part = [c[i : i + (1 << 16)] for c in columns if c is not None]
-            yield pa.record_batch([pa.array(part[0]), pa.nulls(len(part[0]), pa.binary()), *map(_as_array, part[1:])], names)
-
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(other)).cast("binary").alias("lang"), text_column(text_col).alias("text"))
-    return mapped(rows, work, "chunk long, codes binary, code int, lang binary, word binary, n long")
+    return mapped(rows, work, FIRST)
+
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """Each bucket of rows (bucket, chunk, packed) that are sorted by bucket: its chunks and what they sent. Memory is given back after each."""
+    now, chunks, held = None, [], []
+    for batch in batches:
+        for b, c, x in zip(batch.column("bucket").to_pylist(), batch.column("chunk").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+            if b != now and held:
+                yield now, chunks, held
+                chunks, held = [], []
+                give_back()
+            now = b
+            chunks.append(c)
+            held.append(x)
+    if held:
+        yield now, chunks, held
 
-def _as_array(x: np.ndarray | pa.Array) -> pa.Array:
-    return x if isinstance(x, pa.Array) else pa.array(x)
 
+NAMED = "chunk long, packed binary, id long, f long, left_id long, right_id long, word binary"
 
-def _with_breaks(codes: np.ndarray, goes_on: np.ndarray) -> bytes:
-    """Codes in order, -1 behind each that nothing follows."""
-    at = np.arange(len(codes)) + np.cumsum(~goes_on) - ~goes_on
-    out = np.full(len(codes) + int((~goes_on).sum()), -1, np.int32)
-    out[at] = codes
-    return _frozen(out)
 
+def _returned(chunks: list[int], of: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per chunk what is told of its things, packed; `of`: each thing's chunk, ascending."""
+    for c, i, j in _runs(of):
+        yield _named_rows({"chunk": [chunks[c]], "packed": [freeze(*(x[i:j] for x in columns))]}, 1)
 
-def _named(counts: DataFrame, key: list[str], least: int) -> DataFrame:
-    """chunk, code, id, f, and the key on the row that gives the name: things that occur `least` times or more."""
-    place = F.shiftleft("chunk", LOCAL_BITS).bitwiseOR(F.col("code").cast("long"))
-    of = Window.partitionBy(*key)  # a row a chunk
-    rows = counts.withColumn("id", F.min(place).over(of)).withColumn("f", F.sum("n").over(of)).where(F.col("f") >= least)
-    first = F.col("id") == place
-    return rows.select("chunk", "code", "id", F.when(first, F.col("f")).alias("f"), *(F.when(first, F.col(k)).alias(k) for k in key))
 
+def _named_rows(told: dict, n: int) -> pa.RecordBatch:
+    schema = pa.schema([("chunk", pa.int64()), ("packed", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("left_id", pa.int64()), ("right_id", pa.int64()), ("word", pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array(told[f.name], f.type) if f.name in told else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def _paired(level: DataFrame, names: DataFrame, give: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Per chunk: its texts written in the names of this level, then told in pairs of adjacent ones by give(chunk, left names, right names)."""
-    texts = level.where("codes is not null").select("chunk", "codes", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"))
-    rows = texts.unionByName(names.select("chunk", F.lit(None).cast("binary").alias("codes"), "code", "id"))
-    spark = level.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("codes").isNotNull())
+
+def _name_words(one: DataFrame, least: int, parts: int) -> DataFrame:
+    """The names of frequent words: id, f, word (with its language); and per chunk, packed, its codes that have a name, and the names."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        for bucket, chunks, held in _by_bucket(batches):
+            parts = [thaw(x, 4) for x in held]
+            keys = pa.concat_arrays([_binary(np.frombuffer(p[0], np.int32), p[1]) for p in parts]).dictionary_encode()
+            n, code = (np.concatenate([np.frombuffer(p[i], np.int32) for p in parts]).astype(np.int64) for i in (2, 3))
+            of = np.repeat(np.arange(len(parts)), [len(p[0]) // 4 for p in parts])
+            thing = keys.indices.to_numpy()
+            f = np.bincount(thing, weights=n, minlength=len(keys.dictionary)).astype(np.int64)
+            often = np.flatnonzero(f >= least)
+            name = np.full(len(f), -1)
+            name[often] = (bucket << NAME_BITS) + np.arange(len(often))
+            for i in range(0, len(often), 1 << 16):
+                some = often[i : i + (1 << 16)]
+                yield _named_rows({"id": name[some], "f": f[some], "word": keys.dictionary.take(pa.array(some)).cast(pa.binary())}, len(some))
+            stay = name[thing] >= 0
+            yield from _returned(chunks, of[stay], code[stay].astype(np.int32), name[thing[stay]])
+
+    rows = one.where("bucket is not null").select("bucket", "chunk", "packed").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return mapped(rows, work, NAMED)
+
+
+def _name_pairs(sent: DataFrame, least: int, parts: int, back: bool) -> DataFrame:
+    """The names of frequent pairs of names: id, f, left_id, right_id; and, if they go back, per chunk, packed, its pairs that have a name, and the names."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, chunks, held in _by_bucket(batches):
+            parts = [thaw(x, 3) for x in held]
+            left, right = (np.concatenate([np.cumsum(np.frombuffer(p[0], np.int64)) if i == 0 else np.frombuffer(p[1], np.int64) for p in parts]) for i in (0, 1))
+            n = np.concatenate([np.frombuffer(p[2], np.int32) for p in parts]).astype(np.int64)
+            of = np.repeat(np.arange(len(parts)), [len(p[2]) // 4 for p in parts])
+            order = np.lexsort((right, left))
+            a, b = left[order], right[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            begins = np.flatnonzero(new)
+            f = np.add.reduceat(n[order], begins)
+            often = np.flatnonzero(f >= least)
+            name = np.full(len(f), -1)
+            name[often] = (bucket << NAME_BITS) + np.arange(len(often))
+            for i in range(0, len(often), 1 << 16):
+                some = often[i : i + (1 << 16)]
+                yield _named_rows({"id": name[some], "f": f[some], "left_id": a[begins[some]], "right_id": b[begins[some]]}, len(some))
+            if back:
+                mine = np.empty(len(left), np.int64)
+                mine[order] = name[np.cumsum(new) - 1]
+                stay = mine >= 0
+                yield from _returned(chunks, of[stay], left[stay], right[stay], mine[stay])
+
+    return mapped(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), work, NAMED)
+
+
+def _send_pairs(one: DataFrame, levels: list[DataFrame], buckets: int, parts: int) -> DataFrame:
+    """Per chunk and bucket, packed: the distinct pairs of adjacent names of a level, with their counts. levels: the names of words, then those of pairs if
+    triples are asked for. A chunk's text meets its names in one sorted partition."""
+    of_pairs = len(levels) > 1
+    rows = one.where("text is not null").select("chunk", F.lit(9).alias("level"), F.col("text").alias("packed"))
+    for i, names in enumerate(levels):
+        rows = rows.unionByName(names.where("packed is not null").select("chunk", F.lit(i).alias("level"), "packed"))
+    rows = rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "level")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, [[], []]
         for batch in batches:
-            chunk, code, ident, codes = (batch.column(c) for c in ("chunk", "code", "id", "codes"))
-            chunks = chunk.to_numpy()
-            full = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
-            for c in np.unique(chunks).tolist():
-                i, j = np.searchsorted(chunks, [c, c + 1])
+            for c, level, packed in zip(batch.column("chunk").to_pylist(), batch.column("level").to_pylist(), batch.column("packed").to_pylist(), strict=True):
                 if c != now:
-                    now, held = c, []
-                text = [x for x in full.tolist() if i <= x < j]
-                stop = text[0] if text else j
-                if stop > i:
-                    held.append((code.slice(i, stop - i).to_numpy(), ident.slice(i, stop - i).to_numpy()))
-                if text:
-                    yield from give(c, *adjacent(_thawed(codes[stop].as_py()), held))
-                    held = []
-
-    return mapped(rows, work, CHUNK)
-
-
-def adjacent(codes: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The names of each place and of the next, -1 where there is none; a place of the text that isn't named stays one."""
-    most = int(codes.max(initial=-1)) + 1
-    name = np.full(most + 1, -1)  # the last one answers for -1
-    for c, i in held:
-        name[c] = i
-    name[most] = -1
-    named = name[codes]
-    return named, np.append(named[1:], -1)[: len(named)]
-
-
-def _second(level: DataFrame, names: DataFrame) -> DataFrame:
-    return _paired(level, names, lambda chunk, a, b: _pairs(chunk, a, b, True))
-
-
-def _third(level: DataFrame, names: DataFrame) -> DataFrame:
-    return _paired(level, names, lambda chunk, a, b: _pairs(chunk, a, b, False))
-
-
-def _pairs(chunk: int, a: np.ndarray, b: np.ndarray, keep: bool) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of a chunk with their counts, and, if they are to be named, its text in them: at each place the pair that begins there."""
-    at = np.flatnonzero((a >= 0) & (b >= 0))
-    known, local = np.unique(np.append(a[at], b[at]), return_inverse=True)
-    x, y = local[: len(at)], local[len(at) :]
-    both, code = np.unique(x * max(1, len(known)) + y, return_inverse=True)
-    x, y = np.divmod(both, max(1, len(known)))
-    names = ["chunk", "codes", "code", "left_id", "right_id", "n"]
-    if keep and len(at):
-        text = np.full(len(a), -1, np.int32)
-        text[at] = code
-        yield pa.record_batch([pa.array([chunk]), pa.array([_frozen(text)], pa.binary()), *(pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names)
-    n = np.bincount(code, minlength=len(both))
-    for i in range(0, len(both), 1 << 16):
-        s = slice(i, min(len(both), i + (1 << 16)))
-        k = s.stop - i
-        yield pa.record_batch([pa.array(np.full(k, chunk)), pa.nulls(k, pa.binary()), pa.array(np.arange(i, s.stop, dtype=np.int32)), pa.array(known[x[s]]), pa.array(known[y[s]]), pa.array(n[s])], names)
+                    now, held = c, [[], []]
+                if level < 9:
+                    held[level].append(packed)
+                    continue
+                name = in_names(np.frombuffer(thaw(packed, 1)[0], np.int32), held[0])
+                if of_pairs:
+                    name = in_pairs(name, held[1])
+                held = [[], []]
+                yield from sent(c, name)
+
+    def sent(chunk: int, name: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
+        if not len(at):
+            return
+        a, b, n = distinct(name[at], name[at + 1])
+        bucket = _buckets(a.astype(np.uint64) * np.uint64(STEP) + b.astype(np.uint64), buckets)
+        order = np.argsort(bucket, kind="stable")  # within a bucket pairs stay in order, which packs well
+        for k, i, j in _runs(bucket[order]):
+            some = order[i:j]
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([chunk]), pa.array([freeze(np.diff(a[some], prepend=0), b[some], n[some].astype(np.int32))], pa.binary())], ["bucket", "chunk", "packed"])
+
+    return mapped(rows, work, "bucket int, chunk long, packed binary")
+
+
+def in_names(codes: np.ndarray, told: list[bytes]) -> np.ndarray:
+    """A chunk's text in names of words; -1 for a word without one, and where a piece ends."""
+    name = np.full(int(codes.max(initial=-1)) + 2, -1)  # the last one answers for -1
+    for packed in told:
+        code, ids = thaw(packed, 2)
+        name[np.frombuffer(code, np.int32)] = np.frombuffer(ids, np.int64)
+    return name[codes]
+
+
+def in_pairs(name: np.ndarray, told: list[bytes]) -> np.ndarray:
+    """At each place of a text in names of words the name of the pair that begins there; -1 where it has none."""
+    out = np.full(len(name), -1)
+    at = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
+    parts = [thaw(x, 3) for x in told]
+    if not len(at) or not parts:
+        return out
+    left, right, ids = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(3))
+    # Both sides' pairs by one numbering of names, so that a pair is one number.
+    known, local = np.unique(np.concatenate([left, right, name[at], name[at + 1]]), return_inverse=True)
+    k, m = len(left), len(at)
+    key, asked = local[:k] * len(known) + local[k : 2 * k], local[2 * k : 2 * k + m] * len(known) + local[2 * k + m :]
+    order = np.argsort(key)
+    found = np.minimum(np.searchsorted(key[order], asked), k - 1)
+    hit = key[order][found] == asked
+    out[at[hit]] = ids[order][found[hit]]
+    return out
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and how often each occurs."""
+    known, local = np.unique(np.append(a, b), return_inverse=True)
+    both, n = np.unique(local[: len(a)] * len(known) + local[len(a) :], return_counts=True)
+    x, y = np.divmod(both, len(known))
+    return known[x], known[y], n
+
+
+def _words_apart(names: DataFrame) -> DataFrame:
+    """id, f, word, lang of named words: a word holds no space, so the first one ends it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [x.split(b" ", 1) for x in batch.column("word").to_pylist()]
+            yield pa.record_batch([batch.column("id"), batch.column("f"), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary())], ["id", "f", "word", "lang"])
+
+    return mapped(names.where("f is not null").select("id", "f", "word"), work, "id long, f long, word binary, lang binary")
 
 
 def _score(a: str, left: str, right: str):
@@ -201,14 +299,16 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     lang and phrase are strings. A null language counts as `other`, a null text as empty. Repeated rows count each. Bytes that aren't UTF-8 are words like others
     while counted. No columns besides the two are read; an empty table gives an empty one."""
     ship(docs.sparkSession)
-    one = staged(_first(docs, text_col, lang_col, other), "words")
-    counts = one.where("code is not null")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    names1 = staged(_named(counts.select("chunk", "code", "lang", "word", "n"), ["lang", "word"], least), "names1")
-    two = staged(_second(one, names1), "pairs")
-    names2 = staged(_named(two.where("code is not null").select("chunk", "code", "left_id", "right_id", "n"), ["left_id", "right_id"], least), "names2")
-    triples = _third(two, names2).groupBy("left_id", "right_id").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    word = names1.where("f is not null").select("id", "f", "lang", "word")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary"))).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-size // WORD_BYTES))
+    one = staged(_first(docs, text_col, lang_col, other, buckets), "words")
+    totals = one.where("text is not null").select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    pair_buckets = max(1, -(-(totals.agg(F.sum("n").alias("n")).first()["n"] or 0) // PAIR_WORDS))
+    parts = min(max(pair_buckets, docs.sparkSession.sparkContext.defaultParallelism), MOST_PARTS)
+    names1 = staged(_name_words(one, least, min(buckets, MOST_PARTS)), "names1")
+    names2 = staged(_name_pairs(_send_pairs(one, [names1], pair_buckets, parts), least, parts, True), "names2")
+    triples = _name_pairs(_send_pairs(one, [names1, names2], pair_buckets, parts), least, parts, False).select("left_id", "right_id", F.col("f").alias("a"))
+    word = _words_apart(names1)
     left, right = (word.select(F.col("id").alias(f"{s}_id"), F.col("f").alias(f"{s}_f"), F.col("word").alias(f"{s}_word"), *(["lang"] if s == "left" else [])) for s in ("left", "right"))
     pairs = names2.where("f is not null").select("id", "f", "left_id", "right_id").join(left, "left_id").join(right, "right_id")
     pairs = staged(pairs.select("id", "f", "lang", "left_f", "right_f", "left_word", "right_word"), "phrases2")

@@ -162,12 +162,12 @@ def _cut(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, to).astype(np.int64)), pa.py_buffer(data[at])])
 
 
-def _freeze(*parts: np.ndarray | bytes) -> bytes:
+def freeze(*parts: np.ndarray | bytes) -> bytes:
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
     return zstandard.compress(struct.pack(f"<{len(raw)}Q", *map(len, raw)) + b"".join(raw), 3)
 
 
-def _thaw(data: bytes, n: int) -> list[bytes]:
+def thaw(data: bytes, n: int) -> list[bytes]:
     raw = zstandard.decompress(data)
     lengths = struct.unpack_from(f"<{n}Q", raw)
     ends = 8 * n + np.cumsum(lengths)
@@ -202,16 +202,16 @@ def _hot(rows: DataFrame, settings: Settings) -> tuple[int, np.ndarray | None]:
                 cells[told] += n
         for i in range(0, CELLS, BLOCK):
             if cells[i : i + BLOCK].any():
-                yield pa.record_batch([pa.array([i // BLOCK], pa.int32()), pa.array([_freeze(cells[i : i + BLOCK])], pa.binary())], ["block", "cells"])
+                yield pa.record_batch([pa.array([i // BLOCK], pa.int32()), pa.array([freeze(cells[i : i + BLOCK])], pa.binary())], ["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, data in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                found = np.frombuffer(_thaw(data, 1)[0], np.int64)
+                found = np.frombuffer(thaw(data, 1)[0], np.int64)
                 sums[b] = sums[b] + found if b in sums else found
         for b, x in sums.items():
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([_freeze(x)], pa.binary()), pa.array([int(x.sum())]), pa.array([int(x.max())])], ["block", "cells", "n", "most"])
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([freeze(x)], pa.binary()), pa.array([int(x.sum())]), pa.array([int(x.max())])], ["block", "cells", "n", "most"])
 
     parts = mapped(rows, count, "block int, cells binary").repartition(16, "block")
     sums = staged(mapped(parts, merge, "block int, cells binary, n long, most long"), "grams")
@@ -219,7 +219,7 @@ def _hot(rows: DataFrame, settings: Settings) -> tuple[int, np.ndarray | None]:
     bound = max(settings.hot, 4 * words // CELLS)
     hot = np.zeros(CELLS, bool)
     for r in sums.where(F.col("most") >= bound).toLocalIterator():  # at most CELLS / BLOCK rows
-        hot[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(_thaw(bytes(r["cells"]), 1)[0], np.int64) >= bound
+        hot[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(thaw(bytes(r["cells"]), 1)[0], np.int64) >= bound
     return words, hot if hot.any() else None
 
 
@@ -251,7 +251,7 @@ def _dealt(rows: DataFrame, settings: Settings, buckets: int, hot: np.ndarray |
             lengths = pc.binary_length(part).to_numpy().astype(np.uint32)
             text = b"".join(part.to_pylist())
             counts = np.bincount(code[x:y] - i, minlength=j - i).astype(np.uint32)
-            data = _freeze(lengths, text, counts, local.astype(np.uint32), start[x:y].astype(np.uint32), n[x:y].astype(np.uint32), _ids_out(ids[some]), checks[some])
+            data = freeze(lengths, text, counts, local.astype(np.uint32), start[x:y].astype(np.uint32), n[x:y].astype(np.uint32), _ids_out(ids[some]), checks[some])
             yield pa.record_batch([pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["bucket", "packed"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +290,7 @@ class Bucket:
         strings, code, shift = [self.strings], [self.code], len(self.strings)
         rest = [[self.start], [self.n], [self.id], [self.check]]
         for blob in blobs:
-            lengths, text, counts, doc, start, n, ids, checks = _thaw(blob, 8)
+            lengths, text, counts, doc, start, n, ids, checks = thaw(blob, 8)
             lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
             strings.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(text)]))
             code.append(np.repeat(np.arange(len(lengths)), np.frombuffer(counts, np.uint32)) + shift)
