@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from daygrain.operators import groups
 from daygrain.operators.track import core_displacement, haversine, incoherent_stay
@@ -23,7 +24,8 @@ VEHICLES = ("driving", "train", "bus", "cycling", "plane", "vehicle", "boat")
 
 @dataclass
 class Day:
-    """fixes: t, lat, lon, speed_kmh. steps: t, steps a minute. stations: name, lat, lon, lines. focus: place -> (lat, lon)."""
+    """fixes: t, lat, lon, speed_kmh and, for rides under ground, accuracy and lines (those near). steps: t, steps a minute. stations: name, lat, lon, lines. focus: place ->
+    (lat, lon)."""
 
     fixes: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "lat", "lon", "speed_kmh"]))
     steps: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "steps"]))
@@ -608,20 +610,44 @@ def run(segments: list[Segment], day: Day, passes: tuple = CASCADE) -> list[Segm
 TEXT, NUMBER = ("board", "alight", "line", "way_name"), ("avg_speed", "linearity", "confidence", "confidence_margin", "lat", "lon", "steps", "peak_cadence", "walking_minutes", "extent_m")
 
 
-def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple = CASCADE, focus: DataFrame | None = None) -> DataFrame:
+def with_underground(passes: tuple = CASCADE) -> tuple:
+    """The cascade with rides under ground put behind rail runs."""
+    from daygrain.operators.underground import underground_rail
+
+    i = passes.index(rail_runs) + 1
+    return (*passes[:i], underground_rail, *passes[i:])
+
+
+def lines_near(fixes: DataFrame, keys: list[str], rails: DataFrame, radius_m: float = 300.0) -> DataFrame:
+    """Fixes (keys, t, lat, lon, ...) with `lines`: the lines of rails (line, lat1, lon1, lat2, lon2) within the radius of each, none if there is none."""
+    from daygrain.operators.joins import near_lines
+
+    at = [*keys, "t", "lat", "lon"]
+    near = near_lines(fixes.select(*at).distinct(), rails.select(F.col("line").alias("way_id"), "lat1", "lon1", "lat2", "lon2"), radius_m, at)
+    told = near.groupBy(*at).agg(F.array_sort(F.collect_set("way_id")).alias("lines"))  # the lines of one place
+    return fixes.join(told, at, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+
+
+def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple | None = None, focus: DataFrame | None = None, rails: DataFrame | None = None) -> DataFrame:
     """Refined segments of each group (a user's day): start_ts, end_ts, mode, place, figures, labels, kinds. Days without segments give no row.
 
     The inputs meet by key in one cogroup: a day's rows, not a table's. stations: those of the region, a list that the caller bounds. focus: keys, place,
-    lat, lon of the places that a user goes to."""
+    lat, lon of the places that a user goes to. rails: line, lat1, lon1, lat2, lon2 of railways, with which rides under ground are told where the fixes have an
+    accuracy. passes: the whole cascade if None."""
+    if passes is None:
+        passes = CASCADE if rails is None else with_underground()
+    below = rails is not None and "accuracy" in fixes.columns
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
     place = kinds.get("place", "string")
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", start_ts long, end_ts long, mode string, place {place}, points long, " + ", ".join([*(f"{c} double" for c in NUMBER), *(f"{c} string" for c in TEXT)]) + ", kinds array<string>"
     stations = list(stations)
-    from pyspark.sql import functions as F
-
     columns = {"t": "long", "lat": "double", "lon": "double", "speed_kmh": "double", "steps": "double", "focus": place}
+    seen = ["t", "lat", "lon", "speed_kmh"]
+    if below:
+        fixes, seen = lines_near(fixes, keys, rails), [*seen, "accuracy", "lines"]
+        columns |= {"accuracy": "double", "lines": "array<string>"}
     side = lambda d, **told: d.select(*keys, *[told.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
-    both = side(fixes, **{c: F.col(c) for c in ("t", "lat", "lon", "speed_kmh")}).unionByName(side(steps, t=F.col("t"), steps=F.col("steps")))
+    both = side(fixes, **{c: F.col(c) for c in seen}).unionByName(side(steps, t=F.col("t"), steps=F.col("steps")))
     if focus is not None:
         both = both.unionByName(side(focus, lat=F.col("lat"), lon=F.col("lon"), focus=F.col("place")))
 
@@ -631,9 +657,9 @@ def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[
             return pd.DataFrame(columns=names)
         at, on = x.focus.notna(), x.steps.notna()
         known = {p: (y, z) for p, y, z in x[at][["focus", "lat", "lon"]].itertuples(index=False)}
-        day = Day(x[~on & ~at].sort_values("t")[["t", "lat", "lon", "speed_kmh"]], x[on].sort_values("t")[["t", "steps"]], stations, known)
+        day = Day(x[~on & ~at].sort_values("t")[seen], x[on].sort_values("t")[["t", "steps"]], stations, known)
         rows = json.loads(s.sort_values(["start_ts", "end_ts"]).drop(columns=keys).to_json(orient="records", double_precision=15))
-        out = pd.DataFrame(run(rows, day))
+        out = pd.DataFrame(run(rows, day, passes))
         for k in keys:
             out[k] = s[k].iloc[0]
         for n in names:
@@ -645,6 +671,8 @@ def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[
             out[n] = out[n].astype("float64")
         if place in ("bigint", "int"):
             out["place"] = out["place"].astype("Int64")
+        for n in ("mode", *TEXT, *(["place"] if place == "string" else [])):  # plain objects: a string column of pandas may come in several Arrow chunks, which Spark doesn't take
+            out[n] = out[n].astype(object).where(out[n].notna(), None)
         out["kinds"] = [k if isinstance(k, list) else [] for k in out["kinds"]]
         return out[names]
 

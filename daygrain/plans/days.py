@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygrain.cluster import staged
 from daygrain.functions import geo
 from daygrain.operators import aggregates, evaluation, hsmm, joins, passes, places, segments, series, states, track, ways
 from daygrain.plans.derived import FX, SP, SPAN, SPOTS, events, fixes, hav, spans, spots
@@ -39,26 +40,36 @@ def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with what lies between them, refined by the cascade, cut into states."""
+    """Segments with what lies between them, refined by the cascade (with rides under ground, and the places that a user often goes to), cut into states. Each kernel
+    runs once: what is read more than once is written between."""
     f = fixes(spark, sf_dir)
-    s = track_segments(spark, sf_dir).withColumn("place", F.lit(None).cast("long"))
+    s = staged(track_segments(spark, sf_dir), "segments").withColumn("place", F.lit(None).cast("long"))
     near = places.current_place(s.select("user_id", "start_ts", "lat", "lon").distinct(), spots(spark).select("place_id", "p_lat", "p_lon"), ["user_id", "start_ts"])
     s = s.drop("place").join(near.select("user_id", "start_ts", F.col("place_id").alias("place")), ["user_id", "start_ts"], "left")
     g = segments.transit_gaps(s, f, KEYS).select("user_id", "start_ts", "end_ts", "mode", "confidence", "avg_speed")
     both = s.unionByName(g, allowMissingColumns=True).fillna({"points": 0})
-    refined = passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh"), f.select("user_id", "t", "steps"), KEYS, STATIONS)
+    often = f.groupBy("user_id", "spot").agg(F.count("*").alias("n")).where("n >= 5")
+    focus = often.join(spots(spark), F.col("spot") == F.col("place_id")).select("user_id", F.col("spot").alias("place"), F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"))
+    refined = staged(passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh", "accuracy"), f.select("user_id", "t", "steps"), KEYS, STATIONS, focus=focus, rails=_rails(spark)), "refined")
     night = F.floor(F.col("start_ts") / 86_400) * 86_400
     z = refined.select("user_id", night.alias("start_ts"), (night + 21_600).alias("end_ts")).distinct().withColumn("place", F.lit(None).cast("long"))
     return states.day_states(refined.select("user_id", "start_ts", "end_ts", "mode", "place"), z, KEYS)
 
 
+def _rails(spark: SparkSession) -> DataFrame:
+    """Railways through the stations of each line."""
+    at = {line: [s for s in STATIONS if line in s["lines"]] for line in ("Ring", "North", "South")}
+    legs = [(line, a["lat"], a["lon"], b["lat"], b["lon"]) for line, some in at.items() for a, b in zip(some[:-1], some[1:], strict=True)]
+    return spark.createDataFrame(legs, "line string, lat1 double, lon1 double, lat2 double, lon2 double")
+
+
 def stay_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track.stays(fixes(spark, sf_dir).where("accuracy <= 200").select("user_id", "event_id", "t", "lat", "lon"), KEYS)
 
 
 def focus_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mined stays, their clusters, and what each cluster is."""
-    c = track.clusters(spans(spark, sf_dir).join(spots(spark), F.col("spot") == F.col("place_id")).select("user_id", "start_ts", "end_ts", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")), KEYS)
+    c = staged(track.clusters(spans(spark, sf_dir).join(spots(spark), F.col("spot") == F.col("place_id")).select("user_id", "start_ts", "end_ts", F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")), KEYS), "clusters")
     key = ["user_id", "cluster"]
     centre = c.groupBy(*key).agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
     shift = F.floor(F.col("lon") / 15 * 3600)
