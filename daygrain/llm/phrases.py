@@ -50,7 +50,7 @@ def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     n = ends - begins
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n))), pa.py_buffer(raw[~apart])])
     behind = np.cumsum([len(t) + 1 for t in texts])
-    piece = np.cumsum(_BREAK[raw])[begins] if len(begins) else begins
+    piece = np.cumsum(_BREAK[raw], dtype=np.int32)[begins] if len(begins) else begins
     return found, np.searchsorted(behind, begins, side="right"), np.append(piece[1:] == piece[:-1], False)[: len(n)]
 
 
@@ -219,17 +219,19 @@ def _send_pairs(one: DataFrame, levels: list[DataFrame], buckets: int, parts: in
                 if level < 9:
                     held[level].append(packed)
                     continue
-                name = in_names(np.frombuffer(thaw(packed, 1)[0], np.int32), held[0])
+                local, names = in_names(np.frombuffer(thaw(packed, 1)[0], np.int32), held[0])
                 if of_pairs:
-                    name = in_pairs(name, held[1])
+                    local, names = in_pairs(local, names, held[1])
                 held = [[], []]
-                yield from sent(c, name)
+                yield from sent(c, local, names)
+                give_back()
 
-    def sent(chunk: int, name: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
+    def sent(chunk: int, local: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, both = adjacent(local, len(names))
         if not len(at):
             return
-        a, b, n = distinct(name[at], name[at + 1])
+        both, n = np.unique(both, return_counts=True)
+        a, b = names[both // len(names)], names[both % len(names)]
         bucket = _buckets(a.astype(np.uint64) * np.uint64(STEP) + b.astype(np.uint64), buckets)
         order = np.argsort(bucket, kind="stable")  # within a bucket pairs stay in order, which packs well
         for k, i, j in _runs(bucket[order]):
@@ -239,40 +241,40 @@ def _send_pairs(one: DataFrame, levels: list[DataFrame], buckets: int, parts: in
     return mapped(rows, work, "bucket int, chunk long, packed binary")
 
 
-def in_names(codes: np.ndarray, told: list[bytes]) -> np.ndarray:
-    """A chunk's text in names of words; -1 for a word without one, and where a piece ends."""
-    name = np.full(int(codes.max(initial=-1)) + 2, -1)  # the last one answers for -1
-    for packed in told:
-        code, ids = thaw(packed, 2)
-        name[np.frombuffer(code, np.int32)] = np.frombuffer(ids, np.int64)
-    return name[codes]
+def adjacent(local: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a named thing follows a named thing, and each such pair as one number."""
+    at = np.flatnonzero((local[:-1] >= 0) & (local[1:] >= 0))
+    return at, local[at].astype(np.int64) * size + local[at + 1]
 
 
-def in_pairs(name: np.ndarray, told: list[bytes]) -> np.ndarray:
-    """At each place of a text in names of words the name of the pair that begins there; -1 where it has none."""
-    out = np.full(len(name), -1)
-    at = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
-    parts = [thaw(x, 3) for x in told]
-    if not len(at) or not parts:
-        return out
-    left, right, ids = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(3))
-    # Both sides' pairs by one numbering of names, so that a pair is one number.
-    known, local = np.unique(np.concatenate([left, right, name[at], name[at + 1]]), return_inverse=True)
-    k, m = len(left), len(at)
-    key, asked = local[:k] * len(known) + local[k : 2 * k], local[2 * k : 2 * k + m] * len(known) + local[2 * k + m :]
-    order = np.argsort(key)
-    found = np.minimum(np.searchsorted(key[order], asked), k - 1)
-    hit = key[order][found] == asked
-    out[at[hit]] = ids[order][found[hit]]
-    return out
+def in_names(codes: np.ndarray, told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's text as places in its sorted names of words (-1 for a word without one, and where a piece ends), and those names."""
+    parts = [thaw(x, 2) for x in told]
+    code = np.concatenate([np.frombuffer(p[0], np.int32) for p in parts] or [np.zeros(0, np.int32)])
+    names = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts] or [np.zeros(0, np.int64)])
+    order = np.argsort(names)
+    place = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last one answers for -1
+    place[code[order]] = np.arange(len(names))
+    return place[codes], names[order]
 
 
-def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and how often each occurs."""
-    known, local = np.unique(np.append(a, b), return_inverse=True)
-    both, n = np.unique(local[: len(a)] * len(known) + local[len(a) :], return_counts=True)
-    x, y = np.divmod(both, len(known))
-    return known[x], known[y], n
+def in_pairs(local: np.ndarray, words: np.ndarray, told: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """At each place of such a text the place, in its sorted names of pairs, of the pair that begins there (-1 where it has no name), and those names."""
+    out = np.full(len(local), -1, np.int32)
+    parts = [thaw(x, 3) for x in told]
+    if not parts:
+        return out, np.zeros(0, np.int64)
+    left, right, names = (np.concatenate([np.frombuffer(p[i], np.int64) for p in parts]) for i in range(3))
+    key = np.searchsorted(words, left) * len(words) + np.searchsorted(words, right)
+    by_key, by_name = np.argsort(key), np.argsort(names)
+    place = np.empty(len(names), np.int32)
+    place[by_name] = np.arange(len(names))
+    key, place = key[by_key], place[by_key]
+    at, asked = adjacent(local, len(words))
+    found = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+    hit = key[found] == asked
+    out[at[hit]] = place[found[hit]]
+    return out, names[by_name]
 
 
 def _words_apart(names: DataFrame) -> DataFrame:

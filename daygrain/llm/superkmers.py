@@ -48,6 +48,9 @@ class Settings:
     bucket: int = 1 << 16
     hot: int = 1 << 18
 
+    def __post_init__(self):
+        object.__setattr__(self, "gram", min(self.gram, self.window))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers whose bits depend on all of them."""
