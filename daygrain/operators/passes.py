@@ -24,11 +24,12 @@ VEHICLES = ("driving", "train", "bus", "cycling", "plane", "vehicle", "boat")
 
 @dataclass
 class Day:
-    """fixes: t, lat, lon, speed_kmh and, for rides under ground, accuracy and lines (those near). steps: t, steps a minute. stations: name, lat, lon, lines. focus: place ->
-    (lat, lon)."""
+    """fixes: t, lat, lon, speed_kmh and, for rides under ground, accuracy and lines (those near). steps: t, steps a minute. heart: t, bpm. stations: name, lat, lon, lines.
+    focus: place -> (lat, lon)."""
 
     fixes: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "lat", "lon", "speed_kmh"]))
     steps: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "steps"]))
+    heart: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "bpm"]))
     stations: list[dict] = field(default_factory=list)
     focus: dict = field(default_factory=dict)
 
@@ -628,26 +629,31 @@ def lines_near(fixes: DataFrame, keys: list[str], rails: DataFrame, radius_m: fl
     return fixes.join(told, at, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 
-def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple | None = None, focus: DataFrame | None = None, rails: DataFrame | None = None) -> DataFrame:
+def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple | None = None, focus: DataFrame | None = None, rails: DataFrame | None = None, heart: DataFrame | None = None) -> DataFrame:
     """Refined segments of each group (a user's day): start_ts, end_ts, mode, place, figures, labels, kinds. Days without segments give no row.
 
     The inputs meet by key in one cogroup: a day's rows, not a table's. stations: those of the region, a list that the caller bounds. focus: keys, place,
     lat, lon of the places that a user goes to. rails: line, lat1, lon1, lat2, lon2 of railways, with which rides under ground are told where the fixes have an
-    accuracy. passes: the whole cascade if None."""
+    accuracy. heart: keys, t, bpm, with which segments are cut and joined on evidence first. passes: all of these and the cascade if None."""
     if passes is None:
+        from daygrain.operators.evidence import with_evidence
+
         passes = CASCADE if rails is None else with_underground()
+        passes = passes if heart is None else with_evidence(passes)
     below = rails is not None and "accuracy" in fixes.columns
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
     place = kinds.get("place", "string")
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", start_ts long, end_ts long, mode string, place {place}, points long, " + ", ".join([*(f"{c} double" for c in NUMBER), *(f"{c} string" for c in TEXT)]) + ", kinds array<string>"
     stations = list(stations)
-    columns = {"t": "long", "lat": "double", "lon": "double", "speed_kmh": "double", "steps": "double", "focus": place}
+    columns = {"t": "long", "lat": "double", "lon": "double", "speed_kmh": "double", "steps": "double", "bpm": "double", "focus": place}
     seen = ["t", "lat", "lon", "speed_kmh"]
     if below:
         fixes, seen = lines_near(fixes, keys, rails), [*seen, "accuracy", "lines"]
         columns |= {"accuracy": "double", "lines": "array<string>"}
     side = lambda d, **told: d.select(*keys, *[told.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
     both = side(fixes, **{c: F.col(c) for c in seen}).unionByName(side(steps, t=F.col("t"), steps=F.col("steps")))
+    if heart is not None:
+        both = both.unionByName(side(heart, t=F.col("t"), bpm=F.col("bpm")))
     if focus is not None:
         both = both.unionByName(side(focus, lat=F.col("lat"), lon=F.col("lon"), focus=F.col("place")))
 
@@ -655,9 +661,9 @@ def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[
         names = [n.strip().split(" ")[0] for n in schema.split(", ")]
         if not len(s):
             return pd.DataFrame(columns=names)
-        at, on = x.focus.notna(), x.steps.notna()
+        at, on, beat = x.focus.notna(), x.steps.notna(), x.bpm.notna()
         known = {p: (y, z) for p, y, z in x[at][["focus", "lat", "lon"]].itertuples(index=False)}
-        day = Day(x[~on & ~at].sort_values("t")[seen], x[on].sort_values("t")[["t", "steps"]], stations, known)
+        day = Day(x[~on & ~at & ~beat].sort_values("t")[seen], x[on].sort_values("t")[["t", "steps"]], x[beat].sort_values("t")[["t", "bpm"]], stations, known)
         rows = json.loads(s.sort_values(["start_ts", "end_ts"]).drop(columns=keys).to_json(orient="records", double_precision=15))
         out = pd.DataFrame(run(rows, day, passes))
         for k in keys:

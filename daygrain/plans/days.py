@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daygrain.cluster import staged
 from daygrain.functions import geo
-from daygrain.operators import aggregates, evaluation, hsmm, joins, passes, places, segments, series, states, track, ways
+from daygrain.operators import aggregates, evaluation, evidence, hsmm, joins, passes, places, segments, series, states, track, ways
 from daygrain.plans.derived import FX, SP, SPAN, SPOTS, events, fixes, hav, spans, spots
 from daygrain.streaming import motion
 
@@ -40,7 +40,7 @@ def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with what lies between them, refined by the cascade (with rides under ground, and the places that a user often goes to), cut into states. Each kernel
+    """Segments with what lies between them, cut and joined on evidence, refined by the cascade (with rides under ground, and the places that a user often goes to), cut into states. Each kernel
     runs once: what is read more than once is written between."""
     f = fixes(spark, sf_dir)
     s = staged(track_segments(spark, sf_dir), "segments").withColumn("place", F.lit(None).cast("long"))
@@ -50,7 +50,7 @@ def day_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = s.unionByName(g, allowMissingColumns=True).fillna({"points": 0})
     often = f.groupBy("user_id", "spot").agg(F.count("*").alias("n")).where("n >= 5")
     focus = often.join(spots(spark), F.col("spot") == F.col("place_id")).select("user_id", F.col("spot").alias("place"), F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"))
-    refined = staged(passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh", "accuracy"), f.select("user_id", "t", "steps"), KEYS, STATIONS, focus=focus, rails=_rails(spark)), "refined")
+    refined = staged(passes.cascade(both, f.select("user_id", "t", "lat", "lon", "speed_kmh", "accuracy"), f.select("user_id", "t", "steps"), KEYS, STATIONS, focus=focus, rails=_rails(spark), heart=f.select("user_id", "t", "bpm")), "refined")
     night = F.floor(F.col("start_ts") / 86_400) * 86_400
     z = refined.select("user_id", night.alias("start_ts"), (night + 21_600).alias("end_ts")).distinct().withColumn("place", F.lit(None).cast("long"))
     return states.day_states(refined.select("user_id", "start_ts", "end_ts", "mode", "place"), z, KEYS)
@@ -78,6 +78,13 @@ def focus_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.withColumn("label", aggregates.cluster_label(span, F.col("days"), F.col("overnight"), F.col("weekday_day")))
 
 
+def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What steps and heart tell of the gaps between each user's clicks and views of a day."""
+    f = fixes(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400))
+    g = evidence.gap_scores(f.where(F.col("event_type").isin("click", "view")).select("user_id", "day", "event_id", "t", "lat", "lon"), f.select("user_id", "day", "t", "steps"), f.select("user_id", "day", "t", "bpm"), ["user_id", "day"], "event_id")
+    return g.select("user_id", "start_ts", "end_ts", "fixes", "steps", "beats", F.round("bpm", 4).alias("bpm"), F.round("median_gap_s", 1).alias("median_gap_s"), F.round("nats", 4).alias("nats"))
+
+
 def greedy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New clusters matched with those of the first half of the month."""
     s = spans(spark, sf_dir).join(spots(spark), F.col("spot") == F.col("place_id"))
@@ -170,12 +177,20 @@ def trailing_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_filter, kalman_filter, track_segments, day_timeline, stay_mining, focus_places, greedy_identity, day_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
+        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, day_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
         dwell_continuation, trailing_600s,
     )
 }
 MODED = f"""m AS (SELECT user_id, start_ts, end_ts, event_id, event_type, p_lat AS lat, p_lon AS lon FROM span JOIN sp ON spot = place_id)"""
 ORACLES = {
+    "split_scores": f"""WITH {FX}, d AS (SELECT *, t // 86400 AS day FROM fx), g AS (SELECT *, lag(t) OVER w AS pt, t - lag(t) OVER w AS gap, row_number() OVER w - 1 AS n, avg(lat) OVER b AS clat, avg(lon) OVER b AS clon
+  FROM d WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id, day ORDER BY t, event_id), b AS (PARTITION BY user_id, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, median(gap) OVER (PARTITION BY user_id, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM g),
+e AS (SELECT m.user_id, m.pt AS start_ts, m.t AS end_ts, m.gap, m.n, any_value(m.med) AS med, coalesce(sum(x.steps), 0)::BIGINT AS steps, count(x.bpm) AS beats, avg(x.bpm) AS bpm, any_value({hav('m.clat', 'm.clon', 'm.lat', 'm.lon')}) AS away
+  FROM m LEFT JOIN d x ON x.user_id = m.user_id AND x.day = m.day AND x.t > m.pt AND x.t < m.t WHERE m.gap >= 900 GROUP BY m.user_id, m.pt, m.t, m.gap, m.n, m.event_id),
+s AS (SELECT *, steps / (gap / 60.0::DOUBLE) AS pace FROM e), p AS (SELECT *, CASE WHEN pace > 20 THEN 3.5 WHEN pace > 8 THEN 2.0 WHEN pace > 3 THEN 0.5 WHEN pace > 1 THEN -0.5 ELSE -2.0 END::DOUBLE AS moved FROM s)
+SELECT user_id, start_ts, end_ts, n AS fixes, steps, beats, round(bpm, 4) AS bpm, round(med, 1) AS median_gap_s, round(moved + CASE WHEN n >= 5 AND moved > 0 AND med > 0 THEN CASE WHEN gap / med > 50 THEN 1.0 WHEN gap / med > 10 THEN 0.5 ELSE 0 END ELSE 0 END
+  + CASE WHEN beats >= 3 THEN CASE WHEN bpm > 110 THEN 0.8 WHEN bpm > 95 THEN 0.3 WHEN bpm < 75 THEN -0.5 ELSE 0 END ELSE 0 END + CASE WHEN away < 20 THEN -0.5 ELSE 0 END, 4) AS nats FROM p""",
     "trailing_600s": f"""WITH {FX}, h AS (SELECT *, lag(t) OVER w AS pt, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS hop_m FROM fx WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 p AS (SELECT a.event_id, any_value(a.t) AS t, any_value(a.lat) AS lat, any_value(a.lon) AS lon, arg_min(b.lat, (b.t, b.event_id)) AS flat, arg_min(b.lon, (b.t, b.event_id)) AS flon, min(b.t) AS ft, coalesce(sum(b.hop_m) FILTER (b.pt >= a.t - 600), 0) AS path_m
   FROM h a JOIN h b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 600 AND a.t GROUP BY a.event_id),
