@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daygrain.functions import chance
+from daygrain.functions import chance, geo
 from daygrain.operators import groups, series
 
 #: Fixed values. Per mode: prior; speed, heart rate and steps as mean and deviation, with the probability of no steps; the chance of being in bed;
@@ -247,6 +247,30 @@ def over_days(rows: DataFrame, keys: list[str], step: str, out: str, work: Calla
     return sorted_.mapInArrow(run, out)
 
 
+#: Fixed values of class locks: steps on each side, steps a minute of a walker, and how many such; km/h that nobody walks; metres of not moving.
+LOCK_STEPS, FOOT_STEPS, FOOT_COUNT, WALK_KMH, STILL_SPREAD_M = 2, 30.0, 3, 12.0, 80.0
+LOCKS = {"foot": ("walking",), "vehicle": VEHICLES, "stationary": ("stationary",)}
+
+
+def class_locks(observed: DataFrame, keys: list[str], step: str = "t") -> DataFrame:
+    """`observed` (a dense grid: step, lat, lon, cadence) with `lock`: what the steps about one prove. foot: feet move in most of them. vehicle: none has a walker's
+    steps, and the first and last fix among them are farther apart than one walks; where there are none, those before and after are. stationary: no
+    walker's steps, and the fixes lie together. Null: nothing."""
+    order = Window.partitionBy(*keys).orderBy(step)
+    about, before, after = order.rowsBetween(-LOCK_STEPS, LOCK_STEPS), order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    fix = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon", F.col(step).alias("t")))
+    rows = observed.withColumn("__fix", fix)
+    for name, f, w in (("__a", F.first, about), ("__b", F.last, about), ("__p", F.last, before), ("__n", F.first, after)):
+        rows = rows.withColumn(name, f("__fix", ignorenulls=True).over(w))
+    rows = rows.withColumn("__high", F.sum((F.col("cadence") >= FOOT_STEPS).cast("int")).over(about)).withColumn("__told", F.count("cadence").over(about))
+    metres = lambda a, b: geo.haversine(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
+    kmh = lambda a, b: F.when(F.col(f"{b}.t") > F.col(f"{a}.t"), metres(a, b) / (F.col(f"{b}.t") - F.col(f"{a}.t")) * 3.6)
+    high = F.coalesce(F.col("__high"), F.lit(0))
+    lock = F.when(high >= FOOT_COUNT, "foot").when((high == 0) & (F.coalesce(kmh("__a", "__b"), kmh("__p", "__n")) > WALK_KMH), "vehicle")
+    lock = lock.when((high == 0) & (F.col("__told") > 0) & (metres("__a", "__b") < STILL_SPREAD_M), "stationary")
+    return rows.withColumn("lock", lock).select(*[c for c in observed.columns if c != "lock"], "lock")
+
+
 def state_emissions(observed: DataFrame, space: list[State], keys: list[str], step: str) -> list[Column]:
     """The nats of each state at each step, from the columns that the observations have."""
     has, told = set(observed.columns), []
@@ -263,6 +287,9 @@ def state_emissions(observed: DataFrame, space: list[State], keys: list[str], st
                 e = e + F.when(first, F.coalesce(F.col(f"entry_{s.place}"), F.lit(0.0))).otherwise(0.0)
         elif s.mode == "stationary":
             e = e - 2.0
+        if "lock" in has:
+            fits = [k for k, modes in LOCKS.items() if s.mode in modes]
+            e = F.when(F.col("lock").isNull() | F.col("lock").isin(*fits) if fits else F.col("lock").isNull(), e).otherwise(float("-inf"))
         told.append(e)
     return told
 
@@ -271,8 +298,8 @@ def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: s
     """Segments of each group's observations: start_ts, end_ts, mode, place.
 
     observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
-    before and after ask for to be there) and entry_<place> (nats of entering it, which the day's first step is weighed by). A null
-    says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
+    before and after ask for to be there), entry_<place> (nats of entering it, which the day's first step is weighed by) and lock (see class_locks():
+    a segment of another class has no probability). A null says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
     space = states(list(places), [])
     way, long = transitions(space), durations(space, step_s=step_s)
     told = state_emissions(observed, space, keys, step)

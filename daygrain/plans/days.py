@@ -102,6 +102,13 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hsmm.observations(f, ["user_id", "day_start"], 3600).select("user_id", "day_start", "t", "speed_kmh", "hr", "cadence")
 
 
+def class_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What steps and fixes prove of each quarter of an hour of each user's days."""
+    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
+    seen = hsmm.observations(f, ["user_id", "day_start"], 900)
+    return hsmm.class_locks(seen, ["user_id", "day_start"]).where("lock is not null").select("user_id", "t", "lock")
+
+
 def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The semi-Markov decoding of each user's days, by hours."""
     return hsmm.decode(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
@@ -177,12 +184,20 @@ def trailing_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, day_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
+        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, class_locks, day_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
         dwell_continuation, trailing_600s,
     )
 }
 MODED = f"""m AS (SELECT user_id, start_ts, end_ts, event_id, event_type, p_lat AS lat, p_lon AS lon FROM span JOIN sp ON spot = place_id)"""
 ORACLES = {
+    "class_locks": f"""WITH {FX}, d AS (SELECT user_id, t // 86400 * 86400 AS day FROM fx GROUP BY 1, 2), g AS (SELECT user_id, day, unnest(range(day, day + 86400, 900)) AS t FROM d),
+a AS (SELECT user_id, t // 900 * 900 AS t, median(lat) AS lat, median(lon) AS lon, sum(steps)::BIGINT AS steps FROM fx GROUP BY 1, 2),
+o AS (SELECT g.user_id, g.day, g.t, a.lat, a.lon, a.steps, CASE WHEN a.lat IS NOT NULL THEN {{'lat': a.lat, 'lon': a.lon, 't': g.t}} END AS f FROM g LEFT JOIN a ON g.user_id = a.user_id AND g.t = a.t),
+w AS (SELECT *, count(*) FILTER (steps >= 30) OVER m AS high, count(steps) OVER m AS told, arg_min(f, t) FILTER (f IS NOT NULL) OVER m AS x, arg_max(f, t) FILTER (f IS NOT NULL) OVER m AS y,
+  arg_max(f, t) FILTER (f IS NOT NULL) OVER (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, arg_min(f, t) FILTER (f IS NOT NULL) OVER (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
+  FROM o WINDOW m AS (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+k AS (SELECT *, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS spread, CASE WHEN y.t > x.t THEN {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} / (y.t - x.t) * 3.6 WHEN n.t > p.t THEN {hav('p.lat', 'p.lon', 'n.lat', 'n.lon')} / (n.t - p.t) * 3.6 END AS kmh FROM w),
+l AS (SELECT user_id, t, CASE WHEN high >= 3 THEN 'foot' WHEN high = 0 AND kmh > 12 THEN 'vehicle' WHEN high = 0 AND told > 0 AND spread < 80 THEN 'stationary' END AS lock FROM k) SELECT * FROM l WHERE lock IS NOT NULL""",
     "split_scores": f"""WITH {FX}, d AS (SELECT *, t // 86400 AS day FROM fx), g AS (SELECT *, lag(t) OVER w AS pt, t - lag(t) OVER w AS gap, row_number() OVER w - 1 AS n, avg(lat) OVER b AS clat, avg(lon) OVER b AS clon
   FROM d WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id, day ORDER BY t, event_id), b AS (PARTITION BY user_id, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT *, median(gap) OVER (PARTITION BY user_id, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM g),

@@ -205,3 +205,31 @@ def test_a_day_on_rails(spark, net):
     for r in got:
         assert (r.line is None) == (not r.edges)
         assert r.line is None or len(r.edges) == (r.end_ts - r.start_ts) // 60
+
+
+def locked(spark, rows):
+    seen = spark.createDataFrame([(1, 60 * i, *r) for i, r in enumerate(rows)], "d long, t long, lat double, lon double, cadence double")
+    return [r.lock for r in hsmm.class_locks(seen, ["d"]).orderBy("t").collect()]
+
+
+def test_locks_are_what_steps_and_fixes_prove(spark):
+    here, none = (50.0, 10.0), (None, None)
+    assert locked(spark, [(*here, 100.0)] * 5) == ["foot"] * 5
+    assert locked(spark, [(50.0 + 0.01 * i, 10.0, 0.0) for i in range(5)]) == ["vehicle"] * 5
+    assert locked(spark, [(50.0 + 0.01 * i, 10.0, 100.0) for i in range(5)]) == ["foot"] * 5  # feet come first
+    assert locked(spark, [(*here, 0.0)] * 5) == ["stationary"] * 5
+    assert locked(spark, [(*here, None)] * 5) == [None] * 5  # no step was told
+    assert locked(spark, [(*none, 0.0)] * 5) == [None] * 5
+    dark = [(*here, 0.0), *[(*none, 0.0)] * 6, (50.1, 10.0, 0.0)]
+    assert locked(spark, dark) == ["stationary", *["vehicle"] * 6, "stationary"]
+    assert locked(spark, [(*here, 100.0), (*here, 0.0), (*here, 0.0), (*here, 0.0), (*here, 0.0), (*here, 0.0)])[:2] == [None, None]  # one with steps locks nothing
+
+
+def test_a_locked_segment_keeps_its_class(spark):
+    rows = [(1, 60 * i, 5.0 if i < 20 else 40.0, 80.0, 0.0, None if i < 5 else "foot" if i < 20 else "vehicle") for i in range(40)]
+    seen = spark.createDataFrame(rows, "d long, t long, speed_kmh double, hr double, cadence double, lock string")
+    for s in hsmm.decode(seen, ["d"]).collect():
+        inside = {r[5] for r in rows if s.start_ts <= r[1] < s.end_ts} - {None}
+        assert all(s.mode in hsmm.LOCKS[k] for k in inside)
+    free = {s.mode for s in hsmm.decode(seen.drop("lock"), ["d"]).collect()}
+    assert free != {"walking", "driving"}
