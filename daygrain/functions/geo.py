@@ -69,6 +69,17 @@ def turn(a: Column, b: Column) -> Column:
     return F.least(d, 360.0 - d)
 
 
+def unit(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """A place on the unit sphere."""
+    y, x = F.radians(lat), F.radians(lon)
+    return F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+
+
+def chord_square(radius_m: float) -> float:
+    """The square of the distance of two places of unit() that are that far apart on the earth, with room for rounding."""
+    return (2 * math.sin(min(radius_m / EARTH_RADIUS_M, math.pi) / 2)) ** 2 * (1 + 1e-6) + 1e-13
+
+
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 

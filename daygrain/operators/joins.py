@@ -77,8 +77,12 @@ def within_radius(points: DataFrame, places: DataFrame, radius_m: float, lat: st
     cy = geo.cell(F.col(lat), size)
     p = points.withColumn("__cy", cy).withColumn("__cx", geo.band_cell(F.col(lon), geo.band_cells(cy, size, radius_m)))
     q = places.withColumn("__c", F.explode(geo.cells_near(F.col(p_lat), F.col(p_lon), size, radius_m))).select(*places.columns, "__c.*")
+    # Two thirds of the pairs that share a cell lie too far apart; a chord between unit vectors, made once a row, tells that without trigonometry a pair.
+    p, q = (t.withColumns({f"__{s}{i}": v for i, v in enumerate(geo.unit(F.col(y), F.col(x)))}) for t, s, y, x in ((p, "u", lat, lon), (q, "v", p_lat, p_lon)))
+    chord = sum(((F.col(f"__u{i}") - F.col(f"__v{i}")) * (F.col(f"__u{i}") - F.col(f"__v{i}")) for i in range(3)), F.lit(0.0))
     d = geo.haversine(F.col(lat), F.col(lon), F.col(p_lat), F.col(p_lon))
-    return p.join(q, ["__cy", "__cx"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("__cy", "__cx")
+    near = p.join(q, ["__cy", "__cx"]).where(chord <= geo.chord_square(radius_m)).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
+    return near.drop("__cy", "__cx", *(f"__{s}{i}" for s in "uv" for i in range(3)))
 
 
 def nearest_k(pairs: DataFrame, key: list[str], k: int, tie: str, distance: str = "distance_m") -> DataFrame:
@@ -94,9 +98,9 @@ def snap(points: DataFrame, places: DataFrame, key: list[str], place_id: str = "
     The runner-up counts within `apart` times `near_m`, where it can matter."""
     names = points.columns
     pairs = nearest_k(within_radius(points, places, near_m * apart), key, 2, place_id)
-    best = pairs.where("rank = 1").select(*key, F.col(place_id).alias("__id"), F.col("distance_m").alias("__d"), F.col("p_lat").alias("__y"), F.col("p_lon").alias("__x"))
-    second = pairs.where("rank = 2").select(*key, F.col("distance_m").alias("__d2"))
-    out = points.join(best, key, "left").join(second, key, "left")
+    first = F.max(F.when(F.col("rank") == 1, F.struct(F.col(place_id).alias("id"), F.col("distance_m").alias("d"), F.col("p_lat").alias("y"), F.col("p_lon").alias("x"))))
+    both = pairs.groupBy(*key).agg(first.alias("__1"), F.max(F.when(F.col("rank") == 2, F.col("distance_m"))).alias("__d2"))
+    out = points.join(both.select(*key, *(F.col(f"__1.{c}").alias(f"__{c}") for c in ("id", "d", "y", "x")), "__d2"), key, "left")
     ok = (F.col("__d") <= near_m) & (F.col(accuracy).isNull() | (F.col(accuracy) >= least_accuracy_m)) & (F.col("__d2").isNull() | (F.col("__d2") >= apart * F.col("__d")))
     ok = F.coalesce(ok, F.lit(False))
     moved = {"lat": F.when(ok, F.col("__y")).otherwise(F.col("lat")), "lon": F.when(ok, F.col("__x")).otherwise(F.col("lon"))}
