@@ -133,15 +133,17 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -
 
 #: segment(t, d): nats of the segments that end before step t and have the lengths d, as [days or 1, lengths, states].
 Segments = Callable[[int, np.ndarray], np.ndarray]
+#: pair(t): nats of a segment of one state that begins at step t behind one of another, as [days or 1, from, to].
+Pairs = Callable[[int], np.ndarray]
 
 
-def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray, segment: Segments | None = None) -> np.ndarray:
+def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray, initial: np.ndarray, segment: Segments | None = None, pair: Pairs | None = None) -> np.ndarray:
     """The best segmentation of each day of [days, steps, states], or of one day of [steps, states]: each segment of state s and length d
-    adds its emissions, its duration, what `segment` tells of it as a whole, and the way in from another state.
+    adds its emissions, its duration, what `segment` tells of it as a whole, and the way in from another state with what `pair` tells of both.
 
     Longer stays than the table tells are chained from the same state without a cost of entry. Ties keep the first."""
     if emission.ndim == 2:
-        return semi_viterbi(emission[None], transition, duration, initial, segment)[0]
+        return semi_viterbi(emission[None], transition, duration, initial, segment, pair)[0]
     b, n, s = emission.shape
     most = min(duration.shape[1], n)
     path = np.zeros((b, n), int)
@@ -164,7 +166,7 @@ def semi_viterbi(emission: np.ndarray, transition: np.ndarray, duration: np.ndar
         best[:, t] = np.take_along_axis(c, k[:, None], 1)[:, 0] + cum[:, t]
         length[:, t] = d[k]
         if t < n:
-            x = best[:, t, :, None] + way
+            x = best[:, t, :, None] + (way if pair is None else way + pair(t))
             x[:, diagonal, diagonal] = np.where(length[:, t] == duration.shape[1], best[:, t], -np.inf)
             came[:, t] = x.argmax(1)
             entry[:, t] = x.max(1)
@@ -294,22 +296,32 @@ def state_emissions(observed: DataFrame, space: list[State], keys: list[str], st
     return told
 
 
-def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60) -> DataFrame:
+def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60, place_at: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """Segments of each group's observations: start_ts, end_ts, mode, place.
 
     observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
     before and after ask for to be there), entry_<place> (nats of entering it, which the day's first step is weighed by) and lock (see class_locks():
-    a segment of another class has no probability). A null says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
+    a segment of another class has no probability). With place_at (latitude and longitude of each place; a few, for they are states) the fixes
+    (lat, lon) weigh whole segments and what follows what, see context.py. A null says nothing. One group is a day of 1440 steps or fewer; steps are `step_s` long, and durations are scored at that length."""
     space = states(list(places), [])
     way, long = transitions(space), durations(space, step_s=step_s)
     told = state_emissions(observed, space, keys, step)
-    rows = observed.select(*keys, F.col(step).cast("long").alias(step), F.array(*told).alias("emission"))
+    seen = [] if place_at is None else [F.col(c).cast("double").alias(f"__{c}") for c in ("lat", "lon", "cadence")]
+    rows = observed.select(*keys, F.col(step).cast("long").alias(step), F.array(*told).alias("emission"), *seen)
     begin = np.full(len(space), -math.log(len(space)))
     modes, spots = np.asarray([s.mode for s in space]), [s.place for s in space]
     kinds = {f.name: f.dataType.simpleString() for f in observed.schema}
 
     def work(table: pa.Table, begins: np.ndarray, emission: np.ndarray) -> pa.Table:
-        path = semi_viterbi(emission, way, long, begin)
+        if place_at is None:
+            path = semi_viterbi(emission, way, long, begin)
+        else:
+            from daygrain.operators.context import chain_scores, segment_scores
+
+            at = pa.array((begins[:, None] + np.arange(emission.shape[1])).ravel())
+            lat, lon, cadence = (table.column(f"__{c}").take(at).to_numpy(zero_copy_only=False).astype(float).reshape(emission.shape[:2]) for c in ("lat", "lon", "cadence"))
+            lat = np.where(np.isnan(lon), np.nan, lat)
+            path = semi_viterbi(emission, way, long, begin, segment_scores(lat, lon, cadence, space, step_s), chain_scores(lat, lon, space, step_s, place_at))
         new = np.ones(path.shape, bool)
         new[:, 1:] = path[:, 1:] != path[:, :-1]
         last = np.ones(path.shape, bool)

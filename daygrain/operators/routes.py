@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrain.operators import groups, hsmm
+from daygrain.operators.context import chain_scores, segment_scores
 from daygrain.operators.joins import near_lines
 from daygrain.operators.ways import project
 
@@ -96,8 +97,8 @@ def window_path(nats: np.ndarray, next_to: np.ndarray, entry: np.ndarray, leave:
     return path[::-1], float(best.max())
 
 
-def route_day(lat: np.ndarray, lon: np.ndarray, emission: np.ndarray, lines: dict[str, tuple], places: list[int], step_s: int) -> list[tuple]:
-    """Segments of a day: (first step, last step, state, edges a step of a ride on a line).
+def route_day(lat: np.ndarray, lon: np.ndarray, emission: np.ndarray, lines: dict[str, tuple], places: list[int], step_s: int, place_at: dict[int, tuple[float, float]] | None = None, cadence: np.ndarray | None = None) -> list[tuple]:
+    """Segments of a day: (first step, last step, state, edges a step of a ride on a line). With place_at, fixes weigh whole segments and what follows what, too.
 
     emission: [steps, states] of hsmm.states(places, []). lines: name -> (edge ids, legs, underground)."""
     names = sorted(lines)
@@ -112,14 +113,20 @@ def route_day(lat: np.ndarray, lon: np.ndarray, emission: np.ndarray, lines: dic
         inner[name] = nats, neighbours(legs), *boundaries(far)
     scores = [window_scores(*inner[name], most) for name in names]
 
+    whole, pair = None, None
+    if place_at is not None:
+        fix = np.where(np.isnan(lon), np.nan, lat)[None], lon[None]
+        whole = segment_scores(*fix, np.zeros((1, len(lat))) if cadence is None else cadence[None], space, step_s)
+        pair = chain_scores(*fix, space, step_s, place_at, {name: lines[name][1] for name in names})
+
     def segment(t: int, d: np.ndarray) -> np.ndarray:
-        out = np.zeros((1, len(d), len(space)))
+        out = np.zeros((1, len(d), len(space))) if whole is None else whole(t, d)
         for i, s in enumerate(scores):
-            out[0, :, base + i] = np.where(d <= most, s[t - 1, np.minimum(d, most) - 1], -np.inf)
+            out[0, :, base + i] += np.where(d <= most, s[t - 1, np.minimum(d, most) - 1], -np.inf)
         return out
 
     way, long = hsmm.transitions(space), hsmm.durations(space, step_s=step_s)
-    path = hsmm.semi_viterbi(full[None], way, long, np.full(len(space), -np.log(len(space))), segment)[0]
+    path = hsmm.semi_viterbi(full[None], way, long, np.full(len(space), -np.log(len(space))), segment, pair)[0]
     out, begins = [], np.flatnonzero(np.diff(path, prepend=-1))
     for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(path)], strict=True):
         s = space[path[i]]
@@ -132,18 +139,18 @@ def route_day(lat: np.ndarray, lon: np.ndarray, emission: np.ndarray, lines: dic
     return out
 
 
-def decode_routes(observed: DataFrame, keys: list[str], edges: DataFrame, places: list[int] = (), step: str = "t", step_s: int = 60) -> DataFrame:
+def decode_routes(observed: DataFrame, keys: list[str], edges: DataFrame, places: list[int] = (), step: str = "t", step_s: int = 60, place_at: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """Segments of each group's observations, as hsmm.decode() has them, with rides on named lines: keys, start_ts, end_ts, mode, place, line, edges (an edge a step).
 
     observed: what hsmm.decode() takes, and lat, lon (null where there is no fix). edges: line, edge_id (a string), lat1, lon1, lat2, lon2, underground. A day meets the
     edges of the lines that pass within 1500 m of one of its fixes, in one cogroup; lines that don't aren't in its states. A segment of
-    a line is at most 90 minutes."""
+    a line is at most 90 minutes. place_at: as in hsmm.decode()."""
     seen = observed.where("lat is not null and lon is not null").select(*keys, F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).distinct()
     there = near_lines(seen, edges.select(F.col("line").alias("way_id"), "lat1", "lon1", "lat2", "lon2"), PRESENT_M, keys).select(*keys, F.col("way_id").alias("line"))
     around = there.join(edges.select("line", "edge_id", "lat1", "lon1", "lat2", "lon2", "underground"), "line")
     around = around.select(*[F.col(k).alias(k) for k in keys], *[c for c in around.columns if c not in keys])  # columns of its own, for the cogroup
     space = hsmm.states(list(places), [])
-    rows = observed.select(*keys, F.col(step).cast("long").alias(step), "lat", "lon", F.array(*hsmm.state_emissions(observed, space, keys, step)).alias("emission"))
+    rows = observed.select(*keys, F.col(step).cast("long").alias(step), "lat", "lon", F.col("cadence").cast("double").alias("cadence"), F.array(*hsmm.state_emissions(observed, space, keys, step)).alias("emission"))
     kinds = {f.name: f.dataType.simpleString() for f in observed.schema}
     names = [*keys, "start_ts", "end_ts", "mode", "place", "line", "edges"]
 
@@ -154,7 +161,7 @@ def decode_routes(observed: DataFrame, keys: list[str], edges: DataFrame, places
         lines = {}
         for line, g in net.sort_values(["line", "edge_id"]).groupby("line"):
             lines[line] = g.edge_id.tolist(), g[["lat1", "lon1", "lat2", "lon2"]].to_numpy(float), g.underground.fillna(False).to_numpy(bool)
-        found = route_day(day.lat.to_numpy(float), day.lon.to_numpy(float), np.stack(day.emission.to_numpy()).astype(float), lines, list(places), step_s)
+        found = route_day(day.lat.to_numpy(float), day.lon.to_numpy(float), np.stack(day.emission.to_numpy()).astype(float), lines, list(places), step_s, place_at, day.cadence.to_numpy(float))
         t = day[step].to_numpy()
         out = [(*(day[k].iloc[0] for k in keys), t[i], t[j] + step_s, s.mode, s.place, s.line, e) for i, j, s, e in found]
         return pd.DataFrame(out, columns=names).astype({"place": "Int64"})

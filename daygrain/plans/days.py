@@ -114,6 +114,18 @@ def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hsmm.decode(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
 
 
+def context_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's days by the half hour, with the spots as places: how far they are, how often a user is there, nights in bed, class locks, and the way between fixes."""
+    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
+    at = {i: (51.5 + i * 0.01, -0.1 + i * 0.015) for i in range(SPOTS)}
+    seen = hsmm.class_locks(hsmm.observations(f, ["user_id", "day_start"], 1800), ["user_id", "day_start"])
+    total = F.count("*")
+    often = f.groupBy("user_id").agg(*[F.log((F.sum((F.col("spot") == i).cast("int")) + 1) / (total + SPOTS)).alias(f"entry_{i}") for i in at])
+    seen = seen.join(often, "user_id").withColumns({f"d_{i}": geo.haversine(F.col("lat"), F.col("lon"), F.lit(y), F.lit(x)) for i, (y, x) in at.items()})
+    seen = seen.withColumn("in_bed", F.col("t") - F.col("day_start") < 6 * 3600)
+    return hsmm.decode(seen, ["user_id", "day_start"], list(at), step_s=1800, place_at=at)
+
+
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How probable each mode is at each hour of each user's days."""
     return hsmm.likeliest(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
@@ -184,7 +196,7 @@ def trailing_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, class_locks, day_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
+        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, class_locks, day_decode, context_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
         dwell_continuation, trailing_600s,
     )
 }
