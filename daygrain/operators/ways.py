@@ -1,6 +1,6 @@
 """Networks of ways: graphs, shortest paths, matching of tracks, snapping of trains, bus routes and evidence.
 
-A network is read into a graph once a region; matching a leg is a recursion in numpy, one group a leg.
+A leg of a journey meets the part of the network around it; matching it is a recursion in numpy, one group a leg.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions import geo
 from daygrain.operators import groups
-from daygrain.operators.joins import within_radius
+from daygrain.operators.joins import near_lines, within_radius
 from daygrain.operators.track import M_PER_DEGREE, flat, haversine
 
 
@@ -290,26 +290,65 @@ def snap_train(graph: Graph, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, ne
 PATH = "array<struct<lat:double,lon:double,t:double>>"
 
 
-def match_legs(fixes: DataFrame, keys: list[str], legs: np.ndarray, way: list, profile: Profile = ROAD) -> DataFrame:
-    """Per leg (keys; fixes t, lat, lon) its matched path, null where there is none. legs: the region's network, which the caller bounds."""
-    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
-    built: list[Graph] = []  # by the first group of a task, for all of them
+def legs_around(fixes: DataFrame, keys: list[str], edges: DataFrame, profile: Profile, cell_deg: float) -> DataFrame:
+    """keys, way_id, lat1, lon1, lat2, lon2: the legs that match() may come to from a key's fixes (t, lat, lon), each once.
+
+    From a fix near a leg it looks no farther than four times the way to the next such fix and 400 m, from the leg's ends on; so the legs in the box of a key's
+    fixes, widened by that, the leg's length and the radius, are enough. Boxes and legs meet in cells of cell_deg degrees, doubled as often as a box
+    needs to lie in a few; they set the cost and not the result."""
+    leg = ["way_id", "lat1", "lon1", "lat2", "lon2"]
+    at = [*keys, "t", "lat", "lon"]
+    told = edges.select(F.struct(*leg).alias("way_id"), *leg[1:], geo.haversine(*(F.col(c) for c in leg[1:])).alias("leg_m"))
+    near = near_lines(fixes.select(*at), told, profile.radius_m * 1.01 + 1, at).groupBy(*at).agg(F.max("leg_m").alias("leg_m"))
+    w = Window.partitionBy(*keys).orderBy("t", "lat", "lon")
+    step = lambda f: F.when(f("t").over(w).isNotNull(), geo.haversine(F.col("lat"), F.col("lon"), f("lat").over(w), f("lon").over(w)))
+    straight = F.coalesce(F.greatest(step(F.lead), step(F.lag)), F.lit(0.0))
+    disc = near.withColumn("__b", geo.box_around(F.col("lat"), F.col("lon"), 1.05 * (4 * straight + 400 + F.col("leg_m") + profile.radius_m)))
+    box = disc.groupBy(*keys).agg(F.min("__b.south").alias("s"), F.max("__b.north").alias("n"), F.min("__b.west").alias("w"), F.max("__b.east").alias("e"))
+    wide = F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w")) / (4 * cell_deg)
+    box = box.withColumn("__level", F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(wide)).cast("int"))))
+
+    def cells(df: DataFrame, south: Column, north: Column, west: Column, east: Column) -> DataFrame:
+        size = F.lit(cell_deg) * F.pow(F.lit(2.0), F.col("__level"))
+        span = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
+        return df.withColumn("__cy", span(south, north)).withColumn("__cx", span(west, east))
+
+    tiles = cells(box, F.col("s"), F.col("n"), F.col("w"), F.col("e"))
+    levels = edges.select(*leg).withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    placed = cells(levels, F.least("lat1", "lat2"), F.greatest("lat1", "lat2"), F.least("lon1", "lon2"), F.greatest("lon1", "lon2"))
+    both = tiles.join(placed, ["__level", "__cy", "__cx"])
+    inside = (F.greatest("lat1", "lat2") >= F.col("s")) & (F.least("lat1", "lat2") <= F.col("n")) & (F.greatest("lon1", "lon2") >= F.col("w")) & (F.least("lon1", "lon2") <= F.col("e"))
+    return both.where(inside).select(*keys, *leg).distinct()
+
+
+#: Sizes of cells in which networks are found: the smallest, and doubled each time.
+LEVELS = 12
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        if not built:
-            built.append(Graph(legs, way))
-        g = g.sort_values("t")
-        p = match(built[0], g.t.to_numpy(float), g.lat.to_numpy(float), g.lon.to_numpy(float), profile)
+
+def match_legs(fixes: DataFrame, keys: list[str], edges: DataFrame, profile: Profile = ROAD, cell_deg: float = 0.05) -> DataFrame:
+    """Per leg of a journey (keys; fixes t, lat, lon) its matched path on the network (edges: way_id, lat1, lon1, lat2, lon2), null where there is none.
+
+    A leg meets the part of the network around it in one cogroup; no task holds a region. Legs far from any edge meet none. Networks and legs that cross the
+    180th meridian aren't joined there."""
+    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
+    around = legs_around(fixes, keys, edges, profile, cell_deg)
+    around = around.select(*[F.col(k).alias(k) for k in keys], *[c for c in around.columns if c not in keys])  # columns of its own, for the cogroup
+
+    def work(g: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame(columns=[*keys, "path"])
+        g, net = g.sort_values(["t", "lat", "lon"]), net.sort_values(["way_id", "lat1", "lon1", "lat2", "lon2"])
+        graph = Graph(net[["lat1", "lon1", "lat2", "lon2"]].to_numpy(float), net.way_id.tolist())
+        p = match(graph, g.t.to_numpy(float), g.lat.to_numpy(float), g.lon.to_numpy(float), profile) if len(net) else None
         row = {k: [g[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "path": [None if p is None else [{"lat": a, "lon": b, "t": c} for a, b, c in p]]})
 
-    return groups.dealt(fixes, keys).groupBy(*keys).applyInPandas(work, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", path {PATH}")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", path {PATH}"
+    return groups.dealt(fixes.select(*keys, "t", "lat", "lon"), keys).groupBy(*keys).cogroup(groups.dealt(around, keys).groupBy(*keys)).applyInPandas(work, schema)
 
 
 def stations_on_line(stations: DataFrame, edges: DataFrame, near_m: float = 300.0) -> DataFrame:
     """Stations (name, p_lat, p_lon) within `near_m` of a line's legs (line, lat1, ...): line and name once each, with the least distance."""
-    from daygrain.operators.joins import near_lines
-
     s = stations.withColumnsRenamed({"p_lat": "lat", "p_lon": "lon"})
     n = near_lines(s, edges.withColumnRenamed("line", "way_id").select("way_id", "lat1", "lon1", "lat2", "lon2"), near_m, ["name", "lat", "lon"])
     return n.groupBy(F.col("way_id").alias("line"), "name").agg(F.min("distance_m").alias("distance_m"))
@@ -364,8 +403,6 @@ def bus_routes(rides: DataFrame, track: DataFrame, stops: DataFrame, key: str =
 
 def proximity(fixes: DataFrame, rail: DataFrame, road: DataFrame, keys: list[str], radius_m: float = 300.0) -> DataFrame:
     """rail_m and road_m of each point, null beyond the radius."""
-    from daygrain.operators.joins import near_lines
-
     point = [*keys, "lat", "lon"]
     near = lambda e, n: near_lines(fixes, e, radius_m, point).groupBy(*point).agg(F.min("distance_m").alias(n))
     return fixes.join(near(rail, "rail_m"), point, "left").join(near(road, "road_m"), point, "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,9 +132,10 @@ def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def road_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's days matched to a road through all spots."""
-    legs = np.array([[51.5 + i * 0.01, -0.1 + i * 0.015, 51.5 + (i + 1) * 0.01, -0.1 + (i + 1) * 0.015] for i in range(11)])
+    at = lambda i: (51.5 + i * 0.01, -0.1 + i * 0.015)
+    road = spark.createDataFrame([(i, *at(i), *at(i + 1)) for i in range(11)], "way_id long, lat1 double, lon1 double, lat2 double, lon2 double")
     f = fixes(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400)).select("user_id", "day", "t", "lat", "lon")
-    return ways.match_legs(f, ["user_id", "day"], legs, list(range(11))).withColumn("points", F.coalesce(F.size("path"), F.lit(0))).select("user_id", "day", "points", F.round(geo.path_length(F.col("path")), 3).alias("path_m"))
+    return ways.match_legs(f, ["user_id", "day"], road).withColumn("points", F.coalesce(F.size("path"), F.lit(0))).select("user_id", "day", "points", F.round(geo.path_length(F.col("path")), 3).alias("path_m"))
 
 
 def circle_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
