@@ -92,7 +92,7 @@ def greedy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = side(F.col("start_ts") < mid, "old_"), side(F.col("start_ts") >= mid, "new_")
     d = geo.haversine(F.col("old_lat"), F.col("old_lon"), F.col("new_lat"), F.col("new_lon"))
     pairs = old.join(new, "user_id").withColumn("distance_m", d).where("distance_m <= 1800")
-    return track.match_identity(pairs.select("user_id", F.col("old_id"), F.col("new_id"), "distance_m"), KEYS)
+    return track.match_identity(pairs.select("user_id", F.col("old_id"), F.col("new_id"), "distance_m"), KEYS).withColumn("distance_m", F.round("distance_m", 3))
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,6 +202,14 @@ QUERIES = {
 }
 MODED = f"""m AS (SELECT user_id, start_ts, end_ts, event_id, event_type, p_lat AS lat, p_lon AS lon FROM span JOIN sp ON spot = place_id)"""
 ORACLES = {
+    "greedy_identity": f"""WITH RECURSIVE {FX}, {SP}, {SPAN}, s AS (SELECT * FROM span JOIN sp ON spot = place_id),
+o AS (SELECT user_id, spot AS old_id, avg(p_lat) AS y, avg(p_lon) AS x FROM s WHERE start_ts < 1705276800 GROUP BY 1, 2), w AS (SELECT user_id, spot AS new_id, avg(p_lat) AS y, avg(p_lon) AS x FROM s WHERE start_ts >= 1705276800 GROUP BY 1, 2),
+p AS (SELECT o.user_id, old_id, new_id, {hav('o.y', 'o.x', 'w.y', 'w.x')} AS distance_m FROM o JOIN w ON o.user_id = w.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY distance_m, old_id, new_id) AS k FROM p WHERE distance_m <= 1800),
+g AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS olds, []::BIGINT[] AS news, NULL::BIGINT AS old_id, NULL::BIGINT AS new_id, NULL::DOUBLE AS distance_m FROM (SELECT DISTINCT user_id FROM r)
+  UNION ALL SELECT g.user_id, r.k, CASE WHEN f THEN list_append(olds, r.old_id) ELSE olds END, CASE WHEN f THEN list_append(news, r.new_id) ELSE news END, CASE WHEN f THEN r.old_id END, CASE WHEN f THEN r.new_id END, CASE WHEN f THEN r.distance_m END
+  FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1, LATERAL (SELECT NOT list_contains(g.olds, r.old_id) AND NOT list_contains(g.news, r.new_id) AS f) l)
+SELECT user_id, old_id, new_id, round(distance_m, 3) AS distance_m FROM g WHERE old_id IS NOT NULL""",
     "class_locks": f"""WITH {FX}, d AS (SELECT user_id, t // 86400 * 86400 AS day FROM fx GROUP BY 1, 2), g AS (SELECT user_id, day, unnest(range(day, day + 86400, 900)) AS t FROM d),
 a AS (SELECT user_id, t // 900 * 900 AS t, median(lat) AS lat, median(lon) AS lon, sum(steps)::BIGINT AS steps FROM fx GROUP BY 1, 2),
 o AS (SELECT g.user_id, g.day, g.t, a.lat, a.lon, a.steps, CASE WHEN a.lat IS NOT NULL THEN {{'lat': a.lat, 'lon': a.lon, 't': g.t}} END AS f FROM g LEFT JOIN a ON g.user_id = a.user_id AND g.t = a.t),

@@ -154,3 +154,56 @@ def test_greedy_identity_is_as_by_hand(spark, sf):
                 used[1].add(b)
                 want.append((u, a, b))
     assert got == sorted(want)
+
+
+def test_kept_fixes_are_as_by_hand(spark, sf):
+    """The quality filter over the whole table, written plainly: from the last kept fix on, one that jumps is passed over if a sound one follows soon."""
+    from daygrain.operators.track import BRIDGE_FAR_M, BRIDGE_S, COARSE_KMH, COARSE_M, TELEPORT_KMH, WORST_ACCURACY_M
+
+    got = {k: {r["event_id"] for r in v} for k, v in by_key(days.quality_filter(spark, sf), "user_id").items()}
+    want = {}
+    for key, rows in by_key(fixes(spark, sf), "user_id").items():
+        rows = [r for r in sorted(rows, key=lambda r: (r["t"], r["event_id"])) if not r["accuracy"] > WORST_ACCURACY_M]
+
+        def metres(a, b):
+            y, x = (b["lat"] - a["lat"]) * 111_320, (b["lon"] - a["lon"]) * 111_320 * np.cos(np.radians((a["lat"] + b["lat"]) / 2))
+            return float(np.hypot(x, y))
+
+        def pace(a, b, metres=metres):
+            d = metres(a, b)
+            return d / (b["t"] - a["t"]) * 3.6 if b["t"] > a["t"] else float("inf") if d > 0 else 0.0
+
+        def bad(a, b, pace=pace):
+            return pace(a, b) > TELEPORT_KMH or (b["accuracy"] > COARSE_M and pace(a, b) > COARSE_KMH)
+
+        kept, i = rows[:1], 1
+        while i < len(rows) and len(rows) > 2:
+            a, r, take = kept[-1], rows[i], i
+            if bad(a, r):
+                for j in range(i + 1, len(rows)):
+                    if rows[j]["t"] - r["t"] > BRIDGE_S:
+                        break
+                    if not bad(a, rows[j]) and not rows[j]["accuracy"] > COARSE_M and (j + 1 == len(rows) or pace(rows[j], rows[j + 1]) <= TELEPORT_KMH):
+                        take = j if pace(a, r) > TELEPORT_KMH or metres(a, rows[j]) > BRIDGE_FAR_M else i
+                        break
+            kept.append(rows[take])
+            i = take + 1
+        want[key] = {r["event_id"] for r in (kept if len(rows) > 2 else rows)}
+    assert got == want and sum(map(len, got.values())) > 500
+
+
+def test_two_times_of_day_are_as_by_hand(spark, sf):
+    """circle_kmeans over the whole table: each event lies nearer to its own group's mean direction than to the other's, and the earlier group is 0."""
+    got = {r["event_id"]: r["side"] for r in days.circle_kmeans(spark, sf).collect()}
+    for rows in by_key(fixes(spark, sf), "event_type", "spot").values():
+        angle = np.array([r["t"] % 86_400 / 86_400 * 2 * np.pi for r in rows])
+        side = np.array([got[r["event_id"]] for r in rows])
+        p = np.stack([np.cos(angle), np.sin(angle)], 1)
+        if len(set(side)) < 2:
+            continue
+        c = np.stack([p[side == k].mean(0) for k in (0, 1)])
+        d = ((p[:, None] - c[None]) ** 2).sum(2)
+        assert (d[np.arange(len(side)), side] <= d[np.arange(len(side)), 1 - side] + 1e-9).all()
+        at = np.arctan2(c[:, 1], c[:, 0]) % (2 * np.pi)
+        assert at[0] <= at[1]
+    assert len(got) == fixes(spark, sf).count()
