@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daygrain.cluster import staged
 from daygrain.functions import geo
-from daygrain.operators import aggregates, evaluation, evidence, hsmm, joins, passes, places, segments, series, states, track, ways
+from daygrain.operators import aggregates, episodes, evaluation, evidence, hsmm, joins, passes, places, segments, series, states, track, ways
 from daygrain.plans.derived import FX, SP, SPAN, SPOTS, events, fixes, hav, spans, spots
 from daygrain.streaming import motion
 
@@ -84,6 +84,13 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", "start_ts", "end_ts", "fixes", "steps", "beats", F.round("bpm", 4).alias("bpm"), F.round("median_gap_s", 1).alias("median_gap_s"), F.round("nats", 4).alias("nats"))
 
 
+def state_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of each span: clicks and views are stays, the others rides."""
+    mode = F.when(F.col("event_type").isin("click", "view"), "stationary").otherwise("driving")
+    e = episodes.episodes(spans(spark, sf_dir).withColumn("mode", mode), fixes(spark, sf_dir), KEYS)
+    return e.select("user_id", "start_ts", "end_ts", "mode", "kind", "seen", F.size("points").cast("long").alias("n_points"), F.round("length_m", 2).alias("length_m"))
+
+
 def greedy_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New clusters matched with those of the first half of the month."""
     s = spans(spark, sf_dir).join(spots(spark), F.col("spot") == F.col("place_id"))
@@ -196,12 +203,17 @@ def trailing_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, stay_mining, focus_places, greedy_identity, class_locks, day_decode, context_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
+        quality_filter, kalman_filter, track_segments, day_timeline, split_scores, state_episodes, stay_mining, focus_places, greedy_identity, class_locks, day_decode, context_decode, decode_marginals, road_match, circle_kmeans, stream_motion, stream_session, stream_tumbling, feasibility, state_diff,
         dwell_continuation, trailing_600s,
     )
 }
 MODED = f"""m AS (SELECT user_id, start_ts, end_ts, event_id, event_type, p_lat AS lat, p_lon AS lon FROM span JOIN sp ON spot = place_id)"""
 ORACLES = {
+    "state_episodes": f"""WITH {FX}, {SPAN}, s AS (SELECT user_id, start_ts, end_ts, CASE WHEN event_type IN ('click', 'view') THEN 'stationary' ELSE 'driving' END AS mode FROM span),
+p AS (SELECT s.*, fx.lat, fx.lon, {hav('lag(fx.lat) OVER w', 'lag(fx.lon) OVER w', 'fx.lat', 'fx.lon')} AS hop, row_number() OVER w AS k FROM s JOIN fx ON fx.user_id = s.user_id AND fx.t BETWEEN s.start_ts AND s.end_ts
+  WINDOW w AS (PARTITION BY s.user_id, s.start_ts, s.end_ts, s.mode ORDER BY fx.t, fx.lat, fx.lon))
+SELECT user_id, start_ts, end_ts, mode, CASE WHEN mode = 'stationary' THEN 'anchor' ELSE 'raw' END AS kind, count(*) AS seen, CASE WHEN mode = 'stationary' THEN 1 ELSE count(*) END::BIGINT AS n_points,
+  round(CASE WHEN mode = 'stationary' THEN 0 ELSE coalesce(sum(hop) FILTER (k > 1), 0) END::DOUBLE, 2) AS length_m FROM p GROUP BY 1, 2, 3, 4""",
     "greedy_identity": f"""WITH RECURSIVE {FX}, {SP}, {SPAN}, s AS (SELECT * FROM span JOIN sp ON spot = place_id),
 o AS (SELECT user_id, spot AS old_id, avg(p_lat) AS y, avg(p_lon) AS x FROM s WHERE start_ts < 1705276800 GROUP BY 1, 2), w AS (SELECT user_id, spot AS new_id, avg(p_lat) AS y, avg(p_lon) AS x FROM s WHERE start_ts >= 1705276800 GROUP BY 1, 2),
 p AS (SELECT o.user_id, old_id, new_id, {hav('o.y', 'o.x', 'w.y', 'w.x')} AS distance_m FROM o JOIN w ON o.user_id = w.user_id),
