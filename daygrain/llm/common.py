@@ -1,31 +1,25 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage in the shared folder, shipping the package."""
+"""What the operators of this subpackage share: reading tables, batches of text in workers, and, from the core, the shared folder and the package on executors."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daygrain import cluster
+from daygrain.cluster import drop_staged, scratch, staged  # noqa: F401 - operators take them from here
+
 T = TypeVar("T")
 
 #: Bytes of text that a Python step turns into arrays at a time.
 SLICE_BYTES = 1 << 20
 
-#: Bytes of a row group that a task collects while it writes a table of texts.
-ROW_GROUP_BYTES = 16 << 20
-
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
@@ -47,17 +41,7 @@ def ship(spark: SparkSession) -> None:
     """Gives executors this package, once per application, and bounds the bytes of an Arrow batch unless the session does."""
     if spark.conf.get(BATCH_BYTES[0]) in ("64m", "64MB", "67108864", "67108864b"):  # the default, which a worker with little memory can't hold
         spark.conf.set(*BATCH_BYTES)
-    sc = spark.sparkContext
-    if getattr(sc, "_daygrain_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="daygrain-")) / "daygrain_pkg.zip"  # the driver's own; Spark hands it on
-    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(at))
-    sc._daygrain_shipped = True
+    cluster.ship(spark)
 
 
 def give_back() -> None:
@@ -91,51 +75,6 @@ def held(name: str, make: Callable[[], T]) -> T:
     return _held[name]
 
 
-_made: list[tuple[object, str]] = []
-
-
-def _remove_all() -> None:
-    for fs_path, fs in _made:
-        with contextlib.suppress(Exception):
-            fs.delete(fs_path, True)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode, an error on a cluster.
-
-    The paths are removed when the driver ends."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder there that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="daygrain-shared-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/daygrain/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    if not _made:
-        atexit.register(_remove_all)
-    _made.append((hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: a cut of the lineage that survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged = path
-    return out
-
-
-def drop_staged(*tables: DataFrame) -> None:
-    """Removes the files of tables made by staged() that nothing will read any more."""
-    for df in tables:
-        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about `most` bytes; a longer row comes alone. No row is lost."""
     if batch.num_rows:
