@@ -252,7 +252,8 @@ def chain_sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Networ
     tracked = _on_track(inside, by_line, ride, c.off_track_m, size)
     along = F.least(F.col("d1") + F.col("along"), F.col("d2") + F.col("length") - F.col("along"))
     to_station = tracked.join(net.reach, ["line", "edge_id"]).select(*ride, "station_id", "start_ts", "end_ts", "t", F.greatest(along, F.lit(0.0)).alias("__along"))
-    fit = slopes(to_station.select(*ride, "station_id", ((F.col("t") - F.col("start_ts")) / 60).alias("__min"), "__along"), [*ride, "station_id"], "__min", "__along")
+    enough = F.count("*").over(Window.partitionBy(*ride, "station_id")) >= c.fit_fixes  # fewer fixes tell no line, and need no kernel
+    fit = slopes(to_station.withColumn("__enough", enough).where("__enough").select(*ride, "station_id", ((F.col("t") - F.col("start_ts")) / 60).alias("__min"), "__along"), [*ride, "station_id"], "__min", "__along")
     left = to_station.withColumn("side", F.explode(F.array(F.lit("board"), F.lit("alight")))).withColumn("__left", F.when(F.col("side") == "board", F.col("t") - F.col("start_ts")).otherwise(F.col("end_ts") - F.col("t")) / 60)
     admitted = left.where(F.col("__left").between(0, c.admit_min) & (F.col("__along") <= F.col("__left") * c.admit_m_min + c.radius_m)).select(*ride, "side", "station_id").distinct().withColumn("__admitted", F.lit(True))
     key = [*ride, "side", "station_id"]

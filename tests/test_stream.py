@@ -113,8 +113,8 @@ def test_tiles_and_saved_tables(spark, tmp_path):
     new = spark.createDataFrame([("a", 9), ("c", 8)], "tile_key string, v int")
     done = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "tile_key string, ok boolean")
     assert sorted(map(tuple, sinks.rebuilt_tiles(old, new, done).collect())) == [("a", 9), ("c", 3)]
-    with pytest.raises(RuntimeError):
-        sinks.rebuilt_tiles(old, new, done.where("not ok"))
+    with pytest.raises(Exception, match="no tile was fetched"):
+        sinks.rebuilt_tiles(old, new, done.where("not ok")).collect()
     path = str(tmp_path / "t")
     sinks.save(old, path)
     sinks.save(spark.read.parquet(path).unionByName(new), path)
