@@ -39,7 +39,7 @@ def day_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A robust line through the latitudes of each user's days, by the hour."""
     p = _fixes(spark, sf_dir).select(*KEYS, (F.pmod(F.col("t"), F.lit(86_400)) / 3600).alias("t"), F.col("lat").alias("d"))
     s = rail.slopes(p, KEYS)
-    return s.select(*KEYS, "n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "mad")))
+    return s.select(*KEYS, "n", *((F.round(c, 6) + 0.0).alias(c) for c in ("slope", "intercept", "mad")))
 
 
 def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ WHERE {hav('x.f.lat', 'x.f.lon', 'x.y', 'x.z')} <= 250 AND {hav('v.g.lat', 'v.g.
     "day_slopes": f"""WITH {FX}, p AS (SELECT user_id, t // 86400 AS day, t % 86400 / 3600.0::DOUBLE AS t, lat AS d, event_id FROM fx),
 s AS (SELECT a.user_id, a.day, median((b.d - a.d) / (b.t - a.t)) AS v FROM p a JOIN p b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id < b.event_id AND a.t <> b.t GROUP BY 1, 2),
 c AS (SELECT p.*, coalesce(s.v, 0) AS v, median(p.d - coalesce(s.v, 0) * p.t) OVER (PARTITION BY p.user_id, p.day) AS c FROM p LEFT JOIN s ON p.user_id = s.user_id AND p.day = s.day)
-SELECT user_id, day, count(*) AS n, round(any_value(v), 6) AS slope, round(any_value(c), 6) AS intercept, round(median(abs(d - (v * t + c))), 6) AS mad FROM c GROUP BY 1, 2""",
+SELECT user_id, day, count(*) AS n, round(any_value(v), 6) + 0.0 AS slope, round(any_value(c), 6) + 0.0 AS intercept, round(median(abs(d - (v * t + c))), 6) + 0.0 AS mad FROM c GROUP BY 1, 2""",
     "chain_anchors": f"""WITH {FX}, {SPAN}, ride AS (SELECT user_id, start_ts // 86400 AS day, event_id AS ride, start_ts, end_ts, CASE WHEN event_type = 'error' THEN 'North' ELSE 'Ring' END AS line FROM span WHERE event_type IN ('purchase', 'error')),
 one AS (SELECT user_id, t // 86400 AS day, t, arg_min(lat, event_id) AS lat, arg_min(lon, event_id) AS lon FROM fx GROUP BY 1, 2, 3),
 an AS (SELECT ride.*, 'board' AS side, one.lat, one.lon, (start_ts - one.t) / 60.0::DOUBLE AS slop FROM ride ASOF JOIN one ON ride.user_id = one.user_id AND ride.day = one.day AND ride.start_ts - 1 >= one.t
