@@ -43,8 +43,11 @@ def log_gamma(x: Column) -> Column:
 
 
 def gamma_pdf(x: Column, shape: Column | float, rate: Column | float) -> Column:
+    """Minus infinity below 0, and at 0 what the density tends to there: Spark's logarithm of 0 is null."""
     shape, rate = _c(shape), _c(rate)
-    return shape * F.log(rate) + (shape - 1) * F.log(x) - rate * x - log_gamma(shape)
+    log_x = F.when(x > 0, F.log(x)).when(x <= 0, float("-inf"))
+    power = F.when((shape == 1) & (x == 0), 0.0).otherwise((shape - 1) * log_x)
+    return F.when(x < 0, float("-inf")).otherwise(shape * F.log(rate) + power - rate * x - log_gamma(shape))
 
 
 def closeness(x: Column, ideal: float, tolerance: float) -> Column:

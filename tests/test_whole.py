@@ -1,5 +1,11 @@
 """Whole jobs: all rows of each table count, at any number of them."""
 
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from daygrain.functions import chance
 from daygrain.plans import slate
 
 
@@ -11,3 +17,12 @@ def test_anti_join_takes_every_order(spark, tmp_path):
     table(spark, tmp_path, "customer", [(1,), (2,), (3,)], "c_custkey long")
     table(spark, tmp_path, "orders", [(1, "1-URGENT", "O"), (2, "5-LOW", "F"), (None, "5-LOW", "F")], "o_custkey long, o_orderpriority string, o_orderstatus string")
     assert [r.c_custkey for r in slate.anti_join(spark, str(tmp_path)).collect()] == [3]
+
+
+def test_gamma_density_at_its_edge(spark):
+    rows = spark.createDataFrame([(0.0,), (-1.0,), (None,), (2.0,)], "x double")
+    of = lambda shape: [r.v for r in rows.select(chance.gamma_pdf(F.col("x"), shape, 0.5).alias("v")).collect()]
+    two, one, half = of(2.0), of(1.0), of(0.5)
+    assert two[:3] == [-math.inf, -math.inf, None] and two[3] == pytest.approx(2 * math.log(0.5) + math.log(2) - 1)
+    assert one[0] == pytest.approx(math.log(0.5)) and one[1:3] == [-math.inf, None]
+    assert half[:3] == [math.inf, -math.inf, None]
