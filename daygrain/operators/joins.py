@@ -52,9 +52,9 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], t: str, values: list
     names = left.columns
     l_ = left.select(*on, F.col(t).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__tie"), F.struct(*names).alias("__row"))
     both = r.unionByName(l_, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("__t", "__side", "__tie")
-    w = w.rowsBetween(0, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, 0)
-    found = (F.first if ahead else F.last)("__pick", ignorenulls=True).over(w)
+    # Ahead is the same sort turned round: a frame up to the end of a key is computed anew for each row, one from its beginning grows.
+    order = [F.desc(c) if ahead else F.asc(c) for c in ("__t", "__side", "__tie")]
+    found = F.last("__pick", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("__found", found).where("__row is not null")
     if within_s is not None:
         out = out.withColumn("__found", F.when(F.abs(F.col("__found.t") - F.col("__t")) <= within_s, F.col("__found")))

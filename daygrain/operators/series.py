@@ -59,9 +59,9 @@ def spine(bounds: DataFrame, start: str, end: str, step_s: int, out: str = "t")
 
 def filled(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """prev_<value> and next_<value>: the nearest non-null values at or before, and at or after, each row."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(f"prev_{value}", F.last(value, ignorenulls=True).over(back)).withColumn(f"next_{value}", F.first(value, ignorenulls=True).over(ahead))
+    upto = lambda *o: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0))
+    # Ahead by the order turned round, for a frame up to the end is computed anew for each row.
+    return df.withColumn(f"prev_{value}", upto(*order)).withColumn(f"next_{value}", upto(*map(F.desc, order)))
 
 
 def reacquire_age(df: DataFrame, keys: list[str], t: str, has: str, least_gap_s: int = 300) -> DataFrame:
