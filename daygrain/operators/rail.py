@@ -10,10 +10,12 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,26 +160,54 @@ def train_candidates(minutes: DataFrame, keys: list[str], net: Network) -> DataF
 # --- robust slopes
 
 
-def theil_sen(t: np.ndarray, d: np.ndarray) -> tuple[float, float, float]:
-    """Slope (the median of those of all pairs at different times; 0 without any), intercept and spread (medians of what is left) of a line through points."""
-    i, j = np.triu_indices(len(t), 1)
-    apart = t[i] != t[j]
-    v = float(np.median((d[j] - d[i])[apart] / (t[j] - t[i])[apart])) if apart.any() else 0.0
-    c = float(np.median(d - v * t)) if len(t) else 0.0
-    return v, c, float(np.median(np.abs(d - (v * t + c)))) if len(t) else 0.0
+def theil_sen(t: np.ndarray, d: np.ndarray) -> tuple:
+    """Slope (the median of those of all pairs at different times; 0 without any), intercept and spread (medians of what is left) of a line through points, or of each
+    of [lines, points]."""
+    if t.ndim == 1:
+        return tuple(float(v[0]) for v in theil_sen(t[None], d[None]))
+    n = t.shape[1]
+    if not n:
+        return (np.zeros(len(t)),) * 3
+    i, j = np.triu_indices(n, 1)
+    dt = t[:, j] - t[:, i]
+    v = np.zeros(len(t))
+    if len(i):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = (d[:, j] - d[:, i]) / dt
+        apart = dt != 0
+        all_ = apart.all(1)
+        v[all_] = np.median(each[all_], 1)
+        for k in np.flatnonzero(apart.any(1) & ~all_):
+            v[k] = np.median(each[k][apart[k]])
+    c = np.median(d - v[:, None] * t, 1)
+    return v, c, np.median(np.abs(d - (v[:, None] * t + c[:, None])), 1)
+
+
+#: Pairs of points that a batch of lines holds at once.
+PAIRS = 1 << 20
 
 
 def slopes(points: DataFrame, keys: list[str], t: str = "t", d: str = "d") -> DataFrame:
-    """Per key: n, first_t, last_t, slope, intercept, mad of theil_sen(). A key is one ride or one day: its pairs stay in one kernel."""
+    """Per key: n, first_t, last_t, slope, intercept, mad of theil_sen(). A key is one ride or one day: its pairs stay in one kernel, which takes
+    lines of equally many points together."""
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[t].to_numpy(float), g[d].to_numpy(float)
-        v, c, m = theil_sen(x, y)
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "n": [len(g)], "first_t": [x.min()], "last_t": [x.max()], "slope": [v], "intercept": [c], "mad": [m]})
+    names = [*keys, "n", "first_t", "last_t", "slope", "intercept", "mad"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups.whole(batches, keys):
+            x, y = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("__t", "__d"))
+            sizes, told = np.diff(bounds), np.zeros((5, len(bounds) - 1))
+            for n in np.unique(sizes).tolist():
+                of = np.flatnonzero(sizes == n)
+                some = max(1, PAIRS // max(1, n * (n - 1) // 2))
+                for i in range(0, len(of), some):
+                    at = bounds[of[i : i + some], None] + np.arange(n)
+                    told[:, of[i : i + some]] = x[at].min(1), x[at].max(1), *theil_sen(x[at], y[at])
+            yield from pa.table([*(table.column(k).take(pa.array(bounds[:-1])) for k in keys), pa.array(sizes), *map(pa.array, told)], names=names).to_batches()
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, first_t double, last_t double, slope double, intercept double, mad double"
-    return groups.dealt(points.select(*keys, t, d), keys).groupBy(*keys).applyInPandas(work, schema)
+    rows = points.select(*keys, F.col(t).cast("double").alias("__t"), F.col(d).cast("double").alias("__d"))
+    return groups.dealt(rows, keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 # --- stations of rides

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from daygrain.functions import chance
-from daygrain.operators import joins, series
+from daygrain.operators import joins, rail, series
 from daygrain.plans import slate
 
 
@@ -35,3 +36,10 @@ def test_no_frame_runs_to_the_end(spark, capsys):
     for df in (joins.nearest_in_time(x.select("k", "t"), x, ["k"], "t", ["v"], 5, "v"), series.filled(x, ["k"], ["t"], "v")):
         df.explain()
         assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
+def test_slopes_of_many_lines_at_once():
+    t, d = np.array([[0.0, 1, 3], [0, 0, 2], [1, 1, 1]]), np.array([[1.0, 3, 7], [5, 1, 4], [2, 8, 3]])
+    v, c, m = rail.theil_sen(t, d)
+    assert v.tolist() == [2, 0.5, 0] and c.tolist() == [1, 3, 3] and m.tolist() == [0, 2, 1]
+    assert rail.theil_sen(t[1], d[1]) == (0.5, 3, 2)
