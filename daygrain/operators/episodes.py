@@ -1,6 +1,6 @@
 """The line that a map draws for each state of a day.
 
-A state's fixes come by an interval join. Which of them stand (spikes and implausible speeds don't) is a recursion over a state's own fixes, one kernel a state; where a
+A state's fixes come by an interval join. Which of them stand (spikes and implausible speeds don't) is a recursion over a state's own fixes, many states a batch; where a
 line begins and ends at its neighbours is windows over a day's states.
 """
 
@@ -59,6 +59,18 @@ def held(points: list[tuple], most_kmh: float | None) -> list[tuple]:
     return best
 
 
+def _standing(mode: pd.Series, lat: pd.Series, lon: pd.Series, t: pd.Series) -> pd.Series:
+    """Which of a moving state's fixes, in order, stand; None where nothing is asked."""
+
+    def one(m: str | None, y: np.ndarray, x: np.ndarray, at: np.ndarray) -> list[int] | None:
+        if m is None:
+            return None
+        points = list(zip(y.tolist(), x.tolist(), at.tolist(), range(len(y)), strict=True))
+        return [p[3] for p in held(without_spikes(points), MOST_KMH.get(m))]
+
+    return pd.Series([one(*row) for row in zip(mode, lat, lon, t, strict=True)], dtype=object)
+
+
 def episodes(states: DataFrame, fixes: DataFrame, keys: list[str], paths: DataFrame | None = None) -> DataFrame:
     """One row a state (keys; start_ts, end_ts, mode): kind, points (array of lat, lon, t), seen (fixes in it), length_m.
 
@@ -68,28 +80,25 @@ def episodes(states: DataFrame, fixes: DataFrame, keys: list[str], paths: DataFr
     it) of the state that begins there. A fix at the end of one state and the beginning of the next belongs to both."""
     key = [*keys, "start_ts", "end_ts"]
     s = states.select(*key, "mode")
-    inside = in_interval(fixes.select(*keys, "t", "lat", "lon"), s, keys, how="left")
-    kinds = {f.name: f.dataType.simpleString() for f in s.schema}
-
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        mode = g["mode"].iloc[0]
-        rows = g.dropna(subset=["t", "lat", "lon"]).sort_values(["t", "lat", "lon"])
-        points = list(zip(rows.lat.tolist(), rows.lon.tolist(), rows.t.astype("int64").tolist(), strict=True))
-        own = [] if mode in (*STILL, "unknown") else held(without_spikes(points), MOST_KMH.get(mode))
-        row = {k: [g[k].iloc[0]] for k in [*key, "mode"]}
-        centre = {"lat": float(rows.lat.mean()), "lon": float(rows.lon.mean()), "t": None} if len(rows) else None
-        first = {"lat": points[0][0], "lon": points[0][1], "t": points[0][2]} if points else None
-        return pd.DataFrame({**row, "seen": [len(points)], "centre": [centre], "entry": [first], "own": [[{"lat": y, "lon": x, "t": t} for y, x, t in own]]})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*key, "mode"]) + f", seen long, centre {POINT}, entry {POINT}, own array<{POINT}>"
-    told = groups.dealt(inside, keys).groupBy(*key).applyInPandas(work, schema)
+    found = in_interval(fixes.select(*keys, "t", "lat", "lon"), s, keys).unionByName(s, allowMissingColumns=True)  # a state without fixes is a row, too
+    fix = F.when(F.col("t").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct(F.col("t").cast("long").alias("t"), "lat", "lon"))
+    seen = groups.dealt(found, keys).groupBy(*key, "mode").agg(F.sort_array(F.collect_list(fix)).alias("__seen"))
+    mode, n, each = F.col("mode"), F.size("__seen"), lambda c: F.col(f"__seen.{c}")
+    # Most states have too few fixes for a spike or a pace; only the others go to Python, many a batch.
+    asked = ~mode.isin(*STILL, "unknown") & ((n >= 3) | ((n >= 2) & mode.isin(*MOST_KMH)))
+    mean = lambda c: F.aggregate(each(c), F.lit(0.0), lambda a, x: a + x) / n
+    point = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), p["t"].alias("t"))
+    centre = F.when(n > 0, F.struct(mean("lat").alias("lat"), mean("lon").alias("lon"), F.lit(None).cast("long").alias("t")))
+    told = seen.withColumn("__kept", F.pandas_udf(_standing, "array<int>")(F.when(asked, mode), *(F.when(asked, each(c)) for c in ("lat", "lon", "t"))))
+    stand = F.when(mode.isin(*STILL, "unknown"), F.array().cast(f"array<{POINT}>")).when(asked, F.transform("__kept", lambda i: point(F.get("__seen", i)))).otherwise(F.transform("__seen", point))
+    told = told.select(*key, "mode", n.cast("long").alias("seen"), centre.alias("centre"), F.when(n > 0, point(F.get("__seen", F.lit(0)))).alias("entry"), stand.alias("own"))
     if paths is not None:
         told = told.join(paths.select(*keys, "start_ts", F.col("path").alias("__path")), [*keys, "start_ts"], "left")
         clipped = F.transform(F.filter("__path", lambda p: p["t"].between(F.col("start_ts"), F.col("end_ts"))), lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), p["t"].cast("long").alias("t")))
         told = told.withColumn("__match", F.when(F.size(clipped) >= 2, clipped)).drop("__path")
     else:
         told = told.withColumn("__match", F.lit(None).cast(f"array<{POINT}>"))
-    mode, empty = F.col("mode"), F.array().cast(f"array<{POINT}>")
+    empty = F.array().cast(f"array<{POINT}>")
     way = mode.isin(*MOVING, "train")
     line = F.when(mode.isin(*STILL), F.when(F.col("centre").isNotNull(), F.array("centre")).otherwise(empty)).when(way, F.coalesce("__match", "own")).otherwise(empty)
     told = told.withColumn("points", line).withColumn("entry", F.when(mode.isin(*STILL), F.coalesce("entry", "centre")).otherwise(F.col("entry")))
