@@ -1,10 +1,11 @@
 """Networks of ways: graphs, shortest paths, matching of tracks, snapping of trains, bus routes and evidence.
 
-A leg of a journey meets the part of the network around it; matching it is a recursion in numpy, one group a leg.
+A leg of a journey meets the part of the network around it; matching it is a recursion in numpy, many legs a batch.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections import defaultdict
@@ -325,26 +326,32 @@ def legs_around(fixes: DataFrame, keys: list[str], edges: DataFrame, profile: Pr
 LEVELS = 12
 
 
+@functools.lru_cache(maxsize=64)
+def _graph(legs: bytes) -> Graph:
+    """A worker's last networks: days of one place meet the same legs."""
+    rows = np.frombuffer(legs).reshape(-1, 4)
+    return Graph(rows, list(range(len(rows))))
+
+
 def match_legs(fixes: DataFrame, keys: list[str], edges: DataFrame, profile: Profile = ROAD, cell_deg: float = 0.05) -> DataFrame:
     """Per leg of a journey (keys; fixes t, lat, lon) its matched path on the network (edges: way_id, lat1, lon1, lat2, lon2), null where there is none.
 
-    A leg meets the part of the network around it in one cogroup; no task holds a region. Legs far from any edge meet none. Networks and legs that cross the
+    A leg meets the part of the network around it in one aggregate, a row a leg; no task holds a region. Legs far from any edge meet none. Networks and legs that cross the
     180th meridian aren't joined there."""
-    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
-    around = legs_around(fixes, keys, edges, profile, cell_deg)
-    around = around.select(*[F.col(k).alias(k) for k in keys], *[c for c in around.columns if c not in keys])  # columns of its own, for the cogroup
-
-    def work(g: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
-        if not len(g):
-            return pd.DataFrame(columns=[*keys, "path"])
-        g, net = g.sort_values(["t", "lat", "lon"]), net.sort_values(["way_id", "lat1", "lon1", "lat2", "lon2"])
-        graph = Graph(net[["lat1", "lon1", "lat2", "lon2"]].to_numpy(float), net.way_id.tolist())
-        p = match(graph, g.t.to_numpy(float), g.lat.to_numpy(float), g.lon.to_numpy(float), profile) if len(net) else None
-        row = {k: [g[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "path": [None if p is None else [{"lat": a, "lon": b, "t": c} for a, b, c in p]]})
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", path {PATH}"
-    return groups.dealt(fixes.select(*keys, "t", "lat", "lon"), keys).groupBy(*keys).cogroup(groups.dealt(around, keys).groupBy(*keys)).applyInPandas(work, schema)
+    leg = ["way_id", "lat1", "lon1", "lat2", "lon2"]
+    around = legs_around(fixes, keys, edges, profile, cell_deg).select(*keys, F.struct(*leg).alias("__leg"))
+    rows = fixes.select(*keys, F.struct("t", "lat", "lon").alias("__fix")).unionByName(around, allowMissingColumns=True)
+    whole = groups.dealt(rows, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("__fix")).alias("__fix"), F.sort_array(F.collect_list("__leg")).alias("__leg")).where(F.size("__fix") > 0)
+
+    def work(*columns: pd.Series) -> pd.Series:
+        def one(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, *ends: np.ndarray) -> list[dict] | None:
+            p = match(_graph(np.stack(ends, 1).astype(float).tobytes()), t.astype(float), lat.astype(float), lon.astype(float), profile) if len(ends[0]) else None
+            return None if p is None else [{"lat": a, "lon": b, "t": c} for a, b, c in p]
+
+        return pd.Series([one(*row) for row in zip(*columns, strict=True)], dtype=object)
+
+    told = F.pandas_udf(work, PATH)(*(F.col(f"__fix.{c}") for c in ("t", "lat", "lon")), *(F.col(f"__leg.{c}") for c in leg[1:]))
+    return whole.select(*keys, told.alias("path"))
 
 
 def stations_on_line(stations: DataFrame, edges: DataFrame, near_m: float = 300.0) -> DataFrame:

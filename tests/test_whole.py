@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from daygrain.functions import chance
 from daygrain.operators import joins, rail, series
-from daygrain.plans import slate
+from daygrain.plans import days, rails, slate
 
 
 def table(spark, path, name, rows, schema):
@@ -43,3 +43,10 @@ def test_slopes_of_many_lines_at_once():
     v, c, m = rail.theil_sen(t, d)
     assert v.tolist() == [2, 0.5, 0] and c.tolist() == [1, 3, 3] and m.tolist() == [0, 2, 1]
     assert rail.theil_sen(t[1], d[1]) == (0.5, 3, 2)
+
+
+@pytest.mark.parametrize("query", [days.state_episodes, days.road_match, rails.day_slopes])
+def test_no_call_a_group(spark, sf, capsys, query):
+    """A pandas call for each state or day costs more than its work."""
+    query(spark, sf).explain()
+    assert "GroupsInPandas" not in capsys.readouterr().out.replace("network", "")
