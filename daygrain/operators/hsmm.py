@@ -33,13 +33,25 @@ MOST_MINUTES = 240
 VEHICLES = ("cycling", "driving", "train", "plane")
 
 
-def observations(fixes: DataFrame, keys: list[str], step_s: int = 60, day_s: int = 86_400, t: str = "t") -> DataFrame:
+def observations(fixes: DataFrame, keys: list[str], step_s: int = 60, day_s: int = 86_400, t: str = "t", by: list[str] | None = None, first: tuple[str, ...] = ()) -> DataFrame:
     """A row for each step of each day with a fix: medians of lat and lon, means of speed_kmh and bpm (hr), sums of steps (cadence); null where there is
-    none. fixes: day_start, t, lat, lon, speed_kmh, bpm, steps."""
-    grid = series.spine(fixes.select(*keys, "day_start").distinct().withColumn("__end", F.col("day_start") + day_s), "day_start", "__end", step_s).drop("__end")
-    a = fixes.groupBy(*keys, (F.floor(F.col(t) / step_s) * step_s).alias("t"))
-    a = a.agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.avg("speed_kmh").alias("speed_kmh"), F.avg("bpm").alias("hr"), F.sum("steps").alias("cadence"))
-    return grid.join(a, [*keys, "t"], "left")
+    none. fixes: day_start, t, lat, lon, speed_kmh, bpm, steps. first: columns of a day, the same in all its fixes, that its first step gets.
+
+    Fixes are dealt once, by keys or by those of `by`; a day becomes its steps in its own task, so that what groups by keys shuffles no steps."""
+    day = list(dict.fromkeys([*keys, "day_start"]))
+    rows = groups.dealt(fixes.select(*day, *first, F.col(t).alias("__t"), "lat", "lon", "speed_kmh", "bpm", "steps"), by or keys)
+    a = rows.groupBy(*day, (F.floor(F.col("__t") / step_s) * step_s).alias("__t")).agg(
+        F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.avg("speed_kmh").alias("speed_kmh"), F.avg("bpm").alias("hr"), F.sum("steps").alias("cadence"), *(F.first(c).alias(c) for c in first)
+    )
+    names = ["lat", "lon", "speed_kmh", "hr", "cadence"]
+    kinds = {f.name: f.dataType for f in a.schema}
+    days = a.groupBy(*day).agg(F.collect_list(F.struct(F.col("__t").alias("t"), *names)).alias("__seen"), *(F.first(c).alias(c) for c in first))
+    grid = F.sequence(F.col("day_start").cast("long"), (F.col("day_start") + day_s - 1).cast("long"), F.lit(step_s).cast("long"))
+    seen = F.filter("__seen", lambda x: (x["t"] >= F.col("day_start")) & (x["t"] < F.col("day_start") + day_s) & (F.pmod(x["t"] - F.col("day_start"), F.lit(step_s)) == 0))
+    none = F.transform(F.array_except("__grid", F.transform("__seen", lambda x: x["t"])), lambda x: F.struct(x.alias("t"), *(F.lit(None).cast(kinds[c]).alias(c) for c in names)))
+    days = days.withColumn("__grid", grid).withColumn("__seen", seen)
+    out = days.select(*day, *first, F.explode(F.concat("__seen", none)).alias("__s")).select(*day, F.col("__s.t").alias("t"), *(F.col(f"__s.{c}").alias(c) for c in names), *first)
+    return out.withColumns({c: F.when(F.col("t") == F.col("day_start"), F.col(c)) for c in first})
 
 
 def mode_emission(mode: str, speed: Column, hr: Column, cadence: Column) -> Column:
@@ -227,10 +239,10 @@ def marginals(emission: np.ndarray, transition: np.ndarray, duration: np.ndarray
 CELLS = 1 << 21
 
 
-def over_days(rows: DataFrame, keys: list[str], step: str, out: str, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table]) -> DataFrame:
+def over_days(rows: DataFrame, keys: list[str], step: str, out: str, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], dealt: bool = False) -> DataFrame:
     """Rows (keys, step, emission: an array of nats a state) by days of equal length, many at a time: `work` gets the rows of some days, the rows
-    where they begin, and their emissions as [days, steps, states]. Days are dealt over all cores and their rows sorted by step."""
-    sorted_ = groups.dealt(rows, keys).sortWithinPartitions(*keys, step)
+    where they begin, and their emissions as [days, steps, states]. Days are dealt over all cores, unless they are already, and their rows sorted by step."""
+    sorted_ = (rows if dealt else groups.dealt(rows, keys)).sortWithinPartitions(*keys, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in groups.whole(batches, keys):
@@ -259,10 +271,11 @@ def class_locks(observed: DataFrame, keys: list[str], step: str = "t") -> DataFr
     steps, and the first and last fix among them are farther apart than one walks; where there are none, those before and after are. stationary: no
     walker's steps, and the fixes lie together. Null: nothing."""
     order = Window.partitionBy(*keys).orderBy(step)
-    about, before, after = order.rowsBetween(-LOCK_STEPS, LOCK_STEPS), order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    about, before = order.rowsBetween(-LOCK_STEPS, LOCK_STEPS), order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)  # turned round: a frame up to the end is computed anew for each row
     fix = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon", F.col(step).alias("t")))
     rows = observed.withColumn("__fix", fix)
-    for name, f, w in (("__a", F.first, about), ("__b", F.last, about), ("__p", F.last, before), ("__n", F.first, after)):
+    for name, f, w in (("__n", F.last, after), ("__a", F.first, about), ("__b", F.last, about), ("__p", F.last, before)):
         rows = rows.withColumn(name, f("__fix", ignorenulls=True).over(w))
     rows = rows.withColumn("__high", F.sum((F.col("cadence") >= FOOT_STEPS).cast("int")).over(about)).withColumn("__told", F.count("cadence").over(about))
     metres = lambda a, b: geo.haversine(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
@@ -296,8 +309,8 @@ def state_emissions(observed: DataFrame, space: list[State], keys: list[str], st
     return told
 
 
-def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60, place_at: dict[int, tuple[float, float]] | None = None) -> DataFrame:
-    """Segments of each group's observations: start_ts, end_ts, mode, place.
+def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: str = "t", step_s: int = 60, place_at: dict[int, tuple[float, float]] | None = None, dealt: bool = False) -> DataFrame:
+    """Segments of each group's observations: start_ts, end_ts, mode, place. dealt: a key's rows lie in one task, as observations() leaves them.
 
     observed: t, speed_kmh, hr, cadence; where there, in_bed (boolean), d_<place> (metres to a place), implied_kmh_<place> (the pace that the fixes
     before and after ask for to be there), entry_<place> (nats of entering it, which the day's first step is weighed by) and lock (see class_locks():
@@ -336,10 +349,10 @@ def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: s
             names=[*keys, "start_ts", "end_ts", "mode", "place"],
         )
 
-    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_ts long, end_ts long, mode string, place long", work)
+    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_ts long, end_ts long, mode string, place long", work, dealt)
 
 
-def likeliest(observed: DataFrame, keys: list[str], step: str = "t", step_s: int = 60) -> DataFrame:
+def likeliest(observed: DataFrame, keys: list[str], step: str = "t", step_s: int = 60, dealt: bool = False) -> DataFrame:
     """keys, t, mode, p: at each step the mode that is likeliest over all segmentations, and its probability."""
     space = [State(m) for m in MODES]
     way, long, begin = transitions(space), durations(space, step_s=step_s), np.full(len(space), -math.log(len(space)))
@@ -353,7 +366,7 @@ def likeliest(observed: DataFrame, keys: list[str], step: str = "t", step_s: int
         modes = np.asarray(MODES)[p.argmax(2).ravel()].tolist()
         return pa.table([*told, pa.array(modes, pa.string()), pa.array(p.max(2).ravel())], names=[*keys, step, "mode", "p"])
 
-    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {step} long, mode string, p double", work)
+    return over_days(rows, keys, step, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {step} long, mode string, p double", work, dealt)
 
 
 #: Net speed of a vehicle's segments in km/h, as mean and deviation.

@@ -50,3 +50,14 @@ def test_no_call_a_group(spark, sf, capsys, query):
     """A pandas call for each state or day costs more than its work."""
     query(spark, sf).explain()
     assert "GroupsInPandas" not in capsys.readouterr().out.replace("network", "")
+
+
+@pytest.mark.parametrize("query", [days.class_locks, days.day_decode])
+def test_steps_of_days_are_not_shuffled(spark, sf, capsys, query):
+    query(spark, sf).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
+def test_no_lock_looks_to_the_end(spark, sf, capsys):
+    days.class_locks(spark, sf).explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
