@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daygrain.cluster import staged
@@ -117,24 +117,25 @@ def class_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The semi-Markov decoding of each user's days, by hours."""
-    return hsmm.decode(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
+    return hsmm.decode(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600, dealt=True)
 
 
 def context_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's days by the half hour, with the spots as places: how far they are, how often a user is there, nights in bed, class locks, and the way between fixes."""
     f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
     at = {i: (51.5 + i * 0.01, -0.1 + i * 0.015) for i in range(SPOTS)}
-    seen = hsmm.class_locks(hsmm.observations(f, ["user_id", "day_start"], 1800), ["user_id", "day_start"])
-    total = F.count("*")
-    often = f.groupBy("user_id").agg(*[F.log((F.sum((F.col("spot") == i).cast("int")) + 1) / (total + SPOTS)).alias(f"entry_{i}") for i in at])
-    seen = seen.join(often, "user_id").withColumns({f"d_{i}": geo.haversine(F.col("lat"), F.col("lon"), F.lit(y), F.lit(x)) for i, (y, x) in at.items()})
+    user = Window.partitionBy("user_id")
+    often = F.array(*[F.log((F.sum((F.col("spot") == i).cast("int")).over(user) + 1) / (F.count("*").over(user) + SPOTS)) for i in at])
+    seen = hsmm.observations(f.withColumn("often", often), ["user_id", "day_start"], 1800, by=["user_id"], first=("often",))
+    seen = hsmm.class_locks(seen, ["user_id", "day_start"]).withColumns({f"entry_{i}": F.get("often", F.lit(k)) for k, i in enumerate(at)}).drop("often")
+    seen = seen.withColumns({f"d_{i}": geo.haversine(F.col("lat"), F.col("lon"), F.lit(y), F.lit(x)) for i, (y, x) in at.items()})
     seen = seen.withColumn("in_bed", F.col("t") - F.col("day_start") < 6 * 3600)
-    return hsmm.decode(seen, ["user_id", "day_start"], list(at), step_s=1800, place_at=at)
+    return hsmm.decode(seen, ["user_id", "day_start"], list(at), step_s=1800, place_at=at, dealt=True)
 
 
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How probable each mode is at each hour of each user's days."""
-    return hsmm.likeliest(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600)
+    return hsmm.likeliest(_hours(spark, sf_dir), ["user_id", "day_start"], step_s=3600, dealt=True)
 
 
 def road_match(spark: SparkSession, sf_dir: str) -> DataFrame:
