@@ -54,6 +54,15 @@ def observations(fixes: DataFrame, keys: list[str], step_s: int = 60, day_s: int
     return out.withColumns({c: F.when(F.col("t") == F.col("day_start"), F.col(c)) for c in first})
 
 
+def steps_seen(fixes: DataFrame, keys: list[str], step_s: int = 60, day_s: int = 86_400, t: str = "t") -> DataFrame:
+    """keys, lat, lon of the steps of observations() that have a fix."""
+    day = list(dict.fromkeys([*keys, "day_start"]))
+    at = F.floor(F.col(t) / step_s) * step_s
+    inside = (at >= F.col("day_start")) & (at < F.col("day_start") + day_s) & (F.pmod(at - F.col("day_start"), F.lit(step_s)) == 0)
+    rows = groups.dealt(fixes.where(inside).select(*day, at.alias("__t"), "lat", "lon"), keys)
+    return rows.groupBy(*day, "__t").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon")).select(*keys, "lat", "lon")
+
+
 def mode_emission(mode: str, speed: Column, hr: Column, cadence: Column) -> Column:
     """Nats of a mode's prior and of what was seen; a null says nothing."""
     some = lambda x: F.coalesce(x, F.lit(0.0))

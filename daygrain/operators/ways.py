@@ -117,9 +117,9 @@ class Graph:
         return out
 
 
-def project(lat: float, lon: float, legs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of a point from legs, in metres, and where on each leg the nearest point lies, 0 to 1."""
-    k = math.cos(math.radians(lat)) * M_PER_DEGREE
+def project(lat: float | np.ndarray, lon: float | np.ndarray, legs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of a point, or of [points, 1], from legs, in metres, and where on each leg the nearest point lies, 0 to 1."""
+    k = np.cos(np.radians(lat)) * M_PER_DEGREE
     ax, ay, bx, by = (legs[:, 1] - lon) * k, (legs[:, 0] - lat) * M_PER_DEGREE, (legs[:, 3] - lon) * k, (legs[:, 2] - lat) * M_PER_DEGREE
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy

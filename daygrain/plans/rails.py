@@ -67,8 +67,9 @@ def route_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's days decoded by the half hour, rides on named lines with the edges that they take."""
     f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
     seen = hsmm.observations(f, ["user_id", "day_start"], 1800).select("user_id", "day_start", "t", "lat", "lon", "speed_kmh", "hr", "cadence")
+    where = hsmm.steps_seen(f, ["user_id", "day_start"], 1800)
     edges = _network(spark).edges.withColumn("edge_id", F.col("edge_id").cast("string")).withColumn("underground", F.col("line") == "North")
-    out = routes.decode_routes(seen, ["user_id", "day_start"], edges, step_s=1800)
+    out = routes.decode_routes(seen, ["user_id", "day_start"], edges, step_s=1800, fixes=where, dealt=True)
     return out.select("user_id", "start_ts", "end_ts", "mode", "line", F.array_join("edges", ",").alias("edges"))
 
 

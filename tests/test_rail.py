@@ -233,3 +233,22 @@ def test_a_locked_segment_keeps_its_class(spark):
         assert all(s.mode in hsmm.LOCKS[k] for k in inside)
     free = {s.mode for s in hsmm.decode(seen.drop("lock"), ["d"]).collect()}
     assert free != {"walking", "driving"}
+
+
+def test_steps_never_go_through_the_driver(spark, sf):
+    """Spark takes a day's steps for fewer than they are; before, it sent all that have a fix to all tasks."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["route_decode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_days_together_are_decoded_as_each_alone():
+    rng, (b, n) = np.random.default_rng(6), (5, 12)
+    legs = np.array([[50.0, 10.0, 50.01, 10.0], [50.01, 10.0, 50.02, 10.0], [50.02, 10.0, 50.03, 10.0]])
+    lines = {"Red": (["x", "y", "z"], legs, np.array([True, True, False])), "Blue": (["w"], legs[:1] + 0.02, np.array([False]))}
+    lat = np.where(rng.random((b, n)) < 0.5, np.nan, 50 + rng.random((b, n)) * 0.03)
+    lon, nats = np.where(np.isnan(lat), np.nan, 10.0), rng.normal(size=(b, n, len(hsmm.states([], [])))) * 4
+    some = routes.route_days(lat, lon, nats, lines, [], 300)
+    assert some == [routes.route_days(*(x[i : i + 1] for x in (lat, lon, nats)), lines, [], 300)[0] for i in range(b)]
+    assert any(s.line for day in some for *_, s, _ in day)
