@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daygrain.cluster import staged
 from daygrain.functions import geo
 from daygrain.operators import groups
 from daygrain.operators.joins import as_of, edge_cells, in_interval, near_lines, nearest_in_time, within_radius
@@ -261,53 +262,99 @@ def chain_sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Networ
     anchor: from the last fix before the ride, or the first after it, less sure the staler it is. dwell: fixes near a station long before
     the ride ends there (or after it began) tell that it only passed. fit: where the fixes on the track, as a robust line over time, are when the ride
     begins or ends. service: the line doesn't stop there. fixes: keys, t, lat, lon. served: line, name, served (see places.served)."""
+    one = _sides(rides, fixes, keys, net, c)
+    one = one.withColumn("service", F.lit(0.0)) if served is None else _served(one, served, c)
+    return one.select(*keys, "ride", "start_ts", "end_ts", "line", "side", "station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min")
+
+
+def _served(sides: DataFrame, served: DataFrame, c: Chain) -> DataFrame:
+    known = served.select("line", "name", "served").distinct()
+    return sides.join(known, ["line", "name"], "left").withColumn("service", F.when(~F.col("served"), c.not_served).otherwise(0.0))
+
+
+def _fits(on: pd.Series, start: pd.Series) -> pd.Series:
+    """Per ride its stations' lines through the metres that its fixes (t, to: station_id, m) lie away along the track."""
+    out = []
+    for fixes, begin in zip(on, start, strict=True):
+        told = defaultdict(list)
+        for x in [] if fixes is None else fixes:
+            for y in x["to"]:
+                told[y["station_id"]].append(((x["t"] - begin) / 60, y["m"]))
+        rows = []
+        for station, points in told.items():
+            t, d = np.array(points).T
+            rows.append((station, len(t), t.min(), t.max(), *theil_sen(t, d)))
+        out.append([dict(zip(("station_id", "n", "first_t", "last_t", "slope", "intercept", "mad"), r, strict=True)) for r in rows])
+    return pd.Series(out, dtype=object)
+
+
+def _sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, c: Chain, ways: bool = False) -> DataFrame:
+    """chain_sides() without service. What is known of a ride travels once, to the task of its key, as an array of stations and of fixes; only there it becomes a row
+    a station. ways: with the line's paths in a ride's first row. A key's rows lie in one task."""
+    kind = net.stations.schema["station_id"].dataType.simpleString()
     ride = [*keys, "ride"]
     ends = rides.select(*ride, "line", "start_ts", "end_ts")
     f = fixes.select(*keys, "t", "lat", "lon")
-    before = as_of(ends.withColumn("t", F.col("start_ts") - 1), f, keys, "t", ["lat", "lon"], prefix="x_")
-    after = as_of(ends.withColumn("t", F.col("end_ts")), f, keys, "t", ["lat", "lon"], ahead=True, prefix="x_")
-    slop = {"board": F.col("start_ts") - F.col("x_t"), "alight": F.col("x_t") - F.col("end_ts")}
-    anchors = [d.select(*ends.columns, F.lit(s).alias("side"), F.col("x_lat").alias("a_lat"), F.col("x_lon").alias("a_lon"), (slop[s] / 60).alias("slop_min")) for s, d in (("board", before), ("alight", after))]
-    anchors = anchors[0].unionByName(anchors[1])
+    # Written, so that Spark knows how small they are, and doesn't send rides or fixes to all tasks instead.
     of_line = net.stops.join(net.stations, "station_id").select("line", "station_id", "name", "p_lat", "p_lon").where("name is not null")
-    all_ = anchors.join(of_line, "line")  # a line's stations, some dozens
-    d = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("p_lat"), F.col("p_lon"))
-    sigma = F.sqrt(F.lit(c.sigma_m**2) + F.pow(c.slop_m_min * F.col("slop_min"), 2))
-    all_ = all_.withColumn("__d", d).withColumn("anchor", F.when(F.col("slop_min").isNull(), 0.0).otherwise(_z(F.col("__d") / sigma, c.floor)))
-    near = F.col("slop_min").isNull() | (F.col("__d") <= c.radius_m + c.slop_m_min * F.col("slop_min"))
-    # Fixes of a ride on its line's track, and from there along it to each station.
-    inside = in_interval(f, ends.select(*ride, "line", "start_ts", "end_ts"), keys, closed=False).select(*ride, "line", "start_ts", "end_ts", "t", "lat", "lon")
-    by_line = net.edges.select(F.col("line").alias("e_line"), "edge_id", "lat1", "lon1", "lat2", "lon2")
-    size = max(geo.band_size(c.off_track_m), 0.002)
-    tracked = _on_track(inside, by_line, ride, c.off_track_m, size)
-    along = F.least(F.col("d1") + F.col("along"), F.col("d2") + F.col("length") - F.col("along"))
-    to_station = tracked.join(net.reach, ["line", "edge_id"]).select(*ride, "station_id", "start_ts", "end_ts", "t", F.greatest(along, F.lit(0.0)).alias("__along"))
-    enough = F.count("*").over(Window.partitionBy(*ride, "station_id")) >= c.fit_fixes  # fewer fixes tell no line, and need no kernel
-    fit = slopes(to_station.withColumn("__enough", enough).where("__enough").select(*ride, "station_id", ((F.col("t") - F.col("start_ts")) / 60).alias("__min"), "__along"), [*ride, "station_id"], "__min", "__along")
-    left = to_station.withColumn("side", F.explode(F.array(F.lit("board"), F.lit("alight")))).withColumn("__left", F.when(F.col("side") == "board", F.col("t") - F.col("start_ts")).otherwise(F.col("end_ts") - F.col("t")) / 60)
-    admitted = left.where(F.col("__left").between(0, c.admit_min) & (F.col("__along") <= F.col("__left") * c.admit_m_min + c.radius_m)).select(*ride, "side", "station_id").distinct().withColumn("__admitted", F.lit(True))
-    key = [*ride, "side", "station_id"]
-    both = all_.withColumn("__near", near).join(admitted, key, "left").withColumn("__admitted", F.coalesce("__admitted", F.lit(False)))
-    # One row a name: a station of several entrances is one; of those near the anchor the best dozen, and any that the track vouches for.
-    order = [F.desc("__near"), F.desc("anchor"), "station_id"]
-    one = both.where(F.col("__near") | F.col("__admitted")).withColumn("__n", F.row_number().over(Window.partitionBy(*ride, "side", "name").orderBy(*order))).where("__n = 1")
-    one = one.withColumn("__n", F.row_number().over(Window.partitionBy(*ride, "side").orderBy(*order))).where((F.col("__near") & (F.col("__n") <= c.most)) | F.col("__admitted"))
+    lines = of_line.groupBy("line").agg(F.collect_list(F.struct("station_id", "name", "p_lat", "p_lon")).alias("__all"))
+    if ways:
+        joined = net.paths.where(F.col("path_m") >= c.path_m).groupBy("line").agg(F.collect_list(F.struct("from_id", "to_id", "path_m")).alias("__ways"))
+        lines = lines.join(joined, "line", "left")
+    lines = staged(lines, "lines")
+    reach = net.reach.groupBy("line", "edge_id").agg(F.collect_list(F.struct("station_id", "d1", "d2")).alias("__reach"))
+    edges = staged(net.edges.select("line", "edge_id", "lat1", "lon1", "lat2", "lon2").join(reach, ["line", "edge_id"], "left"), "edges")
+    told = as_of(ends.withColumn("t", F.col("start_ts") - 1), f, keys, "t", ["lat", "lon"], prefix="__b_")
+    told = as_of(told.withColumn("t", F.col("end_ts")), f, keys, "t", ["lat", "lon"], ahead=True, prefix="__a_")
+    told = told.join(lines, "line").select(*ride, F.struct("line", "start_ts", "end_ts", "__all", *(["__ways"] if ways else []), *(f"__{p}_{x}" for p in "ba" for x in ("t", "lat", "lon"))).alias("__told"))
+    # Fixes of a ride, and those on its line's track with the way along it to each station.
+    inside = in_interval(f.hint("merge"), ends, keys, closed=False).select(*ride, "line", "start_ts", "end_ts", "t", "lat", "lon")
+    tracked = _on_track(inside, edges.select(F.col("line").alias("e_line"), "edge_id", "lat1", "lon1", "lat2", "lon2"), ride, c.off_track_m, max(geo.band_size(c.off_track_m), 0.002))
+    to = F.transform("__reach", lambda x: F.struct(x["station_id"].alias("station_id"), F.greatest(F.least(x["d1"] + F.col("along"), x["d2"] + F.col("length") - F.col("along")), F.lit(0.0)).alias("m")))
+    tracked = tracked.join(edges.select("line", "edge_id", "__reach").where("__reach is not null"), ["line", "edge_id"]).select(*ride, F.struct("t", to.alias("to")).alias("__on"))
+    rows = told.unionByName(inside.select(*ride, F.struct("t", "lat", "lon").alias("__in")), allowMissingColumns=True).unionByName(tracked, allowMissingColumns=True)
+    whole = groups.dealt(rows, keys).groupBy(*ride).agg(F.first("__told", ignorenulls=True).alias("__told"), F.collect_list("__in").alias("__in"), F.collect_list("__on").alias("__on")).where("__told is not null")
+    whole = whole.select(*ride, "__told.*", "__in", "__on")
+    lot = F.when(F.size("__on") >= c.fit_fixes, F.col("__on"))  # fewer fixes tell no line
+    whole = whole.withColumn("__fits", F.pandas_udf(_fits, f"array<struct<station_id {kind}, n long, first_t double, last_t double, slope double, intercept double, mad double>>")(lot, F.col("start_ts")))
+
+    def told_of(whole: DataFrame, side: str, p: str) -> tuple[DataFrame, Column]:
+        whole = whole.withColumn(f"__slop_{p}", (F.col("start_ts") - F.col("__b_t") if p == "b" else F.col("__a_t") - F.col("end_ts")) / 60)
+        slop = F.col(f"__slop_{p}")
+        sigma = F.sqrt(F.lit(c.sigma_m**2) + F.pow(c.slop_m_min * slop, 2))
+
+        def admits(x: Column) -> Column:
+            left = (x["t"] - F.col("start_ts") if p == "b" else F.col("end_ts") - x["t"]) / 60
+            return F.transform(F.filter(x["to"], lambda y: left.between(0, c.admit_min) & (y["m"] <= left * c.admit_m_min + c.radius_m)), lambda y: y["station_id"])
+
+        def scored(x: Column) -> Column:
+            near = slop.isNull() | (x["d"] <= c.radius_m + c.slop_m_min * slop)
+            anchor = F.when(slop.isNull(), 0.0).otherwise(_z(x["d"] / sigma, c.floor))
+            return F.struct((~near).alias("far"), (-anchor).alias("against"), x["s"]["station_id"].alias("station_id"), x["s"].alias("s"), F.array_contains(f"__admitted_{p}", x["s"]["station_id"]).alias("admitted"))
+
+        whole = whole.withColumn(f"__admitted_{p}", F.flatten(F.transform("__on", admits)))
+        metres = F.transform("__all", lambda x: F.struct(x.alias("s"), geo.haversine(F.col(f"__{p}_lat"), F.col(f"__{p}_lon"), x["p_lat"], x["p_lon"]).alias("d")))
+        # One row a name: a station of several entrances is one; of those near the anchor the best dozen, and any that the track vouches for.
+        whole = whole.withColumn(f"__{p}", F.sort_array(F.filter(F.transform(metres, scored), lambda x: ~x["far"] | x["admitted"])))
+        whole = whole.withColumn(f"__{p}", F.filter(f"__{p}", lambda x, i: F.array_position(F.col(f"__{p}.s.name"), x["s"]["name"]) == i + 1))
+        whole = whole.withColumn(f"__{p}", F.filter(f"__{p}", lambda x, i: (~x["far"] & (i < c.most)) | x["admitted"]))
+        return whole, F.transform(f"__{p}", lambda x: F.struct(F.lit(side).alias("side"), x["s"].alias("s"), (-x["against"]).alias("anchor"), slop.alias("slop_min")))
+
+    whole, boards = told_of(whole, "board", "b")
+    whole, alights = told_of(whole, "alight", "a")
+    first = [F.when(F.col("__i") == 0, F.col("__ways")).alias("ways")] if ways else []
+    one = whole.select(*ride, "line", "start_ts", "end_ts", "__in", "__fits", *(["__ways"] if ways else []), F.posexplode(F.concat(boards, alights)).alias("__i", "__s"))
+    one = one.select(*ride, "line", "start_ts", "end_ts", "__in", "__fits", *first, "__s.side", "__s.s.*", "__s.anchor", "__s.slop_min")
     # When the ride's fixes were near each.
-    passed = inside.select(*ride, "t", "lat", "lon").join(one.select(*key, "p_lat", "p_lon"), ride).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= c.pass_m)
-    passed = passed.groupBy(*key).agg(F.min("t").alias("__first"), F.max("t").alias("__last"))
-    one = one.join(passed, key, "left").join(fit, [*ride, "station_id"], "left")
-    late = F.when(F.col("side") == "alight", F.col("end_ts") - F.col("__first")).otherwise(F.col("__last") - F.col("start_ts")) / 60 - c.dwell_min
-    minutes = (F.col("end_ts") - F.col("start_ts")) / 60
-    ahead = F.when(F.col("side") == "alight", minutes - F.col("last_t")).otherwise(F.col("first_t"))
-    miss = F.abs(F.col("slope") * F.when(F.col("side") == "alight", minutes).otherwise(0.0) + F.col("intercept")) / F.greatest(F.lit(c.fit_sigma_m), c.fit_spread * F.col("mad"))
-    told = (F.col("n") >= c.fit_fixes) & (F.col("last_t") - F.col("first_t") >= c.fit_min) & (ahead <= c.fit_ahead_min)
+    passed = F.transform(F.filter("__in", lambda x: geo.haversine(x["lat"], x["lon"], F.col("p_lat"), F.col("p_lon")) <= c.pass_m), lambda x: x["t"])
+    one = one.withColumn("__passed", passed).withColumn("__fit", F.get(F.filter("__fits", lambda x: x["station_id"] == F.col("station_id")), 0))
+    minutes, last, fit = (F.col("end_ts") - F.col("start_ts")) / 60, F.col("side") == "alight", lambda x: F.col(f"__fit.{x}")
+    late = F.when(last, F.col("end_ts") - F.array_min("__passed")).otherwise(F.array_max("__passed") - F.col("start_ts")) / 60 - c.dwell_min
+    ahead = F.when(last, minutes - fit("last_t")).otherwise(fit("first_t"))
+    miss = F.abs(fit("slope") * F.when(last, minutes).otherwise(0.0) + fit("intercept")) / F.greatest(F.lit(c.fit_sigma_m), c.fit_spread * fit("mad"))
+    told = (fit("n") >= c.fit_fixes) & (fit("last_t") - fit("first_t") >= c.fit_min) & (ahead <= c.fit_ahead_min)
     one = one.withColumn("dwell", F.coalesce(F.when(late > 0, _z(late, c.floor)), F.lit(0.0))).withColumn("fit", F.when(told, _z(miss, c.floor)))
-    if served is None:
-        one = one.withColumn("service", F.lit(0.0))
-    else:
-        s = served.select("line", "name", "served").distinct()
-        one = one.join(s, ["line", "name"], "left").withColumn("service", F.when(~F.col("served"), c.not_served).otherwise(0.0))
-    return one.select(*ride, "start_ts", "end_ts", "line", "side", "station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min")
+    return one.drop("__in", "__fits", "__passed", "__fit")
 
 
 def _on_track(points: DataFrame, edges: DataFrame, ride: list[str], radius_m: float, size: float) -> DataFrame:
@@ -322,21 +369,25 @@ def _on_track(points: DataFrame, edges: DataFrame, ride: list[str], radius_m: fl
     return best.select(*ride, "line", "start_ts", "end_ts", "t", F.col("e.edge_id").alias("edge_id"), (share * length).alias("along"), length.alias("length"))
 
 
-def chain_pairs(sides: DataFrame, keys: list[str], net: Network, c: Chain = Chain()) -> DataFrame:
-    """Pairs of stations that a ride's line joins, with their score in nats: both sides' evidence, and the time that the way between them takes."""
-    ride = [*keys, "ride", "start_ts", "end_ts", "line"]
-    told = ["station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min"]
-    b, a = (sides.where(F.col("side") == s).select(*ride, *(F.col(x).alias(f"{p}_{x}") for x in told)) for s, p in (("board", "b"), ("alight", "a")))
-    ways = net.paths.where(F.col("path_m") >= c.path_m).select("line", F.col("from_id").alias("b_station_id"), F.col("to_id").alias("a_station_id"), "path_m")
-    pairs = b.join(ways, ["line", "b_station_id"]).join(a, [*ride, "a_station_id"]).where("b_name <> a_name")
-    minutes = (F.col("end_ts") - F.col("start_ts")) / 60
-    expected = F.col("path_m") / 1000 / c.ride_kmh * 60 + c.overhead_min
-    dark = F.col("b_slop_min").isNull() | F.col("a_slop_min").isNull() | (F.col("b_slop_min") > c.unobserved_min) | (F.col("a_slop_min") > c.unobserved_min)
-    duration = F.when(dark & (expected >= minutes), 0.0).otherwise(_z((minutes - expected) / F.greatest(F.lit(c.duration_min), c.duration_share * expected), c.floor))
-    score = duration
-    for p in ("b", "a"):
-        score = score + F.col(f"{p}_anchor") + F.col(f"{p}_dwell") + F.coalesce(f"{p}_fit", F.lit(0.0)) + F.col(f"{p}_service")
-    return pairs.withColumn("score", score)
+TOLD = ["station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min"]
+
+
+def chain_pairs(told: dict[str, np.ndarray], board: dict, alight: dict, ways: list[tuple], c: Chain) -> dict[str, np.ndarray] | None:
+    """Pairs of stations of one ride that its line joins (ways: from, to, metres, in order), with their score in nats: both sides' evidence, and the time that the way between
+    them takes. None without any. told: chain_sides() by columns; board, alight: a station's row in them."""
+    name = told["name"]
+    some = [(board[x], alight[y], m) for x, y, m in ways if x in board and y in alight and name[board[x]] != name[alight[y]]]
+    if not some:
+        return None
+    b, a, metres = (np.array(x) for x in zip(*some, strict=True))
+    minutes, expected = (told["end_ts"][b[0]] - told["start_ts"][b[0]]) / 60, metres / 1000 / c.ride_kmh * 60 + c.overhead_min
+    slop = told["slop_min"]
+    dark = np.isnan(slop[b]) | np.isnan(slop[a]) | (slop[b] > c.unobserved_min) | (slop[a] > c.unobserved_min)
+    z = (minutes - expected) / np.maximum(c.duration_min, c.duration_share * expected)
+    score = np.where(dark & (expected >= minutes), 0.0, np.maximum(c.floor, -0.5 * z * z))
+    for at in (b, a):
+        score = score + told["anchor"][at] + told["dwell"][at] + np.nan_to_num(told["fit"][at]) + told["service"][at]
+    return {f"{p}_{x}": told[x][at] for p, at in (("b", b), ("a", a)) for x in ("station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit")} | {"score": score}
 
 
 def handover(gap_min: float, y0: np.ndarray, x0: np.ndarray, n0: np.ndarray, y1: np.ndarray, x1: np.ndarray, n1: np.ndarray, c: Chain) -> np.ndarray:
@@ -352,7 +403,11 @@ def resolve(pairs: pd.DataFrame, rides: list[tuple], c: Chain) -> list[tuple]:
 
     rides: (ride, start_ts, end_ts) in order. Rides apart by more than the gap, or by one without a pair, are chains of their own. A side is sure if each
     other station makes the best chain worse by the margin, its own evidence isn't against it, and the ride didn't pass it before."""
-    told = {r: g.reset_index(drop=True) for r, g in pairs.groupby("ride", sort=False)}
+    return chained({r: {x: g[x].to_numpy() for x in g.columns} for r, g in pairs.groupby("ride", sort=False)}, rides, c)
+
+
+def chained(told: dict, rides: list[tuple], c: Chain) -> list[tuple]:
+    """resolve() of pairs by ride, each as its columns."""
     chains: list[list[tuple]] = [[]]
     for r in rides:
         if chains[-1] and (r[0] not in told or r[1] - chains[-1][-1][2] > c.chain_gap_s):
@@ -362,9 +417,9 @@ def resolve(pairs: pd.DataFrame, rides: list[tuple], c: Chain) -> list[tuple]:
     out = []
     for chain in chains:
         legs = [told[r[0]] for r in chain]
-        own = [g.score.to_numpy(float) for g in legs]
+        own = [g["score"].astype(float) for g in legs]
         steps = [
-            handover((y[1] - x[2]) / 60, g.a_p_lat.to_numpy(float), g.a_p_lon.to_numpy(float), g.a_name.to_numpy(), h.b_p_lat.to_numpy(float), h.b_p_lon.to_numpy(float), h.b_name.to_numpy(), c)
+            handover((y[1] - x[2]) / 60, *(g[f"a_{e}"].astype(k) for e, k in (("p_lat", float), ("p_lon", float), ("name", object))), *(h[f"b_{e}"].astype(k) for e, k in (("p_lat", float), ("p_lon", float), ("name", object))), c)
             for x, y, g, h in zip(chain[:-1], chain[1:], legs[:-1], legs[1:], strict=True)
         ]
         ahead, back = list(own), list(own)
@@ -377,11 +432,11 @@ def resolve(pairs: pd.DataFrame, rides: list[tuple], c: Chain) -> list[tuple]:
             best = int(through.argmax())
             found = []
             for p in ("b", "a"):
-                other = through[(g[f"{p}_name"] != g[f"{p}_name"].iloc[best]).to_numpy()]
+                other = through[g[f"{p}_name"] != g[f"{p}_name"][best]]
                 margin = float(through[best] - other.max()) if len(other) else math.inf
-                anchor, dwell, fit = (g[f"{p}_{e}"].iloc[best] for e in ("anchor", "dwell", "fit"))
+                anchor, dwell, fit = (g[f"{p}_{e}"][best] for e in ("anchor", "dwell", "fit"))
                 sure = margin >= c.margin and (anchor > c.anchor_least or (pd.notna(fit) and fit > c.fit_least)) and dwell > c.dwell_least
-                found.append((g[f"{p}_name"].iloc[best] if sure else None, margin))
+                found.append((g[f"{p}_name"][best] if sure else None, margin))
             out.append((r[0], found[0][0], found[1][0], float(through[best]), found[0][1], found[1][1]))
     return out
 
@@ -390,20 +445,37 @@ def station_chain(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Netw
     """keys, ride, board, alight (names, null where unsure), score, board_margin, alight_margin: the stations of each ride on a named line that its line's stations can
     explain, all rides of a key (a day) in one recursion. Ties go to the pair with the smaller station ids."""
     kinds = {f.name: f.dataType.simpleString() for f in rides.schema}
-    columns = ["ride", "b_station_id", "a_station_id", "b_name", "a_name", "b_p_lat", "b_p_lon", "a_p_lat", "a_p_lon", *(f"{p}_{e}" for p in "ba" for e in ("anchor", "dwell", "fit")), "score"]
-    pairs = chain_pairs(chain_sides(rides, fixes, keys, net, served, c), keys, net, c).select(*keys, *columns)
-    names = ["ride", "board", "alight", "score", "board_margin", "alight_margin"]
+    sides = _sides(rides, fixes, keys, net, c, ways=True)
+    sides = sides.withColumn("service", F.lit(0.0)) if served is None else _served(sides, served, c)
+    names = [*keys, "ride", "board", "alight", "score", "board_margin", "alight_margin"]
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "ride"]) + ", board string, alight string, score double, board_margin double, alight_margin double"
+    numbers = ["p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min"]
+    columns = ["ride", "start_ts", "end_ts", "line", "side", "station_id", "name", *numbers]
 
-    def work(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(r):
-            return pd.DataFrame(columns=[*keys, *names])
-        p = p.sort_values(["ride", "b_station_id", "a_station_id"])
-        order = list(r.sort_values(["start_ts", "end_ts", "ride"])[["ride", "start_ts", "end_ts"]].itertuples(index=False, name=None))
-        out = pd.DataFrame(resolve(p, order, c), columns=names)
-        for k in keys:
-            out.insert(0, k, r[k].iloc[0])
-        return out[[*keys, *names]]
-
-    of = rides.select(*keys, "ride", "start_ts", "end_ts")
-    return groups.dealt(pairs, keys).groupBy(*keys).cogroup(groups.dealt(of, keys).groupBy(*keys)).applyInPandas(work, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: dict = {}  # paths by line, as they come
+        for table, bounds in groups.whole(batches, keys):
+            told = {x: table.column(x).to_numpy(zero_copy_only=False) for x in columns} | {x: table.column(x).to_numpy(zero_copy_only=False).astype(float) for x in numbers}
+            line, ways = told["line"], table.column("ways")
+            for i in np.flatnonzero(ways.is_valid().to_numpy()).tolist():
+                if line[i] not in lines:
+                    lines[line[i]] = sorted((x["from_id"], x["to_id"], x["path_m"]) for x in ways[i].as_py())
+            ride, side, station, out = told["ride"].tolist(), told["side"].tolist(), table.column("station_id").to_pylist(), []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                order, ends = [], {}
+                for i in range(lo, hi):
+                    if side[i] is None:
+                        order.append((ride[i], int(told["start_ts"][i]), int(told["end_ts"][i])))
+                    else:
+                        ends.setdefault(ride[i], {"board": {}, "alight": {}, "line": line[i]})[side[i]][station[i]] = i
+                pairs = {r: chain_pairs(told, e["board"], e["alight"], lines.get(e["line"], []), c) for r, e in ends.items()}
+                found = chained({r: p for r, p in pairs.items() if p is not None}, sorted(order, key=lambda x: (x[1], x[2], x[0])), c)
+                out += [(lo, *x) for x in found]
+            if out:
+                at, *rest = zip(*out, strict=True)
+                kinds_ = table.schema.field("ride").type, pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()
+                yield from pa.table([*(table.column(k).take(pa.array(at)) for k in keys), *(pa.array(x, kind) for x, kind in zip(rest, kinds_, strict=True))], names=names).to_batches()
+
+    # Pairs of stations are made in a day's own task, many days a batch, and none travels.
+    rows = sides.select(*keys, *columns, "ways").unionByName(rides.select(*keys, "ride", "start_ts", "end_ts"), allowMissingColumns=True)
+    return groups.dealt(rows, keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

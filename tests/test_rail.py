@@ -252,3 +252,12 @@ def test_days_together_are_decoded_as_each_alone():
     some = routes.route_days(lat, lon, nats, lines, [], 300)
     assert some == [routes.route_days(*(x[i : i + 1] for x in (lat, lon, nats)), lines, [], 300)[0] for i in range(b)]
     assert any(s.line for day in some for *_, s, _ in day)
+
+
+def test_what_is_known_of_a_ride_travels_once(spark, sf):
+    """No station's row is joined by ride, and no pair of stations is dealt; both were, in 49 and 165 exchanges."""
+    import __spark_entry__
+
+    for name in ("chain_anchors", "station_chain"):
+        plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 20 and plan.count("SortMergeJoin") <= 4
