@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from daygrain.functions import geo
 from daygrain.operators.joins import in_interval
-from daygrain.operators.passes import CASCADE, Day, Segment, still, tagged
-from daygrain.operators.track import haversine
+from daygrain.operators.passes import CASCADE, Day, Segment, metres, still, tagged
 
 #: Fixed values. Seconds of a gap that is weighed, and nats from which it cuts.
 GAP_S, CUT_NATS = 900, 2.5
@@ -53,8 +52,8 @@ def score(gap_s: float, gaps: list[float], fixes: int, steps: float, bpm: np.nda
     if gap_s <= 0:
         return 0.0
     out = next((n for bound, n in BY_STEPS if steps / (gap_s / 60) > bound), NO_STEPS)
-    median = float(np.median(gaps)) if gaps else 0.0
-    if fixes >= LEAST_FIXES and median > 0 and out > 0:
+    median = float(np.median(gaps)) if gaps and fixes >= LEAST_FIXES and out > 0 else 0.0
+    if median > 0:
         out += next((n for bound, n in BY_LENGTH if gap_s / median > bound), 0.0)
     if len(bpm) >= LEAST_BEATS:
         mean = float(np.mean(bpm))
@@ -85,26 +84,21 @@ def gap_scores(fixes: DataFrame, steps: DataFrame, heart: DataFrame, keys: list[
     return out.withColumn("nats", split_score(*(F.col(c) for c in ("gap_s", "median_gap_s", "fixes", "steps", "beats", "bpm", "away_m"))))
 
 
-def _inside(values: np.ndarray, t: np.ndarray, a: float, b: float) -> np.ndarray:
-    return values[(t > a) & (t < b)]
-
-
 def split_stays(segments: list[Segment], day: Day) -> list[Segment]:
     """A stay is cut at gaps of 15 minutes or more in its fixes that 2.5 nats of evidence tell to be a departure; between its parts nothing is known."""
-    st, sn, ht, hn = (x.to_numpy(float) for x in (day.steps.t, day.steps.steps, day.heart.t, day.heart.bpm))
     out = []
     for s in segments:
-        f = day.track(s["start_ts"], s["end_ts"])
-        if not still(s) or len(f) < 2:
+        f = day.track(s["start_ts"], s["end_ts"]) if still(s) else ()
+        if len(f) < 2:
             out.append(s)
             continue
-        t, y, x = (f[c].to_numpy(float) for c in ("t", "lat", "lon"))
+        t, (y, x) = f.t.tolist(), (np.append(0.0, np.cumsum(c)).tolist() for c in (f.lat, f.lon))  # sums, of which each run's centre comes
         runs, gaps, a = [], [], 0
         for i in range(1, len(t)):
             gap = t[i] - t[i - 1]
             if gap >= GAP_S:
-                away = float(haversine(y[a:i].mean(), x[a:i].mean(), y[i], x[i]))
-                if score(gap, gaps, i - a, _inside(sn, st, t[i - 1], t[i]).sum(), _inside(hn, ht, t[i - 1], t[i]), away) > CUT_NATS:
+                away = metres((y[i] - y[a]) / (i - a), (x[i] - x[a]) / (i - a), f.lat[i], f.lon[i])
+                if score(gap, gaps, i - a, day.walked.inside(t[i - 1], t[i]).sum(), day.beats.inside(t[i - 1], t[i]), away) > CUT_NATS:
                     runs.append((a, i))
                     a, gaps = i, []
                     continue
@@ -122,41 +116,38 @@ def split_stays(segments: list[Segment], day: Day) -> list[Segment]:
 
 def split_walks(segments: list[Segment], day: Day) -> list[Segment]:
     """A walk of 20 minutes or more that begins or ends with a quarter of an hour almost without steps is a sit and a walk, if what is left is walked indeed."""
-    t, n = day.steps.t.to_numpy(float), day.steps.steps.to_numpy(float)
     out = []
     for s in segments:
         a, b = s["start_ts"], s["end_ts"]
-        if s["mode"] != "walking" or b - a < WALK_S or not ((t >= a) & (t <= b + FRESH_S)).any():
+        if s["mode"] != "walking" or b - a < WALK_S or not len(day.walked.over(a, b + FRESH_S)):
             out.append(s)
             continue
         total = int(np.ceil((b - a) / 60))
-        k = np.floor((t - a) / 60).astype(int)
-        on = (k >= 0) & (k < total)
-        cadence = np.bincount(k[on], weights=n[on], minlength=total)
+        on = day.walked.since(a, a + 60 * total)
+        cadence = np.bincount(np.floor((day.walked.t[on] - a) / 60).astype(int), weights=day.walked.value[on], minlength=total)
         cum = np.append(0, np.cumsum(cadence))
         mean = lambda i, j, cum=cum: (cum[j] - cum[i]) / (j - i) if j > i else 0.0
         sit = -(-SIT_S // 60)
-        head = next((i for i in range(sit, total) if cadence[i] >= ONSET_STEPS and mean(i, min(total, i + ONSET_MIN)) >= CORE_STEPS and mean(0, i) <= SIT_STEPS), 0)
-        tail = next((total - i for i in range(total - sit, head, -1) if cadence[i - 1] >= ONSET_STEPS and mean(max(0, i - ONSET_MIN), i) >= CORE_STEPS and mean(i, total) <= SIT_STEPS), 0)
+        onset = np.flatnonzero(cadence >= ONSET_STEPS).tolist()
+        head = next((i for i in onset if i >= sit and mean(i, min(total, i + ONSET_MIN)) >= CORE_STEPS and mean(0, i) <= SIT_STEPS), 0)
+        tail = next((total - i for i in (k + 1 for k in reversed(onset)) if head < i <= total - sit and mean(max(0, i - ONSET_MIN), i) >= CORE_STEPS and mean(i, total) <= SIT_STEPS), 0)
         x, y = a + 60 * head, min(b, a + 60 * (total - tail))
         if not (head or tail) or y - x < CORE_S or mean(head, total - tail) < CORE_STEPS:
             out.append(s)
             continue
-        count = lambda i, j: int(((day.fixes.t >= i) & (day.fixes.t < j)).sum())
-        sat = lambda i, j: tagged({**s, "mode": "stationary", "start_ts": i, "end_ts": j, "avg_speed": 0.0, "linearity": 0.0, "points": count(i, j)}, "walk_split")
-        out += ([sat(a, x)] if head else []) + [{**s, "start_ts": x, "end_ts": y, "points": count(x, y)}] + ([sat(y, b)] if tail else [])
+        sat = lambda i, j: tagged({**s, "mode": "stationary", "start_ts": i, "end_ts": j, "avg_speed": 0.0, "linearity": 0.0, "points": day.count(i, j)}, "walk_split")
+        out += ([sat(a, x)] if head else []) + [{**s, "start_ts": x, "end_ts": y, "points": day.count(x, y)}] + ([sat(y, b)] if tail else [])
     return out
 
 
 def bridge_stays(segments: list[Segment], day: Day) -> list[Segment]:
     """Stays one after the other at one place, ten minutes apart at most, are one if the gap was spent at rest (a calm heart and no step), or, without a gap, unless the
     heart tells of effort over both."""
-    st, sn, ht, hn = (x.to_numpy(float) for x in (day.steps.t, day.steps.steps, day.heart.t, day.heart.bpm))
     out: list[Segment] = []
     first: Segment | None = None  # the stay that the last of `out` began with
     for s in segments:
         a = out[-1] if out else None
-        if a and still(a) and still(s) and first is not None and _one_stay(a, s, first, st, sn, ht, hn):
+        if a and still(a) and still(s) and first is not None and _one_stay(a, s, first, day):
             out[-1] = {**a, "end_ts": s["end_ts"], "points": (a.get("points") or 0) + (s.get("points") or 0)}
             continue
         out.append(s)
@@ -164,16 +155,16 @@ def bridge_stays(segments: list[Segment], day: Day) -> list[Segment]:
     return out
 
 
-def _one_stay(a: Segment, s: Segment, first: Segment, st: np.ndarray, sn: np.ndarray, ht: np.ndarray, hn: np.ndarray) -> bool:
-    if any(z.get(k) is None for z in (first, s) for k in ("lat", "lon")) or haversine(first["lat"], first["lon"], s["lat"], s["lon"]) > JOIN_M:
+def _one_stay(a: Segment, s: Segment, first: Segment, day: Day) -> bool:
+    if any(z.get(k) is None for z in (first, s) for k in ("lat", "lon")) or metres(first["lat"], first["lon"], s["lat"], s["lon"]) > JOIN_M:
         return False
     gap = s["start_ts"] - a["end_ts"]
     if gap > JOIN_S:
         return False
     if gap > 0:
-        beats = _inside(hn, ht, a["end_ts"], s["start_ts"])
-        return len(beats) >= JOIN_BEATS and beats.mean() <= REST_BPM and _inside(sn, st, a["end_ts"], s["start_ts"]).sum() == 0
-    both = hn[(ht >= a["start_ts"]) & (ht <= s["end_ts"])]
+        beats = day.beats.inside(a["end_ts"], s["start_ts"])
+        return len(beats) >= JOIN_BEATS and beats.mean() <= REST_BPM and day.walked.inside(a["end_ts"], s["start_ts"]).sum() == 0
+    both = day.beats.over(a["start_ts"], s["end_ts"])
     return not len(both) or both.mean() <= BOTH_BPM
 
 

@@ -6,47 +6,133 @@ board, alight, line, way_name, city, kinds. A pass takes a list of segments, ord
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daygrain.cluster import staged
+from daygrain.functions import geo
 from daygrain.operators import groups
-from daygrain.operators.track import core_displacement, haversine, incoherent_stay
+from daygrain.operators.track import R_M, core_displacement, haversine, incoherent_stay
 
 Segment = dict
 VEHICLES = ("driving", "train", "bus", "cycling", "plane", "vehicle", "boat")
 
 
+class Track:
+    """Fixes in order of time: t, lat, lon; kmh and hop (metres) from each to the next. A part shares the arrays of the whole."""
+
+    __slots__ = ("t", "lat", "lon", "kmh", "hop")
+
+    def __init__(self, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, kmh: np.ndarray | None = None, hop: np.ndarray | None = None):
+        self.t, self.lat, self.lon = t, lat, lon
+        self.hop = (haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]) if len(t) > 1 else np.zeros(0)) if hop is None else hop
+        self.kmh = (self.hop / np.maximum(np.diff(t), 1) * 3.6 if len(t) > 1 else np.zeros(0)) if kmh is None else kmh
+
+    def __len__(self) -> int:
+        return len(self.t)
+
+    def part(self, i: int, j: int) -> Track:
+        k = max(i, j - 1)
+        return Track(self.t[i:j], self.lat[i:j], self.lon[i:j], self.kmh[i:k], self.hop[i:k])
+
+
+class Samples:
+    """Values in order of time, found by bisection; one that is null counts nothing."""
+
+    def __init__(self, t, value):
+        t, value = np.asarray(t, float), np.asarray(value, float)
+        known = ~np.isnan(value)
+        order = np.argsort(t[known], kind="stable")
+        self.t, self.value = t[known][order], value[known][order]
+        self._t = self.t.tolist()
+
+    def since(self, a: float, b: float) -> slice:
+        """Those from a on and before b."""
+        return slice(bisect_left(self._t, a), bisect_left(self._t, b))
+
+    def inside(self, a: float, b: float) -> np.ndarray:
+        """Values between a and b, both left out."""
+        return self.value[bisect_right(self._t, a) : bisect_left(self._t, b)]
+
+    def over(self, a: float, b: float) -> np.ndarray:
+        """Values from a to b, both taken in."""
+        return self.value[bisect_left(self._t, a) : bisect_right(self._t, b)]
+
+
 @dataclass
 class Day:
-    """fixes: t, lat, lon, speed_kmh and, for rides under ground, accuracy and lines (those near). steps: t, steps a minute. heart: t, bpm. stations: name, lat, lon, lines.
-    focus: place -> (lat, lon)."""
+    """Columns of fixes: t, lat, lon, speed_kmh and, for rides under ground, accuracy and lines (those near). steps: t, steps a minute. heart: t, bpm. stations: name, lat, lon, lines.
+    focus: place -> (lat, lon). Each is put in order of time once, and a segment's rows are found by bisection."""
 
-    fixes: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "lat", "lon", "speed_kmh"]))
-    steps: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "steps"]))
-    heart: pd.DataFrame = field(default_factory=lambda: pd.DataFrame(columns=["t", "bpm"]))
+    fixes: pd.DataFrame | Mapping = field(default_factory=lambda: pd.DataFrame(columns=["t", "lat", "lon", "speed_kmh"]))
+    steps: pd.DataFrame | Mapping = field(default_factory=lambda: pd.DataFrame(columns=["t", "steps"]))
+    heart: pd.DataFrame | Mapping = field(default_factory=lambda: pd.DataFrame(columns=["t", "bpm"]))
     stations: list[dict] = field(default_factory=list)
     focus: dict = field(default_factory=dict)
 
-    def track(self, a: float, b: float) -> pd.DataFrame:
-        return self.fixes[(self.fixes.t >= a) & (self.fixes.t <= b)]
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(np.asarray(self.fixes["t"], float), kind="stable")
+
+    @cached_property
+    def seen(self) -> Track:
+        return Track(*(np.asarray(self.fixes[c], float)[self.order] for c in ("t", "lat", "lon")))
+
+    @cached_property
+    def _times(self) -> list[float]:
+        return self.seen.t.tolist()
+
+    @cached_property
+    def walked(self) -> Samples:
+        return Samples(self.steps["t"], self.steps["steps"])
+
+    @cached_property
+    def beats(self) -> Samples:
+        return Samples(self.heart["t"], self.heart["bpm"])
+
+    @cached_property
+    def _at(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([s["lat"] for s in self.stations], float), np.array([s["lon"] for s in self.stations], float)
+
+    def track(self, a: float, b: float) -> Track:
+        return self.seen.part(bisect_left(self._times, a), bisect_right(self._times, b))
+
+    def count(self, a: float, b: float) -> int:
+        """Fixes from a on and before b."""
+        return bisect_left(self._times, b) - bisect_left(self._times, a)
 
     def step_sum(self, a: float, b: float) -> float:
-        return float(self.steps.steps[(self.steps.t >= a) & (self.steps.t < b)].sum())
+        return float(self.walked.value[self.walked.since(a, b)].sum())
+
+    def brisk(self, a: float, b: float) -> np.ndarray:
+        """When, from a on and before b, 60 steps a minute or more were taken."""
+        at = self.walked.since(a, b)
+        return self.walked.t[at][self.walked.value[at] >= 60]
 
     def station_near(self, lat: float | None, lon: float | None, radius_m: float) -> dict | None:
         if lat is None or not self.stations:
             return None
-        d = [float(haversine(lat, lon, s["lat"], s["lon"])) for s in self.stations]
+        d = haversine(lat, lon, *self._at)
         k = int(np.argmin(d))
         return self.stations[k] if d[k] <= radius_m else None
 
 
+def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """haversine() of two points."""
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin((math.radians(lon2) - math.radians(lon1)) / 2) ** 2
+    return 2 * R_M * math.asin(math.sqrt(min(1.0, a)))
+
+
 def length(s: Segment) -> float:
     return s["end_ts"] - s["start_ts"]
 
@@ -63,7 +149,7 @@ def still(s: Segment) -> bool:
 def _apart(a: Segment, b: Segment) -> float:
     if any(x.get(k) is None for x in (a, b) for k in ("lat", "lon")):
         return float("inf")
-    return float(haversine(a["lat"], a["lon"], b["lat"], b["lon"]))
+    return metres(a["lat"], a["lon"], b["lat"], b["lon"])
 
 
 def joined(a: Segment, b: Segment) -> Segment:
@@ -87,7 +173,7 @@ def stationary_coherence(segments: list[Segment], day: Day) -> list[Segment]:
     for s in segments:
         if still(s):
             f = day.track(s["start_ts"], s["end_ts"])
-            d = core_displacement(f.t.to_numpy(float), f.lat.to_numpy(float), f.lon.to_numpy(float))
+            d = core_displacement(f.t, f.lat, f.lon, kmh=f.kmh)
             if incoherent_stay(length(s), s.get("linearity") or 0.0, d, d / max(1.0, length(s)) * 3.6):
                 s = tagged({**s, "mode": "walking", "place": None}, "incoherent_stay")
         out.append(s)
@@ -163,11 +249,11 @@ def split_reversals(segments: list[Segment], day: Day, far_m: float = 1500) -> l
     """A ride that doubles back, 1.5 km or more on both sides, is two rides, cut at the farthest fix."""
     out = []
     for s in segments:
-        f = day.track(s["start_ts"], s["end_ts"])
-        if s["mode"] not in VEHICLES or len(f) < 3:
+        f = day.track(s["start_ts"], s["end_ts"]) if s["mode"] in VEHICLES else ()
+        if len(f) < 3:
             out.append(s)
             continue
-        t, y, x = f.t.to_numpy(float), f.lat.to_numpy(float), f.lon.to_numpy(float)
+        t, y, x = f.t, f.lat, f.lon
         d = haversine(y[0], x[0], y, x)
         k = int(d.argmax())
         k_x = np.cos(np.radians(y[k]))
@@ -189,9 +275,9 @@ def rail_runs(segments: list[Segment], day: Day, near_m: float = 400) -> list[Se
     """Trains take the names of the stations at their ends, and the line that both share, if it is one."""
     out = []
     for s in segments:
-        f = day.track(s["start_ts"] - 120, s["end_ts"] + 120)
-        if s["mode"] == "train" and not s.get("board") and len(f) > 1:
-            a, b = (day.station_near(f.lat.iloc[i], f.lon.iloc[i], near_m) for i in (0, -1))
+        f = day.track(s["start_ts"] - 120, s["end_ts"] + 120) if s["mode"] == "train" and not s.get("board") else ()
+        if len(f) > 1:
+            a, b = (day.station_near(f.lat[i], f.lon[i], near_m) for i in (0, -1))
             if a and b and a["name"] != b["name"]:
                 common = _lines(a, b)
                 s = tagged({**s, "board": a["name"], "alight": b["name"], "line": s.get("line") or (next(iter(common)) if len(common) == 1 else None)}, "rail_run")
@@ -311,21 +397,22 @@ def interchange_label(segments: list[Segment], day: Day) -> list[Segment]:
 
 def _pace(day: Day, a: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     f = day.track(a, b)
-    t, y, x = f.t.to_numpy(float), f.lat.to_numpy(float), f.lon.to_numpy(float)
-    v = haversine(y[:-1], x[:-1], y[1:], x[1:]) / np.maximum(np.diff(t), 1) * 3.6 if len(t) > 1 else np.zeros(0)
-    return t, y, x, v
+    return f.t, f.lat, f.lon, f.kmh
 
 
 def vehicle_split(segments: list[Segment], day: Day) -> list[Segment]:
     """A run at 15 km/h or more inside a walk, of 400 m and two minutes with a peak of 20, is a ride of its own."""
     out: list[Segment] = []
     for s in segments:
+        if s["mode"] != "walking":
+            out.append(s)
+            continue
         t, y, x, v = _pace(day, s["start_ts"], s["end_ts"])
         ride = None
-        if s["mode"] == "walking" and len(v):
+        if len(v) and v.max() >= 15:
             on = np.flatnonzero(np.diff(np.concatenate([[0], (v >= 15).astype(int), [0]])))
             for a, b in on.reshape(-1, 2).tolist():
-                if t[b] - t[a] >= 120 and haversine(y[a], x[a], y[b], x[b]) >= 400 and v[a:b].max() >= 20 and (ride is None or t[b] - t[a] > ride[1] - ride[0]):
+                if t[b] - t[a] >= 120 and metres(y[a], x[a], y[b], x[b]) >= 400 and v[a:b].max() >= 20 and (ride is None or t[b] - t[a] > ride[1] - ride[0]):
                     ride = t[a], t[b]
         if ride is None:
             out.append(s)
@@ -398,7 +485,7 @@ def ride_head_claim(segments: list[Segment], day: Day) -> list[Segment]:
             k = len(v)
             while k and 2 <= v[k - 1] < 15:
                 k -= 1
-            if k < len(v) and t[-1] - t[k] >= 120 and haversine(y[k], x[k], y[-1], x[-1]) >= 100 and day.step_sum(t[k], t[-1]) >= 40 * (t[-1] - t[k]) / 60:
+            if k < len(v) and t[-1] - t[k] >= 120 and metres(y[k], x[k], y[-1], x[-1]) >= 100 and day.step_sum(t[k], t[-1]) >= 40 * (t[-1] - t[k]) / 60:
                 out += [{**s, "end_ts": t[k]}, tagged({**s, "start_ts": t[k], "end_ts": s["end_ts"], "mode": "walking", "place": None}, "departure_walk")]
                 continue
         out.append(s)
@@ -412,7 +499,7 @@ def stay_arrival_claim(segments: list[Segment], day: Day) -> list[Segment]:
         if a["mode"] == "walking" and still(b) and b.get("lat") is not None:
             t, y, x, v = _pace(day, a["start_ts"], a["end_ts"])
             k = len(v)
-            while k and v[k - 1] < 1.5 and haversine(y[k - 1], x[k - 1], b["lat"], b["lon"]) <= 75:
+            while k and v[k - 1] < 1.5 and metres(y[k - 1], x[k - 1], b["lat"], b["lon"]) <= 75:
                 k -= 1
             if k < len(v) and t[-1] - t[k] >= 120:
                 a["end_ts"] = b["start_ts"] = t[k]
@@ -425,7 +512,7 @@ def boarding_anchor(segments: list[Segment], day: Day) -> list[Segment]:
     for a, b in zip(out, out[1:], strict=False):
         if a["mode"] == "walking" and b["mode"] == "train" and b.get("alight"):
             f = day.track(a["start_ts"], a["end_ts"])
-            at = day.station_near(f.lat.iloc[-1], f.lon.iloc[-1], 250) if len(f) else None
+            at = day.station_near(f.lat[-1], f.lon[-1], 250) if len(f) else None
             if at and at["name"] not in (b.get("board"), b["alight"]) and (not b.get("line") or b["line"] in (at.get("lines") or ())):
                 b["board"] = at["name"]
     return out
@@ -437,7 +524,7 @@ def alight_anchor(segments: list[Segment], day: Day) -> list[Segment]:
     for a, b in zip(out, out[1:], strict=False):
         if a["mode"] == "train" and b["mode"] == "walking" and a.get("board"):
             f = day.track(b["start_ts"], b["end_ts"])
-            at = day.station_near(f.lat.iloc[0], f.lon.iloc[0], 250) if len(f) else None
+            at = day.station_near(f.lat[0], f.lon[0], 250) if len(f) else None
             if at and at["name"] not in (a.get("alight"), a["board"]) and (not a.get("line") or a["line"] in (at.get("lines") or ())):
                 a["alight"] = at["name"]
     return out
@@ -460,10 +547,10 @@ def tube_hop(segments: list[Segment], day: Day) -> list[Segment]:
     out = []
     for i, s in enumerate(segments):
         beside = any(0 <= j < len(segments) and segments[j]["mode"] == "train" for j in (i - 1, i + 1))
-        t, y, x, v = _pace(day, s["start_ts"] - 60, s["end_ts"] + 60)
-        if s["mode"] == "driving" and not beside and len(v):
-            hop = haversine(y[:-1], x[:-1], y[1:], x[1:])
-            k, net = int(hop.argmax()), float(haversine(y[0], x[0], y[-1], x[-1]))
+        f = day.track(s["start_ts"] - 60, s["end_ts"] + 60) if s["mode"] == "driving" and not beside else ()
+        if len(f) > 1:
+            y, x, v, hop = f.lat, f.lon, f.kmh, f.hop
+            k, net = int(hop.argmax()), metres(y[0], x[0], y[-1], x[-1])
             others = np.delete(v, k)
             blackout = net > 0 and hop[k] >= 0.6 * net and v[k] >= 25 and (not len(others) or np.median(others) <= 8)
             a, b = day.station_near(y[0], x[0], 250), day.station_near(y[-1], x[-1], 250)
@@ -481,13 +568,13 @@ def interchange_split(segments: list[Segment], day: Day) -> list[Segment]:
     for s in segments:
         a, b = names.get(s.get("board")), names.get(s.get("alight"))
         if s["mode"] == "train" and a and b and not _lines(a, b):
-            m = day.steps[(day.steps.t >= s["start_ts"] + 120) & (day.steps.t < s["end_ts"] - 120) & (day.steps.steps >= 60)]
-            f = day.track(m.t.min() - 120, m.t.max() + 180) if len(m) else day.fixes.iloc[:0]
-            at = day.station_near(f.lat.median(), f.lon.median(), 400) if len(f) else None
+            m = day.brisk(s["start_ts"] + 120, s["end_ts"] - 120)
+            f = day.track(m[0] - 120, m[-1] + 180) if len(m) else ()
+            at = day.station_near(np.nanmedian(f.lat), np.nanmedian(f.lon), 400) if len(f) else None
             if at and _lines(a, at) and _lines(at, b):
                 one, two = _lines(a, at), _lines(at, b)
                 pick = lambda lines: next(iter(lines)) if len(lines) == 1 else None
-                t1, t2 = float(m.t.min()), float(m.t.max() + 60)
+                t1, t2 = float(m[0]), float(m[-1] + 60)
                 out += [tagged({**s, "end_ts": t1, "alight": at["name"], "line": pick(one)}, "change"), {**s, "start_ts": t1, "end_ts": t2, "mode": "walking", "place": at["name"], "board": None, "alight": None, "line": None}, tagged({**s, "start_ts": t2, "board": at["name"], "line": pick(two)}, "change")]
                 continue
         out.append(s)
@@ -517,7 +604,7 @@ def absorb_intra_place_walk(segments: list[Segment], day: Day) -> list[Segment]:
     for a, s, b in zip(out, out[1:], out[2:], strict=False):
         if s["mode"] == "walking" and length(s) <= 720 and still(a) and still(b) and a.get("place") is not None and a.get("place") == b.get("place") and _apart(a, b) <= 75:
             f = day.track(s["start_ts"], s["end_ts"])
-            if not len(f) or haversine(a["lat"], a["lon"], f.lat.to_numpy(float), f.lon.to_numpy(float)).max() <= 120:
+            if not len(f) or haversine(a["lat"], a["lon"], f.lat, f.lon).max() <= 120:
                 s.update(mode="stationary", place=a["place"], lat=a["lat"], lon=a["lon"])
     return out
 
@@ -528,11 +615,11 @@ def far_focus_phantom(segments: list[Segment], day: Day) -> list[Segment]:
     stays = [i for i, s in enumerate(out) if still(s)]
     for n, i in enumerate(stays):
         centre = day.focus.get(out[i].get("place"))
-        if centre is None or out[i].get("lat") is None or haversine(out[i]["lat"], out[i]["lon"], *centre) < 120:
+        if centre is None or out[i].get("lat") is None or metres(out[i]["lat"], out[i]["lon"], *centre) < 120:
             continue
         for m in (n - 1, n + 1):
             o = out[stays[m]] if 0 <= m < len(stays) else None
-            if o and o.get("place") == out[i].get("place") and o.get("lat") is not None and haversine(o["lat"], o["lon"], *centre) <= 90:
+            if o and o.get("place") == out[i].get("place") and o.get("lat") is not None and metres(o["lat"], o["lon"], *centre) <= 90:
                 out[i].update(mode="walking", place=None)
                 break
     return out
@@ -565,9 +652,9 @@ def changeover(segments: list[Segment], day: Day) -> list[Segment]:
     for s in segments:
         a = out[-1] if out else None
         if a and a["mode"] == s["mode"] == "train" and a.get("alight") and a["alight"] == s.get("board") and s["start_ts"] - a["end_ts"] <= 60:
-            m = day.steps[(day.steps.t >= a["end_ts"] - 300) & (day.steps.t < s["start_ts"] + 300) & (day.steps.steps >= 60)]
-            if len(m) >= 1 and m.t.min() > a["start_ts"] and m.t.max() + 60 < s["end_ts"]:
-                t1, t2 = float(m.t.min()), float(m.t.max() + 60)
+            m = day.brisk(a["end_ts"] - 300, s["start_ts"] + 300)
+            if len(m) >= 1 and m[0] > a["start_ts"] and m[-1] + 60 < s["end_ts"]:
+                t1, t2 = float(m[0]), float(m[-1] + 60)
                 out[-1] = {**a, "end_ts": t1}
                 out.append(tagged({"start_ts": t1, "end_ts": t2, "mode": "walking", "place": a["alight"], "points": 0}, "changeover"))
                 s = {**s, "start_ts": t2}
@@ -620,21 +707,27 @@ def with_underground(passes: tuple = CASCADE) -> tuple:
 
 
 def lines_near(fixes: DataFrame, keys: list[str], rails: DataFrame, radius_m: float = 300.0) -> DataFrame:
-    """Fixes (keys, t, lat, lon, ...) with `lines`: the lines of rails (line, lat1, lon1, lat2, lon2) within the radius of each, none if there is none."""
-    from daygrain.operators.joins import near_lines
+    """Fixes (keys, t, lat, lon, ...) with `lines`: the lines of rails (line, lat1, lon1, lat2, lon2) within the radius of each, none if there is none.
+
+    Rails are written first, so that Spark knows which side is the small one: of rows made here it takes the fixes for it, and all of them then meet the
+    rails in the rails' few tasks."""
+    from daygrain.operators.joins import edge_cells
 
     at = [*keys, "t", "lat", "lon"]
-    near = near_lines(fixes.select(*at).distinct(), rails.select(F.col("line").alias("way_id"), "lat1", "lon1", "lat2", "lon2"), radius_m, at)
-    told = near.groupBy(*at).agg(F.array_sort(F.collect_set("way_id")).alias("lines"))  # the lines of one place
+    p, e = edge_cells(fixes.select(*at), staged(rails.select("line", "lat1", "lon1", "lat2", "lon2"), "rails"), radius_m, max(geo.band_size(radius_m), 0.002))
+    # Told in a column, not in a filter: Spark would put that into the join, where it computes each part of the distance anew wherever it is used.
+    near = p.join(e, ["__cy", "__cx"]).withColumn("__m", geo.to_segment(*map(F.col, ("lat", "lon", "lat1", "lon1", "lat2", "lon2"))))
+    told = near.groupBy(*at).agg(F.array_sort(F.collect_set(F.when(F.col("__m") <= radius_m, F.col("line")))).alias("lines"))  # the lines of one place
     return fixes.join(told, at, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 
 def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[str], stations: list[dict] = (), passes: tuple | None = None, focus: DataFrame | None = None, rails: DataFrame | None = None, heart: DataFrame | None = None) -> DataFrame:
     """Refined segments of each group (a user's day): start_ts, end_ts, mode, place, figures, labels, kinds. Days without segments give no row.
 
-    The inputs meet by key in one cogroup: a day's rows, not a table's. stations: those of the region, a list that the caller bounds. focus: keys, place,
+    The inputs meet by key in one shuffle: a day's rows, not a table's, many days a batch. stations: those of the region, a list that the caller bounds. focus: keys, place,
     lat, lon of the places that a user goes to. rails: line, lat1, lon1, lat2, lon2 of railways, with which rides under ground are told where the fixes have an
-    accuracy. heart: keys, t, bpm, with which segments are cut and joined on evidence first. passes: all of these and the cascade if None."""
+    accuracy. heart: keys, t, bpm, with which segments are cut and joined on evidence first. passes: all of these and the cascade if None. Where places
+    are numbers, a pass that names a station as one leaves none."""
     if passes is None:
         from daygrain.operators.evidence import with_evidence
 
@@ -650,36 +743,60 @@ def cascade(segments: DataFrame, fixes: DataFrame, steps: DataFrame, keys: list[
     if below:
         fixes, seen = lines_near(fixes, keys, rails), [*seen, "accuracy", "lines"]
         columns |= {"accuracy": "double", "lines": "array<string>"}
-    side = lambda d, **told: d.select(*keys, *[told.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
-    both = side(fixes, **{c: F.col(c) for c in seen}).unionByName(side(steps, t=F.col("t"), steps=F.col("steps")))
+    told = [c for c in segments.columns if c not in keys]
+
+    def side(d: DataFrame, n: int, **told: Column) -> DataFrame:
+        return d.select(*keys, F.lit(n).alias("__side"), *[told.get(c, F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
+
+    rows = segments.select(*keys, F.lit(SEGMENT).alias("__side"), F.col("start_ts").alias("t"), F.struct(*told).alias("__s"))
+    rows = rows.unionByName(side(fixes, FIX, **{c: F.col(c) for c in seen}), allowMissingColumns=True)
+    rows = rows.unionByName(side(steps, STEPS, t=F.col("t"), steps=F.col("steps")), allowMissingColumns=True)
     if heart is not None:
-        both = both.unionByName(side(heart, t=F.col("t"), bpm=F.col("bpm")))
+        rows = rows.unionByName(side(heart, HEART, t=F.col("t"), bpm=F.col("bpm")), allowMissingColumns=True)
     if focus is not None:
-        both = both.unionByName(side(focus, lat=F.col("lat"), lon=F.col("lon"), focus=F.col("place")))
-
-    def work(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        names = [n.strip().split(" ")[0] for n in schema.split(", ")]
-        if not len(s):
-            return pd.DataFrame(columns=names)
-        at, on, beat = x.focus.notna(), x.steps.notna(), x.bpm.notna()
-        known = {p: (y, z) for p, y, z in x[at][["focus", "lat", "lon"]].itertuples(index=False)}
-        day = Day(x[~on & ~at & ~beat].sort_values("t")[seen], x[on].sort_values("t")[["t", "steps"]], x[beat].sort_values("t")[["t", "bpm"]], stations, known)
-        rows = json.loads(s.sort_values(["start_ts", "end_ts"]).drop(columns=keys).to_json(orient="records", double_precision=15))
-        out = pd.DataFrame(run(rows, day, passes))
-        for k in keys:
-            out[k] = s[k].iloc[0]
-        for n in names:
-            if n not in out:
-                out[n] = None
-        out[["start_ts", "end_ts"]] = out[["start_ts", "end_ts"]].round().astype("int64")
-        out["points"] = out["points"].fillna(0).astype("int64")
-        for n in NUMBER:
-            out[n] = out[n].astype("float64")
-        if place in ("bigint", "int"):
-            out["place"] = out["place"].astype("Int64")
-        for n in ("mode", *TEXT, *(["place"] if place == "string" else [])):  # plain objects: a string column of pandas may come in several Arrow chunks, which Spark doesn't take
-            out[n] = out[n].astype(object).where(out[n].notna(), None)
-        out["kinds"] = [k if isinstance(k, list) else [] for k in out["kinds"]]
-        return out[names]
-
-    return groups.dealt(segments, keys).groupBy(*keys).cogroup(groups.dealt(both, keys).groupBy(*keys)).applyInPandas(work, schema)
+        rows = rows.unionByName(side(focus, FOCUS, lat=F.col("lat"), lon=F.col("lon"), focus=F.col("place")), allowMissingColumns=True)
+    names = [*keys, "start_ts", "end_ts", "mode", "place", "points", *NUMBER, *TEXT, "kinds"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups.whole(batches, keys):
+            sides = table.column("__side").to_numpy()
+            seg = table.column("__s").combine_chunks()
+            number = {c: table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("t", "lat", "lon", "speed_kmh", "steps", "bpm", *(["accuracy"] if below else []))}
+            out, at = [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                cut = (lo + np.searchsorted(sides[lo:hi], range(FOCUS + 2))).tolist()
+                if cut[FIX] == lo:
+                    continue
+                part = lambda n, *some, cut=cut: {c: number[c][cut[n] : cut[n + 1]] for c in some}
+                f = part(FIX, *(c for c in seen if c != "lines"))
+                if below:
+                    f["lines"] = table.column("lines").slice(cut[FIX], cut[FIX + 1] - cut[FIX]).to_pylist()
+                places = table.column("focus").slice(cut[FOCUS], hi - cut[FOCUS]).to_pylist()
+                known = dict(zip(places, zip(*part(FOCUS, "lat", "lon").values(), strict=True), strict=True))
+                day = Day(f, part(STEPS, "t", "steps"), part(HEART, "t", "bpm"), stations, known)
+                found = run([{k: None if v != v else v for k, v in s.items()} for s in seg.slice(lo, cut[FIX] - lo).to_pylist()], day, passes)
+                out += found
+                at += [lo] * len(found)
+            if out:
+                yield from _told([table.column(k).take(pa.array(at)) for k in keys], out, names, place).to_batches()
+
+    order = [*keys, "__side", "t", "__s.end_ts", "__s.mode", "lat", "lon", "steps", "bpm"]
+    return groups.dealt(rows, keys).sortWithinPartitions(*order).mapInArrow(work, schema)
+
+
+#: What a row that goes to a day's kernel tells, in the order in which they come.
+SEGMENT, FIX, STEPS, HEART, FOCUS = range(5)
+
+
+def _told(keys: list, found: list[Segment], names: list[str], place: str) -> pa.Table:
+    """Segments as columns, keys first."""
+    numbers = place in ("bigint", "int")
+    whole = lambda c: pa.array([round(s[c]) for s in found], pa.int64())
+    known = lambda v: None if v is None or v != v else v
+    of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    a_place = pa.array([None if numbers and isinstance(v, str) else int(v) if numbers and v is not None else v for v in (known(s.get("place")) for s in found)], of[place])
+    real = [pa.array([None if (v := known(s.get(c))) is None else float(v) for s in found], pa.float64()) for c in NUMBER]
+    text = [pa.array([known(s.get(c)) for s in found], pa.string()) for c in TEXT]
+    kinds = pa.array([k if isinstance(k := s.get("kinds"), list) else [] for s in found], pa.list_(pa.string()))
+    points = pa.array([int(known(s.get("points")) or 0) for s in found], pa.int64())
+    return pa.table([*keys, whole("start_ts"), whole("end_ts"), pa.array([s["mode"] for s in found], pa.string()), a_place, points, *real, *text, kinds], names=names)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 from bisect import insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from daygrain.operators import groups
@@ -88,15 +89,23 @@ def quality(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) ->
     return index[kept]
 
 
+#: Columns of a filtered track.
+TRACK = ["t", "lat", "lon", "speed_kmh", "bearing"]
+
+
 def kalman(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) -> pd.DataFrame:
-    """The filtered track: t, lat, lon, speed_kmh (one decimal), bearing (whole degrees). Two filters of constant velocity, a degree axis each.
+    """The filtered track: t, lat, lon, speed_kmh (one decimal), bearing (whole degrees)."""
+    return pd.DataFrame(kalman_rows(t, lat, lon, acc), columns=TRACK)
+
+
+def kalman_rows(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) -> list[tuple]:
+    """The rows of kalman(). Two filters of constant velocity, a degree axis each.
 
     Fixes with no time since the last are skipped. A gap, a jump or three refused fixes in a row begin anew; a fix far outside what was
     expected is refused and gives no row."""
-    names = ["t", "lat", "lon", "speed_kmh", "bearing"]
     out: list[tuple] = []
     if not len(t):
-        return pd.DataFrame(out, columns=names)
+        return out
     times, z = t.tolist(), list(zip(lat.tolist(), lon.tolist(), strict=True))
     metres = np.where(np.isnan(acc), ACCURACY_M, np.maximum(acc, 1.0)).tolist()
     k_deg = (M_PER_DEGREE, M_PER_DEGREE * max(0.01, math.cos(math.radians(z[0][0]))))
@@ -156,7 +165,7 @@ def kalman(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, acc: np.ndarray) ->
         head = round(math.degrees(math.atan2(vx, vy)) % 360) % 360 if speed > 0 else 0
         out.append((now, *where, round(speed, 1), head))
         last = i
-    return pd.DataFrame(out, columns=names)
+    return out
 
 
 def windows(t: np.ndarray, span_s: int = WINDOW_S) -> np.ndarray:
@@ -273,13 +282,14 @@ def split_cluster(hours: np.ndarray, day: np.ndarray, lat: np.ndarray, lon: np.n
     return of if gap >= 1.5 and haversine(*centre[0], *centre[1]) >= 30 else none
 
 
-def core_displacement(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, vehicle_kmh: float = 15.0) -> float:
-    """The largest net displacement of a run of fixes without a step at a vehicle's pace."""
+def core_displacement(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, vehicle_kmh: float = 15.0, kmh: np.ndarray | None = None) -> float:
+    """The largest net displacement of a run of fixes without a step at a vehicle's pace. kmh: from each fix to the next, where known."""
     if len(t) < 2:
         return 0.0
-    v = haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]) / np.maximum(np.diff(t), 1) * 3.6
+    v = haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]) / np.maximum(np.diff(t), 1) * 3.6 if kmh is None else kmh
     cut = np.flatnonzero(v > vehicle_kmh) + 1
-    return max(float(haversine(lat[a], lon[a], lat[b - 1], lon[b - 1])) for a, b in zip([0, *cut], [*cut, len(t)], strict=True))
+    a, b = np.append(0, cut), np.append(cut, len(t)) - 1
+    return float(haversine(lat[a], lon[a], lat[b], lon[b]).max())
 
 
 def incoherent_stay(length_s: float, linearity: float, displacement_m: float, kmh: float) -> bool:
@@ -313,16 +323,29 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[p
 
 
 def smoothed(fixes: DataFrame, keys: list[str], tie: str = "event_id", span_s: int = WINDOW_S) -> DataFrame:
-    """The quality filter, the Kalman filter and the windows in one kernel, so that fixes (t, lat, lon, accuracy) are shuffled once: t, lat, lon,
+    """The quality filter, the Kalman filter and the windows in one kernel, so that fixes (t, lat, lon, accuracy) are shuffled once, many keys a batch: t, lat, lon,
     speed_kmh, bearing, win."""
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        t, lat, lon, acc = g.t.to_numpy(np.int64), g.lat.to_numpy(float), g.lon.to_numpy(float), g.accuracy.to_numpy(float)
-        keep = quality(t, lat, lon, acc)
-        out = kalman(t[keep], lat[keep], lon[keep], acc[keep])
-        return out.assign(win=windows(out.t.to_numpy(), span_s))
+    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema}
 
-    return by_group(fixes, keys, ["t", tie], work, "t long, lat double, lon double, speed_kmh double, bearing int, win long")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups.whole(batches, keys):
+            of = [table.column(c).to_numpy(zero_copy_only=False) for c in ("t", "lat", "lon", "accuracy")]
+            t, lat, lon, acc = of[0].astype(np.int64), *(x.astype(float) for x in of[1:])
+            rows, win, at = [], [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                keep = lo + quality(t[lo:hi], lat[lo:hi], lon[lo:hi], acc[lo:hi])
+                some = kalman_rows(t[keep], lat[keep], lon[keep], acc[keep])
+                rows += some
+                win += windows([r[0] for r in some], span_s).tolist()
+                at += [lo] * len(some)
+            if rows:
+                told = (pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True))
+                yield from pa.table([*(table.column(k).take(pa.array(at)) for k in keys), *told, pa.array(win, pa.int64())], names=[*keys, *TRACK, "win"]).to_batches()
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t long, lat double, lon double, speed_kmh double, bearing int, win long"
+    rows = fixes.select(*keys, "t", tie, "lat", "lon", "accuracy")
+    return groups.dealt(rows, keys).sortWithinPartitions(*keys, "t", tie).mapInArrow(work, schema)
 
 
 def filter_quality(fixes: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:

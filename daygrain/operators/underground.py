@@ -7,8 +7,11 @@ places where the phone saw the sky. The segment is cut around what is found. Fix
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from operator import attrgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -42,8 +45,8 @@ class Ride(NamedTuple):
 
 
 def metres(a, b) -> float:
-    y, x = (b.lat - a.lat) * M_PER_DEGREE, (b.lon - a.lon) * M_PER_DEGREE * np.cos(np.radians(a.lat))
-    return float(np.hypot(x, y))
+    y, x = (b.lat - a.lat) * M_PER_DEGREE, (b.lon - a.lon) * M_PER_DEGREE * math.cos(math.radians(a.lat))
+    return math.hypot(x, y)
 
 
 def coarse(f: Fix) -> bool:
@@ -128,6 +131,26 @@ def journey(run: list[Fix], good: list[Fix], start: Fix, end: Fix, day: Day) ->
     return [last] if last else []
 
 
+_t = attrgetter("t")
+
+
+def between(some: list[Fix], a: float, b: float) -> list[Fix]:
+    """Those after a and before b, of fixes in order of time."""
+    return some[bisect_right(some, a, key=_t) : bisect_left(some, b, key=_t)]
+
+
+def before(some: list[Fix], t: float) -> Fix | None:
+    """The last at t or before it."""
+    i = bisect_right(some, t, key=_t)
+    return some[i - 1] if i else None
+
+
+def behind(some: list[Fix], t: float) -> Fix | None:
+    """The first at t or behind it."""
+    i = bisect_left(some, t, key=_t)
+    return some[i] if i < len(some) else None
+
+
 def dark_runs(some: list[Fix], good: list[Fix]) -> list[list[Fix]]:
     """Coarse fixes in runs: five minutes apart at most, or half an hour if they went on meanwhile and no good fixes tell of a journey between."""
     out: list[list[Fix]] = []
@@ -135,8 +158,8 @@ def dark_runs(some: list[Fix], good: list[Fix]) -> list[list[Fix]]:
         if out:
             last = out[-1][-1]
             gap = f.t - last.t
-            between = [g for g in good if last.t < g.t < f.t]
-            heard = any(metres(between[0], g) > STATION_M for g in between)
+            seen = between(good, last.t, f.t) if GAP_S < gap <= CHANGE_S else []
+            heard = any(metres(seen[0], g) > STATION_M for g in seen)
             if gap <= GAP_S or (gap <= CHANGE_S and not heard and metres(last, f) >= RIDE_M):
                 out[-1].append(f)
                 continue
@@ -146,14 +169,14 @@ def dark_runs(some: list[Fix], good: list[Fix]) -> list[list[Fix]]:
 
 def grown(run: list[Fix], dark: list[Fix], good: list[Fix]) -> list[Fix]:
     """A run with the coarse fixes around it, up to good ones that last, and without a last fix that good ones contradict."""
-    lo = next((i for i, f in enumerate(dark) if f.t >= run[0].t), None)
-    if lo is None:
+    lo = bisect_left(dark, run[0].t, key=_t)
+    if lo == len(dark):
         return run
-    hi = max(i for i, f in enumerate(dark) if f.t <= run[-1].t)
+    hi = bisect_right(dark, run[-1].t, key=_t) - 1
 
     def near(a: Fix, b: Fix) -> bool:
-        between = [g.t for g in good if a.t < g.t < b.t]
-        return b.t - a.t <= GAP_S and not (between and between[-1] - between[0] >= RECOVERY_S)
+        seen = between(good, a.t, b.t) if b.t - a.t <= GAP_S else []
+        return b.t - a.t <= GAP_S and not (seen and seen[-1].t - seen[0].t >= RECOVERY_S)
 
     while lo > 0 and near(dark[lo - 1], dark[lo]):
         lo -= 1
@@ -166,7 +189,8 @@ def grown(run: list[Fix], dark: list[Fix], good: list[Fix]) -> list[Fix]:
 
 
 def _blip(f: Fix, good: list[Fix]) -> bool:
-    around = (next((g for g in reversed(good) if g.t < f.t), None), next((g for g in good if g.t > f.t), None))
+    i, j = bisect_left(good, f.t, key=_t), bisect_right(good, f.t, key=_t)
+    around = (good[i - 1] if i else None, good[j] if j < len(good) else None)
     return all(g is not None and abs(g.t - f.t) <= BLIP_S and metres(f, g) <= BLIP_M for g in around)
 
 
@@ -174,35 +198,44 @@ def underground_rail(segments: list[Segment], day: Day) -> list[Segment]:
     """Rides under ground cut out of the segments that took them in: what was before, one or two rides with the change between them, what came after."""
     if "lines" not in day.fixes:
         return segments
-    fixes = [Fix(r.t, r.lat, r.lon, None if r.accuracy is None or r.accuracy != r.accuracy else r.accuracy, frozenset(r.lines if r.lines is not None else ())) for r in day.fixes[["t", "lat", "lon", "accuracy", "lines"]].itertuples()]
+    if all(_settled(s) for s in segments):
+        return segments
+    order = day.order.tolist()
+    told = (list(day.fixes[c]) for c in ("t", "lat", "lon", "accuracy", "lines"))
+    rows = list(zip(*told, strict=True))
+    fixes = [Fix(float(t), float(y), float(x), None if a is None or a != a else float(a), frozenset(n if n is not None else ())) for t, y, x, a, n in (rows[i] for i in order)]
     good, dark = [f for f in fixes if not coarse(f)], [f for f in fixes if coarse(f)]
     out = []
     for s in segments:
-        pieces = [] if still(s) or (s["mode"] == "train" and s.get("board") and s.get("alight")) else _carved(s, good, dark, day)
+        pieces = [] if _settled(s) else _carved(s, good, dark, day)
         out += pieces or [s]
     return out
 
 
+def _settled(s: Segment) -> bool:
+    """A stay, or a ride whose stations are known."""
+    return still(s) or bool(s["mode"] == "train" and s.get("board") and s.get("alight"))
+
+
 def _carved(s: Segment, good: list[Fix], dark: list[Fix], day: Day) -> list[Segment]:
     span = lambda r: r[-1].t - r[0].t
-    runs = [r for r in dark_runs([f for f in dark if s["start_ts"] <= f.t <= s["end_ts"]], good) if len(r) >= FIXES and span(r) >= RUN_S]
+    runs = [r for r in dark_runs(dark[bisect_left(dark, s["start_ts"], key=_t) : bisect_right(dark, s["end_ts"], key=_t)], good) if len(r) >= FIXES and span(r) >= RUN_S]
     if not runs:
         return []
     run = grown(max(runs, key=lambda r: (span(r), -r[0].t)), dark, good)
     if len(run) < FIXES or span(run) < RUN_S:
         return []
-    start = next((g for g in reversed(good) if g.t <= run[0].t), None)
-    end = next((g for g in good if g.t >= run[-1].t), None)
-    rides = journey(run, [g for g in good if run[0].t < g.t < run[-1].t], start, end, day) if start and end else []
+    start, end = before(good, run[0].t), behind(good, run[-1].t)
+    rides = journey(run, between(good, run[0].t, run[-1].t), start, end, day) if start and end else []
     if not rides:
         return []
     a, b = max(s["start_ts"], start.t), min(s["end_ts"], end.t)
-    before, behind = a - s["start_ts"] >= SIDE_S, s["end_ts"] - b >= SIDE_S
-    a, b = (a if before else s["start_ts"]), (b if behind else s["end_ts"])
+    head, tail = a - s["start_ts"] >= SIDE_S, s["end_ts"] - b >= SIDE_S
+    a, b = (a if head else s["start_ts"]), (b if tail else s["end_ts"])
     kmh = round(metres(start, end) / max(1.0, b - a) * 3.6, 1)
     share = lambda x, y: int((s.get("points") or 0) * (y - x) / max(1, s["end_ts"] - s["start_ts"]))
     side = lambda x, y: {**s, "start_ts": x, "end_ts": y, "points": share(x, y), "way_name": None}
-    out = [side(s["start_ts"], a)] if before else []
+    out = [side(s["start_ts"], a)] if head else []
     at = a
     for i, r in enumerate(rides):
         stop, go = b, None
@@ -214,4 +247,4 @@ def _carved(s: Segment, good: list[Fix], dark: list[Fix], day: Day) -> list[Segm
         if go is not None:
             out.append(tagged(side(stop, go), "underground_change"))
         at = stop if go is None else go
-    return [*out, side(b, s["end_ts"])] if behind else out
+    return [*out, side(b, s["end_ts"])] if tail else out
