@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from daygrain.cluster import staged
 from daygrain.functions import geo
 from daygrain.operators import groups
-from daygrain.operators.joins import as_of, edge_cells, in_interval, near_lines, nearest_in_time, within_radius
+from daygrain.operators.joins import edge_cells, near_lines, nearest_in_time, within_radius
 from daygrain.operators.track import haversine
 
 #: Fixed values. Metres within which a line passes a station, and an edge's end belongs to it.
@@ -255,14 +255,15 @@ def _z(z: Column, floor: float) -> Column:
     return F.greatest(F.lit(floor), -0.5 * z * z)
 
 
-def chain_sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, served: DataFrame | None = None, c: Chain = Chain()) -> DataFrame:
+def chain_sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, served: DataFrame | None = None, c: Chain = Chain(), tie: str | None = None) -> DataFrame:
     """The stations that each ride (keys, ride, start_ts, end_ts, line) may have begun or ended at, and what speaks for each: keys, ride, start_ts, end_ts, line, side
     (board, alight), station_id, name, p_lat, p_lon, anchor, dwell, fit (null: says nothing), service, slop_min (null: no fix on that side).
 
     anchor: from the last fix before the ride, or the first after it, less sure the staler it is. dwell: fixes near a station long before
     the ride ends there (or after it began) tell that it only passed. fit: where the fixes on the track, as a robust line over time, are when the ride
-    begins or ends. service: the line doesn't stop there. fixes: keys, t, lat, lon. served: line, name, served (see places.served)."""
-    one = _sides(rides, fixes, keys, net, c)
+    begins or ends. service: the line doesn't stop there. fixes: keys, t, lat, lon. served: line, name, served (see places.served).
+    tie: a column of fixes; of those of one time the one where it is smallest counts."""
+    one = _sides(rides, fixes, keys, net, c, tie=tie)
     one = one.withColumn("service", F.lit(0.0)) if served is None else _served(one, served, c)
     return one.select(*keys, "ride", "start_ts", "end_ts", "line", "side", "station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min")
 
@@ -288,13 +289,11 @@ def _fits(on: pd.Series, start: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, c: Chain, ways: bool = False) -> DataFrame:
-    """chain_sides() without service. What is known of a ride travels once, to the task of its key, as an array of stations and of fixes; only there it becomes a row
-    a station. ways: with the line's paths in a ride's first row. A key's rows lie in one task."""
+def _sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, c: Chain, ways: bool = False, tie: str | None = None) -> DataFrame:
+    """chain_sides() without service. Fixes and rides travel once each, to the task of their key; there the rides find their fixes, and what their line knows comes to them.
+    ways: with the line's paths in a ride's first row. A key's rows lie in one task."""
     kind = net.stations.schema["station_id"].dataType.simpleString()
     ride = [*keys, "ride"]
-    ends = rides.select(*ride, "line", "start_ts", "end_ts")
-    f = fixes.select(*keys, "t", "lat", "lon")
     # Written, so that Spark knows how small they are, and doesn't send rides or fixes to all tasks instead.
     of_line = net.stops.join(net.stations, "station_id").select("line", "station_id", "name", "p_lat", "p_lon").where("name is not null")
     lines = of_line.groupBy("line").agg(F.collect_list(F.struct("station_id", "name", "p_lat", "p_lon")).alias("__all"))
@@ -304,17 +303,20 @@ def _sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, c:
     lines = staged(lines, "lines")
     reach = net.reach.groupBy("line", "edge_id").agg(F.collect_list(F.struct("station_id", "d1", "d2")).alias("__reach"))
     edges = staged(net.edges.select("line", "edge_id", "lat1", "lon1", "lat2", "lon2").join(reach, ["line", "edge_id"], "left"), "edges")
-    told = as_of(ends.withColumn("t", F.col("start_ts") - 1), f, keys, "t", ["lat", "lon"], prefix="__b_")
-    told = as_of(told.withColumn("t", F.col("end_ts")), f, keys, "t", ["lat", "lon"], ahead=True, prefix="__a_")
-    told = told.join(lines, "line").select(*ride, F.struct("line", "start_ts", "end_ts", "__all", *(["__ways"] if ways else []), *(f"__{p}_{x}" for p in "ba" for x in ("t", "lat", "lon"))).alias("__told"))
+    at = [F.col(x) for x in ("t", *([tie] if tie else []), "lat", "lon")]
+    rows = fixes.select(*keys, F.struct(*at).alias("__f")).unionByName(rides.select(*keys, F.struct("ride", "line", "start_ts", "end_ts").alias("__r")), allowMissingColumns=True)
+    day = groups.dealt(rows, keys).groupBy(*keys).agg(F.sort_array(F.collect_list("__f")).alias("__f"), F.collect_list("__r").alias("__r")).where(F.size("__r") > 0)
+    if tie:
+        day = day.withColumn("__f", F.filter("__f", lambda x, i: (i == 0) | (F.get("__f", i - 1)["t"] != x["t"])))
+    one = day.select(*keys, "__f", F.inline("__r"))
+    past, next_ = F.filter("__f", lambda x: x["t"] <= F.col("start_ts") - 1), F.filter("__f", lambda x: x["t"] >= F.col("end_ts"))
+    inside = F.filter("__f", lambda x: (x["t"] >= F.col("start_ts")) & (x["t"] < F.col("end_ts")))
+    one = one.select(*ride, "line", "start_ts", "end_ts", F.get(past, F.size(past) - 1).alias("b"), F.get(next_, F.lit(0)).alias("a"), inside.alias("__in"))
+    one = one.select(*ride, F.struct("line", "start_ts", "end_ts", *(F.col(f"{p}.{x}").alias(f"__{p}_{x}") for p in "ba" for x in ("t", "lat", "lon"))).alias("__told"), F.posexplode_outer("__in").alias("__i", "__x"))
     # Fixes of a ride, and those on its line's track with the way along it to each station.
-    inside = in_interval(f.hint("merge"), ends, keys, closed=False).select(*ride, "line", "start_ts", "end_ts", "t", "lat", "lon")
-    tracked = _on_track(inside, edges.select(F.col("line").alias("e_line"), "edge_id", "lat1", "lon1", "lat2", "lon2"), ride, c.off_track_m, max(geo.band_size(c.off_track_m), 0.002))
-    to = F.transform("__reach", lambda x: F.struct(x["station_id"].alias("station_id"), F.greatest(F.least(x["d1"] + F.col("along"), x["d2"] + F.col("length") - F.col("along")), F.lit(0.0)).alias("m")))
-    tracked = tracked.join(edges.select("line", "edge_id", "__reach").where("__reach is not null"), ["line", "edge_id"]).select(*ride, F.struct("t", to.alias("to")).alias("__on"))
-    rows = told.unionByName(inside.select(*ride, F.struct("t", "lat", "lon").alias("__in")), allowMissingColumns=True).unionByName(tracked, allowMissingColumns=True)
-    whole = groups.dealt(rows, keys).groupBy(*ride).agg(F.first("__told", ignorenulls=True).alias("__told"), F.collect_list("__in").alias("__in"), F.collect_list("__on").alias("__on")).where("__told is not null")
-    whole = whole.select(*ride, "__told.*", "__in", "__on")
+    one = _on_track(one.select(*ride, "__told", "__i", *(F.col(f"__x.{x}").alias(x) for x in ("t", "lat", "lon"))), edges, ride, c.off_track_m, max(geo.band_size(c.off_track_m), 0.002))
+    whole = one.groupBy(*ride).agg(F.first("__told").alias("__told"), F.collect_list("__in").alias("__in"), F.array_distinct(F.collect_list("__on")).alias("__on"))
+    whole = whole.select(*ride, "__told.*", "__in", "__on").join(lines, "line")
     lot = F.when(F.size("__on") >= c.fit_fixes, F.col("__on"))  # fewer fixes tell no line
     whole = whole.withColumn("__fits", F.pandas_udf(_fits, f"array<struct<station_id {kind}, n long, first_t double, last_t double, slope double, intercept double, mad double>>")(lot, F.col("start_ts")))
 
@@ -358,15 +360,19 @@ def _sides(rides: DataFrame, fixes: DataFrame, keys: list[str], net: Network, c:
 
 
 def _on_track(points: DataFrame, edges: DataFrame, ride: list[str], radius_m: float, size: float) -> DataFrame:
-    """Each fix with the nearest edge of its own line within the radius: edge_id, along (metres from the edge's first end), length."""
-    p, e = edge_cells(points, edges, radius_m, size)
-    near = p.join(e, (p["__cy"] == e["__cy"]) & (p["__cx"] == e["__cx"]) & (p["line"] == e["e_line"])).drop("__cy", "__cx")
-    at = [F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")]
-    near = near.withColumn("__m", geo.to_segment(*at)).where(F.col("__m") <= radius_m)
-    best = near.groupBy(*ride, "line", "start_ts", "end_ts", "t", "lat", "lon").agg(F.min_by(F.struct("edge_id", "lat1", "lon1", "lat2", "lon2"), F.struct("__m", "edge_id")).alias("e"))
-    length = geo.haversine(F.col("e.lat1"), F.col("e.lon1"), F.col("e.lat2"), F.col("e.lon2"))
-    share = geo.share_along(F.col("lat"), F.col("lon"), F.col("e.lat1"), F.col("e.lon1"), F.col("e.lat2"), F.col("e.lon2"))
-    return best.select(*ride, "line", "start_ts", "end_ts", "t", F.col("e.edge_id").alias("edge_id"), (share * length).alias("along"), length.alias("length"))
+    """The fixes of each ride (__i: their number in it; __told of the ride, with its line) as __in (null where it has none), and where an edge of its line lies within the radius, __on: t, lat, lon, and
+    `to`, the metres to each station by the nearest edge. Nothing is dealt anew while edges are few."""
+    p, e = edge_cells(points.withColumn("__line", F.col("__told.line")), edges.withColumnRenamed("line", "e_line"), radius_m, size)
+    e = e.withColumnsRenamed({"__cy": "e_cy", "__cx": "e_cx"})
+    near = p.join(e, (F.col("__cy") == F.col("e_cy")) & (F.col("__cx") == F.col("e_cx")) & (F.col("__line") == F.col("e_line")), "left")
+    near = near.withColumn("__m", geo.to_segment(*(F.col(x) for x in ("lat", "lon", "lat1", "lon1", "lat2", "lon2"))))
+    edge = F.when(F.col("__m") <= radius_m, F.struct("__m", "edge_id", "lat1", "lon1", "lat2", "lon2", "__reach"))
+    best = near.groupBy(*ride, "__i").agg(*(F.first(x).alias(x) for x in ("__told", "t", "lat", "lon")), F.min(edge).alias("e"))
+    at = [F.col(x) for x in ("lat", "lon", "e.lat1", "e.lon1", "e.lat2", "e.lon2")]
+    best = best.withColumn("__length", geo.haversine(*at[2:])).withColumn("__along", geo.share_along(*at) * F.col("__length"))
+    to = F.transform("e.__reach", lambda x: F.struct(x["station_id"].alias("station_id"), F.greatest(F.least(x["d1"] + F.col("__along"), x["d2"] + F.col("__length") - F.col("__along")), F.lit(0.0)).alias("m")))
+    seen = ["t", "lat", "lon"]
+    return best.select(*ride, "__told", F.when(F.col("t").isNotNull(), F.struct(*seen)).alias("__in"), F.when(F.col("e.__reach").isNotNull(), F.struct(*seen, to.alias("to"))).alias("__on"))
 
 
 TOLD = ["station_id", "name", "p_lat", "p_lon", "anchor", "dwell", "fit", "service", "slop_min"]

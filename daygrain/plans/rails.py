@@ -52,8 +52,8 @@ def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chain_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stations near the last fix before each ride and the first after it, as a day tells them, and what that says for each, in nats."""
     rides = _rides(spark, sf_dir)
-    f = fixes(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400)).groupBy("user_id", "day", "t").agg(F.min_by("lat", "event_id").alias("lat"), F.min_by("lon", "event_id").alias("lon"))
-    s = rail.chain_sides(rides, f, KEYS, _network(spark), c=rail.Chain(most=100, admit_min=-1.0))
+    f = fixes(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400)).select(*KEYS, "t", "event_id", "lat", "lon")
+    s = rail.chain_sides(rides, f, KEYS, _network(spark), c=rail.Chain(most=100, admit_min=-1.0), tie="event_id")
     return s.where("slop_min is not null").select("ride", "side", "station_id", (F.round("anchor", 4) + 0.0).alias("anchor"), F.round("slop_min", 4).alias("slop_min"))
 
 
