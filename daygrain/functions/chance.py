@@ -33,13 +33,18 @@ def zero_inflated(x: Column, p0: Column | float, mean: Column | float, std: Colu
 
 
 def log_gamma(x: Column) -> Column:
-    """ln of the gamma function, for x > 0."""
-    y = x - 1
+    """ln of the gamma function's absolute value; infinite at 0, -1, -2, ... and at both ends."""
+    z = F.when(x < 0.5, 1 - x).otherwise(x)
+    y = z - 1
     total = F.lit(LANCZOS[0])
     for i, c in enumerate(LANCZOS[1:], 1):
         total = total + c / (y + i)
     t = y + LANCZOS_G + 0.5
-    return 0.5 * math.log(2 * math.pi) + (y + 0.5) * F.log(t) - t + F.log(total)
+    size = F.abs(0.5 * math.log(2 * math.pi) + (y + 0.5) * F.log(t) - t + F.log(total))
+    out = size * F.when((z > 1) & (z < 2), -1.0).otherwise(1.0)  # the sign holds where the sum is all rounding
+    ends = (F.abs(x) == math.inf) | ((x <= 0) & (F.rint(x) == x))
+    turn = math.log(math.pi) - F.log(F.abs(F.sin(math.pi * (x - F.rint(x)))))
+    return F.when(ends, math.inf).otherwise(out * F.when(x < 0.5, -1.0).otherwise(1.0) + F.when(x < 0.5, turn).otherwise(0.0))
 
 
 def gamma_pdf(x: Column, shape: Column | float, rate: Column | float) -> Column:
@@ -50,6 +55,12 @@ def gamma_pdf(x: Column, shape: Column | float, rate: Column | float) -> Column:
     return F.when(x < 0, float("-inf")).otherwise(shape * F.log(rate) + power - rate * x - log_gamma(shape))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A negative number that rounds to 0 stays negative, as in SQL; Spark's own gives 0."""
+    out = F.round(x, digits)
+    return F.when((x < 0) & (out == 0), -0.0).otherwise(out)
+
+
 def closeness(x: Column, ideal: float, tolerance: float) -> Column:
     """1 at the ideal, falling as a bell."""
     z = (x - ideal) / tolerance

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -591,8 +592,11 @@ def solar_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, round(lgamma(1 + value / 10), 6) AS log_gamma, round(2 * ln(0.5::DOUBLE) + (2 - 1) * ln(value) - 0.5 * value - lgamma(2.0::DOUBLE), 6) AS gamma_pdf FROM events""")
 def densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Below 0 the SQL's logarithm isn't a number, and so neither is the query's gamma_pdf."""
     e = events(spark, sf_dir)
-    return e.select("event_id", F.round(chance.log_gamma(1 + F.col("value") / 10), 6).alias("log_gamma"), F.round(chance.gamma_pdf(F.col("value"), 2.0, 0.5), 6).alias("gamma_pdf"))
+    pdf = F.when(F.col("value") < 0, math.nan).otherwise(chance.gamma_pdf(F.col("value"), 2.0, 0.5))
+    told = e.select("event_id", chance.log_gamma(1 + F.col("value") / 10).alias("log_gamma"), pdf.alias("gamma_pdf"))
+    return told.select("event_id", *[chance.rounded(F.col(c), 6).alias(c) for c in ("log_gamma", "gamma_pdf")])
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 'Stop ' || event_id % 7 END AS board, CASE WHEN event_id % 4 = 3 THEN NULL ELSE 'Stop ' || event_id % 5 END AS alight,

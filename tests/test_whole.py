@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,16 @@ def test_steps_of_days_are_not_shuffled(spark, sf, capsys, query):
 def test_no_lock_looks_to_the_end(spark, sf, capsys):
     days.class_locks(spark, sf).explain()
     assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+
+
+def test_densities_are_those_of_sql_at_any_value(spark, tmp_path):
+    """Below 0 the query ended with a division by zero or differed; so did infinity, and numbers below 0 that round to it."""
+    values = [None, math.nan, math.inf, -math.inf, 0.0, -1.0, -9.99, -10.0, -10.0001, -15.0, -1000.0, 1e-17, 1e-7, 9.9999999, 10.0, 418.85, 1e15]
+    table(spark, tmp_path, "events", [(i, v) for i, v in enumerate(values)], "event_id long, value double")
+    events = spark.read.parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/x/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/x/events.parquet/*.parquet'")
+    told = {r[0]: r[1:] for r in db.execute(slate.ORACLES["densities"]).fetchall()}
+    bits = lambda row: [None if v is None else repr(v) for v in row]  # noqa: E731  -0.0 isn't 0.0
+    assert {r.event_id: bits(r[1:]) for r in slate.densities(spark, f"{tmp_path}/x").collect()} == {k: bits(v) for k, v in told.items()}
