@@ -338,12 +338,11 @@ def decode(observed: DataFrame, keys: list[str], places: list[int] = (), step: s
         if place_at is None:
             path = semi_viterbi(emission, way, long, begin)
         else:
-            from daygrain.operators.context import chain_scores, segment_scores
+            from daygrain.operators.context import place_paths
 
             at = pa.array((begins[:, None] + np.arange(emission.shape[1])).ravel())
             lat, lon, cadence = (table.column(f"__{c}").take(at).to_numpy(zero_copy_only=False).astype(float).reshape(emission.shape[:2]) for c in ("lat", "lon", "cadence"))
-            lat = np.where(np.isnan(lon), np.nan, lat)
-            path = semi_viterbi(emission, way, long, begin, segment_scores(lat, lon, cadence, space, step_s), chain_scores(lat, lon, space, step_s, place_at))
+            path = place_paths(lambda t: emission[:, t].T, lat.T, lon.T, cadence.T, space, way, long, begin, step_s, place_at)
         new = np.ones(path.shape, bool)
         new[:, 1:] = path[:, 1:] != path[:, :-1]
         last = np.ones(path.shape, bool)

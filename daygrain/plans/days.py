@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from daygrain.cluster import staged
 from daygrain.functions import geo
-from daygrain.operators import aggregates, episodes, evaluation, evidence, hsmm, joins, passes, places, segments, series, states, track, ways
+from daygrain.operators import aggregates, context, episodes, evaluation, evidence, groups, hsmm, joins, passes, places, segments, series, states, track, ways
 from daygrain.plans.derived import FX, SP, SPAN, SPOTS, events, fixes, hav, spans, spots
 from daygrain.streaming import motion
 
@@ -122,15 +122,11 @@ def day_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's days by the half hour, with the spots as places: how far they are, how often a user is there, nights in bed, class locks, and the way between fixes."""
-    f = fixes(spark, sf_dir).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
+    f = groups.dealt(fixes(spark, sf_dir), ["user_id"]).withColumn("day_start", F.floor(F.col("t") / 86_400) * 86_400)
     at = {i: (51.5 + i * 0.01, -0.1 + i * 0.015) for i in range(SPOTS)}
     user = Window.partitionBy("user_id")
     often = F.array(*[F.log((F.sum((F.col("spot") == i).cast("int")).over(user) + 1) / (F.count("*").over(user) + SPOTS)) for i in at])
-    seen = hsmm.observations(f.withColumn("often", often), ["user_id", "day_start"], 1800, by=["user_id"], first=("often",))
-    seen = hsmm.class_locks(seen, ["user_id", "day_start"]).withColumns({f"entry_{i}": F.get("often", F.lit(k)) for k, i in enumerate(at)}).drop("often")
-    seen = seen.withColumns({f"d_{i}": geo.haversine(F.col("lat"), F.col("lon"), F.lit(y), F.lit(x)) for i, (y, x) in at.items()})
-    seen = seen.withColumn("in_bed", F.col("t") - F.col("day_start") < 6 * 3600)
-    return hsmm.decode(seen, ["user_id", "day_start"], list(at), step_s=1800, place_at=at, dealt=True)
+    return context.decode_fixes(f.withColumn("often", often), ["user_id", "day_start"], at, "often", (0, 6 * 3600), 1800, by=["user_id"])
 
 
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:

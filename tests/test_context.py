@@ -4,10 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from daygrain.functions import geo
 from daygrain.operators import context, hsmm
 from daygrain.operators.hsmm import State
 from daygrain.operators.track import haversine
+from daygrain.plans import days
 
 PLACES = {1: (50.0, 10.0), 2: (50.03, 10.0)}
 LEGS = {"Red": np.array([[50.0, 10.001, 50.03, 10.001]]), "Far": np.array([[51.0, 11.0, 51.1, 11.0]])}
@@ -106,3 +109,48 @@ def test_decode_takes_the_context(spark):
     got = hsmm.decode(seen, ["u"], [1, 2], place_at=at).orderBy("start_ts").collect()
     assert got[0].start_ts == 0 and got[-1].end_ts == 7200 and all(a.end_ts == b.start_ts for a, b in zip(got, got[1:], strict=False))
     assert (got[0].place, got[0].end_ts, got[-1].place, got[-1].start_ts) == (1, 1800, 2, 5400)
+
+
+@pytest.mark.parametrize(("seed", "n", "step_s"), [(0, 1, 1800), (1, 5, 1800), (2, 48, 1800), (3, 30, 1800), (4, 9, 14_400), (5, 48, 1800)])
+def test_paths_side_by_side_are_those_of_the_recursion(seed, n, step_s):
+    rng, b = np.random.default_rng(seed), 40
+    space = hsmm.states([1, 2, 3], [])
+    at = PLACES | ({3: (50.01, 10.02)} if seed != 3 else {})  # without: a place that isn't told where
+    way, long = hsmm.transitions(space), hsmm.durations(space, step_s=step_s)
+    begin = np.full(len(space), -np.log(len(space)))
+    lat, lon, cadence = 50 + rng.uniform(0, 0.05, (b, n)), 10 + rng.uniform(-0.01, 0.01, (b, n)), rng.uniform(0, 600, (b, n))
+    lat[rng.random((b, n)) < 0.8] = np.nan
+    lat[0], cadence[rng.random((b, n)) < 0.5] = np.nan, np.nan
+    emission = rng.normal(size=(b, n, len(space))) * 2
+    emission[rng.random(emission.shape) < 0.1] = -np.inf
+    emission[1:9] = np.round(emission[1:9])  # many ties
+    emission[2, 0] = -np.inf  # no path at all
+    want = hsmm.semi_viterbi(emission, way, long, begin, context.segment_scores(lat, lon, cadence, space, step_s), context.chain_scores(lat, lon, space, step_s, at))
+    got = context.place_paths(lambda t: emission[:, t].T, lat.T, lon.T, cadence.T, space, way, long, begin, step_s, at)
+    assert got.tolist() == want.tolist()
+
+
+def test_days_from_fixes_are_those_of_their_observations(spark):
+    rng, at = np.random.default_rng(7), {1: (50.0, 10.0), 2: (50.03, 10.0), 5: (50.01, 10.02)}
+    some = lambda v, p=0.2: None if rng.random() < p else float(v)
+    rows = []
+    for k in range(600):
+        y, x = at[int(rng.choice([1, 2, 5]))]
+        t = int(rng.integers(0, 3 * 86_400))
+        rows.append((int(rng.integers(0, 12)), None if k % 97 == 0 else t, some(y + rng.normal() / 500, 0.1), some(x + rng.normal() / 500, 0.1), some(rng.integers(0, 60)), some(rng.integers(50, 140)), None if rng.random() < 0.3 else int(rng.choice([0, 40, 120]))))
+    f = spark.createDataFrame(rows, "u long, t long, lat double, lon double, speed_kmh double, bpm double, steps long").withColumn("day_start", F.expr("t - t % 86400"))
+    f = f.withColumn("often", F.expr("array(-1d, if(u = 3, null, -2d), -0.5d - u)"))
+    seen = hsmm.class_locks(hsmm.observations(f, ["u", "day_start"], 1800, first=("often",)), ["u", "day_start"])
+    seen = seen.withColumns({f"entry_{p}": F.get("often", F.lit(k)) for k, p in enumerate(at)} | {f"d_{p}": geo.haversine(F.col("lat"), F.col("lon"), F.lit(y), F.lit(x)) for p, (y, x) in at.items()})
+    seen = seen.withColumn("in_bed", F.expr("t - day_start >= 1800 and t - day_start < 21600")).drop("often")
+    want = hsmm.decode(seen, ["u", "day_start"], list(at), step_s=1800, place_at=at)
+    got = context.decode_fixes(f, ["u", "day_start"], at, "often", (1800, 21_600), 1800)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() > 36
+
+
+def test_no_step_of_a_day_goes_through_spark(spark, sf, capsys):
+    """Steps as rows, their windows and their emissions cost more than decoding them."""
+    days.context_decode(spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan and "Generate" not in plan
