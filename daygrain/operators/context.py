@@ -120,6 +120,7 @@ def place_paths(emission: Callable[[int], np.ndarray], lat: np.ndarray, lon: np.
     mean, spread = (np.array([NET_SPEED.get(x, (0, 0))[i] for x in of_mode]) / 3.6 for i in (0, 1))
     still, walking = (np.array([x == y for x in of_mode]) for y in ("stationary", "walking"))
     silent = ~(still | walking | np.array([x in NET_SPEED for x in of_mode]))
+    staying = modes.index("stationary")
     at = np.array([places[space[k].place] for k in stay], float).reshape(-1, 2)
 
     lat = np.where(np.isnan(lon), np.nan, lat)
@@ -127,42 +128,48 @@ def place_paths(emission: Callable[[int], np.ndarray], lat: np.ndarray, lon: np.
     days, times = np.arange(b), np.arange(n + 1)[:, None]
     has, follows = last >= 0, first < n
     i, j = np.where(has, last, 0), np.where(follows, first, 0)
-    y1, x1, y2, x2 = lat[i, days], lon[i, days], lat[j, days], lon[j, days]
-    stale, ahead = times - last, first - times
+    y1, x1, y2, x2 = (np.where(on, x[k, days], 0.0) for k, on in ((i, has), (j, follows)) for x in (lat, lon))
+    stale, ahead = np.where(has, times - last, np.inf), np.where(follows, first - times, np.inf)  # no fix: so wide that nothing is told
     walks = np.concatenate([np.zeros((1, b)), np.cumsum(np.nan_to_num(cadence), 0)])
     step, day = np.nonzero(~np.isnan(lat))
     step_at, fix = np.searchsorted(step, np.arange(n + 1)), np.zeros((n, b), int)
     fix[step, day] = np.arange(len(step))
     fix = fix[i, days]
-    far = -0.5 * (haversine(lat[step, day], lon[step, day], at[:, :1], at[:, 1:]) - 0.0) ** 2
+    far = -0.5 * haversine(lat[step, day], lon[step, day], at[:, :1], at[:, 1:]) ** 2
     wide = PLACE_M**2 + (SLOP_M_PER_MIN * (stale * step_s / 60)) ** 2
 
-    base, best, full, metres = np.empty((n, s, b)), np.empty((n + 1, s, b)), np.zeros((n + 1, s, b), bool), np.zeros((n + 1, most, b))
-    cum, off, seg = np.zeros((s, b)), np.zeros((s - r, b)), np.empty((most, r + 1, b))
+    base, best, full = np.empty((n, s, b)), np.empty((n + 1, s, b)), np.zeros((n + 1, s, b), bool)
+    metres, slop = np.zeros((n + 1, most, b)), np.full((n + 1, most, b), np.inf)
+    cum, off, seg, den = np.zeros((s, b)), np.zeros((s - r, b)), np.zeros((r + 1, most, b)), np.empty((most, b))
     one, sums, near, out, entry, among = np.empty((s, b)), np.empty((s, b)), np.empty((s - r, b)), np.empty((s - r, b)), np.empty((s, b)), np.empty((r, b))
     base[0] = initial[order][:, None] - cum
     for t in range(1, n + 1):
         most_d = min(most, t)
-        some = np.flatnonzero(follows[t] & has[t - 1])
-        if some.size:
+        told = follows[t] & has[t - 1]
+        if tells := told.any():
             a, d = slice(t - 1, t - most_d - 1 if t > most_d else None, -1), np.arange(1, most_d + 1)[:, None]
-            ok = has[a][:, some]
-            m_way = haversine(y1[a][:, some], x1[a][:, some], y2[t, some], x2[t, some])
-            metres[t, :most_d, some] = m_way.T
-            slop = (stale[a][:, some] + ahead[t, some]) * step_s / 60
-            walked = (walks[t, some] - walks[a][:, some]) * STRIDE_M
+            metres[t, 0], metres[t, 1:most_d] = metres[t - 1, 0], metres[t - 1, : most_d - 1]
+            some = np.flatnonzero(told & ((first[t] != first[t - 1]) | (last[t - 1] != last[t - 2])))  # the others are between the same fixes
+            metres[t, :most_d, some] = haversine(y1[a][:, some], x1[a][:, some], y2[t, some], x2[t, some]).T
+            slop[t, :most_d] = (SLOP_M_PER_MIN * ((stale[a] + ahead[t]) * step_s / 60)) ** 2
+            walked = (walks[t] - walks[a]) * STRIDE_M
             predicted = {"stationary": (0.0, STILL_M), "walking": (walked, np.maximum(walked * STRIDE_SPREAD, STILL_M))}
             predicted |= {x: (x_mean / 3.6 * d * step_s, np.maximum(x_spread / 3.6 * d * step_s, STILL_M)) for x, (x_mean, x_spread) in NET_SPEED.items()}
-            seg.fill(0.0)
             for q, mode in enumerate(modes):
-                if mode in predicted:
-                    seg[:most_d, q, some] = np.where(ok, _nats(m_way, *predicted[mode], slop), 0.0)
+                if mode in predicted and (q < r or mode not in modes[:r]):
+                    x, y = seg[q, :most_d], den[:most_d]
+                    np.subtract(metres[t, :most_d], predicted[mode][0], out=x)
+                    x *= x
+                    x *= -0.5
+                    np.add(predicted[mode][1] ** 2, slop[t, :most_d], out=y)
+                    x /= y
+                    np.maximum(x, LEAST_NATS, out=x)
         for d in range(1, most_d + 1):
             c = sums if d == 1 else one
             np.add(base[t - d], dur[:, d - 1, None], out=c)
-            if some.size:
-                c[:r] += seg[d - 1, :r]
-                c[r:] += seg[d - 1, r]
+            if tells:
+                c[:r] += seg[:r, d - 1]
+                c[r:] += seg[staying, d - 1]
             if d == duration.shape[1]:
                 full[t] = True if d == 1 else one > sums
             if d > 1:
@@ -190,7 +197,7 @@ def place_paths(emission: Callable[[int], np.ndarray], lat: np.ndarray, lon: np.
                     np.add(near, w[:, None], out=out)
                     out += end[:r][to_of.ravel() == k].max(0)
                     np.maximum(entry[r:], out, out=entry[r:])
-            np.maximum(entry, end, out=entry, where=full[t])
+            np.maximum(entry, np.where(full[t], end, -np.inf), out=entry)
             np.subtract(entry, cum, out=base[t])
 
     final = best[n][back]
@@ -206,8 +213,7 @@ def place_paths(emission: Callable[[int], np.ndarray], lat: np.ndarray, lon: np.
         walked = (walks[t, live] - walks[a, live]) * STRIDE_M
         predicted = np.where(still[k], 0.0, np.where(walking[k], walked, mean[k] * d * step_s))
         sigma = np.where(still[k], STILL_M, np.maximum(np.where(walking[k], walked * STRIDE_SPREAD, spread[k] * d * step_s), STILL_M))
-        told = _nats(metres[t, d - 1, live], predicted, sigma, (stale[a, live] + ahead[t, live]) * step_s / 60)
-        told = np.where(has[a, live] & follows[t, live] & ~silent[k], told, 0.0)
+        told = np.where(silent[k], 0.0, np.maximum(LEAST_NATS, -0.5 * (metres[t, d - 1, live] - predicted) ** 2 / (sigma**2 + slop[t, d - 1, live])))
         c = np.where(t >= d, base[a, k, live] + dur.T[:, k] + told, -np.inf)
         a = t - np.minimum(c.argmax(0) + 1, t)
         marks[live, a], of[live, a], end[live] = a, k, a
@@ -311,16 +317,16 @@ def day_emissions(lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, hr: np.nd
 BLOCK = 1024
 
 
-def decode_fixes(fixes: DataFrame, keys: list[str], places: dict[int, tuple[float, float]], entry: str, bed_s: tuple[int, int], step_s: int = 60, day_s: int = 86_400, t: str = "t", by: list[str] | None = None) -> DataFrame:
+def decode_fixes(fixes: DataFrame, keys: list[str], places: dict[int, tuple[float, float]], entry: str, bed_s: tuple[int, int], step_s: int = 60, day_s: int = 86_400, t: str = "t", dealt: bool = False) -> DataFrame:
     """What hsmm.decode() tells with place_at of hsmm.observations() with class locks, distances to the places, `entry` (a column of a day, the same in all its fixes: nats of
-    entering each place) and in bed from bed_s[0] to before bed_s[1] seconds of a day. The rows are dealt by keys, or lie together by those of `by`, already dealt.
+    entering each place) and in bed from bed_s[0] to before bed_s[1] seconds of a day. dealt: a key's rows lie in one task.
 
     A task gets fixes alone: steps are made, weighed and decoded there, many days side by side, so that nothing of a step goes through Spark."""
     day = list(dict.fromkeys([*keys, "day_start"]))
     numbers = ["lat", "lon", "speed_kmh", "bpm", "steps"]
     rows = fixes.select(*day, F.col(t).cast("long").alias("__t"), *(F.col(c).cast("double").alias(c) for c in numbers), F.col(entry).cast("array<double>").alias("__entry")).where("__t is not null and day_start is not null")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = (rows if by else groups.dealt(rows, keys)).sortWithinPartitions(*day, "__t")
+    rows = (rows if dealt else groups.dealt(rows, keys)).sortWithinPartitions(*day, "__t")
     space = hsmm.states(list(places), [])
     way, long, begin = hsmm.transitions(space), hsmm.durations(space, step_s=step_s), np.full(len(space), -math.log(len(space)))
     n = -(-day_s // step_s)

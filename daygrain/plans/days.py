@@ -126,7 +126,7 @@ def context_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = {i: (51.5 + i * 0.01, -0.1 + i * 0.015) for i in range(SPOTS)}
     user = Window.partitionBy("user_id")
     often = F.array(*[F.log((F.sum((F.col("spot") == i).cast("int")).over(user) + 1) / (F.count("*").over(user) + SPOTS)) for i in at])
-    return context.decode_fixes(f.withColumn("often", often), ["user_id", "day_start"], at, "often", (0, 6 * 3600), 1800, by=["user_id"])
+    return context.decode_fixes(f.withColumn("often", often), ["user_id", "day_start"], at, "often", (0, 6 * 3600), 1800, dealt=True)
 
 
 def decode_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
