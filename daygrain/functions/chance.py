@@ -44,7 +44,7 @@ def log_gamma(x: Column) -> Column:
     out = size * F.when((z > 1) & (z < 2), -1.0).otherwise(1.0)  # the sign holds where the sum is all rounding
     ends = (F.abs(x) == math.inf) | ((x <= 0) & (F.rint(x) == x))
     turn = math.log(math.pi) - F.log(F.abs(F.sin(math.pi * (x - F.rint(x)))))
-    return F.when(ends, math.inf).otherwise(out * F.when(x < 0.5, -1.0).otherwise(1.0) + F.when(x < 0.5, turn).otherwise(0.0))
+    return F.when(ends, math.inf).otherwise(out * F.when(x < 0.5, -1.0).otherwise(1.0) + F.when(x < 0.5, turn).otherwise(-0.0))  # adds nothing, to minus 0 neither
 
 
 def gamma_pdf(x: Column, shape: Column | float, rate: Column | float) -> Column:
@@ -58,7 +58,7 @@ def gamma_pdf(x: Column, shape: Column | float, rate: Column | float) -> Column:
 def rounded(x: Column, digits: int) -> Column:
     """A negative number that rounds to 0 stays negative, as in SQL; Spark's own gives 0."""
     out = F.round(x, digits)
-    return F.when((x < 0) & (out == 0), -0.0).otherwise(out)
+    return F.when(out == 0, x * 0.0).otherwise(out)
 
 
 def closeness(x: Column, ideal: float, tolerance: float) -> Column:

@@ -66,7 +66,7 @@ def test_no_lock_looks_to_the_end(spark, sf, capsys):
 
 def test_densities_are_those_of_sql_at_any_value(spark, tmp_path):
     """Below 0 the query ended with a division by zero or differed; so did infinity, and numbers below 0 that round to it."""
-    values = [None, math.nan, math.inf, -math.inf, 0.0, -1.0, -9.99, -10.0, -10.0001, -15.0, -1000.0, 1e-17, 1e-7, 9.9999999, 10.0, 418.85, 1e15]
+    values = [None, math.nan, math.inf, -math.inf, 0.0, -1.0, -9.99, -10.0, -10.0001, -15.0, -1000.0, 1e-17, 1e-7, 9.9999999, 9.999999999999998, 10.0, 418.85, 1e15]
     table(spark, tmp_path, "events", [(i, v) for i, v in enumerate(values)], "event_id long, value double")
     events = spark.read.parquet(f"{tmp_path}/events.parquet").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
     events.write.parquet(f"{tmp_path}/x/events.parquet")
